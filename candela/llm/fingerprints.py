@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .runtime import partitions
 
@@ -28,17 +29,14 @@ def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     so that the smallest value of a window is its smallest hash and, among equals, the rightmost."""
     def from_tokens(tokens: Column) -> Column:
         def packed(i: Column) -> Column:
-            picked = [F.try_element_at(tokens, (i + j).cast("int")) for j in range(gram)]
-            low = F.lit(0xFFFFFFFF) - i.cast("long")
-            return F.shiftleft(F.shiftrightunsigned(F.xxhash64(*picked), 33), 32).bitwiseOR(low)
-
-        n = F.size(tokens)
-        starts = F.sequence(F.lit(1), F.greatest(n - (gram - 1), F.lit(1)))
-        hashed = F.transform(F.array(F.transform(starts, packed)), lambda g: F.when(
-            F.size(g) <= window, F.array(F.array_min(g))
-        ).otherwise(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1))), lambda i: F.least(*[F.try_element_at(g, (i + j).cast("int")) for j in range(window)])))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(hashed[0])
+            low = F.lit(0xFFFFFFFE) - i.cast("long")
+            return F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(tokens, i + j) for j in range(gram)]), 33), 32).bitwiseOR(low)
+
+        # past the end F.get gives null, which xxhash64 skips and least ignores
+        starts = lambda n, size: F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
+        chosen = F.transform(F.array(F.transform(starts(F.size(tokens), gram), packed)), lambda g: F.array_distinct(
+            F.transform(starts(F.size(g), window), lambda i: F.least(*[F.get(g, i + j) for j in range(window)]))))
+        return F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).otherwise(chosen[0])
 
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
     return F.transform(F.array(tokens), from_tokens)[0]
@@ -54,9 +52,8 @@ def rendered(chosen: Column) -> Column:
     return F.array_join(F.transform(chosen, one), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of hashes; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
+def likeness(a: Column, b: Column, both: Column) -> Column:
+    """Jaccard similarity of two sets of hashes with ``both`` in common; 1 if both are empty."""
     whole = F.size(a) + F.size(b) - both
     return F.when(whole == 0, F.lit(1.0)).otherwise(both / F.greatest(whole, F.lit(1)))
 
@@ -66,7 +63,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint
     return docs.withColumn(to, rendered(selected(F.col(text))))
 
 
-def next_texts(docs: DataFrame) -> DataFrame:
+def next_texts(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """(doc_id, text, next_text, last): each row with the text that follows in descending ``doc_id``.
 
     Ids are cut into ranges at approximate quantiles, a few to each shuffle partition, so the
@@ -116,15 +113,16 @@ def edited_fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("f", selected(F.col("text"), gram, window))
-    rows = rows.withColumn("next_h", hashes(F.lead("f").over(w))).where(~F.col("ghost"))
+    rows = rows.withColumn("next_h", F.coalesce(hashes(F.lead("f").over(w)), hashes(F.col("f")))).where(~F.col("ghost"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", "text"), F.lit(1), half)))
-    rows = rows.withColumn("e", selected(F.col("edited"), gram, window)).withColumn("h", hashes(F.col("f")))
+    rows = rows.withColumn("e", selected(F.col("edited"), gram, window)).withColumn("h", hashes(F.col("f"))).withColumn("eh", hashes(F.col("e")))
+    rows = rows.withColumn("with_edited", F.size(F.array_intersect("h", "eh"))).withColumn("with_next", F.size(F.array_intersect("h", "next_h")))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         rendered(F.col("f")).alias("fingerprint"),
         rendered(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("h"), hashes(F.col("e"))).alias("near_edited"),
-        likeness(F.col("h"), F.col("next_h")).alias("near_next"),
+        likeness(F.col("h"), F.col("eh"), F.col("with_edited")).alias("near_edited"),
+        likeness(F.col("h"), F.col("next_h"), F.col("with_next")).alias("near_next"),
     )
