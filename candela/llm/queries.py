@@ -58,14 +58,14 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
 ORACLES: dict[str, str] = {
     "op4_lines": r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-keyed AS (SELECT doc_id, ls, list_transform(ls, x -> translate(trim(x, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM docs),
+keyed AS (SELECT doc_id, ls, list_transform(ls, lambda x: translate(trim(x, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM docs),
 often AS (SELECT k FROM (SELECT unnest(list_distinct(ks)) AS k FROM keyed) WHERE k <> '' GROUP BY k HAVING count(*) >= 10),
 hot AS (SELECT coalesce(list(k), []) AS h FROM often),
-cut AS (SELECT doc_id, len(ls) AS n, list_transform(list_filter(list_zip(ls, ks), p -> NOT list_contains(h, p[2])), p -> p[1]) AS kept FROM keyed, hot)
+cut AS (SELECT doc_id, len(ls) AS n, list_transform(list_filter(list_zip(ls, ks), lambda p: NOT list_contains(h, p[2])), lambda p: p[1]) AS kept FROM keyed, hot)
 SELECT doc_id, n AS n_lines, n - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM cut
 """,
     "op5_substrings": r"""
-WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents),
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 wins AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS w FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM docs)),
 firsts AS (SELECT w, min(doc_id) AS f FROM wins GROUP BY w),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM wins JOIN firsts USING (w) WHERE f < doc_id),
@@ -75,10 +75,10 @@ SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 """,
     "op6_jaccard": r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(generate_series(1, len(ws) - 3), i -> array_to_string(ws[i : i + 3], ' ')) END) AS s FROM docs),
+    ELSE list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 3], ' ')) END) AS s FROM docs),
 flat AS (SELECT doc_id, unnest(s) AS t FROM sets),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
