@@ -6,8 +6,10 @@ whatever global order of tokens is taken. Two orders are used; in both, tokens t
 have come last (a fixed-size filter knows them), the others by one of two hashes. Candidates must
 share a prefix token under every order:
 
-1. for each order, sets that share a prefix token are tied to the smallest of them (a star, never
-   all pairs), and components of these ties are labelled;
+1. for each order, tokens that two sets share in their prefixes are found first; only those sets
+   then meet at the token, with their sizes and parity sketches, which tell for most pairs that they
+   cannot be similar (never the other way). What remains is tied together, at most one tie for each
+   set and bucket, never all pairs, and components of these ties are labelled;
 2. sets are candidates of each other only if their labels agree under every order: the filters
    intersected. No link crosses such a block;
 3. blocks are verified exactly, by products of 0/1 matrices of sets and shared tokens. Blocks of
@@ -24,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ U64 = np.uint64
 #: Tokens in more prefixes than this come last in every order.
 POPULAR = 32
 COMMON = Layout(bits=1 << 25, buckets=64, hashes=2)
+#: Tokens that two different sets share in their prefixes.
+SHARED = Layout(bits=1 << 26, buckets=64, hashes=2)
 UNIT = 1500
 COLUMNS = 2048
 
@@ -141,8 +144,12 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, layout: Layout) -> DataFrame:
-    """(o, a, b): under order ``o``, sets a and b (first digests) share a prefix token; stars only."""
+def _prefix_rows(s: np.ndarray, percent: int, order: int, common: Filter) -> np.ndarray:
+    return prefix(s, prefix_size(len(s), percent), order, common)
+
+
+def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, layout: Layout, shared: Layout) -> list[dict[int, bytes]]:
+    """For each order, filter segments of the tokens that two different sets have in their prefixes."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_filter = Filter(layout, common.value)
@@ -154,19 +161,21 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, l
                 tokens[o].clear(), sets[o].clear()
                 order = np.lexsort((s, t))
                 t, s = t[order], s[order]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-                t, s = t[new], s[new]
+                fresh = np.ones(len(t), bool)
+                fresh[1:] = t[1:] != t[:-1]
+                start = np.flatnonzero(fresh)
+                # a token's first set, and whether this task knows another one
+                more = np.add.reduceat(np.concatenate([[0], (s[1:] != s[:-1]) & ~fresh[1:]]), start) > 0
                 yield pa.RecordBatch.from_pylist(
-                    [{"o": o, "bucket": b, "tokens": x.tobytes(), "sets": y.tobytes()} for b, x, y in by_bucket(layout.bucket(t), t, s)],
-                    schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.binary()), ("sets", pa.binary())]))
+                    [{"o": o, "bucket": b, "tokens": x.tobytes(), "sets": y.tobytes(), "more": m.tobytes()} for b, x, y, m in by_bucket(shared.bucket(t[start]), t[start], s[start].astype(np.int32), more)],
+                    schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.binary()), ("sets", pa.binary()), ("more", pa.binary())]))
 
         for batch in batches:
             for s in sets_of(batch.column(0), n):
                 if len(s):
                     d1 = np.int64(_digest(s)[0])
                     for o in range(orders):
-                        p = prefix(s, prefix_size(len(s), percent), o, held_filter)
+                        p = _prefix_rows(s, percent, o, held_filter)
                         tokens[o].append(p), sets[o].append(np.full(len(p), d1))
                         size += len(p)
                     if size > 3_000_000:
@@ -175,20 +184,159 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, l
         if size:
             yield from flush()
 
-    def tie(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, s = [], []
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, s, m = [], [], []
         for b in batches:
             t += [np.frombuffer(x, U64) for x in b.column("tokens").to_pylist()]
-            s += [np.frombuffer(x, np.int64) for x in b.column("sets").to_pylist()]
-        t, s = np.concatenate(t), np.concatenate(s)
+            s += [np.frombuffer(x, np.int32) for x in b.column("sets").to_pylist()]  # 32 bits of the set's digest
+            m += [np.frombuffer(x, bool) for x in b.column("more").to_pylist()]
+        t, s, m = np.concatenate(t), np.concatenate(s), np.concatenate(m)
+        order = np.argsort(t, kind="stable")
+        t, s, m = t[order], s[order], m[order]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        two = np.logical_or.reduceat(m, start) | (np.minimum.reduceat(s, start) != np.maximum.reduceat(s, start))
+        # two sets whose 32 bits agree would be missed: count those that two tasks sent as shared too
+        two |= np.diff(np.append(start, len(t))) > 1
+        bits = np.zeros(shared.span, bool)
+        bits[shared.places(t[start][two]).ravel().astype(np.int64)] = True
+        yield pa.RecordBatch.from_pylist([{"o": key[0].as_py(), "bucket": key[1].as_py(), "bits": pack(bits)}], schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
+
+    parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, sets binary, more binary")
+    out: list[dict[int, bytes]] = [{} for _ in range(orders)]
+    for r in parts.groupBy("o", "bucket").applyInArrow(merge, "o long, bucket long, bits binary").collect():
+        out[r["o"]][r["bucket"]] = bytes(r["bits"])
+    return out
+
+
+def sketch_level(n: int) -> int:
+    """log2 of the sketch's bits: between the set's size and twice it, 64 to 8192."""
+    return min(max(int(n - 1).bit_length(), 6), 13)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens at each place. Sets that differ in d tokens differ in at most
+    d bits, also after both are folded to fewer bits."""
+    m = 1 << sketch_level(len(s))
+    odd = np.bincount((s >> U64(17)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(bool), bitorder="little")
+
+
+class Sketches:
+    """Sketches of many sets, by level."""
+
+    def __init__(self, sizes: np.ndarray, data: list[bytes], percent: int):
+        self.sizes, self.percent = sizes.astype(np.int64), percent
+        self.level = np.array([sketch_level(n) for n in sizes])
+        self.row = np.zeros(len(sizes), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for lv in np.unique(self.level):
+            at = np.flatnonzero(self.level == lv)
+            self.row[at] = np.arange(len(at))
+            self.of[int(lv)] = np.frombuffer(b"".join(data[i] for i in at), U64).reshape(len(at), -1)
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs: can the two sets be similar? Never false for sets that are."""
+        na, nb = self.sizes[a], self.sizes[b]
+        out = 100 * np.minimum(na, nb) >= self.percent * np.maximum(na, nb)
+        most = (100 - self.percent) * (na + nb) // (100 + self.percent)
+        todo = np.flatnonzero(out)
+        la, lb = self.level[a[todo]], self.level[b[todo]]
+        for x, y in {(int(p), int(q)) for p, q in zip(*np.unique(np.stack([la, lb]), axis=1))} if len(todo) else ():
+            for at in np.array_split(pick := todo[(la == x) & (lb == y)], max(1, len(pick) // 20_000)):
+                u, v = self.of[x][self.row[a[at]]], self.of[y][self.row[b[at]]]
+                while u.shape[1] > v.shape[1]:
+                    u = u[:, : u.shape[1] // 2] ^ u[:, u.shape[1] // 2 :]
+                while v.shape[1] > u.shape[1]:
+                    v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
+                out[at] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64) <= most[at]
+        return out
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index of each index's component."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _spread(members: np.ndarray, sk: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that tie the components of ``close`` among the members of one large group: each set is
+    compared with those not yet reached only."""
+    left, a, b = members, [], []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            hit = sk.close(np.full(len(left), x), left)
+            near = left[hit]
+            front.extend(near.tolist())
+            a.append(np.full(len(near), x)), b.append(near)
+            left = left[~hit]
+    return np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64)
+
+
+def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, layout: Layout, shared_by_order, shared: Layout) -> DataFrame:
+    """(o, a, b): ties (first digests of two sets) that connect whatever sets share a prefix token
+    under order ``o`` and may be similar by size and sketch. At most one tie for each set and bucket."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_filter, filters = Filter(layout, common.value), [Filter(shared, x) for x in shared_by_order.value]
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("o", "bucket", "tokens", "set", "n", "sketch")}
+            for s in sets_of(batch.column(0), n):
+                if len(s):
+                    own = None
+                    for o in range(orders):
+                        p = _prefix_rows(s, percent, o, common_filter)
+                        p = np.sort(p[filters[o].maybe(p)])
+                        if len(p):
+                            own = own or (_digest(s)[0], len(s), sketch(s).tobytes())
+                            for k, t in by_bucket(shared.bucket(p), p):
+                                for c, v in zip(out.values(), (o, k, t.tobytes(), *own)):
+                                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["o"], pa.int64()), pa.array(out["bucket"], pa.int64()), pa.array(out["tokens"], pa.binary()), pa.array(out["set"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["sketch"], pa.binary())], names=list(out))
+
+    def tie(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        ids, first, row = np.unique(whole.column("set").to_numpy(), return_index=True, return_inverse=True)
+        data = whole.column("sketch").to_pylist()
+        sk = Sketches(whole.column("n").to_numpy()[first], [data[i] for i in first], percent)
+        parts = [np.frombuffer(x, U64) for x in whole.column("tokens").to_pylist()]
+        t, s = np.concatenate(parts), np.repeat(row, [len(x) for x in parts])
         order = np.lexsort((s, t))
         t, s = t[order], s[order]
+        keep = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
+        t, s = t[keep], s[keep]
         start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        lead = np.repeat(s[start], np.diff(np.append(start, len(t))))
-        pairs = np.unique(np.stack([lead, s], 1)[lead != s], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), key[0].as_py())), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["o", "a", "b"])
-
-    parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, sets binary")
+        size = np.diff(np.append(start, len(t)))
+        # small groups: their pairs at once; the same pair comes from many tokens and counts once
+        pairs = [np.empty(0, np.int64)]
+        for g in np.unique(size[(size > 1) & (size <= POPULAR)]):
+            block = s[start[size == g][:, None] + np.arange(g)]
+            i, j = np.triu_indices(g, 1)
+            pairs.append(np.unique((block[:, i] * len(ids) + block[:, j]).ravel()))
+        code = np.unique(np.concatenate(pairs))
+        a, b = code // len(ids), code % len(ids)
+        good = sk.close(a, b)
+        root = _roots(len(ids), a[good], b[good])
+        seen = set()
+        for lo, g in zip(start[size > POPULAR], size[size > POPULAR]):
+            members = s[lo : lo + g]
+            if (same := members.tobytes()) not in seen:
+                seen.add(same)
+                x, y = _spread(members, sk)
+                root = _roots(len(ids), np.concatenate([np.arange(len(ids)), x]), np.concatenate([root, y]))
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), key[0].as_py())), pa.array(ids[root[other]]), pa.array(ids[other])], names=["o", "a", "b"])
+
+    parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, set long, n long, sketch binary")
     return parts.groupBy("o", "bucket").applyInArrow(tie, "o long, a long, b long").distinct()
 
 
@@ -253,7 +401,10 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int =
     info = stored(set_digests(base, n))
     classes = stored(info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     common = spark.sparkContext.broadcast(common_tokens(base, n, percent, orders, layout))
-    ties = stored(candidate_ties(base, n, percent, orders, common, layout))
+    free(spark)
+    both = spark.sparkContext.broadcast(shared_tokens(base, n, percent, orders, common, layout, SHARED))
+    free(spark)
+    ties = stored(candidate_ties(base, n, percent, orders, common, layout, both, SHARED))
     free(spark)
     # Labels under every order, then the blocks on which they agree.
     blocks = None

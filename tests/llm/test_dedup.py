@@ -122,7 +122,7 @@ def test_groups(docs, no_docs):
     for n, percent, unit in ((4, 85, 1500), (2, 30, 5)):
         want = brute_groups(rows, n, percent)
         got = jaccard.similar_groups(docs, n, percent, unit=unit)
-        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == want
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == want, (n, percent)
     assert jaccard.similar_groups(no_docs).collect() == []
 
 
