@@ -25,6 +25,11 @@ class Layout:
     def span(self) -> int:
         return self.bits // self.buckets
 
+    def spread(self, partitions: int) -> Layout:
+        """The same bits in more buckets where the cluster uses more shuffle partitions."""
+        buckets = max(self.buckets, min(1 << (2 * partitions - 1).bit_length(), self.bits // 1024))
+        return Layout(self.bits, buckets, self.hashes)
+
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> U64(64 - (self.buckets.bit_length() - 1))).astype(np.int64)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrays import grams, mix, pieces, words
 from .bits import Filter, Layout, by_bucket, pack
 from .graph import components
-from .runtime import free, shared_dir, small, stored
+from .runtime import free, partitions, shared_dir, small, stored
 
 U64 = np.uint64
 #: Tokens in more prefixes than this come last in every order.
@@ -40,7 +40,7 @@ POPULAR = 32
 COMMON = Layout(bits=1 << 25, buckets=64, hashes=2)
 #: Tokens that two different sets share in their prefixes.
 SHARED = Layout(bits=1 << 26, buckets=64, hashes=2)
-UNIT = 1500
+UNIT = 500
 COLUMNS = 2048
 
 
@@ -397,14 +397,15 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int =
     """doc_id, n_shingles, class_id (smallest id with an equal set), n_links, component_id for each row."""
     spark = docs.sparkSession
     shared_dir(spark)
+    layout, shared = layout.spread(partitions(spark)), SHARED.spread(partitions(spark))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     info = stored(set_digests(base, n))
     classes = stored(info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     common = spark.sparkContext.broadcast(common_tokens(base, n, percent, orders, layout))
     free(spark)
-    both = spark.sparkContext.broadcast(shared_tokens(base, n, percent, orders, common, layout, SHARED))
+    both = spark.sparkContext.broadcast(shared_tokens(base, n, percent, orders, common, layout, shared))
     free(spark)
-    ties = stored(candidate_ties(base, n, percent, orders, common, layout, both, SHARED))
+    ties = stored(candidate_ties(base, n, percent, orders, common, layout, both, shared))
     free(spark)
     # Labels under every order, then the blocks on which they agree.
     blocks = None

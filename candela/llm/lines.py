@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import text_bytes
 from .bits import Filter, Layout, by_bucket, pack, unpack
-from .runtime import BROADCAST_ROWS, shared_dir, stored
+from .runtime import BROADCAST_ROWS, partitions, shared_dir, stored
 
 LAYOUT = Layout(bits=1 << 26, buckets=64, hashes=2)
 NEWLINE = b"\n"
@@ -88,6 +88,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, layout: L
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    layout = layout.spread(partitions(spark))
     suspects = spark.sparkContext.broadcast(twice_seen(docs, min_chars, layout))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrays import grams, mix, pieces, words
 from .bits import Filter, Layout, by_bucket, pack
-from .runtime import drop_path, free, scratch, small, stored
+from .runtime import drop_path, free, partitions, scratch, small, stored
 
 WIDTH, GRAM = 13, 7
 #: Hit fingerprints as a filter of a fixed size; too full, it only lets more windows be verified.
@@ -207,13 +207,15 @@ def _suspect_windows(docs: DataFrame, hits, width: int, gram: int, buckets: int,
     return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, pos int, w1 long, w2 long")
 
 
-def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3, layout: Layout = HITS, buckets: int = 64) -> DataFrame:
+def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3, layout: Layout = HITS) -> DataFrame:
     """(doc_id, tag, at): first words of windows that also start in a document of a smaller id.
 
     ``docs``: doc_id, tag (a hash of the text) and text, without later exact copies. Batches are
     ranges of ``doc_id``, so an incremental run over the same ranges finds the same.
     """
     spark = docs.sparkSession
+    layout = layout.spread(partitions(spark))
+    buckets = layout.buckets
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
     where = scratch(spark, "fingerprints")
