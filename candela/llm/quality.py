@@ -3,9 +3,9 @@
 Base counts describe each text; the method tokenises its words with a public vocabulary that falls
 back to bytes and measures characters per token, the share of byte tokens and the evenness of the
 tokens (their entropy over its largest possible value for the text's token count). Rejection bands
-are set for each language from the corpus itself: quartiles over all texts that pass the base rules,
-widened by multiples of the interquartile range (at least a floor, so that a uniform corpus is not
-cut). Languages with fewer than ``min_group`` such texts share the bands of the whole corpus.
+are set for each language and power of two of the word count from the corpus itself: the median over
+all texts that pass the base rules, with multiples of the interquartile range on both sides (at
+least a floor, so that a uniform corpus is not cut). Small groups share wider ones' bands.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined cases: null or empty text has no words and fails the base
 rules; a null language is ``und``; repeated rows are judged alike; with no rows there are no bands.
@@ -27,8 +27,10 @@ from .tokens import PieceBpe
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Width of the bands in interquartile ranges below and above the quartiles, and least widths.
-BANDS = {"chars_per_token": (4.0, 6.0, 0.15), "byte_share": (None, 6.0, 0.02), "evenness": (6.0, None, 0.03)}
+#: For each measure: interquartile ranges below and above the median that stay (None: no bound), and the
+#: least range. Long texts repeat more tokens, so groups are languages by powers of two of the word count.
+BANDS = {"chars_per_token": (3.0, 5.0, 0.03), "byte_share": (None, 6.0, 0.02), "evenness": (1.75, None, 0.02)}
+GROUP = ("lang", "size_class")
 
 
 def metrics(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
@@ -89,27 +91,30 @@ def _repeat_words(windows: np.ndarray, n: int) -> int:
     return int(cover.sum())
 
 
-def bands(measured: DataFrame, min_group: int = 200) -> DataFrame:
-    """lang, and low and high bounds of each measure: one row for each language."""
+def bands(measured: DataFrame, min_group: int = 100) -> DataFrame:
+    """lang, size_class, and low and high bounds of each measure. Groups of fewer than ``min_group`` texts take
+    the bounds of their size class over all languages, and small size classes those of the whole corpus."""
     ok = measured.where("not base_failed")
-    quartiles = [F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"q_{c}") for c in BANDS]
-    each = ok.groupBy("lang").agg(F.count("*").alias("texts"), *quartiles)
-    whole = ok.agg(*[q.alias(f"w_{c}") for q, c in zip(quartiles, BANDS)])
-    both = each.join(F.broadcast(whole))  # one row
-    out = both.select("lang", *[F.when(F.col("texts") >= min_group, F.col(f"q_{c}")).otherwise(F.col(f"w_{c}")).alias(c) for c in BANDS])
+
+    def quartiles(*keys: str, to: str) -> DataFrame:
+        return ok.groupBy(*keys).agg(F.count("*").alias(f"n_{to}"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"{to}_{c}") for c in BANDS])
+
+    groups = measured.select(*GROUP).distinct()
+    both = groups.join(quartiles(*GROUP, to="g"), list(GROUP), "left").join(quartiles("size_class", to="s"), "size_class", "left").join(F.broadcast(quartiles(to="w")))  # one row
     bounds = []
     for c, (below, above, least) in BANDS.items():
-        spread = F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least / 2))
-        bounds += [(F.col(c)[0] - below * spread if below else F.lit(float("-inf"))).alias(f"{c}_low"), (F.col(c)[1] + above * spread if above else F.lit(float("inf"))).alias(f"{c}_high")]
-    return out.select("lang", *bounds)
+        q = F.when(F.col("n_g") >= min_group, F.col(f"g_{c}")).when(F.col("n_s") >= min_group, F.col(f"s_{c}")).otherwise(F.col(f"w_{c}"))
+        spread = F.greatest(q[2] - q[0], F.lit(least))
+        bounds += [(q[1] - below * spread if below else F.lit(float("-inf"))).alias(f"{c}_low"), (q[1] + above * spread if above else F.lit(float("inf"))).alias(f"{c}_high")]
+    return both.select(*GROUP, *bounds)
 
 
 def judged(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
     """The measures with ``base_failed``, ``kept`` and ``reason`` (the first band left, if any)."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    measured = stored(metrics(docs, vocabulary).withColumn("base_failed", failed))
-    limits = bands(measured)
-    joined = measured.join(small(limits), "lang", "left")
+    size = F.least(F.floor(F.log2(F.greatest("n_words", F.lit(1)).cast("double"))), F.lit(14)).cast("int")
+    measured = stored(metrics(docs, vocabulary).withColumn("base_failed", failed).withColumn("size_class", size))
+    joined = measured.join(small(stored(bands(measured))), list(GROUP), "left")
     reason = F.when(F.col("base_failed"), F.lit("base"))
     for c in BANDS:
         reason = reason.when(~F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(True)), F.lit(c))
