@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -43,11 +45,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of finished plans now rather than at its next collection."""
-    import gc
+    """Let Spark remove shuffle files of finished plans now rather than at its next collection.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Twice: the first round releases Python's handles, the second what they held in the JVM.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
