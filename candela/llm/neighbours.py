@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .arrays import pieces, words
 
-TERMS, SHAPES = 4096, 96
-SAMPLE, RANK, NEAREST, POWER = 6000, 64, 25, 4
+TERMS, SHAPES = 2048, 96
+SAMPLE, RANK, NEAREST, POWER = 3000, 64, 25, 4
 BLOCK = 256
 
 
@@ -92,7 +92,7 @@ def fit(rows: list[tuple[np.ndarray, int]], rank: int = RANK) -> dict | None:
     """Latent directions and labelled vectors from (term counts, label) rows."""
     if not rows:
         return None
-    x = np.stack([r[0] for r in rows]).astype(np.float32)
+    x = np.stack([r[0] for r in rows])
     y = np.array([r[1] for r in rows], np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     x = _weighted(x, idf)
