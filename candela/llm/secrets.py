@@ -47,6 +47,7 @@ RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$5", "aaeoiiss")
 MAX_SEGMENT = 24
+BLOCKS = range(2, 9)
 
 
 def _near() -> set[tuple[str, str]]:
@@ -100,6 +101,7 @@ def guess_log10(value: str) -> float:
     for i in range(1, n):
         if value[i] == value[i - 1]:
             same[i] = same[i - 1] + 1
+    again = dict.fromkeys(BLOCKS, 0)  # characters up to here that equal the one a block before
     for i in range(1, n + 1):
         cost_1 = LOG[_pool(value[i - 1])]
         here, last = best[i], best[i - 1]
@@ -122,12 +124,10 @@ def guess_log10(value: str) -> float:
                 parts.append((a, math.log10(47) + math.log10(2) * (size - 1)))
         if same[i - 1] >= 3:
             parts.append((i - same[i - 1], LOG[_pool(value[i - 1])] + math.log10(same[i - 1])))
-        for block in (2, 3, 4, 5, 6, 7, 8):  # a block repeated up to here
-            a, times = i - block, 1
-            while times < 64 and a - block >= 0 and value[a - block : a] == value[i - block : i]:
-                a, times = a - block, times + 1
-            if times >= 2:
-                parts.append((a, sum(LOG[_pool(c)] for c in value[i - block : i]) + math.log10(times)))
+        for block in BLOCKS:  # a block repeated up to here, as often as it goes
+            again[block] = again[block] + 1 if i > block and value[i - 1] == value[i - 1 - block] else 0
+            if (times := again[block] // block + 1) >= 2:
+                parts.append((i - block * times, sum(LOG[_pool(c)] for c in value[i - block : i]) + math.log10(times)))
         for a, cost in parts:
             for k in range(10):
                 if best[a][k] < inf:
