@@ -41,6 +41,8 @@ COMMON = Layout(bits=1 << 25, buckets=64, hashes=2)
 #: Tokens that two different sets share in their prefixes.
 SHARED = Layout(bits=1 << 26, buckets=64, hashes=2)
 UNIT = 500
+#: A task sends on what it holds at so many tokens (8 bytes each, several times that while they are sorted).
+FLUSH = 1_000_000
 COLUMNS = 2048
 
 
@@ -102,7 +104,7 @@ def common_tokens(docs: DataFrame, n: int, percent: int, orders: int, layout: La
                     own = np.unique(own) if orders > 1 else own
                     held.append(own)
                     size += len(own)
-                    if size > 3_000_000:
+                    if size > FLUSH:
                         yield flush()
                         size = 0
         if held:
@@ -178,7 +180,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, la
                         p = _prefix_rows(s, percent, o, held_filter)
                         tokens[o].append(p), sets[o].append(np.full(len(p), d1))
                         size += len(p)
-                    if size > 3_000_000:
+                    if size > FLUSH:
                         yield from flush()
                         size = 0
         if size:

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 _WIDE = re.compile(r"\s ")
-_KEEP = 300_000
+_KEEP = 100_000
 
 
 def vocabulary(name: str) -> str:
