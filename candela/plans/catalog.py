@@ -325,3 +325,6 @@ def universe_selection(spark, sf):
     newest = u.where("age <= 365").orderBy("age", F.desc("volume"), "s_suppkey").limit(10)
     liquid = u.join(newest.select("s_suppkey"), "s_suppkey", "left_anti").orderBy(F.desc("volume"), "s_suppkey").limit(30)
     return newest.select("s_suppkey", F.lit("new").alias("why")).unionByName(liquid.select("s_suppkey", F.lit("liquid").alias("why")))
+
+
+from candela.plans import studies  # noqa: E402,F401  (adds its queries)
