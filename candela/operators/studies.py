@@ -70,7 +70,7 @@ def disjoint_sums_ratio(bars: DataFrame, width: int = 12, count: int = 24) -> Da
     r = bars.withColumns({"s": F.sum("volume").over(w.rowsBetween(1 - width, 0)), "rn": F.row_number().over(w)})
     r = r.withColumn("old", F.sort_array(F.array(*[F.lag("s", width * k).over(w) for k in range(1, count + 1)])))
     median = (F.element_at("old", count // 2) + F.element_at("old", count // 2 + 1)) / 2
-    return r.select("symbol", "open_time_ms", F.round(F.when(F.col("rn") >= width * (count + 1), ratio(F.col("s"), median)), 8).alias("ratio"))
+    return r.select("symbol", "open_time_ms", F.when(F.col("rn") >= width * (count + 1), ratio(F.col("s"), median)).alias("ratio"))
 
 
 def history_with_fallback(items: DataFrame, history: DataFrame, least: int = 10) -> DataFrame:

@@ -86,7 +86,7 @@ def weekly_slices(spark, sf):
 
 @query(f"""WITH {BARS_1D}, s AS (SELECT symbol, open_time_ms, sum(volume) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS s, row_number() OVER {W} AS rn FROM bars),
 m AS (SELECT a.symbol, a.rn, quantile_cont(b.s, 0.5) AS med FROM s a JOIN s b ON b.symbol = a.symbol AND b.rn < a.rn AND b.rn >= a.rn - 288 AND (a.rn - b.rn) % 12 = 0 WHERE a.rn >= 300 GROUP BY ALL)
-SELECT symbol, open_time_ms, round(s / nullif(med, 0), 8) AS ratio FROM s LEFT JOIN m USING (symbol, rn)""")
+SELECT symbol, open_time_ms, s / nullif(med, 0) AS ratio FROM s LEFT JOIN m USING (symbol, rn)""")
 def disjoint_volume_ratio(spark, sf):
     return studies.disjoint_sums_ratio(src.bars_1d(spark, sf))
 
