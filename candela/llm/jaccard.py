@@ -13,7 +13,8 @@ share a prefix token under every order:
 2. sets are candidates of each other only if their labels agree under every order: the filters
    intersected. No link crosses such a block;
 3. blocks are verified exactly, by products of 0/1 matrices of sets and shared tokens. Blocks of
-   more than ``unit`` sets are salted; each pair of salts is a task of its own.
+   more than ``unit`` sets, or of that many times UNIT_TOKENS tokens, are salted; each pair of salts
+   is a task of its own.
 
 Equal sets count as one class from the start: copies are never expanded. Defined cases: null, empty
 or blank text has an empty set, links with nothing and is its own component; fewer than n words are
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import grams, mix, pieces, words
+from .arrays import grams, mix, pieces, raw, words
 from .bits import Filter, Layout, by_bucket, pack
 from .graph import components
 from .runtime import free, partitions, shared_dir, small, stored
@@ -41,6 +42,10 @@ COMMON = Layout(bits=1 << 25, buckets=64, hashes=2)
 #: Tokens that two different sets share in their prefixes.
 SHARED = Layout(bits=1 << 26, buckets=64, hashes=2)
 UNIT = 500
+#: A salt holds at most about so many tokens for each of ``unit`` sets, so blocks of long texts are cut finer.
+UNIT_TOKENS = 1000
+#: A task sends on an Arrow batch at about so many bytes.
+BATCH_BYTES = 4 << 20
 #: A task sends on what it holds at so many tokens (8 bytes each, several times that while they are sorted).
 FLUSH = 1_000_000
 COLUMNS = 2048
@@ -61,6 +66,16 @@ def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, U64)
 
 
+def runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows of about BATCH_BYTES of the string column."""
+    lo = 0
+    _, at = raw(batch.column(column))
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BATCH_BYTES, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -290,8 +305,18 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, l
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_filter, filters = Filter(layout, common.value), [Filter(shared, x) for x in shared_by_order.value]
+        names = ("o", "bucket", "tokens", "set", "n", "sketch")
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        out: list[list] = [[] for _ in names]
+        held = 0
+
+        def flush():
+            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=list(names))
+            for c in out:
+                c.clear()
+            return rows
+
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("o", "bucket", "tokens", "set", "n", "sketch")}
             for s in sets_of(batch.column(0), n):
                 if len(s):
                     own = None
@@ -301,9 +326,14 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, l
                         if len(p):
                             own = own or (_digest(s)[0], len(s), sketch(s).tobytes())
                             for k, t in by_bucket(shared.bucket(p), p):
-                                for c, v in zip(out.values(), (o, k, t.tobytes(), *own)):
+                                for c, v in zip(out, (o, k, t.tobytes(), *own)):
                                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["o"], pa.int64()), pa.array(out["bucket"], pa.int64()), pa.array(out["tokens"], pa.binary()), pa.array(out["set"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["sketch"], pa.binary())], names=list(out))
+                                held += t.nbytes + len(own[2]) + 32
+                    if held > BATCH_BYTES:
+                        yield flush()
+                        held = 0
+        if held:
+            yield flush()
 
     def tie(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches))
@@ -350,7 +380,7 @@ def links_of_units(members: DataFrame, n: int, percent: int) -> DataFrame:
     """
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs(whole, "text")):
             data = [s.tobytes() for s in sets_of(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("rows"), batch.column("units"), batch.column("salt"), pa.array(data, pa.binary())], names=["rep", "rows", "units", "salt", "tokens"])
 
@@ -402,7 +432,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int =
     layout, shared = layout.spread(partitions(spark)), SHARED.spread(partitions(spark))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     info = stored(set_digests(base, n))
-    classes = stored(info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    classes = stored(info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("n_shingles").alias("size")))
     common = spark.sparkContext.broadcast(common_tokens(base, n, percent, orders, layout))
     free(spark)
     both = spark.sparkContext.broadcast(shared_tokens(base, n, percent, orders, common, layout, shared))
@@ -417,8 +447,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int =
     block = [f"l{o}" for o in range(orders)]
     blocks = blocks.select("d1", F.xxhash64(*block).alias("b1"), F.hash(*block).cast("long").alias("b2"))
     sets = stored(classes.join(blocks, "d1"))
-    sizes = sets.groupBy("b1", "b2").agg(F.count("*").alias("sets")).where("sets > 1")
-    s = F.ceil(F.col("sets") / unit).cast("int")
+    sizes = sets.groupBy("b1", "b2").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens")).where("sets > 1")
+    s = F.ceil(F.greatest(F.col("sets") / unit, F.col("tokens") / (unit * UNIT_TOKENS))).cast("int")
     salt = F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.col("b1"), F.col("b2"), F.least("salt", j.cast("int")).alias("l"), F.greatest("salt", j.cast("int")).alias("r")))
     members = sets.join(sizes, ["b1", "b2"]).withColumn("s", s).withColumn("salt", salt).select("rep", "rows", "salt", units.alias("units"), "d1", "d2")
