@@ -80,6 +80,23 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def short(tokens: np.ndarray, layout: Layout) -> np.ndarray:
+    """32 bits of each token below those of its bucket: all that is shuffled to build a filter. Tokens
+    that agree in them count as one, so a filter may hold more tokens, never fewer."""
+    return ((tokens << U64(layout.buckets.bit_length() - 1)) >> U64(32)).astype(np.uint32)
+
+
+def filter_keys(bucket: np.ndarray | int, low: np.ndarray, layout: Layout) -> np.ndarray:
+    """The filter's 64-bit keys of tokens known by bucket and ``short``."""
+    top = 64 - (layout.buckets.bit_length() - 1)
+    low = low.astype(U64)
+    return (np.asarray(bucket).astype(U64) << U64(top)) | (mix((low << U64(32)) | low) & U64((1 << top) - 1))
+
+
+def known(held: Filter, tokens: np.ndarray) -> np.ndarray:
+    return held.maybe(filter_keys(held.layout.bucket(tokens), short(tokens, held.layout), held.layout))
+
+
 def _key(tokens: np.ndarray, order: int) -> np.ndarray:
     return tokens if order == 0 else mix(tokens + U64(order))
 
@@ -88,7 +105,7 @@ def prefix(tokens: np.ndarray, size: int, order: int, common: Filter | None) ->
     """The first ``size`` tokens in the order (common tokens last, then by hash)."""
     key = _key(tokens, order)
     if common is not None and len(tokens) > size:
-        last = common.maybe(tokens)
+        last = known(common, tokens)
         rare = tokens[~last]
         if len(rare) >= size:
             key = key[~last]
@@ -108,7 +125,7 @@ def common_tokens(docs: DataFrame, n: int, percent: int, orders: int, layout: La
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             return pa.RecordBatch.from_pylist(
-                [{"bucket": b, "keys": k.tobytes(), "counts": np.minimum(c, 255).astype(np.uint8).tobytes()} for b, k, c in by_bucket(layout.bucket(keys), keys, count)],
+                [{"bucket": b, "keys": short(k, layout).tobytes(), "counts": np.minimum(c, 255).astype(np.uint8).tobytes()} for b, k, c in by_bucket(layout.bucket(keys), keys, count)],
                 schema=pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
         for batch in batches:
@@ -128,7 +145,7 @@ def common_tokens(docs: DataFrame, n: int, percent: int, orders: int, layout: La
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for b in batches:
-            keys += [np.frombuffer(x, U64) for x in b.column("keys").to_pylist()]
+            keys += [np.frombuffer(x, np.uint32) for x in b.column("keys").to_pylist()]
             counts += [np.frombuffer(x, np.uint8) for x in b.column("counts").to_pylist()]
         keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
         order = np.argsort(keys, kind="stable")
@@ -136,7 +153,7 @@ def common_tokens(docs: DataFrame, n: int, percent: int, orders: int, layout: La
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys = keys[start][np.add.reduceat(counts, start) > POPULAR]
         bits = np.zeros(layout.span, bool)
-        bits[layout.places(keys).ravel().astype(np.int64)] = True
+        bits[layout.places(filter_keys(key[0].as_py(), keys, layout)).ravel().astype(np.int64)] = True
         yield pa.RecordBatch.from_pylist([{"bucket": key[0].as_py(), "bits": pack(bits)}], schema=pa.schema([("bucket", pa.int64()), ("bits", pa.binary())]))
 
     parts = docs.select("text").mapInArrow(local, "bucket long, keys binary, counts binary")
@@ -184,7 +201,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, la
                 # a token's first set, and whether this task knows another one
                 more = np.add.reduceat(np.concatenate([[0], (s[1:] != s[:-1]) & ~fresh[1:]]), start) > 0
                 yield pa.RecordBatch.from_pylist(
-                    [{"o": o, "bucket": b, "tokens": x.tobytes(), "sets": y.tobytes(), "more": m.tobytes()} for b, x, y, m in by_bucket(shared.bucket(t[start]), t[start], s[start].astype(np.int32), more)],
+                    [{"o": o, "bucket": b, "tokens": short(x, shared).tobytes(), "sets": y.tobytes(), "more": m.tobytes()} for b, x, y, m in by_bucket(shared.bucket(t[start]), t[start], s[start].astype(np.int32), more)],
                     schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.binary()), ("sets", pa.binary()), ("more", pa.binary())]))
 
         for batch in batches:
@@ -204,7 +221,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, la
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, s, m = [], [], []
         for b in batches:
-            t += [np.frombuffer(x, U64) for x in b.column("tokens").to_pylist()]
+            t += [np.frombuffer(x, np.uint32) for x in b.column("tokens").to_pylist()]
             s += [np.frombuffer(x, np.int32) for x in b.column("sets").to_pylist()]  # 32 bits of the set's digest
             m += [np.frombuffer(x, bool) for x in b.column("more").to_pylist()]
         t, s, m = np.concatenate(t), np.concatenate(s), np.concatenate(m)
@@ -215,7 +232,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, la
         # two sets whose 32 bits agree would be missed: count those that two tasks sent as shared too
         two |= np.diff(np.append(start, len(t))) > 1
         bits = np.zeros(shared.span, bool)
-        bits[shared.places(t[start][two]).ravel().astype(np.int64)] = True
+        bits[shared.places(filter_keys(key[1].as_py(), t[start][two], shared)).ravel().astype(np.int64)] = True
         yield pa.RecordBatch.from_pylist([{"o": key[0].as_py(), "bucket": key[1].as_py(), "bits": pack(bits)}], schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
     parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, sets binary, more binary")
@@ -322,7 +339,7 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, l
                     own = None
                     for o in range(orders):
                         p = _prefix_rows(s, percent, o, common_filter)
-                        p = np.sort(p[filters[o].maybe(p)])
+                        p = np.sort(p[known(filters[o], p)])
                         if len(p):
                             own = own or (_digest(s)[0], len(s), sketch(s).tobytes())
                             for k, t in by_bucket(shared.bucket(p), p):
