@@ -47,12 +47,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def free(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of finished plans now rather than at its next collection.
 
-    Twice: the first round releases Python's handles, the second what they held in the JVM.
+    Several rounds: the first releases Python's handles, the next what they held in the JVM; files
+    go a little later, by Spark's own cleaner.
     """
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(1)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
