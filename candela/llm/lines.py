@@ -177,8 +177,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
 
 def _with_own_drops(docs: DataFrame, drop: DataFrame, names: list[str]) -> DataFrame:
     """Beyond the broadcast bound: each text is joined with the dropped keys it holds."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(
-        "doc_id", "tag", F.translate(F.expr(r"btrim(line, ' \t\n\u000b\f\r')"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("key")).distinct()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key = [], []
+            for i, text in enumerate(text_bytes(batch.column("text"))):
+                own = set(keys_of(text))
+                row += [i] * len(own)
+                key += own
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(key, pa.binary()).cast(pa.string())], names=["doc_id", "tag", "key"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    lines = rows.mapInArrow(keyed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, key string").distinct()
     own = lines.join(drop, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "first_doc", "first_line")).alias("drops"))
     own = own.withColumnsRenamed({"doc_id": "o_doc", "tag": "o_tag", "drops": "o_drops"})
     left = docs.select(F.struct(*(F.col(c) for c in names)).alias("d")).withColumn("tag", F.xxhash64("d.text"))

@@ -43,6 +43,17 @@ def test_lines_full_filter_and_join_path(docs, monkeypatch):
     assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.kept_text)) for r in got.collect()} == brute_lines(rows, 2)
 
 
+def test_lines_join_path_trims_as_the_other(spark, monkeypatch):
+    line = ["for the staff", "\x0cform feed\x0c", "f", "\x0b v \x0c\r", "\xa0no break\xa0", "OFF", "off\x0c"]
+    rows = [(1, "\n".join(line)), (2, "\n".join(reversed(line))), (3, "or the sta\nform feed\nff"), (4, "own\x0c\nFOR THE STAFF"), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows, 2)
+    assert (want[1], want[3][1], want[4][1]) == ((7, 7, sha("")), 1, 1)
+    for bound in (lines.BROADCAST_ROWS, 1):
+        monkeypatch.setattr(lines, "BROADCAST_ROWS", bound)
+        assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.digests(d, 2).collect()} == want, bound
+
+
 def test_lines_first_stays(spark):
     d = spark.createDataFrame([(2, "A\nx"), (1, "y\na \nA"), (3, "a")], "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in lines.dedup_lines(d, 2, keep_first=True).collect()}
