@@ -6,6 +6,11 @@ dates, repeats, keyboard walks and brute-force stretches still takes at least ``
 guesses, and no base span covers it. Cost of a segmentation: the product of its parts' guesses
 times the factorial of their number; the minimum is found by dynamic programming over end positions.
 
+A value that is itself a keyword ("Authorization: Bearer ...", "password: secret: ...") is read as the next
+context. Values of letters only are judged like others after : = and =>; after "is" and a bare "Bearer"
+they are taken for prose and skipped. Keywords inside a longer run of letters (dbpassword) and
+keywords followed by more of the name (secret_id) are no contexts.
+
 Positions are code points, end exclusive. Defined cases: null and empty texts have no spans; base
 spans stay whatever their cost; values longer than ``MAX_SEGMENT`` are segmented whole, only single
 word, date and walk segments are bounded by it (repeats are not).
@@ -29,11 +34,13 @@ HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 MIN_ASSIGN = 12
 KINDS = ("assign", "access", "hex", "guess")
 
-# Contexts of the method.
+# Contexts of the method. A keyword may follow _ or - (DB_PASSWORD), not a letter or digit.
+KEYWORD = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|login|pin)"
 CONTEXT = re.compile(
-    r"""(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|login|pin))["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?([^\s"'<>|]{4,})""",
+    rf"""(?<![A-Za-z0-9])(?:{KEYWORD}["']?\x20*([:=]|=>|\bis\b)\x20*|(?i:bearer)\x20+)["']?([^\s"'<>|]{{4,}})""",
     re.ASCII,
 )
+WORD = re.compile(KEYWORD, re.ASCII)
 HINT = re.compile(r"(?i:pass|pwd|secret|token|credential|auth|bearer|key|login|pin)", re.ASCII)
 
 # Common words of passwords, most common first.
@@ -146,14 +153,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def method_spans(text: str, base: list[tuple[int, int, int]], min_log10: float) -> list[tuple[int, int, int]]:
     """Values of credential contexts that take many guesses and that no base span covers."""
-    out = []
+    out, at, led = [], 0, None
     if HINT.search(text):
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)")
-            if len(value) < 4 or any(s <= m.start(1) and m.start(1) + len(value) <= e for s, _, e in base):
+        while m := CONTEXT.search(text, at):
+            sep = m[1] or (led if m.start() == at else None)
+            at, led = m.end(), None
+            value = m[2].rstrip(".,;:!?)")
+            if WORD.fullmatch(value.rstrip("=:")):
+                at, led = m.start(2), sep
+                continue
+            if len(value) < 4 or any(s <= m.start(2) and m.start(2) + len(value) <= e for s, _, e in base):
                 continue
-            if any(c.isdigit() or not c.isalnum() for c in value) and guess_log10(value) >= min_log10:
-                out.append((m.start(1), 3, m.start(1) + len(value)))
+            plain = sep in (None, "is") and not any(c.isdigit() or not c.isalnum() for c in value)
+            if not plain and guess_log10(value) >= min_log10:
+                out.append((m.start(2), 3, m.start(2) + len(value)))
     return out
 
 

@@ -82,6 +82,21 @@ def test_secrets(spark, no_docs):
     assert secrets.scan_secrets(no_docs).collect() == []
 
 
+def test_secrets_in_more_contexts():
+    def found(text):
+        return [text[s:e] for s, _, e in secrets.method_spans(text, secrets.base_spans(text), 8.0)]
+
+    for text, value in (
+        ("DB_PASSWORD=Tr0ub4dor&3xQ!", "Tr0ub4dor&3xQ"), ("client_secret: k9#Vz!p2$Lq8", "k9#Vz!p2$Lq8"), ("mysql_pwd=Zx9!kQ2#vB7", "Zx9!kQ2#vB7"),
+        ('{"x-auth-token": "k9#Vz!p2$Lq8"}', "k9#Vz!p2$Lq8"), ("Authorization: Bearer Zx9kQ2vB7mN4tR8s", "Zx9kQ2vB7mN4tR8s"),
+        ('-H "authorization: bearer zxkqvbmntrws"', "zxkqvbmntrws"), ("use Bearer Zx9kQ2vB7mN4tR8s.", "Zx9kQ2vB7mN4tR8s"), ("Bearer token: k9#Vz!p2$Lq8", "k9#Vz!p2$Lq8"),
+        ("pwd=xkqvbnmzplw", "xkqvbnmzplw"), ("pwd => xkqvbnmzplw", "xkqvbnmzplw"), ("password: secret: xkqvbnmzplw", "xkqvbnmzplw"),
+        ("the password is xkqvbnmzplw", None), ("the bearer carried everything", None), ("Authorization: Bearer", None), ("pwd=passwordpassword", None),
+        ("compass: Zx9kQ2vB7mN4", None)):
+        assert found(text) == ([value] if value else []), text
+    assert found("password: " * 50_000) == []  # restarts stay linear
+
+
 def test_guess_cost():
     cost = secrets.guess_log10
     assert cost("password") < 1 < cost("p@ssw0rd1999") < cost("x9$kQ2!mWz7")
