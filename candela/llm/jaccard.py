@@ -393,13 +393,14 @@ def links_of_units(members: DataFrame, n: int, percent: int) -> DataFrame:
     """(rep, links, root): for each unit and set in it, the number of rows linked to the set inside the
     unit and the smallest set of its component there. One row per set and unit.
 
-    ``members``: unit, left and right salt, rep, own salt, class size, text.
+    ``members``: rep, class size, block, own salt and number of salts, text. Each set goes to one unit
+    for each salt of its block; that list is built here, after the texts are there.
     """
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in runs(whole, "text")):
             data = [s.tobytes() for s in sets_of(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("rows"), batch.column("units"), batch.column("salt"), pa.array(data, pa.binary())], names=["rep", "rows", "units", "salt", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(batch.column(c) for c in ("rows", "b1", "b2", "salt", "s")), pa.array(data, pa.binary())], names=["rep", "rows", "b1", "b2", "salt", "s", "tokens"])
 
     def verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches))
@@ -437,8 +438,8 @@ def links_of_units(members: DataFrame, n: int, percent: int) -> DataFrame:
                     root[front] = i
         yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(count), pa.array(rep[root])], names=["rep", "links", "root"])
 
-    made = members.select("rep", "rows", "units", "salt", "text").mapInArrow(to_sets, "rep long, rows long, units array<struct<b1:long,b2:long,l:int,r:int>>, salt int, tokens binary")
-    each = made.select("rep", "rows", "salt", "tokens", F.explode("units").alias("u")).select("rep", "rows", "salt", "tokens", "u.*")
+    made = members.select("rep", "rows", "b1", "b2", "salt", "s", "text").mapInArrow(to_sets, "rep long, rows long, b1 long, b2 long, salt int, s int, tokens binary")
+    each = made.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("rep", "rows", "salt", "tokens", "b1", "b2", F.least("salt", "j").alias("l"), F.greatest("salt", "j").alias("r"))
     return each.groupBy("b1", "b2", "l", "r").applyInArrow(verify, "rep long, links long, root long")
 
 
@@ -467,13 +468,12 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int =
     sizes = sets.groupBy("b1", "b2").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens")).where("sets > 1")
     s = F.ceil(F.greatest(F.col("sets") / unit, F.col("tokens") / (unit * UNIT_TOKENS))).cast("int")
     salt = F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")
-    units = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.col("b1"), F.col("b2"), F.least("salt", j.cast("int")).alias("l"), F.greatest("salt", j.cast("int")).alias("r")))
-    members = sets.join(sizes, ["b1", "b2"]).withColumn("s", s).withColumn("salt", salt).select("rep", "rows", "salt", units.alias("units"), "d1", "d2")
+    members = sets.join(sizes, ["b1", "b2"]).withColumn("s", s).withColumn("salt", salt).select("rep", "rows", "b1", "b2", "salt", "s", "d1", "d2")
     members = stored(members)
-    # rows with the representative's id and set (repeated ids may hold other texts)
-    firsts = stored(members.join(info, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep"), "rows", "salt", "units").dropDuplicates(["rep"]))
+    # rows with the representative's id and set (repeated ids may hold other texts); 40 bytes each, however large the block
+    firsts = stored(members.join(info, ["d1", "d2"]).where("doc_id = rep").select("rep", "rows", "b1", "b2", "salt", "s").dropDuplicates(["rep"]))
     texts = base.join(small(firsts), base.doc_id == firsts.rep)
-    found = stored(links_of_units(texts.select("rep", "rows", "salt", "units", "text"), n, percent))
+    found = stored(links_of_units(texts.select("rep", "rows", "b1", "b2", "salt", "s", "text"), n, percent))
     label = components(found.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = classes.join(links, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")

@@ -29,6 +29,8 @@ from .runtime import BROADCAST_ROWS, partitions, shared_dir, stored
 
 LAYOUT = Layout(bits=1 << 26, buckets=64, hashes=2)
 NEWLINE = b"\n"
+#: Dropped keys of at most so many bytes together are broadcast (the driver holds them too).
+BROADCAST_BYTES = 32 << 20
 
 
 def keys_of(text: bytes) -> list[bytes]:
@@ -136,14 +138,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
     """The rows with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
 
     Lines whose key is found in at least ``min_docs`` documents go, all of them or all but the first
-    occurrence. The dropped keys travel by broadcast if there are few, else by a join.
+    occurrence. The dropped keys travel by broadcast if they are few and short, else by a join.
     """
     spark = docs.sparkSession
     drop = stored(repeated_lines(docs, min_docs, min_chars, layout))
-    some = drop.limit(BROADCAST_ROWS + 1).count()
+    some, size = drop.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     docs = docs.select(*names)
-    if some <= BROADCAST_ROWS:
+    if some <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         table = {r["key"].encode(): (r["first_doc"], r["first_line"]) for r in drop.collect()}
         known = spark.sparkContext.broadcast(table)
         fed = docs.select(F.struct("doc_id", "text").alias("in"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(names)))

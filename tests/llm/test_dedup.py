@@ -54,6 +54,17 @@ def test_lines_join_path_trims_as_the_other(spark, monkeypatch):
         assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.digests(d, 2).collect()} == want, bound
 
 
+def test_lines_long_keys_are_joined(spark, monkeypatch):
+    rows = [(1, "x" * 500 + "\nown"), (2, "a\n" + "x" * 500), (3, "A\nyes")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    joined, join = [], lines._with_own_drops
+    monkeypatch.setattr(lines, "_with_own_drops", lambda *a: joined.append(1) or join(*a))
+    for bound in (501, 500):  # the repeated keys have 501 bytes
+        monkeypatch.setattr(lines, "BROADCAST_BYTES", bound)
+        assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.digests(d, 2).collect()} == brute_lines(rows, 2)
+        assert len(joined) == (bound == 500)
+
+
 def test_lines_first_stays(spark):
     d = spark.createDataFrame([(2, "A\nx"), (1, "y\na \nA"), (3, "a")], "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in lines.dedup_lines(d, 2, keep_first=True).collect()}
@@ -137,6 +148,16 @@ def test_groups(docs, no_docs):
     assert jaccard.similar_groups(no_docs).collect() == []
 
 
+def test_broadcast_rows_do_not_grow_with_the_block(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:40], f"own{i}", *base[40:]])) for i in range(30)]
+    narrow, small = [], jaccard.small
+    monkeypatch.setattr(jaccard, "small", lambda df: narrow.append(df.dtypes) or small(df))
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, unit=3)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute_groups(rows, 2, 80)
+    assert narrow and all(kind in ("int", "bigint") for _, kind in narrow[0])
+
+
 def test_one_of_each(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = {d for d, (_, c, _) in brute_groups(rows, 5, 80).items() if c == d}
