@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Tokenisers and iterated components have no SQL form; the tests hold run() against brute force.
+#: Tokenisers and iterated components have no SQL form. No test holds run() against brute force yet.
 ORACLE_SQL = None
 
 
