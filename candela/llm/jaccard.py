@@ -6,34 +6,40 @@ whatever global order of tokens is taken. Two orders are used; in both, tokens t
 have come last (a fixed-size filter knows them), the others by one of two hashes. Candidates must
 share a prefix token under every order:
 
-1. for each order, tokens that two sets share in their prefixes are found first; only those sets
-   then meet at the token, with their sizes and parity sketches, which tell for most pairs that they
-   cannot be similar (never the other way). What remains is tied together, at most one tie for each
-   set and bucket, never all pairs, and components of these ties are labelled;
-2. sets are candidates of each other only if their labels agree under every order: the filters
-   intersected. No link crosses such a block;
+1. for each order, the (token, size class) pairs that two different sets have in their prefixes are
+   found first: only sets of the same or the next size class can be similar. A set that has none of
+   them under some order is no candidate of any set and goes no further;
+2. the rest meet at their tokens of the first order, with their sizes, parity sketches and one
+   signature of their tokens for each other order. A pair is a candidate only if it shares a token under the
+   first order, its signatures meet under every other one (the filters intersected, pair by pair), and sizes
+   and sketches allow similarity (never wrongly denied). Groups of up to POPULAR sets form their pairs; larger ones
+   are tied together, each set compared only with those not reached yet. One tie for each set and bucket
+   leaves the task, never all pairs; components of the ties are blocks that no link crosses;
 3. blocks are verified exactly, by products of 0/1 matrices of sets and shared tokens. Blocks of
    more than ``unit`` sets, or of that many times UNIT_TOKENS tokens, are salted; each pair of salts
    is a task of its own.
 
-Equal sets count as one class from the start: copies are never expanded. Defined cases: null, empty
-or blank text has an empty set, links with nothing and is its own component; fewer than n words are
-one shingle, the whole sequence; rows with equal ``doc_id`` are separate rows with the same id.
+Equal sets count as one class from the start: copies are never expanded. Classes are known by their sets'
+digests throughout; ids come in at the end. Defined cases: null, empty or blank text has an empty set, links with
+nothing and is its own component; fewer than n words are one shingle, the whole sequence; rows with equal or null
+``doc_id`` are separate rows, linked by their texts like any others; a class or component of null ids only has a null
+id. Other columns are ignored; ``one_of_each`` passes them on, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import grams, mix, pieces, raw, words
 from .bits import Filter, Layout, by_bucket, pack
 from .graph import components
-from .runtime import free, partitions, shared_dir, small, stored
+from .runtime import partitions, shared_dir, small, stored
 
 U64 = np.uint64
 #: Tokens in more prefixes than this come last in every order.
@@ -49,6 +55,8 @@ BATCH_BYTES = 4 << 20
 #: A task sends on what it holds at so many tokens (8 bytes each, several times that while they are sorted).
 FLUSH = 1_000_000
 COLUMNS = 2048
+#: Bits of a set's signature of its prefix tokens under an order.
+SIGN = 256
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -86,15 +94,21 @@ def short(tokens: np.ndarray, layout: Layout) -> np.ndarray:
     return ((tokens << U64(layout.buckets.bit_length() - 1)) >> U64(32)).astype(np.uint32)
 
 
-def filter_keys(bucket: np.ndarray | int, low: np.ndarray, layout: Layout) -> np.ndarray:
-    """The filter's 64-bit keys of tokens known by bucket and ``short``."""
+def filter_keys(bucket: np.ndarray | int, low: np.ndarray, layout: Layout, level: np.ndarray | int = 0) -> np.ndarray:
+    """The filter's 64-bit keys of tokens known by bucket and ``short``, and of a size class if given."""
     top = 64 - (layout.buckets.bit_length() - 1)
     low = low.astype(U64)
-    return (np.asarray(bucket).astype(U64) << U64(top)) | (mix((low << U64(32)) | low) & U64((1 << top) - 1))
+    own = ((low << U64(32)) | low) + np.asarray(level).astype(U64) * U64(0x9E3779B97F4A7C15)
+    return (np.asarray(bucket).astype(U64) << U64(top)) | (mix(own) & U64((1 << top) - 1))
 
 
-def known(held: Filter, tokens: np.ndarray) -> np.ndarray:
-    return held.maybe(filter_keys(held.layout.bucket(tokens), short(tokens, held.layout), held.layout))
+def known(held: Filter, tokens: np.ndarray, level: int = 0) -> np.ndarray:
+    return held.maybe(filter_keys(held.layout.bucket(tokens), short(tokens, held.layout), held.layout, level))
+
+
+def size_class(n: int, percent: int) -> int:
+    """Sets whose sizes allow similarity lie in the same or neighbouring classes (from 1)."""
+    return 1 + int(math.log(n) / max(math.log(100 / percent) * 1.000001, 0.001))
 
 
 def _key(tokens: np.ndarray, order: int) -> np.ndarray:
@@ -161,15 +175,31 @@ def common_tokens(docs: DataFrame, n: int, percent: int, orders: int, layout: La
 
 
 def set_digests(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest (d1, d2) of each text's set."""
+    """doc_id, tag, n_shingles and a 128-bit digest (d1, d2) of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), *_digest(s)) for s in sets_of(batch.column("text"), n)]
             size, d1, d2 = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "tag", "n_shingles", "d1", "d2"])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, n_shingles long, d1 long, d2 long")
+
+
+class Seen:
+    """The digests of the sets that a task has met lately: a copy's second set is skipped. Bounded; an
+    overflow only lets copies through, which count as one set later on."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.held = most, set()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    def new(self, digest: int) -> bool:
+        if digest in self.held:
+            return False
+        if len(self.held) >= self.most:
+            self.held.clear()
+        self.held.add(digest)
+        return True
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -183,34 +213,39 @@ def _prefix_rows(s: np.ndarray, percent: int, order: int, common: Filter) -> np.
 
 
 def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, layout: Layout, shared: Layout) -> list[dict[int, bytes]]:
-    """For each order, filter segments of the tokens that two different sets have in their prefixes."""
+    """For each order, filter segments of the (token, size class) pairs of sets that have the token in their
+    prefix, as another set of that or a neighbouring class does."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_filter = Filter(layout, common.value)
-        tokens, sets, size = [[] for _ in range(orders)], [[] for _ in range(orders)], 0
+        held_filter, seen = Filter(layout, common.value), Seen()
+        tokens, sets, size = [[] for _ in range(orders)], [], 0
+        names = ("o", "bucket", "tokens", "levels", "sets", "more")
+        kinds = pa.schema([(c, pa.int64() if c in ("o", "bucket") else pa.binary()) for c in names])
 
         def flush():
+            own = np.array(sets, np.int64).reshape(-1, 2)
             for o in range(orders):
-                t, s = np.concatenate(tokens[o]), np.concatenate(sets[o])
-                tokens[o].clear(), sets[o].clear()
-                order = np.lexsort((s, t))
-                t, s = t[order], s[order]
+                t, at = np.concatenate(tokens[o]), np.repeat(np.arange(len(own)), [len(x) for x in tokens[o]])
+                tokens[o].clear()
+                lv, d = own[at, 0], own[at, 1]
+                order = np.lexsort((d, lv, t))
+                t, lv, d = t[order], lv[order], d[order]
                 fresh = np.ones(len(t), bool)
-                fresh[1:] = t[1:] != t[:-1]
+                fresh[1:] = (t[1:] != t[:-1]) | (lv[1:] != lv[:-1])
                 start = np.flatnonzero(fresh)
-                # a token's first set, and whether this task knows another one
-                more = np.add.reduceat(np.concatenate([[0], (s[1:] != s[:-1]) & ~fresh[1:]]), start) > 0
+                # a pair's first set, and whether this task knows another one
+                more = np.add.reduceat(np.concatenate([[0], (d[1:] != d[:-1]) & ~fresh[1:]]), start) > 0
+                t, lv, d = t[start], lv[start].astype(np.uint16), d[start]
                 yield pa.RecordBatch.from_pylist(
-                    [{"o": o, "bucket": b, "tokens": short(x, shared).tobytes(), "sets": y.tobytes(), "more": m.tobytes()} for b, x, y, m in by_bucket(shared.bucket(t[start]), t[start], s[start].astype(np.int32), more)],
-                    schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("tokens", pa.binary()), ("sets", pa.binary()), ("more", pa.binary())]))
+                    [{"o": o, "bucket": b, "tokens": short(x, shared).tobytes(), "levels": y.tobytes(), "sets": z.tobytes(), "more": m.tobytes()} for b, x, y, z, m in by_bucket(shared.bucket(t), t, lv, d, more)], schema=kinds)
+            sets.clear()
 
         for batch in batches:
             for s in sets_of(batch.column(0), n):
-                if len(s):
-                    d1 = np.int64(_digest(s)[0])
+                if len(s) and seen.new(d1 := _digest(s)[0]):
+                    sets.append((size_class(len(s), percent), d1))
                     for o in range(orders):
-                        p = _prefix_rows(s, percent, o, held_filter)
-                        tokens[o].append(p), sets[o].append(np.full(len(p), d1))
+                        tokens[o].append(p := _prefix_rows(s, percent, o, held_filter))
                         size += len(p)
                     if size > FLUSH:
                         yield from flush()
@@ -219,23 +254,24 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, orders: int, common, la
             yield from flush()
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, s, m = [], [], []
+        cols = [[], [], [], []]
         for b in batches:
-            t += [np.frombuffer(x, np.uint32) for x in b.column("tokens").to_pylist()]
-            s += [np.frombuffer(x, np.int32) for x in b.column("sets").to_pylist()]  # 32 bits of the set's digest
-            m += [np.frombuffer(x, bool) for x in b.column("more").to_pylist()]
-        t, s, m = np.concatenate(t), np.concatenate(s), np.concatenate(m)
-        order = np.argsort(t, kind="stable")
-        t, s, m = t[order], s[order], m[order]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        two = np.logical_or.reduceat(m, start) | (np.minimum.reduceat(s, start) != np.maximum.reduceat(s, start))
-        # two sets whose 32 bits agree would be missed: count those that two tasks sent as shared too
-        two |= np.diff(np.append(start, len(t))) > 1
+            for c, name, kind in zip(cols, ("tokens", "levels", "sets", "more"), (np.uint32, np.uint16, np.int64, bool)):
+                c += [np.frombuffer(x, kind) for x in b.column(name).to_pylist()]
+        t, lv, d, more = (np.concatenate(c) for c in cols)
+        order = np.lexsort((lv, t))
+        t, lv, d, more = t[order], lv[order].astype(np.int64), d[order], more[order]
+        start = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (lv[1:] != lv[:-1])]))
+        two = np.logical_or.reduceat(more, start) | (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start))
+        t, lv = t[start], lv[start]
+        beside = (t[1:] == t[:-1]) & (lv[1:] == lv[:-1] + 1)  # sets of different classes are different sets
+        two[1:] |= beside
+        two[:-1] |= beside
         bits = np.zeros(shared.span, bool)
-        bits[shared.places(filter_keys(key[1].as_py(), t[start][two], shared)).ravel().astype(np.int64)] = True
+        bits[shared.places(filter_keys(key[1].as_py(), t[two], shared, lv[two])).ravel().astype(np.int64)] = True
         yield pa.RecordBatch.from_pylist([{"o": key[0].as_py(), "bucket": key[1].as_py(), "bits": pack(bits)}], schema=pa.schema([("o", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
-    parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, sets binary, more binary")
+    parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, levels binary, sets binary, more binary")
     out: list[dict[int, bytes]] = [{} for _ in range(orders)]
     for r in parts.groupBy("o", "bucket").applyInArrow(merge, "o long, bucket long, bits binary").collect():
         out[r["o"]][r["bucket"]] = bytes(r["bits"])
@@ -255,11 +291,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little")
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A filter of SIGN bits of a few tokens: those of sets that share one have a bit in common."""
+    bits = np.zeros(SIGN, bool)
+    bits[(mix(tokens) >> U64(20)).astype(np.int64) % SIGN] = True
+    return np.packbits(bits).view(U64)
+
+
 class Sketches:
-    """Sketches of many sets, by level."""
+    """Sizes, sketches (by level) and the other orders' signatures of many sets."""
 
-    def __init__(self, sizes: np.ndarray, data: list[bytes], percent: int):
-        self.sizes, self.percent = sizes.astype(np.int64), percent
+    def __init__(self, sizes: np.ndarray, data: list[bytes], signs: np.ndarray, percent: int):
+        self.sizes, self.signs, self.percent = sizes.astype(np.int64), signs, percent
         self.level = np.array([sketch_level(n) for n in sizes])
         self.row = np.zeros(len(sizes), np.int64)
         self.of: dict[int, np.ndarray] = {}
@@ -272,6 +315,9 @@ class Sketches:
         """For pairs: can the two sets be similar? Never false for sets that are."""
         na, nb = self.sizes[a], self.sizes[b]
         out = 100 * np.minimum(na, nb) >= self.percent * np.maximum(na, nb)
+        todo = np.flatnonzero(out)
+        for at in np.array_split(todo, max(1, len(todo) // 20_000)):  # the other orders' prefixes must meet as well
+            out[at] = (self.signs[a[at]] & self.signs[b[at]]).any(2).all(1)
         most = (100 - self.percent) * (na + nb) // (100 + self.percent)
         todo = np.flatnonzero(out)
         la, lb = self.level[a[todo]], self.level[b[todo]]
@@ -317,48 +363,67 @@ def _spread(members: np.ndarray, sk: Sketches) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, layout: Layout, shared_by_order, shared: Layout) -> DataFrame:
-    """(o, a, b): ties (first digests of two sets) that connect whatever sets share a prefix token
-    under order ``o`` and may be similar by size and sketch. At most one tie for each set and bucket."""
+    """(a, b): ties (first digests of two sets) that connect whatever sets share a prefix token under the first
+    order, may share one under every other order, and may be similar by size and sketch. At most one tie for each
+    set and bucket of tokens."""
+    wide = SIGN // 64 * (orders - 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common_filter, filters = Filter(layout, common.value), [Filter(shared, x) for x in shared_by_order.value]
-        names = ("o", "bucket", "tokens", "set", "n", "sketch")
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        out: list[list] = [[] for _ in names]
-        held = 0
+        common_filter, filters, seen = Filter(layout, common.value), [Filter(shared, x) for x in shared_by_order.value], Seen()
+        names = ("bucket", "tokens", "counts", "sets", "sizes", "signs", "sketches")
+        kinds = pa.schema([(c, pa.int64() if c == "bucket" else pa.binary()) for c in names])
+        tokens, about, signs, sketches = [], [], [], []
 
         def flush():
-            rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=list(names))
-            for c in out:
+            t, at = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            own, sign = np.array(about, np.int64), np.array(signs, U64).reshape(len(tokens), wide)
+            bucket = shared.bucket(t)
+            order = np.argsort(bucket, kind="stable")  # a set's tokens of one bucket stay together
+            t, at, bucket = short(t[order], shared), at[order], bucket[order]
+            start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (at[1:] != at[:-1])]))
+            count = np.diff(np.append(start, len(t))).astype(np.uint32)
+            where = np.append(start, len(t))
+            rows = []
+            for b, i in by_bucket(bucket[start], np.arange(len(start))):
+                who = at[start[i]]
+                rows.append({"bucket": b, "tokens": t[where[i[0]] : where[i[-1] + 1]].tobytes(), "counts": count[i].tobytes(), "sets": own[who, 0].tobytes(), "sizes": own[who, 1].tobytes(),
+                             "signs": sign[who].tobytes(), "sketches": b"".join([sketches[k] for k in who.tolist()])})
+            for c in (tokens, about, signs, sketches):
                 c.clear()
-            return rows
+            return pa.RecordBatch.from_pylist(rows, schema=kinds)
 
+        size = 0
         for batch in batches:
             for s in sets_of(batch.column(0), n):
-                if len(s):
-                    own = None
-                    for o in range(orders):
-                        p = _prefix_rows(s, percent, o, common_filter)
-                        p = np.sort(p[known(filters[o], p)])
-                        if len(p):
-                            own = own or (_digest(s)[0], len(s), sketch(s).tobytes())
-                            for k, t in by_bucket(shared.bucket(p), p):
-                                for c, v in zip(out, (o, k, t.tobytes(), *own)):
-                                    c.append(v)
-                                held += t.nbytes + len(own[2]) + 32
-                    if held > BATCH_BYTES:
+                if not len(s) or not seen.new(d1 := _digest(s)[0]):
+                    continue
+                level, met = size_class(len(s), percent), []
+                for o in range(orders):
+                    p = _prefix_rows(s, percent, o, common_filter)
+                    met.append(p := p[known(filters[o], p, level)])
+                    if not len(p):
+                        break
+                else:
+                    tokens.append(np.sort(met[0])), about.append((d1, len(s))), sketches.append(sketch(s).tobytes())
+                    signs.append(np.concatenate([signature(p) for p in met[1:]]) if wide else ())
+                    size += len(met[0]) * (len(sketches[-1]) + 8 * wide + 24)
+                    if size > BATCH_BYTES:
                         yield flush()
-                        held = 0
-        if held:
+                        size = 0
+        if size:
             yield flush()
 
     def tie(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches))
-        ids, first, row = np.unique(whole.column("set").to_numpy(), return_index=True, return_inverse=True)
-        data = whole.column("sketch").to_pylist()
-        sk = Sketches(whole.column("n").to_numpy()[first], [data[i] for i in first], percent)
-        parts = [np.frombuffer(x, U64) for x in whole.column("tokens").to_pylist()]
-        t, s = np.concatenate(parts), np.repeat(row, [len(x) for x in parts])
+        cols = {c: [] for c in ("tokens", "counts", "sets", "sizes", "signs", "sketches")}
+        for batch in batches:
+            for c, kind in zip(cols, (np.uint32, np.uint32, np.int64, np.int64, U64, np.uint8)):
+                cols[c] += [np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]
+        parts, count, sets, size, sign, data = (np.concatenate(c) for c in cols.values())
+        ids, first, row = np.unique(sets, return_index=True, return_inverse=True)
+        ends = np.cumsum([(1 << sketch_level(x)) // 8 for x in size.tolist()])
+        begins = np.concatenate([[0], ends[:-1]])
+        sk = Sketches(size[first], [data[begins[i] : ends[i]].tobytes() for i in first], sign.reshape(len(sets), orders - 1, -1)[first] if wide else np.ones((len(ids), 1, 1), U64), percent)
+        t, s = parts, np.repeat(row, count)
         order = np.lexsort((s, t))
         t, s = t[order], s[order]
         keep = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
@@ -375,39 +440,41 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, orders: int, common, l
         a, b = code // len(ids), code % len(ids)
         good = sk.close(a, b)
         root = _roots(len(ids), a[good], b[good])
-        seen = set()
+        done = set()
         for lo, g in zip(start[size > POPULAR], size[size > POPULAR]):
             members = s[lo : lo + g]
-            if (same := members.tobytes()) not in seen:
-                seen.add(same)
+            if (same := members.tobytes()) not in done:
+                done.add(same)
                 x, y = _spread(members, sk)
                 root = _roots(len(ids), np.concatenate([np.arange(len(ids)), x]), np.concatenate([root, y]))
         other = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), key[0].as_py())), pa.array(ids[root[other]]), pa.array(ids[other])], names=["o", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root[other]]), pa.array(ids[other])], names=["a", "b"])
 
-    parts = docs.select("text").mapInArrow(local, "o long, bucket long, tokens binary, set long, n long, sketch binary")
-    return parts.groupBy("o", "bucket").applyInArrow(tie, "o long, a long, b long").distinct()
+    parts = docs.select("text").mapInArrow(local, "bucket long, tokens binary, counts binary, sets binary, sizes binary, signs binary, sketches binary")
+    return parts.groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
 
 
 def links_of_units(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(rep, links, root): for each unit and set in it, the number of rows linked to the set inside the
+    """(d1, links, root): for each unit and set in it, the number of rows linked to the set inside the
     unit and the smallest set of its component there. One row per set and unit.
 
-    ``members``: rep, class size, block, own salt and number of salts, text. Each set goes to one unit
-    for each salt of its block; that list is built here, after the texts are there.
+    ``members``: d1, class size, block, own salt and number of salts, text (a repeated row may come more than
+    once). Each set goes to one unit for each salt of its block; that list is built here, after the texts are there.
     """
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in runs(whole, "text")):
             data = [s.tobytes() for s in sets_of(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(batch.column(c) for c in ("rows", "b1", "b2", "salt", "s")), pa.array(data, pa.binary())], names=["rep", "rows", "b1", "b2", "salt", "s", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d1", "rows", "b", "salt", "s")), pa.array(data, pa.binary())], names=["d1", "rows", "b", "salt", "s", "tokens"])
 
     def verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches))
-        left, right = key[2].as_py(), key[3].as_py()
-        rep, rows, salt = (whole.column(c).to_numpy() for c in ("rep", "rows", "salt"))
-        tokens = [np.frombuffer(x, U64) for x in whole.column("tokens").to_pylist()]
-        g = len(rep)
+        left, right = key[1].as_py(), key[2].as_py()
+        own, once = np.unique(whole.column("d1").to_numpy(), return_index=True)  # sorted
+        rows, salt = (whole.column(c).to_numpy()[once] for c in ("rows", "salt"))
+        data = whole.column("tokens")
+        tokens = [np.frombuffer(data[i].as_buffer(), U64) for i in once.tolist()]
+        g = len(own)
         size = np.array([len(x) for x in tokens], np.float32)
         flat, owner = np.concatenate(tokens), np.repeat(np.arange(g), size.astype(np.int64))
         order = np.argsort(flat, kind="stable")
@@ -430,67 +497,72 @@ def links_of_units(members: DataFrame, n: int, percent: int) -> DataFrame:
             link &= salt[:, None] != salt[None, :]
         count = link @ rows
         root = np.full(g, -1)
-        for i in np.argsort(rep, kind="stable"):
+        for i in range(g):
             if root[i] < 0:
                 root[i], front = i, np.array([i])
                 while len(front):
                     front = np.flatnonzero(link[front].any(0) & (root < 0))
                     root[front] = i
-        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(count), pa.array(rep[root])], names=["rep", "links", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count), pa.array(own[root])], names=["d1", "links", "root"])
 
-    made = members.select("rep", "rows", "b1", "b2", "salt", "s", "text").mapInArrow(to_sets, "rep long, rows long, b1 long, b2 long, salt int, s int, tokens binary")
-    each = made.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("rep", "rows", "salt", "tokens", "b1", "b2", F.least("salt", "j").alias("l"), F.greatest("salt", "j").alias("r"))
-    return each.groupBy("b1", "b2", "l", "r").applyInArrow(verify, "rep long, links long, root long")
+    made = members.select("d1", "rows", "b", "salt", "s", "text").mapInArrow(to_sets, "d1 long, rows long, b long, salt int, s int, tokens binary")
+    each = made.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("d1", "rows", "salt", "tokens", "b", F.least("salt", "j").alias("l"), F.greatest("salt", "j").alias("r"))
+    return each.groupBy("b", "l", "r").applyInArrow(verify, "d1 long, links long, root long")
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2, unit: int = UNIT, layout: Layout = COMMON) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with an equal set), n_links, component_id for each row."""
+def _groups(docs: DataFrame, n: int, percent: int, orders: int = 2, unit: int = UNIT, layout: Layout = COMMON) -> DataFrame:
+    """For each row: doc_id, tag (a hash of its text), n_shingles, class_id, n_links, component_id, and ``first``:
+    is its text that of the first row of its component (ids in order, nulls last)."""
     spark = docs.sparkSession
     shared_dir(spark)
     layout, shared = layout.spread(partitions(spark)), SHARED.spread(partitions(spark))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     info = stored(set_digests(base, n))
-    classes = stored(info.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("n_shingles").alias("size")))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    classes = stored(info.where("n_shingles > 0").groupBy("d1", "d2").agg(head.alias("head"), F.count("*").alias("rows"), F.max("n_shingles").alias("size")))
     common = spark.sparkContext.broadcast(common_tokens(base, n, percent, orders, layout))
-    free(spark)
     both = spark.sparkContext.broadcast(shared_tokens(base, n, percent, orders, common, layout, shared))
-    free(spark)
     ties = stored(candidate_ties(base, n, percent, orders, common, layout, both, shared))
-    free(spark)
-    # Labels under every order, then the blocks on which they agree.
-    blocks = None
-    for o in range(orders):
-        label = components(ties.where(F.col("o") == o).select("a", "b")).select(F.col("node").alias("d1"), F.col("label").alias(f"l{o}"))
-        blocks = label if blocks is None else blocks.join(label, "d1")
-    block = [f"l{o}" for o in range(orders)]
-    blocks = blocks.select("d1", F.xxhash64(*block).alias("b1"), F.hash(*block).cast("long").alias("b2"))
-    sets = stored(classes.join(blocks, "d1"))
-    sizes = sets.groupBy("b1", "b2").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens")).where("sets > 1")
+    common.destroy(), both.destroy()
+    sets = stored(classes.join(components(ties).select(F.col("node").alias("d1"), F.col("label").alias("b")), "d1"))
+    sizes = sets.groupBy("b").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens")).where("sets > 1")
     s = F.ceil(F.greatest(F.col("sets") / unit, F.col("tokens") / (unit * UNIT_TOKENS))).cast("int")
-    salt = F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")
-    members = sets.join(sizes, ["b1", "b2"]).withColumn("s", s).withColumn("salt", salt).select("rep", "rows", "b1", "b2", "salt", "s", "d1", "d2")
-    members = stored(members)
-    # rows with the representative's id and set (repeated ids may hold other texts); 40 bytes each, however large the block
-    firsts = stored(members.join(info, ["d1", "d2"]).where("doc_id = rep").select("rep", "rows", "b1", "b2", "salt", "s").dropDuplicates(["rep"]))
-    texts = base.join(small(firsts), base.doc_id == firsts.rep)
-    found = stored(links_of_units(texts.select("rep", "rows", "b1", "b2", "salt", "s", "text"), n, percent))
-    label = components(found.where("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = classes.join(links, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    by_rep = by_rep.select("d1", "d2", "rep", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component"))
-    out = info.join(by_rep, ["d1", "d2"], "left")
+    # 48 bytes each, however large the block; the text is found by the id and text hash of the class's first row
+    members = sets.join(sizes, "b").withColumn("s", s).select("d1", F.col("head.doc_id").alias("id"), F.col("head.tag").alias("t"), "rows", "b", F.pmod(F.xxhash64("d1"), F.col("s")).cast("int").alias("salt"), "s")
+    members = small(stored(members))
+    texts = base.join(members, base.doc_id.eqNullSafe(members.id) & (base.tag == members.t))
+    found = stored(links_of_units(texts.select("d1", "rows", "b", "salt", "s", "text"), n, percent))
+    label = stored(components(found.where("d1 <> root").select(F.col("root").alias("a"), F.col("d1").alias("b"))))
+    heads = label.join(sets.select("d1", "head"), label.node == sets.d1).groupBy("label").agg(F.min("head").alias("top"))
+    tops = label.join(heads, "label").select(F.col("node").alias("d1"), "top")
+    links = found.groupBy("d1").agg(F.sum("links").alias("links"))
+    by_class = classes.join(links, "d1", "left").join(tops, "d1", "left")
+    by_class = by_class.select("d1", "d2", "head", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("top", "head").alias("top"))
+    out = info.join(by_class, ["d1", "d2"], "left")
     empty = F.col("n_shingles") == 0
     return out.select(
-        "doc_id", "n_shingles",
-        F.when(empty | F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
-        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
-        F.when(empty | F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        "doc_id", "tag", "n_shingles",
+        F.when(empty, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
+        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
+        (empty | F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("tag") == F.col("top.tag"))).alias("first"),
     )
 
 
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, orders: int = 2, unit: int = UNIT, layout: Layout = COMMON) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with an equal set), n_links, component_id for each row."""
+    return _groups(docs, n, percent, orders, unit, layout).drop("tag", "first")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose document is the first of its group (smallest id); all columns as they are."""
-    groups = similar_groups(docs, n, percent).select(F.col("doc_id").alias("_id"), "component_id").where("_id = component_id or _id is null").select("_id").distinct()
-    groups = small(stored(groups))
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups._id), "left_semi")
-    return kept
+    """One row of each group, the first by id (of repeated rows the one with the smallest hash of all columns), and
+    all rows without words; all columns as they are."""
+    first = stored(_groups(docs, n, percent).where("first").groupBy("doc_id", "tag", (F.col("n_shingles") == 0).alias("empty")).count())
+    stay = small(first.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), ((F.col("count") > 1) & ~F.col("empty")).alias("_again")))
+    at = docs.doc_id.cast("long").eqNullSafe(stay._id) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == stay._tag)
+    if first.where("count > 1 and not empty").isEmpty():
+        return docs.join(stay, at, "left_semi")
+    whole = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    kept = whole.join(stay, whole.id.eqNullSafe(stay._id) & (whole.hash == stay._tag))
+    again = kept.where("_again").withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.hash("row"), F.xxhash64("row")))).where("n = 1")
+    return kept.where("not _again").select("row").unionByName(again.select("row")).select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -158,6 +158,33 @@ def test_broadcast_rows_do_not_grow_with_the_block(spark, monkeypatch):
     assert narrow and all(kind in ("int", "bigint") for _, kind in narrow[0])
 
 
+def brute_rows(rows, n, percent):
+    """Rows stand for themselves: (n_shingles, component_id, n_links) of each, with repeated and null ids."""
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    by_row = brute_groups(numbered, n, percent)
+    out = []
+    for i, (size, root, links) in by_row.items():
+        ids = [rows[j][0] for j, (_, r, _) in by_row.items() if r == root and rows[j][0] is not None]
+        out.append((rows[i], size, (min(ids, default=None) if size else rows[i][0]), links))
+    return sorted(out, key=repr)
+
+
+def test_groups_of_repeated_and_null_ids(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:30], "own", *w[31:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (None, " ".join(a)), (None, near(b)), (None, "alone it stands"),
+            (9, "x y z"), (9, "x y z"), (9, "x y z"), (None, None), (None, ""), (3, None), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id + 1 `_id`", "text `d1`", "'x' `a.b`")
+    got = [((r.doc_id, r.text), r.n_shingles, r.component_id, r.n_links) for r in jaccard._groups(d, 3, 70).join(
+        spark.createDataFrame(rows, "i long, text string").distinct().selectExpr("i", "text", "xxhash64(coalesce(text, '')) tag"), "tag").where("doc_id <=> i").collect()]
+    want = brute_rows(rows, 3, 70)
+    assert {repr(g) for g in got} == {repr(w) for w in want}
+    one = jaccard.one_of_each(d, 3, 70)
+    assert one.columns == d.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(repr, [rows[0], rows[1], rows[6], rows[7], *rows[10:]]))
+    assert jaccard.one_of_each(d.limit(0)).collect() == []
+
+
 def test_one_of_each(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = {d for d, (_, c, _) in brute_groups(rows, 5, 80).items() if c == d}
