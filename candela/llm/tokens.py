@@ -9,6 +9,8 @@ import numpy as np
 
 _WIDE = re.compile(r"\s ")
 _KEEP = 100_000
+# Fixed value: the special token of the 50k byte-level vocabulary and its id (the rank file has none).
+SPECIAL = ("<|endoftext|>", 50256)
 
 
 def vocabulary(name: str) -> str:
@@ -40,10 +42,12 @@ class ByteBpe:
     """Byte-level BPE. ``encode`` gives little-endian unsigned 32-bit ids as bytes.
 
     The pre-tokeniser never joins what stands before a single space to what follows, so the chunks
-    between such spaces are encoded on their own and remembered; other texts are encoded whole.
+    between such spaces are encoded on their own and remembered; other texts are encoded whole. Where a text has the
+    string of a special token, that token's id stands for it and the parts around it are encoded apart, as the
+    ``tokenizers`` form of the vocabulary does.
     """
 
-    def __init__(self, name: str = "byte_bpe_50k.tiktoken"):
+    def __init__(self, name: str = "byte_bpe_50k.tiktoken", special: tuple[str, int] | None = SPECIAL):
         import public_tokenizers
         import tiktoken
 
@@ -51,8 +55,14 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache = _Cache(self.whole)
+        self.mark, self.mark_id = (special[0], np.array([special[1]], "<u4").tobytes()) if special else (None, b"")
 
     def encode(self, text: str) -> bytes:
+        if self.mark and self.mark in text:
+            return self.mark_id.join(map(self._plain, text.split(self.mark)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _WIDE.search(text) or text[:1] == " ":
             return np.array(self.whole(text), "<u4").tobytes()
         first, *rest = text.split(" ")

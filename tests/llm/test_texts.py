@@ -112,7 +112,6 @@ def test_packing(docs, no_docs):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = {}
     for r in got:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -132,6 +131,31 @@ def test_packing(docs, no_docs):
     assert packing.pack_documents(no_docs).collect() == []
 
 
+def test_special_tokens_and_edge_rows_are_packed(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"{end} hi", f"a {end}", f"  x{end}{end}  y \n", end, f"x <|end{end}oftext|>", " lead", "", None, "twice", "twice", "a  b\u00a0\u3000c", "x" * 5000]
+    rows = [(None if i == 3 else 7 if x == "twice" else i, x, "k", "v") for i, x in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, length string, `a.b` string")
+    got = packing.pack_documents(d, capacity=64).collect()
+    want = Counter()
+    for doc, text, *_ in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        first = len(ids) - 64 * ((len(ids) - 1) // 64)
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        want += Counter((doc, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:])))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    filled = Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 64
+    held = {(r.sequence_id, r.offset) for r in got}
+    assert len(held) == len(got) and all(r.offset == 0 or any(s == r.sequence_id and o < r.offset for s, o in held) for r in got)
+
+
 def test_configurations_use_all_counts():
     sizes = [(60, 5), (40, 7), (33, 4), (10, 20), (7, 3)]
     used = Counter()
