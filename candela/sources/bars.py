@@ -38,6 +38,12 @@ def bars_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1.0).alias("size"), price.alias("value"), F.when(F.col("user_id") % 2 == 0, 1.0).otherwise(0.0).alias("taker")), HOUR)
 
 
+def calm(bars: DataFrame, base: float = 1000.0, scale: float = 1000.0) -> DataFrame:
+    """The candles with prices pressed into a narrow band above ``base``, in the same order, so that thresholds in
+    percent mean something on tables whose prices differ by a thousand times from trade to trade."""
+    return bars.withColumns({c: F.lit(base) + F.col(c) / scale for c in PRICES})
+
+
 def resample(bars: DataFrame, step: int, to: int) -> DataFrame:
     """Coarser candles; only buckets with every fine candle are kept."""
     start = (F.col("open_time_ms") - F.pmod("open_time_ms", F.lit(to))).alias("bucket_ms")
