@@ -135,20 +135,22 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, layout: L
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, layout: Layout = LAYOUT) -> DataFrame:
-    """The rows with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
+    """The rows with ``kept_text``, ``n_lines`` and ``n_dropped`` added (columns of these names are replaced).
 
     Lines whose key is found in at least ``min_docs`` documents go, all of them or all but the first
     occurrence. The dropped keys travel by broadcast if they are few and short, else by a join.
     """
+    if min_docs < 2:
+        raise ValueError("min_docs must be 2 or more")
     spark = docs.sparkSession
     drop = stored(repeated_lines(docs, min_docs, min_chars, layout))
     some, size = drop.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    docs = docs.select(*names)
+    docs = docs.select(*(docs[f"`{c}`"] for c in names))
     if some <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         table = {r["key"].encode(): (r["first_doc"], r["first_line"]) for r in drop.collect()}
         known = spark.sparkContext.broadcast(table)
-        fed = docs.select(F.struct("doc_id", "text").alias("in"), *(F.col(c).alias(f"c_{i}") for i, c in enumerate(names)))
+        fed = docs.select(F.struct("doc_id", "text").alias("in"), *(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)))
     else:
         fed = _with_own_drops(docs, drop, names)
         known = None
@@ -194,7 +196,7 @@ def _with_own_drops(docs: DataFrame, drop: DataFrame, names: list[str]) -> DataF
     lines = rows.mapInArrow(keyed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, key string").distinct()
     own = lines.join(drop, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "first_doc", "first_line")).alias("drops"))
     own = own.withColumnsRenamed({"doc_id": "o_doc", "tag": "o_tag", "drops": "o_drops"})
-    left = docs.select(F.struct(*(F.col(c) for c in names)).alias("d")).withColumn("tag", F.xxhash64("d.text"))
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d")).withColumn("tag", F.xxhash64("d.text"))
     joined = left.join(own, F.col("d.doc_id").eqNullSafe(F.col("o_doc")) & (F.col("tag") == F.col("o_tag")), "left")
     return joined.select(F.struct(F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("o_drops").alias("drops")).alias("in"), *(F.col(f"d.`{c}`").alias(f"c_{i}") for i, c in enumerate(names)))
 

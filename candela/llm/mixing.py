@@ -74,14 +74,14 @@ def default_weight(path: tuple) -> float:
 
 
 def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, weight: Callable[[tuple], float] = default_weight) -> DataFrame:
-    """The chosen rows, once for each epoch that takes them, with ``_leaf`` (a struct), ``_tokens``, ``_epoch``.
-
-    The budget is ``share`` of all tokens.
+    """The chosen rows, once for each epoch that takes them: ``row`` (a struct of the input's columns as f0, f1 ...),
+    ``_leaf`` (a struct), ``_tokens``, ``_epoch``. The budget is ``share`` of all tokens.
     """
     spark = docs.sparkSession
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
     source = F.coalesce(F.col("source").cast("string"), F.lit("none"))
-    keyed = docs.withColumns({
+    row = F.struct(*(docs[f"`{c}`"].alias(f"f{i}") for i, c in enumerate(docs.columns))).alias("row")
+    keyed = docs.select(row, "doc_id", "text", "lang", "source").withColumns({
         "_leaf": F.struct(domain_of(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), source.alias("source")),
         "_tokens": F.size(words).cast("long"),
     })
@@ -120,16 +120,15 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
     chosen = chosen.select(F.col("doc_id").alias("_id"), "_tag", F.col("_leaf").alias("_l"), "take").distinct()
     joined = keyed.withColumn("_t", F.xxhash64("text")).join(
         small(stored(chosen)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag")) & (F.col("_leaf") == F.col("_l")))
-    out = joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("take") - 1)))
-    return out.drop("_id", "_tag", "_l", "_t", "take")
+    return joined.select("row", "_leaf", "_tokens", F.explode(F.sequence(F.lit(0), F.col("take") - 1)).alias("_epoch"))
 
 
 def selection(docs: DataFrame) -> DataFrame:
     """The mix as doc_id, leaf, epoch and tokens."""
     out = mixed(docs)
-    return out.select("doc_id", "_leaf.domain", "_leaf.lang", "_leaf.source", F.col("_epoch").cast("int").alias("epoch"), F.col("_tokens").alias("n_tokens"))
+    return out.select(F.col(f"row.f{docs.columns.index('doc_id')}").alias("doc_id"), "_leaf.domain", "_leaf.lang", "_leaf.source", F.col("_epoch").cast("int").alias("epoch"), F.col("_tokens").alias("n_tokens"))
 
 
 def chosen_docs(docs: DataFrame) -> DataFrame:
     """The chosen rows with the columns they came with; a text taken in two epochs comes twice."""
-    return mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed(docs).select(*[F.col(f"row.f{i}").alias(c) for i, c in enumerate(docs.columns)])

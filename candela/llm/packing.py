@@ -167,8 +167,14 @@ def _lookup(df: DataFrame, key: str, segments: dict[int, list[tuple]], schema: s
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``."""
-    pieces = stored(pieces)
+    """The pieces with ``sequence_id`` and ``offset``. Token ids, if there, wait aside under a row number and join the
+    finished places, so that only narrow rows are ranked and sorted."""
+    wide = None
+    if "ids" in pieces.columns:
+        wide = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
+        pieces = wide.drop("ids")
+    else:
+        pieces = stored(pieces)
     id_cols = ["doc_id", "piece", "ids_crc32"]
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     edge = capacity // 16
@@ -204,8 +210,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         old = found.where(F.col("room") <= capacity).join(rooms.select("room", "place", "sequence_id"), ["room", "place"])
         placed = placed.unionByName(old.select(*placed.columns)).unionByName(new.select(*placed.columns))
     w = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *id_cols)
-    return placed.withColumn("offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    out = placed.withColumn("offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    return out if wide is None else stored(out).join(wide.select("_row", "ids"), "_row").drop("_row")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(token_pieces(docs, capacity), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """One row for each piece, with its token ids (array<int>) if asked for."""
+    out = pack(token_pieces(docs, capacity, with_ids=with_ids), capacity)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))

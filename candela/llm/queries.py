@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, jaccard, lines, mixing, neighbours, packing, pseudonyms, quality, secrets, substrings
-from .runtime import table
+from .runtime import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
+def _prepared(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op1_fingerprints, op2_pseudonyms, op3_secrets, op4_lines, op5_substrings, op6_jaccard, op7_packing, op8_fertility, op9_neighbours, op10_mixing)}
 
 ORACLES: dict[str, str] = {

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from pathlib import Path
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A join side of at most so many narrow rows (about 16 bytes each) is broadcast.
 BROADCAST_ROWS = 500_000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = Path(tempfile.mkdtemp(prefix="candela-")).as_uri()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -44,16 +45,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of finished plans now rather than at its next collection.
-
-    Several rounds: the first releases Python's handles, the next what they held in the JVM; files
-    go a little later, by Spark's own cleaner.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+def prepare(spark: SparkSession) -> None:
+    """Smaller Arrow batches where the session has Spark's default of 10,000 rows: a task and its Python worker then
+    hold a few megabytes of texts at a time, whatever the partition's size. A session's own choice stays."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .arrays import grams, mix, pieces, words
 from .bits import Filter, Layout, by_bucket, pack
-from .runtime import drop_path, free, partitions, scratch, small, stored
+from .runtime import drop_path, partitions, scratch, small, stored
 
 WIDTH, GRAM = 13, 7
 #: Hit fingerprints as a filter of a fixed size; too full, it only lets more windows be verified.
@@ -229,7 +229,6 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ba
         hits.append(index.add(part))
     held = spark.sparkContext.broadcast(_hit_filter(hits, buckets, layout))
     drop_path(spark, where)
-    free(spark)
     suspects = stored(_suspect_windows(docs, held, width, gram, buckets, layout))
     first = suspects.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
     found = suspects.join(first, ["w1", "w2"]).where("doc_id > first")
@@ -248,7 +247,6 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batc
     copies = small(copies).withColumn("copy", F.lit(True))
     marked = base.join(copies, ["doc_id", "tag"], "left")
     gone = stored(repeated_positions(marked.where("copy is null and doc_id is not null").select("doc_id", "tag", "text"), width, gram, batches))
-    free(spark)
     every = marked.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "copy", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -225,7 +225,7 @@ def test_mixing(docs, no_docs, monkeypatch):
     rows = [(r.doc_id, (r.d, r.lang, r.source), len(words(r.text)), r.text) for r in docs.withColumn("d", mixing.domain_of(F.col("source"))).collect()]
     for share, rng in ((0.8, 4096), (0.4, 8), (1.7, 8)):
         monkeypatch.setattr(mixing, "RANGE_ROWS", rng)
-        got = sorted((r.doc_id, r._epoch) for r in mixing.mixed(docs, share).collect())
+        got = sorted((r.row.f0, r._epoch) for r in mixing.mixed(docs, share).collect())
         assert got == brute_mix(rows, share, mixing.EPOCHS, mixing.SEED)
     assert mixing.chosen_docs(docs).columns == docs.columns
     assert mixing.selection(no_docs).collect() == []
