@@ -7,40 +7,61 @@ again as the next one's ``docs``. All but the last return the columns of ``docs`
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.llm import jaccard, lines, mixing, packing, quality
-from candela.llm.runtime import scratch, table
+from candela.llm.runtime import drop_path, prepare, scratch, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _prepared(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_prepared
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.kept_only(docs)
 
 
+@_prepared
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in the first one only."""
-    out = lines.dedup_lines(docs, min_docs=10, keep_first=True)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]  # under names of our own: dedup_lines adds columns
+    out = lines.dedup_lines(docs.select("doc_id", "text", F.struct(*(docs[f"`{c}`"].alias(f"f{i}") for i, c in enumerate(rest))).alias("row")), min_docs=10, keep_first=True)
+    new = {"text": F.col("kept_text"), **{c: F.col(f"row.f{i}") for i, c in enumerate(rest)}}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) for c in docs.columns))
 
 
+@_prepared
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: five-word shingles, similarity 0.8."""
     return jaccard.one_of_each(docs, n=5, percent=80)
 
 
+@_prepared
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.chosen_docs(docs)
 
 
+@_prepared
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """Sequences of at most 1,024 tokens, with the token ids of each piece."""
+    return packing.pack_documents(docs, with_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
     ("n-gram Jaccard join", near_duplicates),
@@ -48,14 +69,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Tokenisers and iterated components have no SQL form. No test holds run() against brute force yet.
+#: Tokenisers and iterated components have no SQL form; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's folder goes once the next one is written."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch(spark, f"stage-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if old:
+            drop_path(spark, old)
+        old = path
     return docs
