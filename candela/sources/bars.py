@@ -52,14 +52,21 @@ def resample(bars: DataFrame, step: int, to: int) -> DataFrame:
         F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count"), F.count("*").alias("n")).where(F.col("n") == to // step).drop("n")
 
 
-def violation(step: int) -> Column:
-    """The first rule that a candle breaks, or null."""
-    price = [F.col(c) for c in PRICES]
+NUMBERS = (*PRICES, "volume", "quote_volume", "taker_buy_base")
+
+
+def violation(step: int, columns: tuple[str, ...] = NUMBERS) -> Column:
+    """The first rule that a candle breaks, or null: keys, every number finite, positive prices, no negative volume or
+    count, taker volume within the volume, high and low around the others, times on the grid."""
+    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
+    finite = F.lit(True)
+    for c in (*columns, "trade_count"):
+        finite = finite & whole(c)
     return (
-        F.when(F.col("symbol").isNull() | F.col("open_time_ms").isNull(), "key")
-        .when(F.greatest(*[F.coalesce(c, F.lit(float("nan"))) for c in price]).eqNullSafe(F.lit(float("nan"))), "not finite")
-        .when(F.least(*price) <= 0, "price")
-        .when((F.col("volume") < 0) | (F.col("trade_count") < 0) | (F.col("quote_volume") < 0), "volume")
+        F.when(F.col("symbol").isNull() | F.col("open_time_ms").isNull() | F.col("close_time_ms").isNull(), "key")
+        .when(~finite, "not finite")
+        .when(F.least(*PRICES) <= 0, "price")
+        .when((F.col("volume") < 0) | (F.col("trade_count") < 0) | (F.col("quote_volume") < 0) | (F.col("taker_buy_base") < 0), "volume")
         .when(F.col("taker_buy_base") > F.col("volume") * 1.0001 + 1e-8, "taker")
         .when(F.col("high") < F.greatest("open", "close", "low"), "high")
         .when(F.col("low") > F.least("open", "close", "high"), "low")
@@ -67,6 +74,11 @@ def violation(step: int) -> Column:
     )
 
 
+def repeated(bars: DataFrame) -> Column:
+    """Is the candle's open time found more than once in its series?"""
+    return F.count("*").over(Window.partitionBy("symbol", "open_time_ms")) > 1
+
+
 def validated(bars: DataFrame, step: int, mode: str = "quarantine") -> DataFrame:
     """``quarantine``: rows with ``violation``; ``drop``: good rows only; ``strict``: an error at the first bad row."""
     out = bars.withColumn("violation", violation(step))
@@ -78,10 +90,11 @@ def validated(bars: DataFrame, step: int, mode: str = "quarantine") -> DataFrame
 
 
 def keep_last(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old and new candles; for equal symbol and open time the new one wins."""
+    """Old and new candles; for equal symbol and open time the new one wins, and among equals of one source the one with
+    the largest hash of its columns, whatever the order of the rows."""
     cols = [c for c in old.columns if c not in ("symbol", "open_time_ms")]
     both = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
-    return both.groupBy("symbol", "open_time_ms").agg(F.max_by(F.struct(*cols), "_src").alias("r")).select("symbol", "open_time_ms", "r.*")
+    return both.groupBy("symbol", "open_time_ms").agg(F.max_by(F.struct(*cols), F.struct("_src", F.xxhash64(*cols))).alias("r")).select("symbol", "open_time_ms", "r.*")
 
 
 def series() -> Window:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.sources.files import scratch
+
 HOUR = 3_600_000
 BARS = "symbol string, open_time_ms long, close double, volume double"
 REGIME = "symbol string, open_time_ms long, raw string, regime string"
@@ -18,8 +17,7 @@ REGIME = "symbol string, open_time_ms long, raw string, regime string"
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or Path(tempfile.mkdtemp(prefix="candela-")).as_uri()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
