@@ -312,3 +312,39 @@ def accumulation(bars: DataFrame, least: int = 20, most: int = 60, k: float = 2.
     hi, lo = (lambda n: F.max("high").over(frame(w, n))), (lambda n: F.min("low").over(frame(w, n)))
     some = [F.when((F.row_number().over(w) >= n) & (hi(n) > lo(n)) & (hi(n) - lo(n) <= k * F.col("atr")), F.struct(F.lit(n).alias("n"), lo(n).alias("low"), hi(n).alias("high"))) for n in range(least, most + 1)]
     return r.withColumn("first", F.coalesce(*some)).where("first is not null").select("symbol", "open_time_ms", "first.n", F.col("first.low").alias("range_low"), F.col("first.high").alias("range_high"))
+
+
+FEATURES = ("momentum_1", "momentum_3", "momentum_12", "ema_spread", "rsi_centred", "bollinger_z", "log_atr_pct", "volume_z", "pressure")
+
+
+def feature_frame(bars: DataFrame) -> DataFrame:
+    """The nine model features with Wilder's ATR; a zero divisor gives null. Also ``atr`` and ``atr_pct``."""
+    w = series()
+    r = changes(bars.withColumn("tr", true_range(w)))
+    r = ewms(r, {"atr": ("tr", 1 / 14, 14), "_eg": ("_g", 1 / 14, 14), "_el": ("_l", 1 / 14, 14), "_e8": ("close", span(8), 8), "_e21": ("close", span(21), 21)})
+    c, lv, b = F.col("close"), F.log1p("volume"), frame(w, 20)
+    r = r.withColumn("atr_pct", F.col("atr") / c).withColumns({"_safe": F.greatest("atr_pct", F.lit(1e-9)), "_lv": lv})
+    r = r.withColumn("_safe", F.when(F.col("atr_pct").isNotNull(), F.col("_safe")))
+    z = lambda x: F.when(F.count(x).over(b) >= 20, ratio(x - F.avg(x).over(b), F.stddev_pop(x).over(b)))
+    return r.withColumns({
+        **{f"momentum_{k}": F.log(c / F.lag("close", k).over(w)) / F.col("_safe") for k in (1, 3, 12)}, "ema_spread": ratio(F.col("_e8") - F.col("_e21"), F.col("atr")), "rsi_centred": (rsi_of("_eg", "_el") - 50) / 25,
+        "bollinger_z": z(c), "log_atr_pct": F.log("_safe"), "volume_z": z(F.col("_lv")), "pressure": ratio(2 * c - F.col("high") - F.col("low"), F.col("high") - F.col("low")),
+    }).select(*bars.columns, "atr", "atr_pct", *FEATURES)
+
+
+def supervised(bars: DataFrame, horizon: int = 12, multiple: float = 1.0, floor_bps: float = 0.0, cost_bps: float = 10.0, least: int = 200) -> DataFrame:
+    """Features and triple-barrier labels of every candle with all features and a whole horizon after it. The barrier is a multiple of
+    the ATR, at least the floor; both barriers in one candle are BOTH and judged by the timeout. ``long_net`` and ``short_net`` are the
+    trades' results (BOTH loses). Series with fewer than ``least`` rows give none."""
+    w = series()
+    r = feature_frame(bars).withColumn("barrier_bps", F.greatest(multiple * F.col("atr_pct") * 10_000, F.lit(floor_bps)))
+    up, down = F.col("close") * F.exp(F.col("barrier_bps") / 10_000), F.col("close") * F.exp(-F.col("barrier_bps") / 10_000)
+    r = r.withColumns({"_p": F.collect_list(F.struct("high", "low")).over(w.rowsBetween(1, horizon)), "timeout_bps": F.log(F.lead("close", horizon).over(w) / F.col("close")) * 10_000})
+    at = lambda hit: F.nullif(F.array_position(F.transform("_p", hit), True).cast("int"), F.lit(0))
+    r = r.where(F.size("_p") == horizon).withColumns({"_u": at(lambda x: x.high >= up), "_d": at(lambda x: x.low <= down)})
+    touch = F.when(F.col("_u").isNull() & F.col("_d").isNull(), "NONE").when(F.col("_u") == F.col("_d"), "BOTH").when(F.col("_d").isNull() | (F.col("_u") < F.col("_d")), "UP").otherwise("DOWN")
+    r = r.withColumns({"touch": touch, "exit_offset": F.least("_u", "_d", F.lit(horizon))})
+    result = lambda side: F.when(F.col("touch") == side, F.col("barrier_bps")).when(F.col("touch") == "NONE", (1 if side == "UP" else -1) * F.col("timeout_bps")).otherwise(-F.col("barrier_bps")) - cost_bps
+    r = r.withColumns({"target": F.when(F.col("touch") == "UP", 1).when(F.col("touch") == "DOWN", 0).otherwise((F.col("timeout_bps") > 0).cast("int")), "long_net": result("UP"), "short_net": result("DOWN")})
+    r = r.dropna(subset=[*FEATURES, "timeout_bps"]).withColumn("_n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("_n") >= least)
+    return r.select("symbol", "open_time_ms", "close", *FEATURES, "barrier_bps", "touch", "exit_offset", "timeout_bps", "target", "long_net", "short_net")
