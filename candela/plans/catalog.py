@@ -327,4 +327,4 @@ def universe_selection(spark, sf):
     return newest.select("s_suppkey", F.lit("new").alias("why")).unionByName(liquid.select("s_suppkey", F.lit("liquid").alias("why")))
 
 
-from candela.plans import files, ledgers, market, models, outcomes, studies  # noqa: E402,F401  (add their queries)
+from candela.plans import files, ledgers, market, models, outcomes, streams, studies  # noqa: E402,F401  (add their queries)
