@@ -1,9 +1,10 @@
 """Operator 1: winnowing fingerprints of documents, in DataFrame functions only.
 
-A text's tokens are its words (runs without ``[\\x20\\x09-\\x0D]``, cut after 24 characters so
-that scripts without spaces have tokens too). Every k consecutive tokens are hashed; of every
-w consecutive hashes the smallest is chosen, the rightmost one among equals, with its position.
-Two texts that share a run of k + w - 1 tokens share a fingerprint.
+A text's tokens are its words (runs without ``[\\x20\\x09-\\x0D]``). Letters of scripts written without spaces are
+tokens of their own, and a run of other letters of more than 24 characters is cut after vowels and odd digits, so that a character
+more or less in front moves no cut further on (a stretch of 24 without one is cut by length). Every k consecutive tokens are hashed,
+anew for each position as column functions have no rolling state; of every w consecutive hashes the smallest is
+chosen, the rightmost one among equals, with its position. Two texts that share a run of k + w - 1 tokens share a fingerprint.
 
 Defined cases: null and empty texts have no tokens, an empty fingerprint, and likeness 1 to
 each other, 0 to others. With fewer than k tokens the whole sequence is one gram; with fewer
@@ -21,16 +22,20 @@ from pyspark.sql.window import WindowSpec
 from .runtime import partitions
 
 GRAM, WINDOW = 4, 8
-TOKEN = r"[^\x20\x09-\x0D]{1,24}"
+ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u312F\u3190-\uA4CF\uF900-\uFAFF"
+_IN = rf"[^\x20\x09-\x0D{ALONE}]"
+TOKEN = rf"[{ALONE}]|{_IN}{{1,24}}(?!{_IN})|{_IN}{{0,23}}?[aeiou13579]|{_IN}{{1,24}}"
+#: Bits of a position below the hash: texts of up to 2^26 tokens keep apart positions.
+PLACE = 26
 
 
 def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """array<long> of chosen grams: 31 bits of hash above 32 bits that fall as the position rises,
+    """array<long> of chosen grams: 37 bits of hash above 26 bits that fall as the position rises,
     so that the smallest value of a window is its smallest hash and, among equals, the rightmost."""
     def from_tokens(tokens: Column) -> Column:
         def packed(i: Column) -> Column:
-            low = F.lit(0xFFFFFFFE) - i.cast("long")
-            return F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(tokens, i + j) for j in range(gram)]), 33), 32).bitwiseOR(low)
+            low = F.greatest(F.lit((1 << PLACE) - 1) - i.cast("long"), F.lit(0))
+            return F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(tokens, i + j) for j in range(gram)]), PLACE + 1), PLACE).bitwiseOR(low)
 
         # past the end F.get gives null, which xxhash64 skips and least ignores
         starts = lambda n, size: F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
@@ -43,12 +48,12 @@ def selected(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
 
 def hashes(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, 32)))
+    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, PLACE)))
 
 
 def rendered(chosen: Column) -> Column:
     """hash@position of each chosen gram (positions count tokens from 0), in text order."""
-    one = lambda x: F.concat(F.hex(F.shiftright(x, 32)), F.lit("@"), F.lit(0xFFFFFFFE) - x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    one = lambda x: F.concat(F.hex(F.shiftright(x, PLACE)), F.lit("@"), F.lit((1 << PLACE) - 1) - x.bitwiseAND(F.lit((1 << PLACE) - 1)))
     return F.array_join(F.transform(chosen, one), " ")
 
 
@@ -94,7 +99,7 @@ def next_texts(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
     ranged = ranged.withColumn("tie", F.xxhash64("text"))
     # One small row for each range; at most n + 1 of them.
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    tops = ranged.groupBy("r").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), (-(F.col("tie") / 2)).alias("t"), "doc_id", "tie")).alias("m")).select("r", "m.doc_id", "m.tie")
+    tops = ranged.groupBy("r").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.bitwise_not("tie").alias("t"), "doc_id", "tie")).alias("m")).select("r", "m.doc_id", "m.tie")
     heads = tops.select("r", "doc_id", "tie", F.coalesce(F.lag("r").over(Window.orderBy("r")), F.max("r").over(Window.partitionBy())).alias("to"))
     ghosts = (
         ranged.join(F.broadcast(heads.withColumnsRenamed({"r": "hr", "doc_id": "hd", "tie": "ht"})), (F.col("r") == F.col("hr")) & F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("tie") == F.col("ht")))
