@@ -11,13 +11,15 @@ context. Values of letters only are judged like others after : = and =>; after "
 they are taken for prose and skipped. Keywords inside a longer run of letters (dbpassword) and
 keywords followed by more of the name (secret_id) are no contexts.
 
-Positions are code points, end exclusive. Defined cases: null and empty texts have no spans; base
+Words come from a short list of common passwords, then from a public vocabulary in the order of its merges. Positions are code
+points, end exclusive. Defined cases: null and empty texts have no spans; base
 spans stay whatever their cost; values longer than ``MAX_SEGMENT`` are segmented whole, only single
 word, date and walk segments are bounded by it (repeats are not).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -27,6 +29,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tokens import vocabulary as vocabulary_path
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}", re.ASCII)
@@ -37,23 +41,41 @@ KINDS = ("assign", "access", "hex", "guess")
 # Contexts of the method. A keyword may follow _ or - (DB_PASSWORD), not a letter or digit.
 KEYWORD = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|login|pin)"
 CONTEXT = re.compile(
-    rf"""(?<![A-Za-z0-9])(?:{KEYWORD}["']?\x20*([:=]|=>|\bis\b)\x20*|(?i:bearer)\x20+)["']?([^\s"'<>|]{{4,}})""",
+    rf"""(?<![A-Za-z0-9])(?:{KEYWORD}["']?\x20*(:=|=>|[:=]|\bis\b)\x20*|(?i:bearer)\x20+)["']?([^\s"'<>|]{{4,}})""",
     re.ASCII,
 )
 WORD = re.compile(KEYWORD, re.ASCII)
 HINT = re.compile(r"(?i:pass|pwd|secret|token|credential|auth|bearer|key|login|pin)", re.ASCII)
 
-# Common words of passwords, most common first.
+# Common words of passwords, most common first. Behind them come the words of a public vocabulary, in its order.
 COMMON = (
     "password 123456 qwerty letmein welcome admin login master dragon monkey shadow sunshine princess football baseball "
     "iloveyou abc123 trustno1 superman batman hello freedom whatever secret test guest root user pass default changeme "
     "summer winter spring autumn love money soccer hockey michael jordan ashley charlie thomas robert daniel jessica "
     "andrew computer internet server system data token key the and for with that this have from you not are was all"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+@lru_cache(maxsize=4)
+def ranks(vocabulary: str | None = VOCABULARY) -> dict[str, int]:
+    """Rank of each known word: the common ones, then the vocabulary's whole words (merges that begin a word) of three letters or
+    more. Merges are listed from the most frequent on, so their order is a rank."""
+    words = dict.fromkeys(COMMON)
+    if vocabulary:
+        with open(vocabulary_path(vocabulary), "rb") as f:
+            for line in f:
+                piece = base64.b64decode(line.split()[0])
+                if piece[:1] == b" " and len(piece) > 3 and piece[1:].isalpha() and piece.isascii():
+                    words.setdefault(piece[1:].decode().lower())
+    return {w: i + 1 for i, w in enumerate(words)}
+
+
 KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$5", "aaeoiiss")
 MAX_SEGMENT = 24
+#: Numbers of parts are told apart up to this one.
+PARTS = 20
 BLOCKS = range(2, 9)
 
 
@@ -71,6 +93,7 @@ def _near() -> set[tuple[str, str]]:
 
 NEAR = _near()
 LOG = [0.0] + [math.log10(i) for i in range(1, 200)]
+LOG_FACTORIAL = [math.log10(math.factorial(k)) for k in range(PARTS + 1)]
 
 
 def _pool(c: str) -> int:
@@ -90,57 +113,67 @@ def _date(s: str) -> bool:
 
 
 @lru_cache(maxsize=20_000)
+def _remembered(value: str) -> float:
+    return _guess_log10(value)
+
+
 def guess_log10(value: str) -> float:
-    """log10 of the least number of guesses over all segmentations of ``value``.
+    """log10 of the least number of guesses over all segmentations of ``value``. Long values are not remembered."""
+    return _remembered(value) if len(value) <= 200 else _guess_log10(value)
 
-    best[i] holds, for a number of parts capped at 9 (more parts count as 9 in the factorial), the
-    cheapest cost of the first i characters. Work is linear in the length.
-    """
+
+def _guess_log10(value: str) -> float:
+    """best[i] holds, for a number of parts up to PARTS (more count as that many in the factorial), the cheapest cost of the first i
+    characters. Only positions that a later part can begin at are kept: the last MAX_SEGMENT and the starts of running repeats, so
+    work is linear in the length and memory does not grow with it."""
     n = len(value)
+    rank_of = ranks()
     low = value.lower()
     plain = low.translate(LEET)
     inf = float("inf")
-    best = [[inf] * 10 for _ in range(n + 1)]
-    best[0][0] = 0.0
-    # brute-force stretches are extended one character at a time: brute[i][k] ends at i inside one
-    brute = [[inf] * 10 for _ in range(n + 1)]
-    same = [1] * n  # length of the run of equal characters that ends here
-    for i in range(1, n):
-        if value[i] == value[i - 1]:
-            same[i] = same[i - 1] + 1
+    best = {0: [0.0] + [inf] * PARTS}
+    brute = [inf] * (PARTS + 1)  # segmentations that end inside a brute-force stretch
+    same = 1  # length of the run of equal characters that ends here
     again = dict.fromkeys(BLOCKS, 0)  # characters up to here that equal the one a block before
     for i in range(1, n + 1):
-        cost_1 = LOG[_pool(value[i - 1])]
-        here, last = best[i], best[i - 1]
-        for k in range(10):
-            carried = brute[i - 1][k] + cost_1
-            opened = min((last[j] for j in ((k - 1,) if k < 9 else (8, 9)) if j >= 0), default=inf) + cost_1
-            brute[i][k] = min(carried, opened)
-            here[k] = brute[i][k]
+        c = value[i - 1]
+        cost_1 = LOG[_pool(c)]
+        same = same + 1 if i > 1 and c == value[i - 2] else 1
+        last = best[i - 1]
+        opened = [inf, *last[: PARTS - 1], min(last[PARTS - 1], last[PARTS])]
+        brute = [min(x, y) + cost_1 for x, y in zip(brute, opened)]
+        here = brute[:]
         parts: list[tuple[int, float]] = []
         for size in range(2, min(MAX_SEGMENT, i) + 1):
             a = i - size
             seg = low[a:i]
-            rank = RANK.get(seg) or RANK.get(plain[a:i])
+            rank = rank_of.get(seg) or rank_of.get(plain[a:i])
             if rank:
                 upper = 0.0 if value[a:i] == seg else 0.7
-                parts.append((a, math.log10(rank + 1) + upper + (0.5 if seg not in RANK else 0.0)))
+                parts.append((a, math.log10(rank + 1) + upper + (0.5 if seg not in rank_of else 0.0)))
             if size in (4, 6, 8) and seg.isdigit() and seg.isascii() and _date(seg):
                 parts.append((a, math.log10(150 if size == 4 else 55_000)))
             if size >= 3 and all((x, y) in NEAR for x, y in zip(seg, seg[1:])):
                 parts.append((a, math.log10(47) + math.log10(2) * (size - 1)))
-        if same[i - 1] >= 3:
-            parts.append((i - same[i - 1], LOG[_pool(value[i - 1])] + math.log10(same[i - 1])))
+        if same >= 3:
+            parts.append((i - same, cost_1 + math.log10(same)))
         for block in BLOCKS:  # a block repeated up to here, as often as it goes
-            again[block] = again[block] + 1 if i > block and value[i - 1] == value[i - 1 - block] else 0
+            again[block] = again[block] + 1 if i > block and c == value[i - 1 - block] else 0
             if (times := again[block] // block + 1) >= 2:
-                parts.append((i - block * times, sum(LOG[_pool(c)] for c in value[i - block : i]) + math.log10(times)))
+                parts.append((i - block * times, sum(LOG[_pool(x)] for x in value[i - block : i]) + math.log10(times)))
         for a, cost in parts:
-            for k in range(10):
-                if best[a][k] < inf:
-                    to = min(k + 1, 9)
-                    here[to] = min(here[to], best[a][k] + cost)
-    return max(0.0, min(c + math.log10(math.factorial(k)) for k, c in enumerate(best[n]) if c < inf)) if n else 0.0
+            for k, x in enumerate(best[a]):
+                if x < inf:
+                    to = min(k + 1, PARTS)
+                    here[to] = min(here[to], x + cost)
+        best[i] = here
+        if i % 64 == 0:
+            needed = {i - same, *range(max(0, i - MAX_SEGMENT), i + 1)}
+            for block in BLOCKS:
+                start = i - again[block] - block
+                needed |= {x for x in range(start, start + block + 1) if x >= 0}
+            best = {k: v for k, v in best.items() if k in needed}
+    return max(0.0, min(c + LOG_FACTORIAL[k] for k, c in enumerate(best[n]) if c < inf)) if n else 0.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
