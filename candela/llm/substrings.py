@@ -7,11 +7,12 @@ run or in two documents of the batch is a hit. The batch's own fingerprints beco
 are compacted into one when there are more than ``max_runs``. Equal windows have equal
 fingerprints, so hits never miss a repeated window; they are then verified: only windows with a
 hit fingerprint are compared, by 128 bits of two unrelated hashes of their words, and matched
-exactly across all documents with AQE splitting popular windows.
+exactly across all documents; the few windows that very many rows have are joined by broadcast, so no task holds one of them whole.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null or empty text has no words;
 texts shorter than a window lose none; exact copies of a text with a smaller ``doc_id`` lose every
-word (if they have a window); rows with equal ``doc_id`` don't remove from each other.
+word (if they have a window); rows with equal ``doc_id`` don't remove from each other; rows without an id keep all their words and remove none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ WIDTH, GRAM = 13, 7
 #: Hit fingerprints as a filter of a fixed size; too full, it only lets more windows be verified.
 HITS = Layout(bits=1 << 26, buckets=64, hashes=2)
 RUN = "bucket long, keys binary"
+#: Windows with more than this part of all suspected rows are broadcast; there are at most so many.
+POPULAR = 1000
+#: Batches of the registered query and runs that the index holds: the last batches find compacted history.
+BATCHES, RUNS = 4, 2
 
 
 def _window_prints(w, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +108,7 @@ class FingerprintIndex:
     same ``path`` again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, buckets: int = 64, max_runs: int = 3):
+    def __init__(self, spark: SparkSession, path: str, width: int = WIDTH, gram: int = GRAM, buckets: int = 64, max_runs: int = RUNS):
         self.spark, self.path, self.width, self.gram, self.buckets, self.max_runs = spark, path, width, gram, buckets, max_runs
         self.runs: list[str] = []
         self.made = 0
@@ -207,7 +212,7 @@ def _suspect_windows(docs: DataFrame, hits, width: int, gram: int, buckets: int,
     return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, pos int, w1 long, w2 long")
 
 
-def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3, layout: Layout = HITS) -> DataFrame:
+def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, layout: Layout = HITS) -> DataFrame:
     """(doc_id, tag, at): first words of windows that also start in a document of a smaller id.
 
     ``docs``: doc_id, tag (a hash of the text) and text, without later exact copies. Batches are
@@ -230,12 +235,20 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ba
     held = spark.sparkContext.broadcast(_hit_filter(hits, buckets, layout))
     drop_path(spark, where)
     suspects = stored(_suspect_windows(docs, held, width, gram, buckets, layout))
-    first = suspects.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-    found = suspects.join(first, ["w1", "w2"]).where("doc_id > first")
+    seen = suspects.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = stored(seen.where("first < last").select("w1", "w2", "first", "n"))
+    # at most POPULAR windows can each have more than a POPULAR-th of all rows: these few are broadcast, so that none of them meets
+    # in one task; the others are joined by a shuffle
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    popular = F.broadcast(first.where(F.col("n") > total / POPULAR).select("w1", "w2", "first"))
+    rare = first.where(F.col("n") <= total / POPULAR).select("w1", "w2", "first")
+    often = suspects.join(popular, ["w1", "w2"])
+    rest = suspects.join(popular.select("w1", "w2"), ["w1", "w2"], "left_anti").join(rare, ["w1", "w2"])
+    found = often.unionByName(rest).where("doc_id > first")
     return found.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"))
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text: words covered by no window that started earlier."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
