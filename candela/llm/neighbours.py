@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .arrays import pieces, words
 
-TERMS, SHAPES = 2048, 96
-SAMPLE, RANK, NEAREST, POWER = 3000, 64, 25, 4
+TERMS, SHAPES = 4096, 96
+SAMPLE, RANK, NEAREST, POWER = 4000, 64, 25, 4
 BLOCK = 256
 
 
@@ -88,12 +88,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
     return rows.select("_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_y").cast("int").alias("y")).dropDuplicates(["_id"])
 
 
-def fit(rows: list[tuple[np.ndarray, int]], rank: int = RANK) -> dict | None:
-    """Latent directions and labelled vectors from (term counts, label) rows."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = RANK) -> dict | None:
+    """Latent directions and labelled vectors from rows of terms, their counts and a label."""
     if not rows:
         return None
-    x = np.stack([r[0] for r in rows])
-    y = np.array([r[1] for r in rows], np.float32)
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for r, (at, n, _) in zip(x, rows):
+        r[at] = n
+    y = np.array([r[2] for r in rows], np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     x = _weighted(x, idf)
     rng = np.random.default_rng(0)
@@ -106,7 +108,7 @@ def fit(rows: list[tuple[np.ndarray, int]], rank: int = RANK) -> dict | None:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(v, axis=1, keepdims=True)
+    size = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
     return (v / np.maximum(size, 1e-12)).astype(np.float32)
 
 
@@ -137,10 +139,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
         for batch in batches:
             y = batch.column("y").to_pylist()
             for lo, hi, x in blocks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), pa.array(y[lo:hi], pa.int32()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["_id", "y", "x"])
+                # only the terms that are there travel: their numbers and counts
+                at = [np.flatnonzero(r) for r in x]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), pa.array(y[lo:hi], pa.int32()), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<f4").tobytes() for r, a in zip(x, at)], pa.binary())], names=["_id", "y", "at", "n"])
 
-    rows = training_rows(docs, labels, label, sample).mapInArrow(features, "_id long, y int, x binary").orderBy("_id").collect()  # at most ``sample``
-    model = fit([(np.frombuffer(r["x"], np.float32), r["y"]) for r in rows if any(r["x"])])
+    rows = training_rows(docs, labels, label, sample).mapInArrow(features, "_id long, y int, at binary, n binary").orderBy("_id").collect()  # at most ``sample``
+    model = fit([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<f4"), r["y"]) for r in rows if len(r["at"])])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
