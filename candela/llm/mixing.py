@@ -11,7 +11,7 @@ Leaves are a configured list (their table is small: one row for each domain, lan
 their budgets are set on the driver. Prefixes are found in two levels: sums over hash ranges of a
 leaf, then single rows in the one range where the prefix ends, so no task sorts a whole leaf.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined cases: null or empty text has no tokens and is taken
+Domains are configured (``DOMAINS``). Tokens are words ``[^\\x20\\x09-\\x0D]+``. Defined cases: null or empty text has no tokens and is taken
 if the prefix reaches it; null language or source is a leaf of its own (``und``, ``none``); equal rows
 have equal places in the order and enter together; children without a weight get ``default``.
 """
@@ -25,14 +25,17 @@ from pyspark.sql import functions as F
 
 from .runtime import small, stored
 
-#: Target weights of the production mix. Domains: four groups of sources.
+#: The production mix: which domain a source belongs to, and the target weights. Sources that are not listed are "other".
+DOMAINS = {f"src{i}": d for d, own in {"web": range(0, 8), "news": range(8, 12), "books": range(12, 16), "forums": range(16, 20)}.items() for i in own}
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
-DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
+DOMAIN_WEIGHTS = {"web": 4.0, "news": 3.0, "books": 2.0, "forums": 1.0, "other": 1.0}
 SHARE, EPOCHS, SEED, RANGE_ROWS = 0.8, 2, "mix-1", 4096
 
 
-def domain_of(source: Column) -> Column:
-    return F.concat(F.lit("d"), F.crc32(source) % 4)
+def domain_of(source: Column, domains: dict[str, str] | None = None) -> Column:
+    """The source's configured domain."""
+    pairs = [F.lit(x) for kv in (DOMAINS if domains is None else domains).items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), source), F.lit("other")) if pairs else F.lit("other")
 
 
 def share_out(amount: float, children: list[tuple[str, float, float]]) -> dict[str, float]:
