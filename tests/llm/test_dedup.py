@@ -102,6 +102,31 @@ def test_substrings_many_batches_compact(docs):
     assert {r.doc_id: (r.n_words, r.n_removed, sha(r.kept_text)) for r in got.collect()} == brute_substrings(rows, 5)
 
 
+def test_substrings_popular_windows_and_odd_rows(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"own{i} a b {passage} tail{i}") for i in range(60)] + [(3, f"other {passage}"), (None, passage), (None, None), (70, passage), (70, passage)]
+    d = spark.createDataFrame([(*r, 1, "v") for r in rows], "doc_id long, text string, tag long, `a.b` string")
+    for popular in (2, 1000):
+        monkeypatch.setattr(substrings, "POPULAR", popular)
+        got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digests(d).collect())
+        first, want = {}, []
+        for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+            for k in range(len(words(t)) - 12):
+                first.setdefault(tuple(words(t)[k : k + 13]), i)
+        for i, t in rows:
+            w = words(t)
+            gone = {k + j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(13)}
+            want.append((repr(i), len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+        assert got == sorted(want)
+
+
+def test_registered_batches_compact_the_index(docs, monkeypatch):
+    merged, compact = [], substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: merged.append(1) or compact(self))
+    substrings.digests(docs).count()
+    assert len(merged) >= 1 and substrings.BATCHES > substrings.RUNS
+
+
 def test_index_is_incremental(spark, docs, tmp_path):
     path = (tmp_path / "index").as_uri()
     one = substrings.FingerprintIndex(spark, path, max_runs=1)

@@ -81,7 +81,7 @@ def brute_run(rows):
     rows = brute_first_lines(brute_quality(rows))
     groups = brute_groups([r[:2] for r in rows], 5, 80)
     rows = [r for r in rows if groups[r[0]][1] == r[0] or not groups[r[0]][0]]
-    domain = lambda s: f"d{zlib.crc32(s.encode()) % 4}"
+    domain = lambda s: mixing.DOMAINS.get(s, "other")
     taken = brute_mix([(r[0], (domain(r[3]), r[2], r[3]), len(words(r[1])), r[1]) for r in rows], mixing.SHARE, mixing.EPOCHS, mixing.SEED)
     texts, pieces = {r[0]: r[1] for r in rows}, Counter()
     for doc, _ in taken:

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from candela.llm import fingerprints, mixing, neighbours, packing, pseudonyms, quality, secrets
@@ -49,6 +51,43 @@ def test_fingerprint_takes_rightmost(spark):
     assert all(q - p == 4 for p, q in zip(places, places[1:]))
 
 
+def plain_fingerprint(text):
+    """The same grams by loops: Spark's xxhash64 chains XXH64 from seed 42."""
+    tokens = re.findall(fingerprints.TOKEN, text)
+    grams = []
+    for i in range(max(1, len(tokens) - 3) if tokens else 0):
+        h = 42
+        for t in tokens[i : i + 4]:
+            h = xxhash.xxh64_intdigest(t.encode(), h)
+        grams.append(h >> fingerprints.PLACE + 1)
+    out = []
+    for i in range(max(1, len(grams) - 7) if grams else 0):
+        w = grams[i : i + 8]
+        k = i + max(j for j, g in enumerate(w) if g == min(w))
+        if not out or out[-1] != k:
+            out.append(k)
+    return " ".join(f"{grams[k]:X}@{k}" for k in out)
+
+
+def test_fingerprints_by_loops(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["a", "bb", "ccc", "déjà", "漢字仮名", "ไทย"]) for _ in range(n)) for n in (0, 1, 3, 4, 11, 12, 300)] + ["x" * 500, "".join(r.choice("abcdefghijk0123456789") for _ in range(400)), "a b c d " * 40, "漢" * 50]
+    d = spark.createDataFrame([(i, t, 5, "v") for i, t in enumerate(texts)], "doc_id long, text string, r long, `a.b` string")
+    out = fingerprints.with_fingerprint(d)
+    assert {x.doc_id: x.fingerprint for x in out.collect()} == {i: plain_fingerprint(t) for i, t in enumerate(texts)} and out.columns[:4] == d.columns
+
+
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(0x4E00, 0x4E00 + 900))), "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_fingerprints_survive_a_shift(spark, alphabet):
+    r = random.Random(4)
+    run = "".join(r.choice(alphabet) for _ in range(600))
+    d = spark.createDataFrame([(1, run), (2, "é" + run), (3, run[:300] + "é" + run[300:]), (1, "again"), (1, "again"), (None, run)], "doc_id long, text string")
+    a, b, c = ({p.split("@")[0] for p in plain_fingerprint(t).split()} for t in (run, "é" + run, run[:300] + "é" + run[300:]))
+    assert len(a & b) / len(a | b) > 0.9 and len(a & c) / len(a | c) > 0.8
+    got = fingerprints.edited_fingerprints(d).collect()
+    assert len(got) == 6 and {x.fingerprint for x in got if x.doc_id == 2} == {plain_fingerprint("é" + run)}
+
+
 def test_pseudonyms(spark, no_docs):
     text = ("card 4111111111111111 or 4111 1111 1111 1111, not 4111111111111112; a.b@c.org +1 (984) 555-5227 224.228.19.86, 999.1.1.1 "
             "on 2024-02-29 not 2023-02-29, 31.12.1999, 078-05-1120; again 4111111111111111")
@@ -184,7 +223,8 @@ def test_secrets_in_more_contexts():
         ('-H "authorization: bearer zxkqvbmntrws"', "zxkqvbmntrws"), ("use Bearer Zx9kQ2vB7mN4tR8s.", "Zx9kQ2vB7mN4tR8s"), ("Bearer token: k9#Vz!p2$Lq8", "k9#Vz!p2$Lq8"),
         ("pwd=xkqvbnmzplw", "xkqvbnmzplw"), ("pwd => xkqvbnmzplw", "xkqvbnmzplw"), ("password: secret: xkqvbnmzplw", "xkqvbnmzplw"),
         ("the password is xkqvbnmzplw", None), ("the bearer carried everything", None), ("Authorization: Bearer", None), ("pwd=passwordpassword", None),
-        ("compass: Zx9kQ2vB7mN4", None)):
+        ("compass: Zx9kQ2vB7mN4", None), ("AWS_SECRET_ACCESS_KEY=x9$kQ2!mWz7pL", "x9$kQ2!mWz7pL"), ("password := k9#Vz!p2$Lq8", "k9#Vz!p2$Lq8"), ("passphrase: kqzvwmxtrplbhgndycfj", "kqzvwmxtrplbhgndycfj"),
+        ("passphrase: government approval", None), ("pwd=governmentapproval", None)):
         assert found(text) == ([value] if value else []), text
     assert found("password: " * 50_000) == []  # restarts stay linear
 
@@ -198,6 +238,63 @@ def test_guess_cost():
     assert cost("v" + "k7!" * 2000) < 100  # very long values stay linear
 
 
+def plain_cost(value):
+    """The same minimum over all segmentations by recursion."""
+    rank, low = secrets.ranks(), value.lower()
+    plain = low.translate(secrets.LEET)
+    pool = lambda c: np.log10(secrets._pool(c))
+
+    def costs(a, b):
+        seg, out = low[a:b], []
+        if (k := rank.get(seg) or rank.get(plain[a:b])) and b - a >= 2:
+            out.append(np.log10(k + 1) + (0.7 if value[a:b] != seg else 0) + (0.5 if seg not in rank else 0))
+        if b - a in (4, 6, 8) and seg.isdigit() and secrets._date(seg):
+            out.append(np.log10(150 if b - a == 4 else 55_000))
+        if b - a >= 3 and all(p in secrets.NEAR for p in zip(seg, seg[1:])):
+            out.append(np.log10(47) + np.log10(2) * (b - a - 1))
+        if b - a >= 3 and len(set(value[a:b])) == 1:
+            out.append(pool(value[a]) + np.log10(b - a))
+        for size in range(2, 9):
+            if (b - a) % size == 0 and b - a > size and value[a:b] == value[a : a + size] * ((b - a) // size):
+                out.append(sum(map(pool, value[a : a + size])) + np.log10((b - a) // size))
+        return [*out, sum(map(pool, value[a:b]))]
+
+    def least(a, k):
+        if a == len(value):
+            return np.log10(float(math.factorial(k)))
+        return min(min(costs(a, b)) + least(b, k + 1) for b in range(a + 1, len(value) + 1))
+
+    return least(0, 0)
+
+
+def test_guess_cost_by_recursion():
+    r = random.Random(6)
+    words = ["pass", "P@ss", "the", "2019", "qwe", "aaa", "abab", "x9", "!", "zk", "0412", "government"]
+    for _ in range(60):
+        value = "".join(r.choice(words) for _ in range(4))[:9]
+        assert secrets.guess_log10(value) == pytest.approx(max(0.0, plain_cost(value))), value
+    assert secrets.guess_log10("ab!" * 3000 + "kq7") < 20 < secrets.guess_log10("".join(r.choice("bcdfghjkmnpqrtvwxz") for _ in range(3000)))
+
+
+def test_secrets_base_spans_by_scan(spark):
+    r = random.Random(8)
+    bits = ["password", "API-KEY", "api_key", "Token", "secret", ":", "=", " ", "\"", "'", "AKIA", "ABCDEFGHIJKLMN0123", "deadbeef", "0123456789abcdef", "short", "x/y+z=._-ABCDEFGH", "é", "\n"]
+    texts = ["".join(r.choice(bits) for _ in range(30)) for _ in range(120)]
+
+    def plain(text):
+        out = []
+        for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text):
+            if len(m[1]) >= 12:
+                out.append((m.start(), 0, m.end()))
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+    got = {x.doc_id: x for x in secrets.scan_secrets(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == sha(plain(t)) and [x for x in got[i].spans.split(",") if x and not x.startswith("guess")] == [x for x in plain(t).split(",") if x]
+
+
 def test_packing(docs, no_docs):
     got = packing.pack_documents(docs, capacity=64).collect()
     from tokenizers import Tokenizer
@@ -291,6 +388,33 @@ def test_neighbours(spark):
     assert {r.score for r in neighbours.classify(d, labels.limit(0)).collect()} == {0.5}
 
 
+def test_neighbours_vote_by_loops(spark):
+    """Scores from the fitted model by one loop over the labelled rows; odd labels and rows."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["plain", "words", "here", "BUY", "NOW!!", "###"]) for _ in range(20))) for i in range(120)] + [(None, "x y"), (5, "again 5"), (200, None)]
+    d = spark.createDataFrame([(*x, "l") for x in rows], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] + [(1, 0, 0), (900, 1, 0), (7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((repr(x.doc_id), round(x.score, 6)) for x in neighbours.classify(d, labels).collect())
+    usable = sorted(i for i in range(120) if zlib.crc32(str(i).encode()) % 5)
+    texts = dict(reversed([x for x in rows if x[0] is not None]))
+    count = lambda t: neighbours.counts(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0].astype(np.float32)
+    data = [(np.flatnonzero(count(texts[i])), count(texts[i])[np.flatnonzero(count(texts[i]))], i % 2) for i in usable if i != 5 or texts[i] == rows[5][1]]
+    if len(data) == len(usable):
+        model = neighbours.fit(data)
+        want = []
+        for i, t in rows:
+            x = count(t)
+            if not x.sum():
+                want.append((repr(i), round(float(model["y"].mean()), 6)))
+                continue
+            z = neighbours._unit(neighbours._weighted(x[None], model["idf"]) @ model["basis"])[0]
+            near = sorted(((float(z @ v), k) for k, v in enumerate(model["vectors"])), reverse=True)[: neighbours.NEAREST]
+            w = [max(c, 0) ** neighbours.POWER for c, _ in near]
+            want.append((repr(i), round(sum(a * model["y"][k] for a, (_, k) in zip(w, near)) / sum(w), 6)))
+        assert [g[0] for g in got] == [w[0] for w in sorted(want)] and np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=2e-3)
+    assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got)
+
+
 def brute_mix(rows, share, epochs, seed):
     """rows: (doc_id, leaf, tokens, text)."""
     leaves = {}
