@@ -36,7 +36,9 @@ def with_paths(spark, sf):
     return oc.with_path(base_events(spark, sf), thin(spark, sf), DAY, H)
 
 
-DEADLINE = F.col("event_ms") + H * DAY + (DAY - 1)
+def deadline():
+    return F.col("event_ms") + H * DAY + (DAY - 1)
+
 
 
 @query(f"""WITH {EV}, m AS (SELECT *, high >= source * exp(0.015) AS u, low <= source * exp(-0.015) AS d FROM pa),
@@ -47,7 +49,7 @@ s AS (SELECT *, CASE WHEN u AND d THEN 'UNCLEAR' WHEN hk IS NOT NULL THEN CASE W
 SELECT symbol, event_ms, side, resolution, (CASE WHEN hk IS NOT NULL THEN hk WHEN timed THEN lk END)::INT AS held, round(CASE WHEN u AND d THEN hc WHEN u THEN source * exp(0.015) WHEN d THEN source * exp(-0.015) WHEN timed THEN lc END, 6) AS exit, round(gross, 6) AS gross_bps, round(gross - 12, 6) AS net_bps FROM s""")
 def barrier_settlement(spark, sf):
     """Signals settled at log-symmetric barriers: target, stop, both, time, open and dropped."""
-    return rounded(oc.barrier_settlement(with_paths(spark, sf), DEADLINE, NOW, 150, 12, GRACE), 6, "exit", "gross_bps", "net_bps")
+    return rounded(oc.barrier_settlement(with_paths(spark, sf), deadline(), NOW, 150, 12, GRACE), 6, "exit", "gross_bps", "net_bps")
 
 
 FIRST = EV + f""",
@@ -66,7 +68,7 @@ fe AS (SELECT fx.symbol, fx.event_ms, max(high) AS hi, min(low) AS lo FROM fx JO
 def first_touch(spark, sf):
     """Both-sided brackets with volatility stops over the gap-free prefix: ties, time exits, pending and missing data, MFE and MAE."""
     stop = F.least(F.greatest("atr_bps", F.lit(120.0)), F.lit(200.0))
-    r = oc.first_touch(with_paths(spark, sf), H, F.lit(180.0), stop, 12, DEADLINE <= NOW, F.lit(NOW) - DEADLINE > GRACE)
+    r = oc.first_touch(with_paths(spark, sf), H, F.lit(180.0), stop, 12, deadline() <= NOW, F.lit(NOW) - deadline() > GRACE)
     return rounded(r, 6, "entry", "gross_bps", "net_bps", "mfe_bps", "mae_bps")
 
 
@@ -74,7 +76,7 @@ def first_touch(spark, sf):
 SELECT l.symbol, l.event_ms, side, CAST(l.level AS DOUBLE) AS level, CASE WHEN hk IS NOT NULL THEN TRUE WHEN n = {H} OR {NOW} - deadline > {GRACE} THEN FALSE END AS touched, hk::INT AS touch_k FROM l JOIN h USING (symbol, event_ms, level)""")
 def level_touches(spark, sf):
     """Touch of each level from the source price, unknown while the window is incomplete."""
-    return oc.level_touches(with_paths(spark, sf), H, LEVELS, F.lit(NOW) - DEADLINE > GRACE)
+    return oc.level_touches(with_paths(spark, sf), H, LEVELS, F.lit(NOW) - deadline() > GRACE)
 
 
 PAPER = EV + f""",
@@ -146,7 +148,7 @@ SELECT symbol, event_ms, CASE WHEN data_end < deadline THEN 'PENDING' ELSE 'UNKN
 def open_status(spark, sf):
     """What the unresolved events wait for: data still to come, or data that never came."""
     ends = thin(spark, sf).groupBy("symbol").agg((F.max("open_time_ms") + (DAY - 1)).alias("data_end"))
-    return oc.open_status(with_paths(spark, sf).where(F.size("path") < H).join(ends, "symbol"), DEADLINE, F.col("data_end"))
+    return oc.open_status(with_paths(spark, sf).where(F.size("path") < H).join(ends, "symbol"), deadline(), F.col("data_end"))
 
 
 @query(f"""WITH {EV}, b AS (SELECT symbol, open_time_ms AS event_ms, close AS source FROM tb WHERE (open_time_ms % {7 * DAY}) // {DAY} IN (0, 3)), j AS (SELECT b.symbol, b.event_ms, source, count(*) AS n, max(high) AS hi, min(low) AS lo FROM b JOIN tb t ON t.symbol = b.symbol AND t.open_time_ms > b.event_ms AND t.open_time_ms <= b.event_ms + {H * DAY} GROUP BY ALL HAVING count(*) = {H})

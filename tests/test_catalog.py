@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "orders", "supplier", "nation"):
+    for t in ("lineitem", "events", "orders", "supplier", "nation", "part"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     cur = con.execute(catalog.ORACLES[name])
