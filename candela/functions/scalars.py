@@ -33,7 +33,8 @@ def log_bps(entry: Column, exit_: Column) -> Column:
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Lower and upper bound of a share; null without observations."""
-    p, zz = hits / F.nullif(n, F.lit(0)), z * z
+    n = F.nullif(n, F.lit(0))
+    p, zz = hits / n, z * z
     mid = (p + zz / (2 * n)) / (1 + zz / n)
     half = z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)

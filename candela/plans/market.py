@@ -76,13 +76,13 @@ def indicator_frame(spark, sf):
     return mk.indicators(calm(spark, sf))
 
 
-_SHOWN = ("ema20", "ema50", "ema200", "ema576", "ema1200", "atr", "rsi", "sigma", "vz", "vol_ratio", "quote288", "hi144", "lo24")
+_SHOWN = ("ema20", "ema50", "ema200", "ema576", "ema1200", "atr", "rsi", "sigma", "vz", "vol_ratio", "quote288")
 
 
-@query(f"WITH RECURSIVE {IND} SELECT symbol, open_time_ms, {', '.join(f'round({c}, 5) AS {c}' for c in _SHOWN)}, squeeze, recent_squeeze FROM ind")
+@query(f"WITH RECURSIVE {IND} SELECT symbol, open_time_ms, {', '.join(f'round({c}, 5) AS {c}' for c in _SHOWN)}, hi144, lo24, squeeze, recent_squeeze FROM ind")
 def indicators(spark, sf):
     """EMAs, ATR, RSI, deviations, extremes and squeeze flags of every candle."""
-    return rounded(indicator_frame(spark, sf).select("symbol", "open_time_ms", *_SHOWN, "squeeze", "recent_squeeze"), 5, *_SHOWN)
+    return rounded(indicator_frame(spark, sf).select("symbol", "open_time_ms", *_SHOWN, "hi144", "lo24", "squeeze", "recent_squeeze"), 5, *_SHOWN)
 
 
 def study_frame(spark, sf):
