@@ -6,7 +6,7 @@ bucket by bucket, with the immutable sorted runs of all earlier batches; what oc
 run or in two documents of the batch is a hit. The batch's own fingerprints become a new run; runs
 are compacted into one when there are more than ``max_runs``. Equal windows have equal
 fingerprints, so hits never miss a repeated window; they are then verified: only windows with a
-hit fingerprint are compared, by 128 bits of two unrelated hashes of their words, and matched
+hit fingerprint are compared, by 96 bits of two unrelated hashes of their words, and matched
 exactly across all documents; the few windows that very many rows have are joined by broadcast, so no task holds one of them whole.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null or empty text has no words;
@@ -35,8 +35,18 @@ HITS = Layout(bits=1 << 26, buckets=64, hashes=2)
 RUN = "bucket long, keys binary"
 #: Windows with more than this part of all suspected rows are broadcast; there are at most so many.
 POPULAR = 1000
-#: Batches of the registered query and runs that the index holds: the last batches find compacted history.
-BATCHES, RUNS = 4, 2
+#: Batches of the registered query and runs that the index holds: the last batch finds compacted history.
+BATCHES, RUNS = 3, 1
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as differences in byte planes: the upper planes are nearly all zeros, which compress away."""
+    return np.diff(keys, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
 def _window_prints(w, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +87,7 @@ def fingerprint_rows(docs: DataFrame, width: int, gram: int, buckets: int) -> Da
             top = (key >> np.uint64(64 - shift)).astype(np.int64)
             rest = ((key >> np.uint64(32 - shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             return pa.RecordBatch.from_pylist(
-                [{"bucket": b, "once": k.tobytes(), "twice": k[m].tobytes()} for b, k, m in by_bucket(top, rest, multi)],
+                [{"bucket": b, "once": packed(k), "twice": packed(k[m])} for b, k, m in by_bucket(top, rest, multi)],
                 schema=pa.schema([("bucket", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
 
         for batch in batches:
@@ -129,12 +139,13 @@ class FingerprintIndex:
             return self.spark.createDataFrame([], RUN)
         return self.spark.read.schema(RUN).option("recursiveFileLookup", "true").parquet(*self.runs)
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """(bucket, hits) of a batch: fingerprints found in an earlier run or in two documents of it."""
+    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """(bucket, hits) of a batch: fingerprints found in an earlier run or in two documents of it. Nothing is compacted
+        after the ``last`` batch of an index that goes away."""
 
         def merged(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
             kind = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("hits", pa.binary())])
-            runs, once, twice = ([np.frombuffer(x, np.uint32) for x in t.column(c).to_pylist()] for t, c in ((old, "keys"), (new, "once"), (new, "twice")))
+            runs, once, twice = ([unpacked(x) for x in t.column(c).to_pylist()] for t, c in ((old, "keys"), (new, "once"), (new, "twice")))
             if not once:
                 return kind.empty_table()
             keys, count = np.unique(np.concatenate(once), return_counts=True)
@@ -143,7 +154,7 @@ class FingerprintIndex:
                 if len(run):
                     at = np.searchsorted(run, keys)
                     hit |= run[np.minimum(at, len(run) - 1)] == keys
-            return pa.Table.from_pylist([{"bucket": key[0].as_py(), "keys": keys.tobytes(), "hits": keys[hit].tobytes()}], schema=kind)
+            return pa.Table.from_pylist([{"bucket": key[0].as_py(), "keys": packed(keys), "hits": packed(keys[hit])}], schema=kind)
 
         rows = fingerprint_rows(docs, self.width, self.gram, self.buckets)
         run = self._new()
@@ -151,7 +162,7 @@ class FingerprintIndex:
         joined.write.parquet(run)
         self.runs.append(run)
         hits = stored(self.spark.read.parquet(run).select("bucket", "hits"))
-        if len(self.runs) > self.max_runs:
+        if len(self.runs) > self.max_runs and not last:
             self.compact()
         return hits
 
@@ -159,8 +170,8 @@ class FingerprintIndex:
         """Merge all runs into one sorted run; the old ones go once it is written."""
 
         def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for b in batches for x in b.column("keys").to_pylist()]))
-            yield pa.RecordBatch.from_pylist([{"bucket": key[0].as_py(), "keys": keys.tobytes()}], schema=pa.schema([("bucket", pa.int64()), ("keys", pa.binary())]))
+            keys = np.unique(np.concatenate([unpacked(x) for b in batches for x in b.column("keys").to_pylist()]))
+            yield pa.RecordBatch.from_pylist([{"bucket": key[0].as_py(), "keys": packed(keys)}], schema=pa.schema([("bucket", pa.int64()), ("keys", pa.binary())]))
 
         old, run = self.runs, self._new()
         self.history().groupBy("bucket").applyInArrow(merge, RUN).write.parquet(run)
@@ -177,7 +188,7 @@ def _hit_filter(hits: list[DataFrame], buckets: int, layout: Layout) -> dict[int
         bucket, bits = key[0].as_py(), np.zeros(layout.span, bool)
         for b in batches:
             for x in b.column("hits").to_pylist():
-                k = (np.uint64(bucket) << np.uint64(64 - shift)) | (np.frombuffer(x, np.uint32).astype(np.uint64) << np.uint64(32 - shift))
+                k = (np.uint64(bucket) << np.uint64(64 - shift)) | (unpacked(x).astype(np.uint64) << np.uint64(32 - shift))
                 bits[layout.places(k).ravel().astype(np.int64)] = True
         yield pa.RecordBatch.from_pylist([{"bucket": bucket, "bits": pack(bits)}], schema=pa.schema([("bucket", pa.int64()), ("bits", pa.binary())]))
 
@@ -207,9 +218,9 @@ def _suspect_windows(docs: DataFrame, hits, width: int, gram: int, buckets: int,
                 w1, w2 = grams(w.hashes(0), width, 0)[i], grams(w.hashes(1), width, 1)[i]
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, hi - lo).take(pa.array(own)), pa.array(tags[lo:hi][own]), pa.array((i - w.first[own]).astype(np.int32)),
-                    pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["doc_id", "tag", "pos", "w1", "w2"])
+                    pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "tag", "pos", "w1", "w2"])
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, pos int, w1 long, w2 long")
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, pos int, w1 long, w2 int")
 
 
 def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, layout: Layout = HITS) -> DataFrame:
@@ -225,27 +236,59 @@ def repeated_positions(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ba
     edges = [None, *sorted(set(cuts)), None]
     where = scratch(spark, "fingerprints")
     index, hits = FingerprintIndex(spark, where, width, gram, buckets), []
-    for lo, hi in zip(edges, edges[1:]):
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
         part = docs
         if lo is not None:
             part = part.where(F.col("doc_id") > lo)
         if hi is not None:
             part = part.where(F.col("doc_id") <= hi)
-        hits.append(index.add(part))
+        hits.append(index.add(part, last=k == len(edges) - 2))
     held = spark.sparkContext.broadcast(_hit_filter(hits, buckets, layout))
     drop_path(spark, where)
-    suspects = stored(_suspect_windows(docs, held, width, gram, buckets, layout))
+    # written as Parquet: a document's rows share their id, so they take little more than their hashes
+    path = scratch(spark, "suspects")
+    _suspect_windows(docs, held, width, gram, buckets, layout).write.parquet(path)
+    suspects = spark.read.parquet(path)
     seen = suspects.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     first = stored(seen.where("first < last").select("w1", "w2", "first", "n"))
     # at most POPULAR windows can each have more than a POPULAR-th of all rows: these few are broadcast, so that none of them meets
-    # in one task; the others are joined by a shuffle
+    # in one task; the others are joined by a shuffle, after a filter of a fixed size has dropped most that match nothing
     total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     popular = F.broadcast(first.where(F.col("n") > total / POPULAR).select("w1", "w2", "first"))
     rare = first.where(F.col("n") <= total / POPULAR).select("w1", "w2", "first")
     often = suspects.join(popular, ["w1", "w2"])
-    rest = suspects.join(popular.select("w1", "w2"), ["w1", "w2"], "left_anti").join(rare, ["w1", "w2"])
+    known = spark.sparkContext.broadcast(_window_filter(rare, layout))
+    rest = _maybe(suspects, known, layout).join(popular.select("w1", "w2"), ["w1", "w2"], "left_anti").join(rare, ["w1", "w2"])
     found = often.unionByName(rest).where("doc_id > first")
-    return found.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"))
+    out = stored(found.groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at")))
+    drop_path(spark, path)
+    held.destroy(), known.destroy()
+    return out
+
+
+def _window_filter(rare: DataFrame, layout: Layout) -> dict[int, bytes]:
+    """The first hashes of the repeated windows as segments of a filter of a fixed size."""
+    bits = layout.buckets.bit_length() - 1
+
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(layout.span, bool)
+        for b in batches:
+            flags[layout.places(b.column("w1").to_numpy(zero_copy_only=False).view(np.uint64)).ravel().astype(np.int64)] = True
+        yield pa.RecordBatch.from_pylist([{"bucket": key[0].as_py(), "bits": pack(flags)}], schema=pa.schema([("bucket", pa.int64()), ("bits", pa.binary())]))
+
+    keyed = rare.select(F.shiftrightunsigned("w1", 64 - bits).alias("bucket"), "w1")
+    return {r["bucket"]: bytes(r["bits"]) for r in keyed.groupBy("bucket").applyInArrow(build, "bucket long, bits binary").collect()}
+
+
+def _maybe(suspects: DataFrame, known, layout: Layout) -> DataFrame:
+    """The rows whose window may be a repeated one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Filter(layout, known.value)
+        for batch in batches:
+            yield batch.filter(pa.array(held.maybe(batch.column("w1").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return suspects.mapInArrow(run, suspects.schema)
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -254,12 +297,12 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batc
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("tag", F.xxhash64("text"))
     # Later exact copies: all their windows start in the first one.
-    ids = stored(base.select("doc_id", "tag", F.md5("text").alias("digest")).where("doc_id is not null"))
+    ids = stored(base.select("doc_id", "tag", F.unhex(F.md5("text")).alias("digest")).where("doc_id is not null"))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = stored(ids.join(first, "digest").where("doc_id > first").select("doc_id", "tag").distinct())
     copies = small(copies).withColumn("copy", F.lit(True))
     marked = base.join(copies, ["doc_id", "tag"], "left")
-    gone = stored(repeated_positions(marked.where("copy is null and doc_id is not null").select("doc_id", "tag", "text"), width, gram, batches))
+    gone = (repeated_positions(marked.where("copy is null and doc_id is not null").select("doc_id", "tag", "text"), width, gram, batches))
     every = marked.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "copy", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
