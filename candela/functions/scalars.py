@@ -37,7 +37,8 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     p, zz = hits / n, z * z
     mid = (p + zz / (2 * n)) / (1 + zz / n)
     half = z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    some = n.isNotNull()
+    return F.when(some, F.greatest(F.lit(0.0), mid - half)), F.when(some, F.least(F.lit(1.0), mid + half))
 
 
 def sigmoid(x: Column) -> Column:

@@ -101,7 +101,7 @@ def paper_outcomes(spark, sf):
 
 @query(f"""WITH {PAPER}, g AS (SELECT symbol, level, count(*) AS records, count(*) FILTER (NOT mature) AS pending, count(*) FILTER (mature AND NOT complete) AS missing, count(*) FILTER (mature AND complete) AS n, count(*) FILTER (mature AND complete AND hit) AS hits,
   count(*) FILTER (mature AND complete AND first_before_stop IS NOT NULL) AS first_n, count(*) FILTER (mature AND complete AND first_before_stop) AS first_wins, count(*) FILTER (mature AND complete AND first_before_stop IS NULL) AS ambiguous, avg(net_bps) FILTER (mature AND complete) AS m FROM paper GROUP BY ALL)
-SELECT * EXCLUDE (m), round(m, 6) AS mean_net, round(hits / n, 9) AS rate, round(greatest(0, (hits / n + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)), 9) AS low FROM g""")
+SELECT * EXCLUDE (m), round(m, 6) AS mean_net, round(hits / nullif(n, 0), 9) AS rate, round(CASE WHEN n > 0 THEN greatest(0, (hits / n + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)) END, 9) AS low FROM g""")
 def level_metrics(spark, sf):
     """Touch metrics by symbol and level with the Wilson bound, first-before-stop wins and ties."""
     from candela.functions.scalars import wilson
