@@ -14,7 +14,7 @@ LEDGER = f"""
 l0 AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderkey AS u FROM orders),
 l1 AS (SELECT u AS id, 'C' || (o_custkey % 60) AS symbol, ['F1', 'F2', 'F3', 'B1', 'B2'][u % 5 + 1] AS family, CASE WHEN u % 3 = 0 THEN list_sort(list_distinct([['F1', 'F2', 'F3', 'B1', 'B2'][u % 5 + 1], ['F1', 'F2', 'F3', 'B1', 'B2'][u // 5 % 5 + 1]])) ELSE [['F1', 'F2', 'F3', 'B1', 'B2'][u % 5 + 1]] END AS families,
   ['BULL', 'TRANSITION', 'OFF'][u // 3 % 3 + 1] AS regime, CASE WHEN u % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, [15, 30, 60][u // 2 % 3 + 1]::INT AS horizon, (cents % 400) / 100.0 AS score, CAST(cents % 601 - 280 AS DOUBLE) AS gross, CAST(u % 5 + 10 AS DOUBLE) AS cost,
-  epoch_ms(o_orderdate) + (u % 288) * 300000 + 299999 AS bar_ms, cents % 3 = 0 AS notified, CASE WHEN u % 17 <> 0 THEN (cents % 97) / 10.0 END AS spread_bps, (cents % 1000) * 10000.0 AS quote_volume, CAST(u % 41 - 20 AS DOUBLE) AS funding_bps, CAST(cents % 131 AS DOUBLE) AS volatility_bps,
+  epoch_ms(o_orderdate) + (u % 288) * 300000 + 299999 AS bar_ms, cents % 3 = 0 AS notified, CASE WHEN u % 17 <> 0 THEN (cents % 97) / 10.0 END AS spread_bps, CAST((cents % 1000) * 10000 AS DOUBLE) AS quote_volume, CAST(u % 41 - 20 AS DOUBLE) AS funding_bps, CAST(cents % 131 AS DOUBLE) AS volatility_bps,
   CASE WHEN o_orderdate < TIMESTAMP '1999-01-01' THEN 'p1' ELSE 'p2' END AS policy FROM l0),
 ledger AS MATERIALIZED (SELECT *, CASE WHEN id % 11 <> 0 THEN gross - cost END AS net, CASE WHEN id % 13 <> 0 THEN CASE WHEN gross >= 150 THEN 'TARGET' WHEN gross <= -150 THEN 'STOP' ELSE 'TIME_EXIT' END END AS status, bar_ms + horizon * 60000 AS settled_ms,
   CASE WHEN direction = 'LONG' AND list_contains(families, 'F2') THEN 'FLUSH_RECOVERY_LONG' WHEN direction = 'LONG' AND regime = 'BULL' THEN 'BULL_CONTINUATION_LONG' WHEN direction = 'SHORT' AND regime = 'BULL' THEN 'BULL_EXHAUSTION_SHORT' WHEN direction = 'SHORT' AND list_contains(families, 'F2') THEN 'DOWNSIDE_CONTINUATION_SHORT' WHEN direction = 'LONG' THEN 'DIRECTIONAL_LONG' ELSE 'DIRECTIONAL_SHORT' END AS strategy FROM l1)"""
