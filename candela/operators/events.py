@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalars import frame, guarded, linear_bps, ratio, series, true_range
+from candela.operators.outcomes import first_of, with_path
 
 
 def rising(cond: Column, quiet: int = 11) -> Column:
@@ -51,40 +52,25 @@ def bracket_outcomes(events: DataFrame, bars: DataFrame, step: int, horizon: int
     first target or stop (stop first in one candle), at the last close after ``horizon`` candles, or stay
     ``DATA_MISSING`` if a candle of the horizon is absent before any touch.
 
-    The interval join is an equi join: time is cut into buckets of ``bucket`` candles and an event is sent
-    to the one to few buckets that its horizon meets.
+    One bucketed interval join gives each event its candles as an array; entry, touches and the check for gaps are read from it.
     """
-    width = bucket * step
-    w = series()
-    ev = events.select("symbol", F.col("open_time_ms").alias("event_ms"))
-    first, last = F.col("event_ms") + step, F.col("event_ms") + horizon * step
-    ev = ev.withColumn("b", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
-    bb = bars.select("symbol", F.col("open_time_ms").alias("t"), "open", "high", "low", "close", F.floor(F.col("open_time_ms") / width).alias("b"))
-    j = ev.join(bb, ["symbol", "b"]).where((F.col("t") >= first) & (F.col("t") <= last))
-    entry = j.groupBy("symbol", "event_ms").agg(F.max(F.when(F.col("t") == first, F.col("open"))).alias("entry"), F.count("*").alias("n_bars"))
-    j = j.join(entry.where("entry is not null"), ["symbol", "event_ms"])
-    target = F.col("entry") * (1 + side * target_bps / 10_000)
-    stop = F.col("entry") * (1 - side * stop_bps / 10_000)
-    hit_t = (F.col("high") >= target) if side > 0 else (F.col("low") <= target)
-    hit_s = (F.col("low") <= stop) if side > 0 else (F.col("high") >= stop)
-    past_t = (F.col("open") >= target) if side > 0 else (F.col("open") <= target)
-    past_s = (F.col("open") <= stop) if side > 0 else (F.col("open") >= stop)
-    k = ((F.col("t") - F.col("event_ms")) / step).cast("long")
-    inside = F.col("t") > first  # the entry candle opens at the entry price
-    reason = F.when(hit_s, F.when(past_s & inside & F.lit(gaps), "STOP_GAP").otherwise("STOP")).when(hit_t, F.when(past_t & inside & F.lit(gaps), "TARGET_GAP").otherwise("TARGET"))
-    price = F.when(reason.isin("STOP_GAP", "TARGET_GAP"), F.col("open")).when(reason == "STOP", stop).when(reason == "TARGET", target)
-    j = j.withColumns({"k": k, "reason": reason, "price": price})
-    out = j.groupBy("symbol", "event_ms", "entry", "n_bars").agg(
-        F.min(F.when(F.col("reason").isNotNull(), F.struct("k", "reason", "price"))).alias("hit"),
-        F.max(F.when(F.col("k") == horizon, F.col("close"))).alias("last_close"), F.collect_list("k").alias("ks"))
-    seen = F.when(F.col("hit").isNotNull(), F.size(F.filter("ks", lambda x: x <= F.col("hit.k"))) == F.col("hit.k")).otherwise(F.col("n_bars") == horizon)
-    exit_ = F.when(~seen, None).otherwise(F.coalesce("hit.price", "last_close"))
+    r = with_path(events.select("symbol", F.col("open_time_ms").alias("event_ms")), bars, step, horizon, bucket)
+    r = r.withColumn("start", F.try_element_at("path", F.lit(1))).where("start.k = 1").withColumn("entry", F.col("start.open"))
+    target, stop = F.col("entry") * (1 + side * target_bps / 10_000), F.col("entry") * (1 - side * stop_bps / 10_000)
+    beyond = lambda x, level, up: (x >= level) if up else (x <= level)
+    hit_t = lambda x: beyond(x.high if side > 0 else x.low, target, side > 0)
+    hit_s = lambda x: beyond(x.low if side > 0 else x.high, stop, side < 0)
+    r = r.withColumn("hit", first_of(F.col("path"), lambda x: hit_s(x) | hit_t(x)))
+    h = F.col("hit")
+    inside = (h.k > 1) & F.lit(gaps)  # the entry candle opens at the entry price
+    reason = F.when(hit_s(h), F.when(beyond(h.open, stop, side < 0) & inside, "STOP_GAP").otherwise("STOP")).when(hit_t(h), F.when(beyond(h.open, target, side > 0) & inside, "TARGET_GAP").otherwise("TARGET"))
+    r = r.withColumns({"reason": reason, "seen": F.when(h.isNotNull(), F.size(F.filter("path", lambda x: x.k <= h.k)) == h.k).otherwise(F.size("path") == horizon)})
+    price = F.when(F.col("reason").isin("STOP_GAP", "TARGET_GAP"), h.open).when(F.col("reason") == "STOP", stop).when(F.col("reason") == "TARGET", target).otherwise(F.element_at("path", -1).close)
+    exit_ = F.when(F.col("seen"), price)
     gross = linear_bps(F.col("entry"), exit_, side)
-    return out.select(
-        "symbol", "event_ms", "entry",
-        F.when(~seen, "DATA_MISSING").otherwise(F.coalesce("hit.reason", F.lit("TIME_EXIT"))).alias("reason"),
-        F.when(~seen, None).otherwise(F.coalesce("hit.k", F.lit(horizon))).cast("long").alias("held"),
-        exit_.alias("exit"), gross.alias("gross_bps"), (gross - cost_bps).alias("net_bps"))
+    return r.select(
+        "symbol", "event_ms", "entry", F.when(~F.col("seen"), "DATA_MISSING").otherwise(F.coalesce("reason", F.lit("TIME_EXIT"))).alias("reason"),
+        F.when(F.col("seen"), F.coalesce(h.k, F.lit(horizon))).cast("long").alias("held"), exit_.alias("exit"), gross.alias("gross_bps"), (gross - cost_bps).alias("net_bps"))
 
 
 def forward_touch(bars: DataFrame, step: int, horizon: int, up_bps: float, down_bps: float) -> DataFrame:

@@ -93,8 +93,9 @@ def non_overlapping(trades: DataFrame, step: int, keys: tuple[str, ...] = ("symb
 
 
 def capacity_limited(trades: DataFrame, step: int, cap: int) -> DataFrame:
-    """At most ``cap`` open trades and one for each symbol, in order of time, then symbol. Sequential over the
-    accepted candidates (not over candles) by definition."""
+    """At most ``cap`` open trades and one for each symbol, in order of time, then symbol. The choice is sequential only while
+    trades are open: time is cut wherever every candidate has left before the next day begins, and each such stretch is a group
+    of its own. The cuts come from one row for each day."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["event_ms", "symbol"], kind="stable")
@@ -108,5 +109,12 @@ def capacity_limited(trades: DataFrame, step: int, cap: int) -> DataFrame:
                 open_until[symbol] = start + int(held) * step
         return pdf[keep]
 
+    width = max(DAY, step)
     rows = trades.where("net_bps is not null").withColumn("variant", F.lit(cap))
-    return rows.groupBy("variant").applyInPandas(fold, rows.schema)
+    day = F.floor(F.col("event_ms") / width).cast("long")
+    days = rows.groupBy(day.alias("_day")).agg(F.max(F.col("event_ms") + F.col("held") * F.lit(step).cast("long")).alias("_free"))
+    w = Window.orderBy("_day")  # one row for each day
+    before = F.max("_free").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cuts = days.withColumn("_new", (before <= F.col("_day") * width).cast("int")).withColumn("stretch", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).select("_day", "stretch")
+    cut = rows.withColumn("_day", day).join(cuts, "_day").drop("_day")
+    return cut.groupBy("variant", "stretch").applyInPandas(fold, cut.schema).drop("stretch")
