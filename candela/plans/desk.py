@@ -9,6 +9,7 @@ from candela.operators import desk as dk
 from candela.operators import ledgers as lg
 from candela.operators import market as mk
 from candela.operators import outcomes as oc
+from candela.operators import summaries as sm
 from candela.plans.catalog import BARS_1D, DAY, TRADES, query, rounded, trades_1d
 from candela.plans.ledgers import FORECAST, LEDGER, NOW, forecast_frame, newest
 from candela.plans.market import BENCH, CALM, RULES, _ewm, calm, lag, study_frame
@@ -217,3 +218,10 @@ def model_snapshot(spark, sf):
     """One JSON row for each model, and whether it is verified."""
     g = signals(spark, sf).groupBy("strategy").agg(F.count("*").alias("n"), F.avg("net").alias("m"))
     return g.select("strategy", F.to_json(F.struct("strategy", "n", (F.col("m") > 2).alias("verified"))).alias("model"), (F.col("m") > 2).alias("verified"))
+
+
+@query()
+def daily_capped_signals(spark, sf):
+    """At most two signals of a family and day, best first, one open for each symbol."""
+    r = signals(spark, sf).select(F.col("family").alias("arm"), "id", "symbol", F.col("bar_ms").alias("t"), (F.col("bar_ms") + F.lit(2 * DAY).cast("long")).alias("until"), "score")
+    return sm.daily_capped(r, 2).select("arm", "id")

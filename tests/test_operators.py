@@ -68,6 +68,20 @@ def test_capacity_and_overlap_by_loops(spark):
     assert sorted((r.symbol, r.event_ms) for r in summaries.non_overlapping(d, 1).collect()) == sorted(alone)
 
 
+def test_daily_cap_by_loops(spark):
+    from candela.sources.ledger import signals
+
+    day = 86_400_000
+    rows = [(r.family, r.id, r.symbol, r.bar_ms, r.score) for r in signals(spark, SF).collect()]
+    free, taken, want = {}, {}, []
+    for arm, i, s, t, score in sorted(rows, key=lambda r: (r[3], -r[4], r[2], r[1])):
+        if t >= free.get((arm, s), t) and taken.get((arm, t // day), 0) < 2:
+            free[arm, s] = t + 2 * day
+            taken[arm, t // day] = taken.get((arm, t // day), 0) + 1
+            want.append((arm, i))
+    assert sorted(tuple(r) for r in catalog.QUERIES["daily_capped_signals"](spark, SF).collect()) == sorted(want) and len(want) < len(rows)
+
+
 def test_gap_check_raises(spark):
     b = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3)], "symbol string, open_time_ms long")
     assert desk.gap_free(b.where("open_time_ms < 3"), 1).count() == 2
