@@ -10,6 +10,7 @@ from candela.operators import ledgers as lg
 from candela.operators import market as mk
 from candela.operators import outcomes as oc
 from candela.operators import summaries as sm
+from candela.operators import sweeps as sw
 from candela.plans.catalog import BARS_1D, DAY, TRADES, query, rounded, trades_1d
 from candela.plans.ledgers import FORECAST, LEDGER, NOW, forecast_frame, newest
 from candela.plans.market import BENCH, CALM, RULES, _ewm, calm, lag, study_frame
@@ -225,3 +226,9 @@ def daily_capped_signals(spark, sf):
     """At most two signals of a family and day, best first, one open for each symbol."""
     r = signals(spark, sf).select(F.col("family").alias("arm"), "id", "symbol", F.col("bar_ms").alias("t"), (F.col("bar_ms") + F.lit(2 * DAY).cast("long")).alias("until"), "score")
     return sm.daily_capped(r, 2).select("arm", "id")
+
+
+@query()
+def sweep_signals(spark, sf):
+    """Range, sweep, return and close across the point of control, in that order, on daily candles."""
+    return rounded(sw.sweep_signals(calm(spark, sf), k=3.0), 6, "poc", "stop")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candela.operators import desk, models, outcomes, summaries
+from candela.operators import desk, models, outcomes, summaries, sweeps
 from candela.plans import catalog
 from candela.sources import bars as src
 from candela.streaming import state
@@ -82,6 +82,36 @@ def test_daily_cap_by_loops(spark):
     assert sorted(tuple(r) for r in catalog.QUERIES["daily_capped_signals"](spark, SF).collect()) == sorted(want) and len(want) < len(rows)
 
 
+def test_sweep_pattern(spark):
+    none = (None, None, None)
+    base = [(0, 11, 9, 10, 9, 11, 10.2), (1, 10.5, 9.5, 10, *none), (2, 12, 8, 10, *none)]  # both ends: neither
+    down = [(3, 10, 8.5, 8.8, *none), (4, 9.5, 8.2, 9.2, *none), (5, 10.5, 9.1, 10.1, *none), (6, 10.8, 9.9, 10.4, *none)]
+    assert sweeps.follow([*base, *down]) == [(6, "LONG", 10.2, 8.2, 3)]
+    up = [(3, 11.5, 10, 10.8, *none), (4, 10.9, 9.8, 10.1, *none)]
+    assert sweeps.follow([*base, *up]) == [(4, "SHORT", 10.2, 11.5, 3)]
+    late = [(3, 10, 8.5, 9.5, *none), *((t, 10, 9.2, 9.6, *none) for t in range(4, 17)), (17, 11, 9, 10.9, *none)]
+    assert sweeps.follow([*base, *late]) == []
+    r = np.random.default_rng(2)
+    rows = []
+    for t in range(300):
+        o, c, v = r.normal(100, 0.4), r.normal(100, 0.4), float(r.integers(1, 50))
+        rows.append(("a", t, float(o), float(max(o, c) + abs(r.normal(0, 0.3))), float(min(o, c) - abs(r.normal(0, 0.3))), float(c), v))
+    b = spark.createDataFrame(rows, "symbol string, open_time_ms long, open double, high double, low double, close double, volume double")
+    got = sweeps.ranges_with_poc(b, 20, 30, 3.0).collect()
+    assert len(got) > 20
+    for x in got[:40]:
+        best = None
+        for n in range(20, 31):
+            part = rows[x.open_time_ms - n + 1 : x.open_time_ms + 1]
+            if len(part) == n and (min(p[4] for p in part), max(p[3] for p in part)) == (x.range_low, x.range_high):
+                w = (x.range_high - x.range_low) / 40
+                v = [sum(p[6] * max(0.0, min(p[3], x.range_low + i * w + w) - max(p[4], x.range_low + i * w)) / (p[3] - p[4]) for p in part) for i in range(40)]
+                best = x.range_low + (v.index(max(v)) + 0.5) * w
+                break
+        assert best == pytest.approx(x.poc)
+    assert sweeps.sweep_signals(b, least=20, most=30, k=3.0).columns[:3] == ["symbol", "open_time_ms", "side"]
+
+
 def test_gap_check_raises(spark):
     b = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3)], "symbol string, open_time_ms long")
     assert desk.gap_free(b.where("open_time_ms < 3"), 1).count() == 2
