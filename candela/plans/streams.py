@@ -12,7 +12,6 @@ from candela.sources import bars as src
 from candela.sources.files import scratch
 from candela.sources.ledger import signals
 from candela.streaming import state as st
-from candela.streaming.candles import finished
 
 #: Days with day % 97 = 3 are missing; those without votes are unhealthy.
 MACHINE = REGIME + f""",
@@ -43,12 +42,12 @@ def regime_machine(spark, sf):
 
 @query(f"WITH RECURSIVE {MACHINE}")
 def streamed_regime_machine(spark, sf):
-    """The same machine over a stream of three micro-batches, with its state kept between them."""
+    """The same machine over a stream that arrives in three parts, each run restarted from the checkpoint of the one before."""
     path = scratch(spark, "regime-rows")
     regime_rows(spark, sf).write.parquet(path)
     r = spark.read.parquet(path)
     parts = [r.where("open_time_ms < 850000000000"), r.where("open_time_ms between 850000000000 and 949999999999"), r.where("open_time_ms >= 950000000000")]
-    return finished(spark, st.regimes(st.stream_of(spark, parts, "regime-stream"), DAY), "regime-machine")
+    return st.run_parts(spark, parts, lambda rows: st.regimes(rows, DAY), "regime-machine")
 
 
 @query(f"""WITH {BARS_1D}, d AS (SELECT symbol, open_time_ms, (open_time_ms - lag(open_time_ms) OVER (PARTITION BY symbol ORDER BY open_time_ms)) // {DAY} - 1 AS missing FROM bars) SELECT symbol, open_time_ms, CASE WHEN missing > 0 THEN 'GAP' ELSE 'APPEND' END AS action, coalesce(missing, 0) AS missing FROM d""")
@@ -57,7 +56,7 @@ def streamed_appends(spark, sf):
     b = src.bars_1d(spark, sf).select("symbol", "open_time_ms", "close")
     old = b.where("open_time_ms < 900000000000")
     again = b.where(f"open_time_ms >= 900000000000 - {20 * DAY}")
-    return finished(spark, st.appended(st.stream_of(spark, [old, again.unionByName(again.where(f"open_time_ms % {4 * DAY} = 0"))], "candles"), DAY), "appends")
+    return st.run_parts(spark, [old, again.unionByName(again.where(f"open_time_ms % {4 * DAY} = 0"))], lambda rows: st.appended(rows, DAY), "appends")
 
 
 @query(f"""WITH RECURSIVE {LEDGER}, s AS (SELECT symbol || ':' || direction AS key, bar_ms AS t, id, score, row_number() OVER (PARTITION BY symbol, direction ORDER BY bar_ms) AS k FROM ledger QUALIFY count(*) OVER (PARTITION BY symbol, direction, bar_ms) = 1),
@@ -71,7 +70,7 @@ def streamed_deliveries(spark, sf):
     s = l.join(alone, ["symbol", "direction", "bar_ms"], "left_semi").select(F.concat_ws(":", "symbol", "direction").alias("key"), F.col("bar_ms").alias("t"), "id", "score", F.timestamp_millis("bar_ms").alias("at"))
     cut = 900_000_000_000
     late = s.where(F.col("t") >= cut)
-    return finished(spark, st.deliveries(st.stream_of(spark, [s.where(F.col("t") < cut), late.unionByName(late.where("id % 3 = 0"))], "signals"), 5 * DAY, 1.0), "deliveries")
+    return st.run_parts(spark, [s.where(F.col("t") < cut), late.unionByName(late.where("id % 3 = 0"))], lambda rows: st.deliveries(rows, 5 * DAY, 1.0), "deliveries")
 
 
 @query(f"""WITH RECURSIVE {BARS_1H}, c AS (SELECT symbol AS code, open_time_ms AS t, volume < 3 AS bad, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) AS k FROM bars),
@@ -80,7 +79,7 @@ SELECT code, t, n AS failures FROM i WHERE due""")
 def streamed_incidents(spark, sf):
     """Incidents after three failing checks in a row, repeated at most every six hours."""
     b = src.bars_1h(spark, sf).select(F.col("symbol").alias("code"), F.col("open_time_ms").alias("t"), (F.col("volume") < 3).alias("bad"))
-    return finished(spark, st.incidents(st.stream_of(spark, [b.where("t < 1705000000000"), b.where("t >= 1705000000000")], "checks"), 6 * HOUR), "incidents")
+    return st.run_parts(spark, [b.where("t < 1705000000000"), b.where("t >= 1705000000000")], lambda rows: st.incidents(rows, 6 * HOUR), "incidents")
 
 
 GRACE = 30 * DAY
@@ -102,7 +101,7 @@ def streamed_lifecycles(spark, sf):
     first = e.withColumn("s", start).groupBy("id").agg(F.max("s").alias("s"))
     j = e.join(first, "id")
     parts = [j.where((F.lit(True) if a is None else F.col("s") >= a) & (F.lit(True) if b is None else F.col("s") < b)).select(*e.columns) for a, b in zip(cuts, cuts[1:])]
-    return finished(spark, st.lifecycles(st.stream_of(spark, parts, "setup-events"), GRACE), "lifecycles")
+    return st.run_parts(spark, parts, lambda rows: st.lifecycles(rows, GRACE), "lifecycles")
 
 
 @query(f"WITH {BARS_1H} SELECT symbol, max(open_time_ms) AS open_time_ms, arg_max(close, open_time_ms) AS close FROM bars WHERE trade_count % 3 <> 0 GROUP BY symbol")
@@ -121,4 +120,4 @@ SELECT * EXCLUDE (n) FROM g WHERE n = 4 AND bucket_ms + {4 * HOUR} <= (SELECT ma
 def streamed_whole_windows(spark, sf):
     """Four-hour candles from a stream of hourly ones, complete ones only."""
     b = src.bars_1h(spark, sf).select("symbol", F.timestamp_millis("open_time_ms").alias("at"), "open", "high", "low", "close")
-    return finished(spark, st.whole_windows(st.stream_of(spark, [b.where("at < timestamp_millis(1705000000000)"), b.where("at >= timestamp_millis(1705000000000)")], "hourly"), 4), "windows")
+    return st.run_parts(spark, [b.where("at < timestamp_millis(1705000000000)"), b.where("at >= timestamp_millis(1705000000000)")], lambda rows: st.whole_windows(rows, 4), "windows")

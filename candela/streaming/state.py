@@ -14,12 +14,16 @@ from candela.sources.files import scratch
 Step = Callable[[tuple | None, tuple], tuple[tuple, tuple | None]]
 
 
-def stream_of(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
-    """The parts as a file stream, one part for each micro-batch, in order."""
-    path = scratch(spark, name)
+def run_parts(spark: SparkSession, parts: list[DataFrame], machine: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The rows of a machine over parts that arrive one after the other: each is appended to the source folder and taken by a run
+    that starts anew from the checkpoint of the one before, so state, watermark and offsets outlive every restart."""
+    path, out = scratch(spark, f"{name}-source"), scratch(spark, name)
+    made = None
     for p in parts:
-        p.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        p.write.mode("append").parquet(path)
+        made = machine(spark.readStream.schema(parts[0].schema).parquet(path))
+        made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{out}/rows")
 
 
 def _run(rows: pd.DataFrame, columns: list[str], order: str, state: tuple | None, step: Step) -> tuple[tuple | None, list[tuple]]:
