@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, lines, mixing, neighbours, packing, pseudonyms, quality, secrets, substrings
+from . import alignment, balance, fingerprints, importance, jaccard, lines, mixing, neighbours, packing, pseudonyms, quality, secrets, substrings
 from .runtime import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.pack_balanced(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _prepared(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
@@ -61,7 +73,8 @@ def _prepared(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
-    op1_fingerprints, op2_pseudonyms, op3_secrets, op4_lines, op5_substrings, op6_jaccard, op7_packing, op8_fertility, op9_neighbours, op10_mixing)}
+    op1_fingerprints, op2_pseudonyms, op3_secrets, op4_lines, op5_substrings, op6_jaccard, op7_packing, op8_fertility, op9_neighbours, op10_mixing,
+    op11_alignment, op12_balanced, op13_importance)}
 
 ORACLES: dict[str, str] = {
     "op4_lines": r"""
@@ -97,5 +110,24 @@ SELECT s.doc_id, len(s.s) AS n_shingles,
   CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE coalesce((SELECT min(doc_id) FROM sets z WHERE z.doc_id <= s.doc_id AND list_sort(z.s) = list_sort(s.s)), s.doc_id) END AS class_id,
   coalesce(d.n, 0) AS n_links, coalesce(c.r, s.doc_id) AS component_id
 FROM sets s LEFT JOIN degree d USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) c USING (doc_id)
+""",
+    "op13_importance": r"""
+WITH docs AS (SELECT 'd' AS side, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark),
+worded AS (SELECT side, doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM docs),
+flat AS (SELECT side, doc_id, unnest(ws || list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM worded),
+names AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM flat),
+-- CRC-32 bit by bit: each byte enters before eight shifts
+crcs AS (SELECT f, xor(list_reduce(
+    [4294967295::BIGINT] || flatten(list_transform(generate_series(1, len(x) - 1, 2), lambda i: [('0x' || x[i : i + 1])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) % 10000 AS b FROM names),
+hashed AS (SELECT side, doc_id, b FROM flat JOIN crcs USING (f)),
+counts AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM hashed GROUP BY b),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counts),
+gains AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g FROM counts, sums),
+weighed AS (SELECT doc_id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS w FROM hashed JOIN gains USING (b) WHERE side = 'd' GROUP BY doc_id),
+scored AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+    coalesce(w, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM worded LEFT JOIN weighed USING (doc_id) WHERE side = 'd'),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """,
 }

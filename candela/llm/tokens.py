@@ -52,7 +52,7 @@ class ByteBpe:
         import tiktoken
 
         with open(vocabulary(name), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranks = self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache = _Cache(self.whole)
         self.mark, self.mark_id = (special[0], np.array([special[1]], "<u4").tobytes()) if special else (None, b"")
@@ -69,6 +69,17 @@ class ByteBpe:
         return np.array(self.whole(first), "<u4").tobytes() + b"".join(map(self.cache.__getitem__, rest))
 
 
+    def encode_led(self, text: str) -> bytes:
+        """The ids of a space and ``text``, from the remembered chunks where no white space stands before a space."""
+        if _WIDE.search(text) or text[:1] == " ":
+            return np.array(self.whole(" " + text), "<u4").tobytes()
+        return b"".join(map(self.cache.__getitem__, text.split(" ")))
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id, in order of the ids."""
+        return [x for x, _ in sorted(self.ranks.items(), key=lambda kv: kv[1])]
+
+
 class PieceBpe:
     """Sentence pieces with byte fallback; words are encoded on their own and remembered."""
 
@@ -76,8 +87,11 @@ class PieceBpe:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name))
+        self.size = self.model.GetPieceSize()
         self.is_byte = np.array([self.model.IsByte(i) for i in range(self.model.GetPieceSize())])
         self.cache: dict[bytes, bytes] = {}
+        self.chunks = _Cache(lambda led: self.model.encode(led[1:]))  # the model adds the space itself
+        self.spaced = not any("\u2581" in self.model.IdToPiece(i).lstrip("\u2581") for i in range(self.model.GetPieceSize()))
 
     def word(self, word: bytes) -> bytes:
         out = self.cache.get(word)
@@ -91,3 +105,18 @@ class PieceBpe:
 
     def encode_words(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.word, words)), "<i4")
+
+    def encode_text(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a whole text. No piece holds a space behind another character (``spaced``), so the
+        chunks between single spaces are encoded on their own and remembered; other texts are encoded whole."""
+        if not self.spaced or "  " in text or text[:1] == " " or text[-1:] == " ":
+            return np.array(self.model.encode(text), "<u4").tobytes()
+        return b"".join(map(self.chunks.__getitem__, text.split(" ")))
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id: its piece with U+2581 as space, <0xHH> as that byte, control ids as nothing."""
+        out = []
+        for i in range(self.model.GetPieceSize()):
+            piece = self.model.IdToPiece(i)
+            out.append(bytes([int(piece[3:5], 16)]) if self.is_byte[i] else b"" if self.model.IsControl(i) else piece.replace("\u2581", " ").encode())
+        return out
