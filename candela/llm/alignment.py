@@ -55,12 +55,13 @@ def diagonals(a: np.ndarray, b: np.ndarray, every: int) -> np.ndarray:
     total = len(a) + len(b)
     d = np.arange(every, total, every)
     lo, hi = np.maximum(0, d - len(b)), np.minimum(d, len(a))
+    more_a, more_b = np.append(a, -1), np.append(b, -1)  # so that every place can be looked up
     while (open_ := lo < hi).any():
         mid = (lo + hi) // 2
-        right = open_ & (a[np.minimum(mid, len(a) - 1)] <= b[np.clip(d - mid - 1, 0, len(b) - 1)])
+        right = open_ & (more_a[np.minimum(mid, len(a))] <= more_b[np.clip(d - mid - 1, 0, len(b))])
         lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
     i, j = lo, d - lo
-    split = (i > 0) & (j < len(b)) & (a[np.maximum(i - 1, 0)] == b[np.minimum(j, len(b) - 1)])
+    split = (i > 0) & (j < len(b)) & (more_a[np.maximum(i - 1, 0)] == more_b[j])
     ij = np.stack([i, j + split])
     out = np.concatenate([[[0], [0]], ij, [[len(a)], [len(b)]]], axis=1)
     return out[:, np.append(True, np.diff(out.sum(axis=0)) > 0)] if total else out[:, :1]

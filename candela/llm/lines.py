@@ -9,7 +9,9 @@ they occur in and to find their first occurrence. The filter has a fixed number
 
 Defined cases: a null or empty text is one empty line; empty keys are never dropped (``min_chars``);
 each row counts as a document of its own, so repeated rows count twice; a line that occurs twice in
-one document counts once. First occurrence: smallest (doc_id, line number). Empty tables give none.
+one document counts once. First occurrence: smallest (doc_id, text's hash, line number), null ids last; so of rows with
+one id but unlike texts, or without an id, one keeps the line. Rows equal in id and text are one document read twice and
+keep the same lines. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,8 +85,16 @@ def twice_seen(docs: DataFrame, min_chars: int, layout: Layout = LAYOUT) -> dict
     return {r["bucket"]: bytes(r["bits"]) for r in merged.collect()}
 
 
-def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, layout: Layout = LAYOUT) -> DataFrame:
-    """(key, n_docs, first_doc, first_line) of the keys found in at least ``min_docs`` documents.
+def place(doc: int | None, text: bytes, line: int) -> tuple[bool, int, int, int]:
+    """Where a line stands, in the order in which occurrences come."""
+    return doc is None, doc or 0, xxhash.xxh3_64_intdigest(text) >> 1, line
+
+
+PLACE = ("no_id", "doc", "tag", "line")
+
+
+def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, layout: Layout = LAYOUT, suspects: Broadcast | None = None) -> DataFrame:
+    """(key, n_docs, first: ``PLACE``) of the keys found in at least ``min_docs`` documents.
 
     Suspects are summed in each task, then by Spark; a key that every document has sends one row
     from each task. ``min_docs`` must be 2 or more.
@@ -91,17 +102,17 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, layout: L
     spark = docs.sparkSession
     shared_dir(spark)
     layout = layout.spread(partitions(spark))
-    suspects = spark.sparkContext.broadcast(twice_seen(docs, min_chars, layout))
+    suspects = suspects or spark.sparkContext.broadcast(twice_seen(docs, min_chars, layout))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Filter(layout, suspects.value)
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, list] = {}
 
         def flush():
             out = pa.RecordBatch.from_arrays([
                 pa.array(list(found), pa.binary()).cast(pa.string()), pa.array([v[0] for v in found.values()], pa.int64()),
-                pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[2] for v in found.values()], pa.int64()),
-            ], names=["key", "n", "doc", "line"])
+                *(pa.array([v[1][i] for v in found.values()]) for i in range(len(PLACE))),
+            ], names=["key", "n", *PLACE])
             found.clear()
             return out
 
@@ -117,21 +128,19 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, layout: L
                 maybe = held.maybe(np.array([xxhash.xxh3_64_intdigest(k) for k in own], np.uint64))
                 for k, hit in zip(own, maybe):
                     if hit:
-                        old, at = found.get(k), ((1 << 63) - 1 if doc is None else doc, first[k])
+                        old, at = found.get(k), place(doc, text, first[k])
                         if old is None:
-                            found[k] = [1, *at]
+                            found[k] = [1, at]
                         else:
-                            old[0] += 1
-                            if at < (old[1], old[2]):
-                                old[1:] = at
+                            found[k] = [old[0] + 1, min(at, old[1])]
             if len(found) > 500_000:
                 yield flush()
         if found:
             yield flush()
 
-    rows = docs.select("doc_id", "text").mapInArrow(exact, "key string, n long, doc long, line long")
-    total = rows.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("doc", "line")).alias("at"))
-    return total.where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
+    rows = docs.select("doc_id", "text").mapInArrow(exact, "key string, n long, no_id boolean, doc long, tag long, line long")
+    total = rows.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct(*PLACE)).alias("first"))
+    return total.where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, layout: Layout = LAYOUT) -> DataFrame:
@@ -143,16 +152,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
     spark = docs.sparkSession
-    drop = stored(repeated_lines(docs, min_docs, min_chars, layout))
+    shared_dir(spark)
+    layout = layout.spread(partitions(spark))
+    suspects = spark.sparkContext.broadcast(twice_seen(docs, min_chars, layout))
+    drop = stored(repeated_lines(docs, min_docs, min_chars, layout, suspects))
     some, size = drop.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     docs = docs.select(*(docs[f"`{c}`"] for c in names))
     if some <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        table = {r["key"].encode(): (r["first_doc"], r["first_line"]) for r in drop.collect()}
+        table = {r["key"].encode(): tuple(r["first"]) for r in drop.collect()}
         known = spark.sparkContext.broadcast(table)
         fed = docs.select(F.struct("doc_id", "text").alias("in"), *(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)))
     else:
-        fed = _with_own_drops(docs, drop, names)
+        fed = _with_own_drops(docs, drop, names, layout, suspects)
         known = None
     schema = "n_lines long, n_dropped long, kept_text string, " + ", ".join(f"c_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
 
@@ -163,12 +175,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
             own = kind.field("drops").to_pylist() if shared is None else None
             lines, gone, kept = [], [], []
             for i, (doc, text) in enumerate(zip(kind.field("doc_id").to_pylist(), text_bytes(kind.field("text")))):
-                drops = shared if own is None else {x["key"].encode(): (x["first_doc"], x["first_line"]) for x in own[i] or ()}
+                drops = shared if own is None else {x["key"].encode(): tuple(x["first"].values()) for x in own[i] or ()}
                 raw, keys = text.split(NEWLINE), keys_of(text)
                 if drops.keys().isdisjoint(keys):
                     lines.append(len(raw)), gone.append(0), kept.append(text)
                     continue
-                left = [x for j, (x, k) in enumerate(zip(raw, keys)) if k not in drops or keep_first and drops[k] == (doc, j)]
+                left = [x for j, (x, k) in enumerate(zip(raw, keys)) if k not in drops or keep_first and drops[k] == place(doc, text, j)]
                 lines.append(len(raw)), gone.append(len(raw) - len(left)), kept.append(NEWLINE.join(left))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(f"c_{i}") for i in range(len(names)))],
@@ -179,14 +191,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
     return out.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(names)), "n_lines", "n_dropped", "kept_text")
 
 
-def _with_own_drops(docs: DataFrame, drop: DataFrame, names: list[str]) -> DataFrame:
-    """Beyond the broadcast bound: each text is joined with the dropped keys it holds."""
+def _with_own_drops(docs: DataFrame, drop: DataFrame, names: list[str], layout: Layout, suspects: Broadcast) -> DataFrame:
+    """Beyond the broadcast bound: each text is joined with the dropped keys it holds. Only suspected lines are shuffled."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Filter(layout, suspects.value)
         for batch in batches:
             row, key = [], []
             for i, text in enumerate(text_bytes(batch.column("text"))):
-                own = set(keys_of(text))
+                own = list(set(keys_of(text)))
+                maybe = held.maybe(np.array([xxhash.xxh3_64_intdigest(k) for k in own], np.uint64))
+                own = [k for k, hit in zip(own, maybe) if hit]
                 row += [i] * len(own)
                 key += own
             at = pa.array(row, pa.int64())
@@ -194,7 +209,7 @@ def _with_own_drops(docs: DataFrame, drop: DataFrame, names: list[str]) -> DataF
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     lines = rows.mapInArrow(keyed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, key string").distinct()
-    own = lines.join(drop, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "first_doc", "first_line")).alias("drops"))
+    own = lines.join(drop, "key").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("key", "first")).alias("drops"))
     own = own.withColumnsRenamed({"doc_id": "o_doc", "tag": "o_tag", "drops": "o_drops"})
     left = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("d")).withColumn("tag", F.xxhash64("d.text"))
     joined = left.join(own, F.col("d.doc_id").eqNullSafe(F.col("o_doc")) & (F.col("tag") == F.col("o_tag")), "left")

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 from candela.llm import jaccard, lines, substrings
 from candela.llm.bits import Layout
 
@@ -71,6 +73,19 @@ def test_lines_first_stays(spark):
     assert got == {1: "y\na ", 2: "x", 3: ""}
 
 
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_lines_first_stays_without_ids_and_with_repeated_ones(spark, monkeypatch, bound):
+    """Twelve texts without an id, or of one id: one of them keeps the line. Rows equal in id and text keep it together."""
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", bound)
+    for doc in (None, 5):
+        d = spark.createDataFrame([(doc, f"shared\nown {i}") for i in range(12)], "doc_id long, text string")
+        kept = [r.kept_text for r in lines.dedup_lines(d, 10, keep_first=True).collect()]
+        assert sorted(x.split("\n")[-1] for x in kept) == sorted(f"own {i}" for i in range(12))
+        assert sum("shared" in x for x in kept) == 1
+    d = spark.createDataFrame([(None, "a\nx"), (3, "y\na"), (3, "y\na"), (4, None)], "doc_id long, text string")
+    assert sorted(r.kept_text for r in lines.dedup_lines(d, 2, keep_first=True).collect()) == ["", "x", "y\na", "y\na"]
+
+
 def brute_substrings(rows, width=13):
     first = {}
     for d, t in sorted(rows, key=lambda x: x[0]):
