@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalars import wilson
+from candela.operators import folds
 
 DAY = 86_400_000
 #: Fixed values of the resampling hash: x = (a r + b s + c) mod p, all products below 2^63.
@@ -92,54 +91,16 @@ def non_overlapping(trades: DataFrame, step: int, keys: tuple[str, ...] = ("symb
     return rows.groupBy(*keys).applyInPandas(fold, rows.schema)
 
 
-def _stretches(rows: DataFrame, key: str, start: str, until: str) -> DataFrame:
-    """``stretch``: a number that grows, by key, at each day that begins after every earlier row has ended. Rows of different
-    stretches never meet, so each is a group of its own. The cuts come from one row for each key and day."""
-    day = F.floor(F.col(start) / DAY).cast("long")
-    days = rows.groupBy(key, day.alias("_day")).agg(F.max(until).alias("_free"))
-    w = Window.partitionBy(key).orderBy("_day")
-    before = F.max("_free").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cuts = days.withColumn("_new", (before <= F.col("_day") * DAY).cast("int")).withColumn("stretch", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    return rows.withColumn("_day", day).join(cuts.select(key, "_day", "stretch"), [key, "_day"]).drop("_day")
-
-
-def daily_capped(rows: DataFrame, cap: int) -> DataFrame:
+def daily_capped(rows: DataFrame, cap: int, bound: int = folds.BOUND) -> DataFrame:
     """Rows (arm, id, symbol, t, until, score) accepted in order of time, then score: at most ``cap`` of an arm and UTC day, and one
-    open at a time for each symbol. Folded by arm and independent stretch of time."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_s=-pdf["score"]).sort_values(["t", "_s", "symbol", "id"], kind="stable").drop(columns="_s")
-        free: dict[str, int] = {}
-        taken: dict[int, int] = {}
-        keep = []
-        for symbol, t, until in zip(pdf["symbol"], pdf["t"], pdf["until"]):
-            ok = t >= free.get(symbol, t) and taken.get(t // DAY, 0) < cap
-            keep.append(ok)
-            if ok:
-                free[symbol] = until
-                taken[t // DAY] = taken.get(t // DAY, 0) + 1
-        return pdf[keep]
+    open at a time for each symbol. Dense arms are folded in chunks of days (``folds``)."""
+    taken = folds.daily_capped(rows, ("arm",), "id", "t", "until", [F.col("t"), F.desc("score"), F.col("symbol"), F.col("id")], cap, DAY, bound)
+    return rows.join(taken, ["arm", "id"], "left_semi")
 
-    cut = _stretches(rows, "arm", "t", "until")
-    return cut.groupBy("arm", "stretch").applyInPandas(fold, cut.schema).select(*rows.columns)
-
-
-def capacity_limited(trades: DataFrame, step: int, cap: int) -> DataFrame:
-    """At most ``cap`` open trades and one for each symbol, in order of time, then symbol. The choice is sequential only while
-    trades are open, so it is folded by independent stretches of time."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["event_ms", "symbol"], kind="stable")
-        open_until: dict[str, int] = {}
-        keep = []
-        for symbol, start, held in zip(pdf["symbol"], pdf["event_ms"], pdf["held"]):
-            open_until = {s: t for s, t in open_until.items() if t > start}
-            ok = symbol not in open_until and len(open_until) < cap
-            keep.append(ok)
-            if ok:
-                open_until[symbol] = start + int(held) * step
-        return pdf[keep]
 
-    rows = trades.where("net_bps is not null").withColumn("variant", F.lit(cap)).withColumn("_until", F.col("event_ms") + F.col("held") * F.lit(step).cast("long"))
-    cut = _stretches(rows, "variant", "event_ms", "_until").drop("_until")
-    return cut.groupBy("variant", "stretch").applyInPandas(fold, cut.schema).select(*trades.columns, "variant")
+def capacity_limited(trades: DataFrame, step: int, cap: int, bound: int = folds.BOUND) -> DataFrame:
+    """At most ``cap`` open trades and one for each symbol, in order of time, then symbol; folded in chunks of days (``folds``).
+    A symbol has one trade at a time of entry."""
+    rows = trades.where("net_bps is not null").withColumns({"variant": F.lit(cap), "_until": F.col("event_ms") + F.col("held") * F.lit(step).cast("long"), "_id": F.concat_ws("@", "symbol", F.col("event_ms").cast("string"))})
+    taken = folds.capacity(rows, ("variant",), "_id", "event_ms", "_until", [F.col("event_ms"), F.col("symbol")], cap, bound=bound)
+    return rows.join(taken, ["variant", "_id"], "left_semi").select(*trades.columns, "variant")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candela.functions.scalars import frame, series
+from candela.operators import folds
 from candela.operators.market import accumulation
 
-OUT = "symbol string, open_time_ms long, side string, poc double, stop double, sweep_ms long"
+DAY = 86_400_000
+OUT = "open_time_ms long, side string, poc double, stop double, sweep_ms long"
 
 
 def ranges_with_poc(bars: DataFrame, least: int = 20, most: int = 60, k: float = 2.0, rows: int = 40) -> DataFrame:
@@ -29,38 +33,64 @@ def ranges_with_poc(bars: DataFrame, least: int = 20, most: int = 60, k: float =
     return r.select("symbol", "open_time_ms", "range_low", "range_high", (F.col("range_low") + (row + 0.5) * F.col("width")).alias("poc"))
 
 
-def follow(candles, valid: int = 12) -> list[tuple]:
-    """Signals of one series. ``candles``: (time, high, low, close, range low, range high, poc), the last three null where no range ends.
-    A candle that sweeps both ends counts as neither; a setup ends ``valid`` candles after its sweep."""
-    out, state, before = [], "search", None
-    for i, (t, high, low, close, lo, hi, poc) in enumerate(candles):
-        if state == "search" and lo == lo and lo is not None:
-            state, bottom, top, mid = "sweep", lo, hi, poc
-        elif state == "sweep" and (low < bottom) != (high > top):
-            side, swept, far, back = (1 if low < bottom else -1), i, (low if low < bottom else high), None
-            swept_ms, state = t, "return"
-        if state == "return":
-            far = min(far, low) if side > 0 else max(far, high)
-            if close > bottom if side > 0 else close < top:
-                state, back = "cross", i
-        if state == "cross":
-            if i - swept > valid:
-                state = "search"
-            elif i > back and (close > mid >= before if side > 0 else close < mid <= before):
-                out.append((t, "LONG" if side > 0 else "SHORT", mid, far, swept_ms))
-                state = "search"
-        before = close
-    return out
-
-
-def sweep_signals(bars: DataFrame, valid: int = 12, **limits) -> DataFrame:
-    """(symbol, time, side, poc, stop, sweep time). The order of events decides, so each symbol's series is followed in one group; only
-    three numbers of each candle and its range travel there."""
-    r = bars.select("symbol", "open_time_ms", "high", "low", "close").join(ranges_with_poc(bars, **limits), ["symbol", "open_time_ms"], "left")
-    cols = ["open_time_ms", "high", "low", "close", "range_low", "range_high", "poc"]
+class Setup(NamedTuple):
+    """A pattern on its way. ``side``: 0 until one end of the range is swept, then 1 (below) or -1; ``extreme``: the farthest price since;
+    ``age``: candles since the sweep; ``inside``: a candle has closed back inside the range; ``before``: the last close."""
+
+    low: float
+    high: float
+    poc: float
+    side: int
+    extreme: float
+    swept_ms: int
+    age: int
+    inside: bool
+    before: float
+
+
+STATE = "low double, high double, poc double, side int, extreme double, swept_ms bigint, age int, inside boolean, before double"
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = follow(pdf.sort_values("open_time_ms")[cols].itertuples(index=False, name=None), valid)
-        return pd.DataFrame([(key[0], *f) for f in found], columns=["symbol", "open_time_ms", "side", "poc", "stop", "sweep_ms"])
 
-    return r.groupBy("symbol").applyInPandas(fold, OUT)
+def sweep_step(s: Setup | None, candle: tuple, valid: int) -> tuple[Setup | None, tuple | None]:
+    """The setup after a candle (time, high, low, close, range low, range high, poc; the last three null where no range ends), and a
+    signal or None. A candle that sweeps both ends counts as neither; a setup ends ``valid`` candles after its sweep."""
+    t, high, low, close, *found = candle
+    if s is None:
+        new = found[0] is not None and found[0] == found[0]
+        return (Setup(*map(float, found), 0, 0.0, 0, 0, False, float(close)) if new else None), None
+    reach = {1: low, -1: high}
+    if s.side:
+        s = s._replace(age=s.age + 1)
+    else:
+        swept = [d for d, beyond in ((1, low < s.low), (-1, high > s.high)) if beyond]
+        if len(swept) == 1:
+            s = s._replace(side=swept[0], extreme=float(reach[swept[0]]), swept_ms=int(t))
+    if s.side and not s.inside:
+        farther = min if s.side > 0 else max
+        back = close > s.low if s.side > 0 else close < s.high
+        s = s._replace(extreme=float(farther(s.extreme, reach[s.side])), inside=bool(back))
+        return (None if back and s.age > valid else s._replace(before=float(close))), None
+    if s.side and s.age > valid:
+        return None, None
+    if s.side and s.side * (close - s.poc) > 0 >= s.side * (s.before - s.poc):
+        return None, (int(t), "LONG" if s.side > 0 else "SHORT", s.poc, s.extreme, s.swept_ms)
+    return s._replace(before=float(close)), None
+
+
+def follow(candles: Iterable[tuple], valid: int = 12, setup: Setup | None = None) -> tuple[Setup | None, list[tuple]]:
+    """The setup left open after the candles, and the signals."""
+    out = []
+    for c in candles:
+        setup, made = sweep_step(setup, c, valid)
+        if made:
+            out.append(made)
+    return setup, out
+
+
+def sweep_signals(bars: DataFrame, valid: int = 12, bound: int = folds.BOUND, **limits) -> DataFrame:
+    """(symbol, time, side, poc, stop, sweep time). The order of events decides: series are followed in chunks (``folds``), and only three
+    numbers of each candle and its range travel there."""
+    r = bars.select("symbol", "open_time_ms", "high", "low", "close").join(ranges_with_poc(bars, **limits), ["symbol", "open_time_ms"], "left")
+    cols = ["open_time_ms", "high", "low", "close", "range_low", "range_high", "poc"]
+    cut = folds.chunked(r, ("symbol",), F.floor(F.col("open_time_ms") / DAY).cast("long"), bound)
+    return folds.folded(cut, ("symbol",), [F.col("open_time_ms")], cols, STATE, OUT, lambda s, rows: follow(rows, valid, s and Setup(*s)))

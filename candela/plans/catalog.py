@@ -309,7 +309,11 @@ def non_overlapping_trades(spark, sf):
     return sm.non_overlapping(trades_1d(spark, sf), DAY)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADES}, o AS (SELECT *, event_ms + held * {DAY} AS until, row_number() OVER (ORDER BY event_ms, symbol) AS k FROM trades WHERE net_bps IS NOT NULL),
+-- the open places after each trade, and whether it was taken
+f AS (SELECT 0::BIGINT AS k, []::STRUCT(s VARCHAR, t BIGINT)[] AS places, FALSE AS ok UNION ALL SELECT k, CASE WHEN ok THEN list_append(kept, {{'s': symbol, 't': until}}) ELSE kept END, ok FROM (
+  SELECT k, symbol, until, kept, len(kept) < 2 AND len(list_filter(kept, lambda p: p.s = symbol)) = 0 AS ok FROM (SELECT o.k, o.symbol, o.until, list_filter(f.places, lambda p: p.t > o.event_ms) AS kept FROM f JOIN o ON o.k = f.k + 1)))
+SELECT o.* EXCLUDE (k, until), 2 AS variant FROM o JOIN f USING (k) WHERE ok""")
 def capacity_two_trades(spark, sf):
     return sm.capacity_limited(trades_1d(spark, sf), DAY, 2)
 
@@ -327,4 +331,4 @@ def universe_selection(spark, sf):
     return newest.select("s_suppkey", F.lit("new").alias("why")).unionByName(liquid.select("s_suppkey", F.lit("liquid").alias("why")))
 
 
-from candela.plans import desk, files, ledgers, market, models, outcomes, streams, studies  # noqa: E402,F401  (add their queries)
+from candela.plans import desk, files, ledgers, market, models, outcomes, selectors, streams, studies  # noqa: E402,F401  (add their queries)

@@ -13,7 +13,7 @@ from candela.operators import summaries as sm
 from candela.operators import sweeps as sw
 from candela.plans.catalog import BARS_1D, DAY, TRADES, query, rounded, trades_1d
 from candela.plans.ledgers import FORECAST, LEDGER, NOW, forecast_frame, newest
-from candela.plans.market import BENCH, CALM, RULES, _ewm, calm, lag, study_frame
+from candela.plans.market import BENCH, CALM, IND, RULES, P, _ewm, calm, lag, study_frame
 from candela.plans.outcomes import EV, H, base_events, thin, with_paths
 from candela.sources import bars as src
 from candela.sources.ledger import signals, strategy
@@ -221,14 +221,36 @@ def model_snapshot(spark, sf):
     return g.select("strategy", F.to_json(F.struct("strategy", "n", (F.col("m") > 2).alias("verified"))).alias("model"), (F.col("m") > 2).alias("verified"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LEDGER}, o AS (SELECT family AS arm, id, symbol, bar_ms AS t, bar_ms // {DAY} AS day, row_number() OVER (PARTITION BY family ORDER BY bar_ms, score DESC, symbol, id) AS k FROM ledger),
+f AS (SELECT DISTINCT arm, 0::BIGINT AS k, CAST(NULL AS BIGINT) AS id, []::STRUCT(s VARCHAR, t BIGINT)[] AS places, CAST(NULL AS BIGINT) AS day, 0 AS n, FALSE AS ok FROM o
+  UNION ALL SELECT arm, k, id, CASE WHEN ok THEN list_append(kept, {{'s': symbol, 't': t + {2 * DAY}}}) ELSE kept END, day, had + CAST(ok AS INT), ok FROM (
+  SELECT arm, k, id, symbol, t, day, kept, had, had < 2 AND len(list_filter(kept, lambda p: p.s = symbol)) = 0 AS ok FROM (SELECT o.*, list_filter(f.places, lambda p: p.t > o.t) AS kept, CASE WHEN o.day = f.day THEN f.n ELSE 0 END AS had FROM f JOIN o ON o.arm = f.arm AND o.k = f.k + 1)))
+SELECT arm, id FROM f WHERE ok""")
 def daily_capped_signals(spark, sf):
     """At most two signals of a family and day, best first, one open for each symbol."""
     r = signals(spark, sf).select(F.col("family").alias("arm"), "id", "symbol", F.col("bar_ms").alias("t"), (F.col("bar_ms") + F.lit(2 * DAY).cast("long")).alias("until"), "score")
     return sm.daily_capped(r, 2).select("arm", "id")
 
 
-@query()
+_WIDE = [(n, f"rn >= {n} AND max(high) OVER r{n} > min(low) OVER r{n} AND max(high) OVER r{n} - min(low) OVER r{n} <= 3 * atr") for n in range(20, 61)]
+_STEP = """SELECT symbol, rn, t, signal, CASE WHEN over THEN NULL ELSE lo END AS lo, CASE WHEN over THEN NULL ELSE hi END AS hi, CASE WHEN over THEN NULL ELSE poc END AS poc, side, far, swept, age, inside, close AS before, poc AS mid, far AS stop, swept AS since FROM (
+  SELECT *, side <> 0 AND (NOT was AND inside AND age > 12 OR was AND (age > 12 OR crossed)) AS over, CASE WHEN was AND age <= 12 AND crossed THEN side END AS signal FROM (
+  SELECT *, was OR side <> 0 AND CASE WHEN side > 0 THEN close > lo ELSE close < hi END AS inside, side * (close - poc) > 0 AND side * (before - poc) <= 0 AS crossed FROM (
+  SELECT symbol, rn, t, close, lo, hi, poc, side, was, before, swept, age, CASE WHEN side = 0 OR was THEN far WHEN side > 0 THEN least(far, low) ELSE greatest(far, high) END AS far FROM (
+  SELECT *, CASE WHEN old <> 0 OR side = 0 THEN far0 WHEN side > 0 THEN low ELSE high END AS far, CASE WHEN old <> 0 THEN swept0 ELSE t END AS swept, CASE WHEN old <> 0 THEN age0 + 1 ELSE 0 END AS age FROM (
+  SELECT *, CASE WHEN old <> 0 THEN old WHEN (low < lo) = (high > hi) THEN 0 WHEN low < lo THEN 1 ELSE -1 END AS side FROM (
+  SELECT b.symbol, b.rn, b.open_time_ms AS t, b.high, b.low, b.close, s.lo, s.hi, s.poc, s.side AS old, s.inside AND s.side <> 0 AS was, s.before, s.far AS far0, s.swept AS swept0, s.age AS age0 FROM st s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1 WHERE s.lo IS NOT NULL))))))"""
+
+
+@query(f"""WITH RECURSIVE {IND}, f AS (SELECT *, (CASE {' '.join(f'WHEN {c} THEN {n}' for n, c in _WIDE)} END)::INT AS n FROM ind WINDOW {', '.join(f'r{n} AS ({P} {n - 1} PRECEDING AND CURRENT ROW)' for n, _ in _WIDE)}),
+e AS (SELECT a.symbol, a.rn, a.n, min(b.low) AS lo, max(b.high) AS hi, list({{'l': b.low, 'h': b.high, 'v': b.volume}} ORDER BY b.rn) AS hist FROM f a JOIN f b ON b.symbol = a.symbol AND b.rn BETWEEN a.rn - a.n + 1 AND a.rn WHERE a.n IS NOT NULL GROUP BY ALL),
+v AS (SELECT symbol, rn, lo, hi, row, (hi - lo) / 40 AS w, list_sum(list_transform(hist, lambda x: x.v * CASE WHEN x.h > x.l THEN greatest(least(x.h, lo + row * ((hi - lo) / 40) + (hi - lo) / 40) - greatest(x.l, lo + row * ((hi - lo) / 40)), 0) / (x.h - x.l) ELSE CAST(x.l >= lo + row * ((hi - lo) / 40) AND x.l < lo + row * ((hi - lo) / 40) + (hi - lo) / 40 AS INT) END)) AS vol FROM (SELECT *, unnest(range(40)) AS row FROM e)),
+p AS (SELECT symbol, rn, lo, hi, lo + (row + 0.5) * w AS poc FROM v QUALIFY row_number() OVER (PARTITION BY symbol, rn ORDER BY vol DESC, row) = 1),
+b AS MATERIALIZED (SELECT ind.symbol, ind.rn, open_time_ms, high, low, close, lo, hi, poc FROM ind LEFT JOIN p USING (symbol, rn)),
+st AS (SELECT symbol, 0::BIGINT AS rn, 0::BIGINT AS t, 0 AS signal, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, CAST(NULL AS DOUBLE) AS poc, 0 AS side, 0.0::DOUBLE AS far, 0::BIGINT AS swept, 0 AS age, FALSE AS inside, 0.0::DOUBLE AS before, 0.0::DOUBLE AS mid, 0.0::DOUBLE AS stop, 0::BIGINT AS since FROM (SELECT DISTINCT symbol FROM b)
+  UNION ALL (SELECT b.symbol, b.rn, b.open_time_ms, 0, b.lo, b.hi, b.poc, 0, 0, 0, 0, FALSE, b.close, 0, 0, 0 FROM st s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1 WHERE s.lo IS NULL
+  UNION ALL {_STEP}))
+SELECT symbol, t AS open_time_ms, CASE WHEN signal > 0 THEN 'LONG' ELSE 'SHORT' END AS side, round(mid, 6) AS poc, round(stop, 6) AS stop, since AS sweep_ms FROM st WHERE signal <> 0""")
 def sweep_signals(spark, sf):
     """Range, sweep, return and close across the point of control, in that order, on daily candles."""
     return rounded(sw.sweep_signals(calm(spark, sf), k=3.0), 6, "poc", "stop")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from candela.operators import fits as ft
 from candela.operators import market as mk
 from candela.operators import models as md
 from candela.plans.catalog import DAY, query, rounded
@@ -29,12 +30,16 @@ def feature_frame(spark, sf):
     return rounded(rounded(r, 6, "atr"), 5, *mk.FEATURES)
 
 
-LABEL = FEAT + f""",
-b0 AS (SELECT *, greatest(1.0 * atr_pct * 10000, 50) AS barrier_bps FROM feat),
-b1 AS (SELECT a.symbol, a.open_time_ms, min(b.rn - a.rn) FILTER (b.high >= a.close * exp(a.barrier_bps / 10000)) AS u, min(b.rn - a.rn) FILTER (b.low <= a.close * exp(-a.barrier_bps / 10000)) AS d, ln(max(b.close) FILTER (b.rn - a.rn = 12) / any_value(a.close)) * 10000 AS timeout_bps FROM b0 a JOIN b0 b ON b.symbol = a.symbol AND b.rn > a.rn AND b.rn <= a.rn + 12 GROUP BY ALL HAVING count(*) = 12),
-b2 AS (SELECT b0.*, u, d, timeout_bps, CASE WHEN u IS NULL AND d IS NULL THEN 'NONE' WHEN u = d THEN 'BOTH' WHEN d IS NULL OR u < d THEN 'UP' ELSE 'DOWN' END AS touch FROM b0 JOIN b1 USING (symbol, open_time_ms) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in mk.FEATURES)}),
-lab AS MATERIALIZED (SELECT symbol, open_time_ms, close, {NAMES}, barrier_bps, touch, least(coalesce(u, 12), coalesce(d, 12))::INT AS exit_offset, timeout_bps, CASE touch WHEN 'UP' THEN 1 WHEN 'DOWN' THEN 0 ELSE CAST(timeout_bps > 0 AS INT) END::INT AS target,
-  CASE touch WHEN 'UP' THEN barrier_bps WHEN 'NONE' THEN timeout_bps ELSE -barrier_bps END - 10 AS long_net, CASE touch WHEN 'DOWN' THEN barrier_bps WHEN 'NONE' THEN -timeout_bps ELSE -barrier_bps END - 10 AS short_net FROM b2 QUALIFY count(*) OVER (PARTITION BY symbol) >= 200)"""
+def label_sql(h: int = 12, name: str = "lab", floor: int = 50, more: str = "") -> str:
+    """Labels with a horizon of ``h`` rows, as the table ``name``; ``more``: further columns."""
+    return f"""{name}_b0 AS (SELECT *, greatest(1.0 * atr_pct * 10000, {floor}) AS barrier_bps FROM feat),
+{name}_b1 AS (SELECT a.symbol, a.open_time_ms, min(b.rn - a.rn) FILTER (b.high >= a.close * exp(a.barrier_bps / 10000)) AS u, min(b.rn - a.rn) FILTER (b.low <= a.close * exp(-a.barrier_bps / 10000)) AS d, ln(max(b.close) FILTER (b.rn - a.rn = {h}) / any_value(a.close)) * 10000 AS timeout_bps FROM {name}_b0 a JOIN {name}_b0 b ON b.symbol = a.symbol AND b.rn > a.rn AND b.rn <= a.rn + {h} GROUP BY ALL HAVING count(*) = {h}),
+{name}_b2 AS (SELECT {name}_b0.*, u, d, timeout_bps, CASE WHEN u IS NULL AND d IS NULL THEN 'NONE' WHEN u = d THEN 'BOTH' WHEN d IS NULL OR u < d THEN 'UP' ELSE 'DOWN' END AS touch FROM {name}_b0 JOIN {name}_b1 USING (symbol, open_time_ms) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in mk.FEATURES)}),
+{name} AS MATERIALIZED (SELECT symbol, open_time_ms, close, {NAMES}, barrier_bps, touch, least(coalesce(u, {h}), coalesce(d, {h}))::INT AS exit_offset, timeout_bps, CASE touch WHEN 'UP' THEN 1 WHEN 'DOWN' THEN 0 ELSE CAST(timeout_bps > 0 AS INT) END::INT AS target,
+  CASE touch WHEN 'UP' THEN barrier_bps WHEN 'NONE' THEN timeout_bps ELSE -barrier_bps END - 10 AS long_net, CASE touch WHEN 'DOWN' THEN barrier_bps WHEN 'NONE' THEN -timeout_bps ELSE -barrier_bps END - 10 AS short_net{more} FROM {name}_b2 QUALIFY count(*) OVER (PARTITION BY symbol) >= 200)"""
+
+
+LABEL = FEAT + ",\n" + label_sql()
 _L = ("barrier_bps", "timeout_bps", "long_net", "short_net")
 
 
@@ -207,3 +212,111 @@ def logistic_scores(spark, sf):
     slope, base = md.fit_platt(z.where("role = 'calibration'"), "logit", "target")
     assert math.isfinite(slope + base)
     return z.select("symbol", "open_time_ms", "role", "target", "logit", md.sigmoid(F.col("logit") * slope + base).alias("probability"))
+
+
+#: Horizons in rows, and the two features whose fits SQL repeats by Newton steps in a recursion.
+HORIZONS, PAIR = (3, 12, 48, 288), ("momentum_3", "bollinger_z")
+_KEY = "symbol, horizon, fit"
+
+
+def _clip(x: str, bound: float) -> str:
+    return f"greatest(-{bound}, least({bound}, {x}))"
+
+
+def _sig(x: str) -> str:
+    return f"1 / (1 + exp(-{_clip(x, 35.0)}))"
+
+
+def _base(x: str) -> str:
+    return f"ln(greatest(1e-4, least(1 - 1e-4, {x})) / (1 - greatest(1e-4, least(1 - 1e-4, {x}))))"
+
+
+def newton2_sql(name: str, rows: str, key: str, l2: float, where: str = "TRUE", steps: int = 14) -> str:
+    """``name``: key, a, b, c: intercept and two weights of the rows' (x, z, y) fit, three by three by Cramer's rule."""
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    return f"""{name}_r AS MATERIALIZED (SELECT {key}, x, z, y FROM {rows} WHERE {where}),
+{name}_n AS (SELECT {key}, 0 AS k, {_base('avg(y)')} AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM {name}_r GROUP BY {key}
+  UNION ALL SELECT {key}, k + 1, a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det}, b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det},
+    c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det} FROM (
+    SELECT {key}, k, a, b, c, sum(p - y) AS g0, sum(x * (p - y)) + {l2} * b AS g1, sum(z * (p - y)) + {l2} * c AS g2, sum(w) AS h00, sum(w * x) AS h01, sum(w * z) AS h02, sum(w * x * x) + {l2} AS h11, sum(w * x * z) AS h12, sum(w * z * z) + {l2} AS h22 FROM (
+      SELECT *, greatest(p * (1 - p), 1e-6) AS w FROM (SELECT n.*, x, z, y, {_sig('a + b * x + c * z')} AS p FROM {name}_n n JOIN {name}_r USING ({key}) WHERE k < {steps})) GROUP BY {key}, k, a, b, c)),
+{name} AS MATERIALIZED (SELECT {key}, a, b, c FROM {name}_n WHERE k = {steps})"""
+
+
+def platt_sql(name: str, rows: str, key: str, where: str = "TRUE", steps: int = 14) -> str:
+    """``name``: key, slope, base of the rows' (logit, y)."""
+    return f"""{name}_r AS MATERIALIZED (SELECT {key}, logit AS x, y FROM {rows} WHERE {where}),
+{name}_g AS (SELECT {key}, {_base('avg(y)')} AS flat, min(y) = max(y) OR stddev_pop(x) < 1e-9 AS one FROM {name}_r GROUP BY {key}),
+{name}_n AS (SELECT {key}, 0 AS k, flat AS a, 0.0::DOUBLE AS b FROM {name}_g
+  UNION ALL SELECT {key}, k + 1, a - (g0 * h11 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT {key}, k, a, b, sum(p - y) AS g0, sum(x * (p - y)) + 0.01 * b AS g1, sum(w) AS h00, sum(w * x) AS h01, sum(w * x * x) + 0.01 AS h11 FROM (
+      SELECT *, greatest(p * (1 - p), 1e-6) AS w FROM (SELECT n.*, x, y, {_sig('a + b * x')} AS p FROM {name}_n n JOIN {name}_r USING ({key}) WHERE k < {steps})) GROUP BY {key}, k, a, b)),
+{name} AS MATERIALIZED (SELECT {key}, CASE WHEN one OR b < 0 THEN 0 ELSE b END AS slope, CASE WHEN one OR b < 0 THEN flat ELSE a END AS base FROM {name}_n JOIN {name}_g USING ({key}) WHERE k = {steps})"""
+
+
+def _scale_sql(x: str, i: str) -> str:
+    return _clip(f"({x} - m{i}) / CASE WHEN d{i} < 1e-9 THEN 1 ELSE d{i} END", 8.0)
+
+
+SERIES_MODELS = FEAT + ",\n" + ",\n".join(label_sql(h, f"lab{h}", more=f", {h} AS horizon") for h in HORIZONS) + f""",
+lx AS ({' UNION ALL '.join(f'SELECT * FROM lab{h}' for h in HORIZONS)}),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY open_time_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol, horizon) AS n FROM lx),
+r1 AS (SELECT *, n - size AS test, n - 2 * size - horizon AS cal FROM (SELECT *, greatest(120, floor(n * 0.15))::BIGINT AS size FROM r0)),
+r2 AS (SELECT *, 'test' AS fit, CASE WHEN i < cal - horizon THEN 'train' WHEN i >= cal AND i < test - horizon THEN 'calibration' WHEN i >= test THEN 'test' END AS role FROM r1 WHERE cal - horizon >= 500 AND test < n
+  UNION ALL SELECT *, 'live', CASE WHEN i < test - horizon THEN 'train' WHEN i >= test THEN 'calibration' END FROM r1 WHERE cal - horizon >= 500 AND test < n),
+sc AS (SELECT {_KEY}, {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS d{i}' for i, c in enumerate(PAIR))} FROM r2 WHERE role = 'train' GROUP BY {_KEY}),
+z AS MATERIALIZED (SELECT {_KEY}, role, role = 'test' AND (i - test) % horizon = 0 AS disjoint, target AS y, long_net, short_net, {_scale_sql(PAIR[0], '0')} AS x, {_scale_sql(PAIR[1], '1')} AS z FROM r2 JOIN sc USING ({_KEY}) WHERE role IS NOT NULL),
+{newton2_sql('mo', 'z', _KEY, 1.0, "role = 'train'")},
+lo AS MATERIALIZED (SELECT z.*, a + b * x + c * z.z AS logit FROM z JOIN mo USING ({_KEY}) WHERE role <> 'train'),
+{platt_sql('pl', 'lo', _KEY, "role = 'calibration'")},
+te AS (SELECT symbol, horizon, disjoint, y, long_net, short_net, {_sig('slope * logit + base')} AS p, avg(y) OVER (PARTITION BY symbol, horizon) AS rate FROM lo JOIN pl USING ({_KEY}) WHERE role = 'test'),
+ju AS (SELECT symbol, horizon, count(*) AS test_count, count(*) FILTER ((p >= 0.5) = (y = 1)) AS hits, avg((p - y) ** 2) AS brier, avg((rate - y) ** 2) AS base_brier, avg(CASE WHEN p >= 0.5 THEN long_net ELSE short_net END) AS mean_net FROM te WHERE disjoint GROUP BY ALL),
+nw AS (SELECT * FROM feat WHERE {' AND '.join(f'{c} IS NOT NULL' for c in mk.FEATURES)} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms DESC) = 1),
+li AS (SELECT symbol, horizon, {_sig(f"slope * (a + b * {_scale_sql(PAIR[0], '0')} + c * {_scale_sql(PAIR[1], '1')}) + base")} AS probability_up FROM nw JOIN sc USING (symbol) JOIN mo USING ({_KEY}) JOIN pl USING ({_KEY}) WHERE fit = 'live'),
+tr AS (SELECT symbol, horizon, count(*) AS live_train FROM z WHERE fit = 'live' AND role = 'train' GROUP BY ALL)
+SELECT symbol, horizon, test_count, round(hits / test_count, 8) AS accuracy, round({_wilson('hits', 'test_count', '-')}, 8) AS low, round({_wilson('hits', 'test_count', '+')}, 8) AS high, round(brier, 6) AS brier, round(base_brier, 6) AS base_brier, round(mean_net, 4) AS mean_net, round(probability_up, 6) AS probability_up, live_train
+FROM ju JOIN li USING (symbol, horizon) JOIN tr USING (symbol, horizon)"""
+
+
+def horizon_labels(spark, sf):
+    """Labels of every horizon, and the newest row with all features by series and horizon."""
+    bars = calm(spark, sf)
+    rows = None
+    for h in HORIZONS:
+        r = mk.supervised(bars, h, floor_bps=50.0).withColumn("horizon", F.lit(h))
+        rows = r if rows is None else rows.unionByName(r)
+    newest = mk.feature_frame(bars).dropna(subset=list(mk.FEATURES)).groupBy("symbol").agg(F.max_by(F.struct(*mk.FEATURES), "open_time_ms").alias("r")).select("symbol", "r.*")
+    return rows, newest.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
+
+
+@query(f"WITH RECURSIVE {SERIES_MODELS}")
+def series_models(spark, sf):
+    """A calibrated model for each series and horizon, judged on disjoint later windows, with the newest row's probability."""
+    rows, newest = horizon_labels(spark, sf)
+    r = ft.series_models(rows, newest, ("symbol", "horizon"), PAIR).drop("intercept", "weights", "slope", "offset")
+    return rounded(rounded(rounded(r, 8, "accuracy", "low", "high"), 6, "brier", "base_brier", "probability_up"), 4, "mean_net")
+
+
+_BEFORE = "r.day {} d.day"
+REFITS = LEDGER + f""",
+rr AS MATERIALIZED (SELECT id, bar_ms // {DAY} AS day, symbol IN ('C1', 'C2') AS held, CASE WHEN net IS NULL THEN NULL ELSE CAST(net > 0 AS INT) END AS y, score AS f0, volatility_bps / 100 AS f1 FROM ledger),
+dd AS (SELECT DISTINCT day FROM rr), ok AS MATERIALIZED (SELECT * FROM rr WHERE NOT held AND y IS NOT NULL),
+dy AS (SELECT day, count(*) AS n, sum(y) AS h, sum(f0) AS s0, sum(f0 * f0) AS q0, sum(f1) AS s1, sum(f1 * f1) AS q1 FROM ok GROUP BY day),
+fo AS MATERIALIZED (SELECT d.day, coalesce(sum(n) FILTER (r.day <= d.day - 8), 0)::BIGINT AS train, coalesce(sum(h) FILTER (r.day <= d.day - 8), 0) AS hits, coalesce(sum(n) FILTER (r.day BETWEEN d.day - 6 AND d.day - 2), 0)::BIGINT AS calibration, coalesce(sum(h) FILTER (r.day BETWEEN d.day - 6 AND d.day - 2), 0) AS cal_hits,
+  {', '.join(f'sum(s{i}) FILTER (r.day <= d.day - 8) AS s{i}, sum(q{i}) FILTER (r.day <= d.day - 8) AS q{i}' for i in (0, 1))} FROM dd d LEFT JOIN dy r ON r.day < d.day GROUP BY d.day),
+fs AS MATERIALIZED (SELECT *, CASE WHEN train < 150 OR calibration < 10 THEN 'insufficient_history' WHEN least(hits, train - hits) < 10 OR least(cal_hits, calibration - cal_hits) < 3 THEN 'insufficient_classes' ELSE 'fitted' END AS st, {', '.join(f's{i} / train AS m{i}, sqrt(greatest(q{i} / train - (s{i} / train) ** 2, 0)) AS d{i}' for i in (0, 1))} FROM fo),
+zz AS MATERIALIZED (SELECT f.day AS fold, o.day, o.y, {_scale_sql('f0', '0')} AS x, {_scale_sql('f1', '1')} AS z FROM fs f JOIN ok o ON o.day <= f.day - 2 WHERE st = 'fitted' AND (o.day <= f.day - 8 OR o.day >= f.day - 6)),
+{newton2_sql('mo', 'zz', 'fold', 10.0, 'day <= fold - 8', 7)},
+lo AS (SELECT fold, y, a + b * x + c * zz.z AS logit FROM zz JOIN mo USING (fold) WHERE day >= fold - 6),
+{platt_sql('pl', 'lo', 'fold')}
+SELECT rr.id, rr.day, train, calibration, CASE WHEN st <> 'fitted' THEN st WHEN slope > 0 THEN 'calibrated' ELSE 'calibration_failed' END AS status, round((cal_hits + 1) / (calibration + 2), 8) AS base_rate,
+  round(CASE WHEN st = 'fitted' THEN {_sig(f"slope * (a + b * {_scale_sql('f0', '0')} + c * {_scale_sql('f1', '1')}) + base")} WHEN st = 'insufficient_classes' THEN (cal_hits + 1) / (calibration + 2) END, 6) AS probability
+FROM rr JOIN fs USING (day) LEFT JOIN mo ON mo.fold = rr.day LEFT JOIN pl ON pl.fold = rr.day"""
+
+
+@query(f"WITH RECURSIVE {REFITS}")
+def refit_scores(spark, sf):
+    """Every signal's probability from the model of its day: fitted on all days before, calibrated on five, a cohort held out."""
+    l = signals(spark, sf)
+    rows = l.select("id", F.col("bar_ms").alias("t"), F.col("symbol").isin("C1", "C2").alias("held"), (F.col("net") > 0).cast("int").alias("target"), F.col("score").alias("f0"), (F.col("volatility_bps") / 100).alias("f1"))
+    return rounded(rounded(ft.expanding_refits(rows, ("f0", "f1"), least_calibration=10, least_class=(10, 3)), 8, "base_rate"), 6, "probability")

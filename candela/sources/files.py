@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read again: what follows starts from files that outlive executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_candle_csv(bars: DataFrame, path: str) -> None:
     """One folder of CSV files for each symbol."""
     bars.write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)

@@ -86,11 +86,11 @@ def test_sweep_pattern(spark):
     none = (None, None, None)
     base = [(0, 11, 9, 10, 9, 11, 10.2), (1, 10.5, 9.5, 10, *none), (2, 12, 8, 10, *none)]  # both ends: neither
     down = [(3, 10, 8.5, 8.8, *none), (4, 9.5, 8.2, 9.2, *none), (5, 10.5, 9.1, 10.1, *none), (6, 10.8, 9.9, 10.4, *none)]
-    assert sweeps.follow([*base, *down]) == [(6, "LONG", 10.2, 8.2, 3)]
+    assert sweeps.follow([*base, *down]) == (None, [(6, "LONG", 10.2, 8.2, 3)])
     up = [(3, 11.5, 10, 10.8, *none), (4, 10.9, 9.8, 10.1, *none)]
-    assert sweeps.follow([*base, *up]) == [(4, "SHORT", 10.2, 11.5, 3)]
+    assert sweeps.follow([*base, *up]) == (None, [(4, "SHORT", 10.2, 11.5, 3)])
     late = [(3, 10, 8.5, 9.5, *none), *((t, 10, 9.2, 9.6, *none) for t in range(4, 17)), (17, 11, 9, 10.9, *none)]
-    assert sweeps.follow([*base, *late]) == []
+    assert sweeps.follow([*base, *late]) == (None, [])
     r = np.random.default_rng(2)
     rows = []
     for t in range(300):
