@@ -140,8 +140,7 @@ class Aligner:
     def ends(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and byte ends of both sides; None where a side does not give the text back."""
         want = (" " + text).encode()
-        a = np.frombuffer(self.a.encode_led(text), "<u4")
-        b = np.frombuffer(self.b.encode_text(text), "<u4")
+        a, b = self.a.encode_whole(" " + text), self.b.encode_text(text)
         if b"".join(self.bytes_a[a]) != want or b"".join(self.bytes_b[b]) != want:
             return None
         return a, np.cumsum(self.len_a[a]), b, np.cumsum(self.len_b[b])

@@ -70,11 +70,11 @@ def pack_balanced(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's full runs and its rest (with ids), dealt over the blocks in turn."""
         task = TaskContext.get().partitionId()
-        encode, turn, first = ByteBpe(vocabulary).encode, 0, task * 0x9E3779B1
+        encode, turn, first = ByteBpe(vocabulary).encode_whole, 0, task * 0x9E3779B1
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(np.frombuffer(encode(text or ""), "<u4"), np.uint32(END))
+                ids = np.append(encode(text or ""), np.uint32(END))
                 for at in range(0, len(ids), capacity):
                     own = ids[at : at + capacity]
                     whole = len(own) == capacity
