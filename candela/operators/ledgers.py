@@ -113,12 +113,25 @@ def assessments(items: DataFrame, ledger: DataFrame, least: int = 10) -> DataFra
     return g.select("id", "n", "days", ((F.col("wins") + 1) / (F.col("n") + 2)).alias("probability"), "expected_net", confidence.alias("confidence"))
 
 
-def quality_percentiles(items: DataFrame, ledger: DataFrame, least: int = 10) -> DataFrame:
-    """Share of the family's and regime's scores at or below an item's, with at least ``least`` of them; from a cumulative histogram."""
-    w = Window.partitionBy("family", "regime").orderBy("score")
-    h = ledger.where("score is not null").groupBy("family", "regime", "score").agg(F.count("*").alias("c"))
-    h = h.withColumns({"below": F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("c").over(Window.partitionBy("family", "regime"))})
-    return items.join(h, ["family", "regime", "score"], "left").select(*items.columns, F.when(F.col("total") >= least, F.col("below") / F.col("total")).alias("percentile"))
+def quality_percentiles(items: DataFrame, ledger: DataFrame, least: int = 10, steps: int = 16) -> DataFrame:
+    """id and percentile: the share of the family's and regime's past scores at or below an item's, averaged over the item's families that
+    have at least ``least`` of them (null if none has). Items: id, families, regime, score, which need not be a past score.
+
+    Looked up as of the score: scores fall into ``steps`` slots a point; slots are summed up first, and inside a slot items run over the
+    ledger's rows in order. So a family's rows are spread over its slots, whatever their number.
+    """
+    keys = ["family", "regime"]
+    slot = F.floor(F.col("score") * steps).alias("slot")
+    past = ledger.where(F.col("score").isNotNull() & ~F.isnan("score")).select(*keys, "score", slot, F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.lit(1).alias("past"))
+    ask = items.select(F.explode(F.array_distinct("families")).alias("family"), "regime", "score", slot, "id", F.lit(0).alias("past"))
+    both = past.unionByName(ask.select(*keys, "score", "slot", "id", "past"))
+    slots = both.groupBy(*keys, "slot").agg(F.sum("past").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("slot")  # one row for each slot
+    slots = slots.withColumns({"before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(*keys))})
+    inside = F.sum("past").over(Window.partitionBy(*keys, "slot").orderBy("score").rangeBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("upto", inside).where("past = 0").join(slots.drop("n"), [*keys, "slot"])
+    share = F.when(F.col("total") >= least, (F.col("before") + F.col("upto")) / F.col("total"))
+    return items.select("id").distinct().join(found.groupBy("id").agg(F.avg(share).alias("percentile")), "id", "left")
 
 
 def scorecard_days(ledger: DataFrame, now_ms: int, days: int, tiers: tuple[str, ...]) -> DataFrame:
@@ -185,17 +198,18 @@ def reason_counts(judged: DataFrame) -> DataFrame:
 
 
 def safety(candidates: DataFrame, ledger: DataFrame, sent: DataFrame, now_ms: int, kill: bool, most_open: int, loss_limit: float, cooldown_ms: int, better: float) -> DataFrame:
-    """Candidates (id, symbol, direction, score) with ``blocked``: the kill switch, too many open alerts (each open for at most an hour),
-    the day's loss limit, or the same direction too soon after the last delivery (sent: symbol, direction, score, sent_ms)
+    """Candidates (id, symbol, direction, score) with ``blocked``: the kill switch, too many open alerts (those not settled yet, each
+    for at most an hour), the day's loss limit (none unless positive), or the same direction too soon after the last delivery (sent: symbol, direction, score, sent_ms)
     unless the score is better by ``better``. Null if it may go."""
     day = now_ms - now_ms % DAY
     open_until = F.col("bar_ms") + F.least("horizon", F.lit(60)) * 60_000
     told = ledger.where("notified")
-    totals = told.agg(F.count_if(open_until.between(now_ms + 1, now_ms + 3_600_000)).alias("open"), F.coalesce(F.sum(F.when(F.col("settled_ms").between(day, now_ms), F.col("net"))), F.lit(0.0)).alias("today"))
+    pending = F.col("status").isNull() | (F.col("settled_ms") > now_ms)
+    totals = told.agg(F.count_if(pending & open_until.between(now_ms + 1, now_ms + 3_600_000)).alias("open"), F.coalesce(F.sum(F.when(F.col("settled_ms").between(day, now_ms), F.col("net"))), F.lit(0.0)).alias("today"))
     last = sent.groupBy("symbol").agg(F.max(F.struct("sent_ms", "direction", "score")).alias("last"))
     r = candidates.crossJoin(F.broadcast(totals)).join(last, "symbol", "left")  # one row of totals
     soon = (F.col("direction") == F.col("last.direction")) & (F.lit(now_ms) - F.col("last.sent_ms") < cooldown_ms) & (F.col("last.score").isNull() | (F.col("score") < F.col("last.score") + better))
-    blocked = F.when(F.lit(kill), "kill_switch").when(F.col("open") >= most_open, "max_open").when(F.col("today") <= -loss_limit, "daily_loss").when(soon, "cooldown")
+    blocked = F.when(F.lit(kill), "kill_switch").when(F.col("open") >= most_open, "max_open").when(F.lit(loss_limit > 0) & (F.col("today") <= -loss_limit), "daily_loss").when(soon, "cooldown")
     return r.select(*candidates.columns, blocked.alias("blocked"))
 
 

@@ -99,13 +99,13 @@ def signal_explorer(spark, sf):
     return dk.explore(signals(spark, sf), "Europe/Istanbul", audience="notified", symbol="1", family="F2", direction="LONG", regime=None, status="open", since="1996-01-01", until="2000-06-30").select("id")
 
 
-@query(f"""WITH {LEDGER}, s AS (SELECT symbol, max_by(quote_volume, {{'b': bar_ms, 'i': id}}) AS volume FROM ledger WHERE id % 2 = 0 AND symbol <> 'C7' GROUP BY symbol), g AS (SELECT max_by(regime, {{'b': bar_ms, 'i': id}}) AS now_regime FROM ledger) SELECT id, volume, now_regime, row_number() OVER (PARTITION BY bar_ms // {DAY} ORDER BY bar_ms, id)::INT AS place FROM ledger LEFT JOIN s USING (symbol) CROSS JOIN g WHERE id % 5 = 0""")
+@query(f"""WITH {LEDGER}, s AS (SELECT symbol, max_by(quote_volume, {{'b': bar_ms, 'i': id}}) AS volume FROM ledger WHERE id % 2 = 0 AND symbol <> 'C7' GROUP BY symbol), g AS (SELECT max_by(regime, {{'b': bar_ms, 'i': id}}) AS now_regime FROM ledger) SELECT id, volume, now_regime, row_number() OVER (PARTITION BY bar_ms // {DAY} ORDER BY bar_ms, id)::INT AS place FROM ledger LEFT JOIN s USING (symbol) CROSS JOIN g""")
 def enriched_signals(spark, sf):
     """Signals with their symbol's snapshot, the market's one-row regime and their place in the day."""
     l = signals(spark, sf)
     snap = l.where("id % 2 = 0 and symbol <> 'C7'").groupBy("symbol").agg(F.max_by("quote_volume", F.struct("bar_ms", "id")).alias("volume"))
     now = l.agg(F.max_by("regime", F.struct("bar_ms", "id")).alias("now_regime"))
-    r = l.where("id % 5 = 0").join(snap, "symbol", "left").crossJoin(F.broadcast(now))  # one row
+    r = l.join(snap, "symbol", "left").crossJoin(F.broadcast(now))  # one row
     return r.select("id", "volume", "now_regime", F.row_number().over(Window.partitionBy(F.floor(F.col("bar_ms") / DAY)).orderBy("bar_ms", "id")).alias("place"))
 
 

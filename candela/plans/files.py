@@ -112,10 +112,10 @@ def backfill_plan(spark, sf):
     return fs.missing_ranges(bars, 780_000_000_000, 1_010_000_000_000, covered)
 
 
-@query(f"WITH {LEDGER} SELECT strategy, count(*) AS n, round(avg(net), 6) AS mean_net, bool_or(bar_ms > 900000000000) AS fresh FROM ledger WHERE id % 9 <> 0 GROUP BY strategy HAVING strategy <> 'DIRECTIONAL_SHORT'")
+@query(f"WITH {LEDGER} SELECT strategy, count(*) AS n, round(avg(net), 6) AS mean_net, bool_or(bar_ms > 900000000000) AS fresh FROM ledger GROUP BY strategy HAVING strategy <> 'DIRECTIONAL_SHORT'")
 def model_bundles(spark, sf):
     """Model rows saved, read back and checked for version, finite numbers and age."""
-    g = signals(spark, sf).where("id % 9 <> 0").groupBy("strategy").agg(F.count("*").alias("n"), F.avg("net").alias("m"), F.max("bar_ms").alias("trained_ms"))
+    g = signals(spark, sf).groupBy("strategy").agg(F.count("*").alias("n"), F.avg("net").alias("m"), F.max("bar_ms").alias("trained_ms"))
     odd = F.col("strategy") == "DIRECTIONAL_SHORT"
     path = fs.scratch(spark, "models")
     g.select("strategy", "n", F.lit(3).alias("version"), F.col("m").alias("intercept"), F.array(F.col("m"), F.when(odd, float("nan")).otherwise(1.0)).alias("weights"), "trained_ms").write.json(path, ignoreNullFields=False)

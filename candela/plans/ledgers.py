@@ -43,12 +43,12 @@ def cohort_measures(spark, sf):
     return rounded(rounded(lg.cohorts(signals(spark, sf), NOW), 9, "hit_rate", "low", "high", "net_win_rate"), 6, "mean_net")
 
 
-@query(f"""WITH {COHORTS}, x AS (SELECT * EXCLUDE (family), unnest(families) AS family FROM ledger WHERE id % 4 = 0)
+@query(f"""WITH {COHORTS}, x AS (SELECT * EXCLUDE (family), unnest(families) AS family FROM ledger)
 SELECT x.id, round(min(hit_rate), 9) AS least_rate, min(resolved) AS least_resolved FROM x LEFT JOIN cohort c ON c.audience = 'all' AND c.family = x.family AND c.horizon = x.horizon AND c.direction = x.direction AND c.regime = x.regime AND c.strategy = x.strategy AND c.policy = x.policy AND c.symbol = x.symbol GROUP BY x.id""")
 def cohort_lookup(spark, sf):
-    """A quarter of the signals with the least favourable rate over their families' cohorts."""
+    """Every signal with the least favourable rate over its families' cohorts."""
     l = signals(spark, sf)
-    return rounded(lg.cohort_lookup(l.where("id % 4 = 0"), lg.cohorts(l, NOW)), 9, "least_rate")
+    return rounded(lg.cohort_lookup(l, lg.cohorts(l, NOW)), 9, "least_rate")
 
 
 #: Items: each symbol's newest signal, judged by everything that settled.
@@ -99,11 +99,14 @@ def setup_assessments(spark, sf):
     return rounded(rounded(lg.assessments(items, l), 9, "probability"), 6, "expected_net")
 
 
-@query(f"""WITH {LEDGER} SELECT a.id, round(CASE WHEN count(*) >= 10 THEN count(*) FILTER (b.score <= a.score) / count(*) END, 9) AS percentile FROM (SELECT * FROM ledger WHERE id % 8 = 0) a JOIN ledger b USING (family, regime) GROUP BY a.id""")
+@query(f"""WITH {LEDGER}, past AS (SELECT family, regime, score FROM ledger WHERE bar_ms < {NOW}), i AS (SELECT id, unnest(list_distinct(families)) AS family, regime, score + id % 3 * 0.0035 - 0.003 AS score FROM ledger),
+c AS (SELECT i.id, i.family, CASE WHEN count(p.score) >= 10 THEN count(*) FILTER (p.score <= i.score) / count(p.score) END AS share FROM i LEFT JOIN past p ON p.family = i.family AND p.regime = i.regime GROUP BY ALL)
+SELECT id, round(avg(share), 9) AS percentile FROM c GROUP BY id""")
 def quality_percentile(spark, sf):
-    """An eighth of the signals ranked by score within family and regime."""
+    """Every signal, most with a score that the past has not seen, ranked within its families and regime."""
     l = signals(spark, sf)
-    return rounded(lg.quality_percentiles(l.where("id % 8 = 0").select("id", "family", "regime", "score"), l).select("id", "percentile"), 9, "percentile")
+    items = l.select("id", "families", "regime", (F.col("score") + F.col("id") % 3 * 0.0035 - 0.003).alias("score"))
+    return rounded(lg.quality_percentiles(items, l.where(F.col("bar_ms") < NOW).select("family", "regime", "score")), 9, "percentile")
 
 
 @query(f"""WITH {LEDGER}, r AS (SELECT *, CASE WHEN notified THEN 'TRADE' ELSE 'WATCH' END AS tier, symbol || '_' || horizon AS model FROM ledger WHERE status IS NOT NULL AND {NOW} - settled_ms <= {400 * DAY}),
@@ -162,15 +165,28 @@ def notification_funnel(spark, sf):
     return lg.reason_counts(judged(spark, sf))
 
 
-@query(f"""WITH {LEDGER}, cand AS (SELECT id, symbol, direction, score FROM ledger WHERE bar_ms BETWEEN {NOW - 20 * DAY} AND {NOW}), sent AS (SELECT symbol, max({{'t': bar_ms, 'direction': direction, 'score': score}}) AS last FROM ledger WHERE notified AND bar_ms <= {NOW} GROUP BY symbol),
-tot AS (SELECT count(*) FILTER (bar_ms + least(horizon, 60) * 60000 BETWEEN {NOW + 1} AND {NOW + 3_600_000}) AS open, coalesce(sum(net) FILTER (settled_ms BETWEEN {NOW - NOW % DAY} AND {NOW}), 0) AS today FROM ledger WHERE notified)
-SELECT id, cand.symbol, cand.direction, score, CASE WHEN open >= 50 THEN 'max_open' WHEN today <= -100000 THEN 'daily_loss' WHEN cand.direction = last.direction AND {NOW} - last.t < {10 * DAY} AND score < last.score + 0.5 THEN 'cooldown' END AS blocked FROM cand CROSS JOIN tot LEFT JOIN sent USING (symbol)""")
+#: (name, kill switch, most open alerts, loss limit) of the cases that the safety gates are asked.
+SAFETY = (("calm", False, 50, 100_000.0), ("no_limit", False, 50, 0.0), ("one_open", False, 1, 0.0), ("strict", False, 50, 1.0), ("kill", True, 50, 0.0))
+
+
+@query(f"""WITH {LEDGER}, times AS (SELECT max(bar_ms) + 60000 AS now FROM ledger, (VALUES ({NOW}), ({NOW + 500 * DAY})) x(t) WHERE notified AND bar_ms <= t GROUP BY t), cand AS (SELECT now, id, symbol, direction, score FROM ledger JOIN times ON bar_ms BETWEEN now - {20 * DAY} AND now),
+sent AS (SELECT now, symbol, max({{'t': bar_ms, 'direction': direction, 'score': score}}) AS last FROM ledger JOIN times ON bar_ms <= now WHERE notified GROUP BY ALL),
+tot AS (SELECT now, count(*) FILTER ((status IS NULL OR settled_ms > now) AND bar_ms + least(horizon, 60) * 60000 BETWEEN now + 1 AND now + 3600000) AS open, coalesce(sum(net) FILTER (settled_ms BETWEEN now - now % {DAY} AND now), 0) AS today FROM ledger CROSS JOIN times WHERE notified GROUP BY now),
+cases("case", kill, most, lim) AS (VALUES {', '.join(f"('{n}', {str(k).upper()}, {m}, {x})" for n, k, m, x in SAFETY)})
+SELECT "case", now, id, cand.symbol, cand.direction, score, CASE WHEN kill THEN 'kill_switch' WHEN open >= most THEN 'max_open' WHEN lim > 0 AND today <= -lim THEN 'daily_loss' WHEN cand.direction = last.direction AND now - last.t < {10 * DAY} AND score < last.score + 0.5 THEN 'cooldown' END AS blocked
+FROM cand JOIN tot USING (now) CROSS JOIN cases LEFT JOIN sent USING (now, symbol)""")
 def safety_gates(spark, sf):
-    """Open-alert cap, daily loss and same-direction cooldown with a score override."""
+    """The safety gates a minute after two alerts: open alerts, the day's loss (no limit at zero) and the cooldown with a score override."""
     l = signals(spark, sf)
-    sent = l.where(F.col("notified") & (F.col("bar_ms") <= NOW)).select("symbol", "direction", "score", F.col("bar_ms").alias("sent_ms"))
-    c = l.where(F.col("bar_ms").between(NOW - 20 * DAY, NOW)).select("id", "symbol", "direction", "score")
-    return lg.safety(c, l, sent, NOW, False, 50, 100_000, 10 * DAY, 0.5)
+    times = [l.where(F.col("notified") & (F.col("bar_ms") <= t)).agg(F.max("bar_ms") + 60_000).first()[0] for t in (NOW, NOW + 500 * DAY)]
+    out = None
+    for now in times:
+        sent = l.where(F.col("notified") & (F.col("bar_ms") <= now)).select("symbol", "direction", "score", F.col("bar_ms").alias("sent_ms"))
+        c = l.where(F.col("bar_ms").between(now - 20 * DAY, now)).select("id", "symbol", "direction", "score")
+        for name, kill, most, limit in SAFETY:
+            r = lg.safety(c, l, sent, now, kill, most, limit, 10 * DAY, 0.5).select(F.lit(name).alias("case"), F.lit(now).alias("now"), "*")
+            out = r if out is None else out.unionByName(r)
+    return out
 
 
 ARMS = LEDGER + """, arm AS (SELECT 'baseline' AS arm, * FROM ledger WHERE score >= 2 UNION ALL SELECT 'proposed', * FROM ledger WHERE score >= 1 AND len(families) >= 1 UNION ALL SELECT 'additional', * FROM ledger WHERE score >= 1 AND score < 2)"""

@@ -173,11 +173,11 @@ def daily_refits(spark, sf):
     return md.daily_refits(t, 500, F.col("symbol").isin("C1", "C2"))
 
 
-@query(f"""WITH {LEDGER}, i AS (SELECT * FROM ledger WHERE id % 10 = 0) SELECT i.id, count(l.net) AS n, count(*) FILTER (l.net > 0) AS wins, round(sum(l.net) / nullif(count(l.net), 0), 6) AS mean_net FROM i LEFT JOIN ledger l ON l.family = i.family AND l.regime = i.regime AND l.settled_ms < i.bar_ms GROUP BY i.id""")
+@query(f"""WITH {LEDGER}, i AS (SELECT * FROM ledger) SELECT i.id, count(l.net) AS n, count(*) FILTER (l.net > 0) AS wins, round(sum(l.net) / nullif(count(l.net), 0), 6) AS mean_net FROM i LEFT JOIN ledger l ON l.family = i.family AND l.regime = i.regime AND l.settled_ms < i.bar_ms GROUP BY i.id""")
 def point_in_time(spark, sf):
-    """What a tenth of the signals could know of their family and regime when they came."""
+    """What every signal could know of its family and regime when it came."""
     l = signals(spark, sf)
-    return rounded(md.point_in_time(l.where("id % 10 = 0"), l, "family", "regime"), 6, "mean_net")
+    return rounded(md.point_in_time(l, l, "family", "regime"), 6, "mean_net")
 
 
 @query(f"""WITH {LEDGER}, r AS (SELECT level, CAST(gross >= level AS INT) AS hit, id % 97 / 96.0 AS p FROM ledger, (VALUES (50.0), (100.0), (200.0)) v(level)), b AS (SELECT *, avg(hit) OVER (PARTITION BY level) AS base FROM r)

@@ -14,15 +14,15 @@ from candela.sources.ledger import signals
 from candela.streaming import state as st
 
 #: Days with day % 97 = 3 are missing; those without votes are unhealthy.
+_CLASS, _TARGET, _NEED = st.regime_sql()
+_NEXT = "CASE WHEN healthy AND target <> base AND c >= need THEN target ELSE base END"
 MACHINE = REGIME + f""",
 m0 AS (SELECT *, votes > 0 AND (open_time_ms // {DAY}) % 41 <> 7 AND state <> 'UNKNOWN' AS healthy, row_number() OVER (ORDER BY open_time_ms) AS k FROM regime WHERE (open_time_ms // {DAY}) % 97 <> 3),
-m1 AS (SELECT *, persistent_up AND trend_fraction >= 0.75 AS major, breadth < 0.35 OR trend_fraction <= 0.25 AS severe, CASE WHEN score < 0.55 THEN 'OFF' ELSE 'TRANSITION' END AS calm FROM m0),
+m1 AS (SELECT *, {_CLASS} AS class, CASE WHEN score < 0.55 THEN 'OFF' ELSE 'TRANSITION' END AS calm FROM m0),
 mach AS (SELECT 0::BIGINT AS k, CAST(NULL AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS now, '' AS wish, 0 AS cnt, CAST(NULL AS VARCHAR) AS event
-  UNION ALL SELECT k, t, raw, CASE WHEN healthy AND target <> base AND c >= need THEN target ELSE base END, CASE WHEN healthy AND target <> base AND c < need THEN target ELSE '' END, CASE WHEN healthy AND target <> base AND c < need THEN c ELSE 0 END,
-    CASE WHEN k > 1 AND CASE WHEN healthy AND target <> base AND c >= need THEN target ELSE base END <> old THEN old || '>' || CASE WHEN healthy AND target <> base AND c >= need THEN target ELSE base END END
-  FROM (SELECT *, CASE WHEN (wish1 = target) OR (base = 'BULL' AND wish1 IN ('OFF', 'TRANSITION')) THEN cnt1 + 1 ELSE 1 END AS c FROM (SELECT *, CASE WHEN severe THEN calm WHEN base = 'BULL' THEN CASE WHEN major AND breadth >= 0.5 THEN 'BULL' ELSE calm END WHEN major AND breadth >= 0.6 THEN 'BULL' ELSE calm END AS target,
-      CASE WHEN severe THEN 1 WHEN base = 'BULL' THEN 2 WHEN major AND breadth >= 0.6 THEN 3 ELSE 2 END AS need FROM (
-    SELECT r.k, r.open_time_ms AS t, r.state AS raw, r.breadth, r.major, r.severe, r.calm, r.healthy, coalesce(p.now, CASE WHEN NOT r.healthy THEN 'UNKNOWN' WHEN r.state = 'BULL' THEN 'TRANSITION' ELSE r.state END) AS old,
+  UNION ALL SELECT k, t, raw, {_NEXT}, CASE WHEN healthy AND target <> base AND c < need THEN target ELSE '' END, CASE WHEN healthy AND target <> base AND c < need THEN c ELSE 0 END, CASE WHEN k > 1 AND {_NEXT} <> old THEN old || '>' || {_NEXT} END
+  FROM (SELECT *, CASE WHEN wish1 = target OR base = 'BULL' AND wish1 IN ('OFF', 'TRANSITION') THEN cnt1 + 1 ELSE 1 END AS c FROM (SELECT *, {_TARGET} AS target, {_NEED} AS need FROM (
+    SELECT r.k, r.open_time_ms AS t, r.state AS raw, r.class, r.calm, r.healthy, coalesce(p.now, CASE WHEN NOT r.healthy THEN 'UNKNOWN' WHEN r.state = 'BULL' THEN 'TRANSITION' ELSE r.state END) AS old,
       CASE WHEN NOT r.healthy THEN 'UNKNOWN' WHEN p.now IS NULL THEN CASE WHEN r.state = 'BULL' THEN 'TRANSITION' ELSE r.state END WHEN r.open_time_ms - p.t > {DAY} THEN 'UNKNOWN' ELSE p.now END AS base,
       CASE WHEN r.open_time_ms = p.t + {DAY} THEN p.wish ELSE '' END AS wish1, CASE WHEN r.open_time_ms = p.t + {DAY} THEN p.cnt ELSE 0 END AS cnt1 FROM mach p JOIN m1 r ON r.k = p.k + 1))))
 SELECT 'v1|0.6' AS policy, t AS open_time_ms, raw, now AS regime, event FROM mach WHERE k > 0"""

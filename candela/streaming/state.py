@@ -1,23 +1,32 @@
-"""Keyed state over streams: one step function for each machine, run as a stateful stream or, for replays, as an ordered
-batch fold. A key's state is a few values; rows of a batch are taken in time order."""
+"""Keyed state over streams: one step function for each machine, run as a stateful stream (transformWithState, with timers that
+remove what no longer matters) or, for replays, as an ordered batch fold in chunks. A key's state is a few values; rows of a batch are taken
+in time order."""
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from candela.operators import folds
 from candela.sources.files import scratch
 
 Step = Callable[[tuple | None, tuple], tuple[tuple, tuple | None]]
+#: The state store that timers and typed state need.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+VALUE = "value"
 
 
-def run_parts(spark: SparkSession, parts: list[DataFrame], machine: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def run_parts(spark: SparkSession, parts: list[DataFrame], machine: Callable[[DataFrame], DataFrame], name: str, out: str | None = None) -> DataFrame:
     """The rows of a machine over parts that arrive one after the other: each is appended to the source folder and taken by a run
     that starts anew from the checkpoint of the one before, so state, watermark and offsets outlive every restart."""
-    path, out = scratch(spark, f"{name}-source"), scratch(spark, name)
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    path, out = scratch(spark, f"{name}-source"), out or scratch(spark, name)
     made = None
     for p in parts:
         p.write.mode("append").parquet(path)
@@ -26,82 +35,127 @@ def run_parts(spark: SparkSession, parts: list[DataFrame], machine: Callable[[Da
     return spark.read.schema(made.schema).parquet(f"{out}/rows")
 
 
-def _run(rows: pd.DataFrame, columns: list[str], order: str, state: tuple | None, step: Step) -> tuple[tuple | None, list[tuple]]:
+def state_rows(spark: SparkSession, out: str, operator_id: int = 0) -> DataFrame:
+    """What the state store of a run of ``run_parts`` still holds."""
+    return spark.read.format("statestore").option("operatorId", operator_id).option("stateVarName", VALUE).load(f"{out}/progress")
+
+
+def _run(rows, state: tuple | None, step: Step) -> tuple[tuple | None, list[tuple]]:
     out = []
-    for row in rows.sort_values(order, kind="stable")[columns].itertuples(index=False, name=None):
+    for row in rows:
         state, made = step(state, row)
         if made is not None:
             out.append(made)
     return state, out
 
 
-def folded(rows: DataFrame, key: str, columns: list[str], order: str, step: Step, output: str, state: str) -> DataFrame:
-    """(key, outputs of ``step``) for a stream or a batch. ``step(state or None, row)`` gives the next state and a row or None.
-    A batch groups by the key; keys must be many or their series short, as each is folded in one task."""
-    names = [c.split()[0] for c in output.split(", ")]
-    kind = rows.schema[key].dataType.simpleString()
+class Machine(StatefulProcessor):
+    """A step function over a key's rows. ``until(state)``: the event time (ms) from which the state has no effect any more; a timer
+    removes it then. Without it the state stays."""
 
-    def streamed(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now, out = _run(pd.concat(batches), columns, order, tuple(held.get) if held.exists else None, step)
+    def __init__(self, key: str, columns: list[str], order: str, step: Step, names: list[str], state: str, until: Callable[[tuple], int] | None = None):
+        self.key, self.columns, self.order, self.step, self.names, self.schema, self.until = key, columns, order, step, names, state, until
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState(VALUE, self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(rows).sort_values(self.order, kind="stable")
+        now, out = _run(pdf[self.columns].itertuples(index=False, name=None), tuple(self.held.get()) if self.held.exists() else None, self.step)
         if now is not None:
-            held.update(now)
-        yield pd.DataFrame([(k[0], *o) for o in out], columns=[key, *names])
+            self.held.update(now)
+            if self.until:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(int(self.until(now)))
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=[self.key, *self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame([], columns=[self.key, *self.names])
+
+    def close(self) -> None:
+        pass
 
-    def batch(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(k[0], *o) for o in _run(pdf, columns, order, None, step)[1]], columns=[key, *names])
 
-    schema = f"{key} {kind}, {output}"
+def folded(rows: DataFrame, key: str, columns: list[str], order: str, step: Step, output: str, state: str, until: Callable[[tuple], int] | None = None) -> DataFrame:
+    """(key, outputs of ``step``) for a stream or a batch. ``step(state or None, row)`` gives the next state and a row or None.
+    A stream with ``until`` needs a watermark. A batch is folded in chunks of days of ``order`` (milliseconds), so a long series is no one task."""
+    names = [c.split()[0] for c in output.split(", ")]
     if rows.isStreaming:
-        return rows.groupBy(key).applyInPandasWithState(streamed, schema, state, "append", "NoTimeout")
-    return rows.groupBy(key).applyInPandas(batch, schema)
+        schema = f"{key} {rows.schema[key].dataType.simpleString()}, {output}"
+        return rows.groupBy(key).transformWithStateInPandas(Machine(key, columns, order, step, names, state, until), schema, "append", "EventTime" if until else "None")
+    cut = folds.chunked(rows, (key,), F.floor(F.col(order) / 86_400_000).cast("long"))
+    return folds.folded(cut, (key,), [F.col(order)], columns, state, output, lambda s, some: _run(some, s, step))
+
+
+CALM = ("OFF", "TRANSITION")
+
+
+def regime_moves(enter: int = 3, leave: int = 2) -> dict[tuple[bool, str], tuple[str, int]]:
+    """(is it BULL now, class of the bar): the state that the bar speaks for and how many such bars in a row it takes. "calm" is OFF or
+    TRANSITION, by the bar's score."""
+    stay = {(True, c): ("BULL", leave) for c in ("strong", "hold")}
+    fail = {(True, "weak"): ("calm", leave), (False, "weak"): ("calm", leave), (False, "hold"): ("calm", leave)}
+    return {**stay, **fail, (False, "strong"): ("BULL", enter), (True, "severe"): ("calm", 1), (False, "severe"): ("calm", 1)}
+
+
+Test = tuple[str, str, float]
+COMPARE = {"<": operator.lt, "<=": operator.le, ">=": operator.ge}
+
+
+def regime_classes(entry: float) -> list[tuple[str, Callable[..., bool], list[Test]]]:
+    """The classes of a healthy bar, first that holds: name, whether any or all of its tests must hold, the tests. The hold band reaches ten
+    points below the entry, down to 35 % at least."""
+    major = [("persistent_up", ">=", 1), ("trend_fraction", ">=", 0.75)]
+    return [("severe", any, [("breadth", "<", 0.35), ("trend_fraction", "<=", 0.25)]), ("strong", all, [*major, ("breadth", ">=", entry)]),
+            ("hold", all, [*major, ("breadth", ">=", max(0.35, entry - 0.10))]), ("weak", all, [])]
+
+
+def regime_sql(entry: float = 0.60, enter: int = 3, leave: int = 2) -> tuple[str, str, str]:
+    """SQL of the same tables: a bar's class, and from ``base`` and ``class`` the target (with ``calm`` the score's state) and how many bars it takes."""
+    text = lambda how, tests: (" OR " if how is any else " AND ").join(f"CAST({c} AS DOUBLE) {o} {v}" for c, o, v in tests) or "TRUE"
+    kind = " ".join(f"WHEN {text(how, tests)} THEN '{name}'" for name, how, tests in regime_classes(entry))
+    when = lambda pick: " ".join(f"WHEN (base = 'BULL') = {str(bull).upper()} AND class = '{c}' THEN {pick(*to)}" for (bull, c), to in regime_moves(enter, leave).items())
+    return f"CASE {kind} END", f"CASE {when(lambda t, n: 'calm' if t == 'calm' else repr(t))} END", f"CASE {when(lambda t, n: n)} END"
+
+
+def confirmed(now: str, wish: str, count: int, target: str, needed: int) -> tuple[str, str, int]:
+    """The state, and the wish with its count, after a bar that speaks for ``target``. While BULL fails, OFF and TRANSITION are one wish."""
+    if target == now:
+        return now, "", 0
+    alike = wish == target or now == "BULL" and wish in CALM
+    count = 1 + count * alike
+    return (target, "", 0) if count >= needed else (now, target, count)
 
 
 def regime_step(step_ms: int, entry: float = 0.60, enter: int = 3, leave: int = 2):
-    """The confirmed market regime. Rows: time, raw state, score, breadth, trend fraction, persistent, healthy.
+    """The confirmed market regime. Rows: ``REGIME_IN``. State: regime, wish, count, time of the last bar.
 
-    BULL after ``enter`` consecutive strong bars; kept while breadth holds ten points below the entry (at least 35 %); left after
-    ``leave`` failing bars, OFF and TRANSITION counting alike, or at once when it breaks severely. A gap, or missing health, makes
-    it UNKNOWN and it must be earned anew. A bar that came before changes nothing and an older one reads UNKNOWN.
+    A bar moves the regime by ``regime_moves``. A gap, or missing health, makes it UNKNOWN and it must be earned anew; wishes are
+    counted over neighbouring bars only. A bar that came before changes nothing, an older one reads UNKNOWN. A machine begins in the raw
+    state, BULL being TRANSITION until it is confirmed.
     """
-    low = max(0.35, entry - 0.10)
+    moves, classes = regime_moves(enter, leave), regime_classes(entry)
 
     def step(state, row):
-        t, raw, score, breadth, trend, persistent, healthy = row
-        healthy = bool(healthy) and raw in ("BULL", "TRANSITION", "OFF")
-        had = state is not None
-        if not had:
-            state = ("UNKNOWN" if not healthy else "TRANSITION" if raw == "BULL" else raw, "", 0, 0)
-        now, wish, count, last = state
-        if had and t < last:
-            return state, (int(t), raw, "UNKNOWN", None)
-        if had and healthy and t == last:
-            return state, (int(t), raw, now, None)
-        old = now
-        if not (last > 0 and t == last + step_ms):
-            wish, count = "", 0
+        bar = dict(zip(REGIME_IN, row))
+        t, raw = int(bar["open_time_ms"]), bar["state"]
+        healthy = bool(bar["healthy"]) and raw in ("BULL", *CALM)
+        old, wish, count, last = state or ((raw if raw in CALM else "TRANSITION") if healthy else "UNKNOWN", "", 0, None)
+        ahead = None if last is None else (t - last) / step_ms
+        if ahead is not None and (ahead < 0 or ahead == 0 and healthy):
+            return state, (t, raw, old if ahead == 0 else "UNKNOWN", None)
         if not healthy:
-            now, wish, count = "UNKNOWN", "", 0
+            new, wish, count = "UNKNOWN", "", 0
         else:
-            if had and last and t - last > step_ms:
-                now = "UNKNOWN"
-            major = persistent and trend >= 0.75
-            calm = "OFF" if score < 0.55 else "TRANSITION"
-            if breadth < 0.35 or trend <= 0.25:
-                target, need = calm, 1
-            elif now == "BULL":
-                target, need = ("BULL" if major and breadth >= low else calm), leave
-            elif major and breadth >= entry:
-                target, need = "BULL", enter
-            else:
-                target, need = calm, leave
-            if target == now:
-                wish, count = "", 0
-            else:
-                count = count + 1 if wish == target or (now == "BULL" and wish in ("OFF", "TRANSITION")) else 1
-                wish = target
-                if count >= need:
-                    now, wish, count = target, "", 0
-        return (now, wish, count, int(t)), (int(t), raw, now, f"{old}>{now}" if had and now != old else None)
+            now = "UNKNOWN" if ahead is not None and ahead > 1 else old
+            wish, count = (wish, count) if ahead == 1 else ("", 0)
+            kind = next(name for name, how, tests in classes if how(COMPARE[o](bar[c], v) for c, o, v in tests))
+            target, needed = moves[now == "BULL", kind]
+            new, wish, count = confirmed(now, wish, count, ("OFF" if bar["score"] < 0.55 else "TRANSITION") if target == "calm" else target, needed)
+        return (new, wish, count, t), (t, raw, new, f"{old}>{new}" if state and new != old else None)
 
     return step
 
@@ -145,9 +199,9 @@ def delivery_step(cooldown_ms: int, better: float):
 
 
 def deliveries(signals: DataFrame, cooldown_ms: int, better: float) -> DataFrame:
-    """Signals (key, t, id, score), each id once."""
+    """Signals (key, t, id, score), each id once. A key's last delivery is forgotten when event time has passed its cooldown."""
     once = signals.withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["id"]) if signals.isStreaming else signals.dropDuplicates(["id"])
-    return folded(once, "key", ["t", "id", "score"], "t", delivery_step(cooldown_ms, better), "t long, id long, action string", "sent long, score double")
+    return folded(once, "key", ["t", "id", "score"], "t", delivery_step(cooldown_ms, better), "t long, id long, action string", "sent long, score double", lambda s: s[0] + cooldown_ms)
 
 
 def incident_step(repeat_ms: int, failures: int):
@@ -167,29 +221,47 @@ def incidents(checks: DataFrame, repeat_ms: int, failures: int = 3) -> DataFrame
     return folded(checks, "code", ["t", "bad"], "t", incident_step(repeat_ms, failures), "t long, failures long", "n long, sent long")
 
 
-def lifecycles(events: DataFrame, grace_ms: int) -> DataFrame:
-    """Setups (id, at, t, kind, due) from open to SETTLED at their touch, or DATA_MISSING when event time passes the deadline and the
-    grace time without one. Timers are part of the state."""
+class Lifecycle(StatefulProcessor):
+    """A setup from open to settled. Its timer, at the deadline and the grace time, reports it missing if it has not settled, and
+    removes its state either way: what settled is remembered until then, so that a repeated touch settles nothing twice."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        made = []
-        if state.hasTimedOut:
-            made = [(key[0], "DATA_MISSING", state.get[0])]
-            state.update((state.get[0], True))
-        else:
-            due, done = state.get if state.exists else (0, False)
-            for row in pd.concat(batches).sort_values("t", kind="stable").itertuples(index=False):
-                if row.kind == "open" and not due:
-                    due = int(row.due)
-                elif row.kind == "touch" and not done:
-                    done = True
+    def __init__(self, grace_ms: int):
+        self.grace = grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState(VALUE, "due long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due, done = self.held.get() if self.held.exists() else (None, False)
+        made, known = [], due
+        for row in pd.concat(rows).sort_values("t", kind="stable").itertuples(index=False):
+            if row.kind == "open" and known is None:
+                due = known = int(row.due)
+            elif row.kind == "touch":
+                due = int(row.t) if due is None else due
+                if not done:
                     made.append((key[0], "SETTLED", int(row.t)))
-            state.update((due, done))
-            if not done and due:
-                state.setTimeoutTimestamp(max(due + grace_ms, state.getCurrentWatermarkMs() + 1))
+                done = True
+        self.held.update((due, done))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(due + self.grace)
         yield pd.DataFrame(made, columns=["id", "status", "t"])
 
-    return events.withWatermark("at", "0 seconds").groupBy("id").applyInPandasWithState(run, "id long, status string, t long", "due long, done boolean", "append", "EventTimeTimeout")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, done = self.held.get()
+        self.held.clear()
+        yield pd.DataFrame([] if done else [(key[0], "DATA_MISSING", due)], columns=["id", "status", "t"])
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycles(events: DataFrame, grace_ms: int) -> DataFrame:
+    """Setups (id, at, t, kind, due) from open to SETTLED at their touch, or DATA_MISSING when event time passes the deadline and the
+    grace time without one. No state outlives that time."""
+    return events.withWatermark("at", "0 seconds").groupBy("id").transformWithStateInPandas(Lifecycle(grace_ms), "id long, status string, t long", "append", "EventTime")
 
 
 def latest_closed(lines: DataFrame, path: str) -> None:

@@ -1,7 +1,10 @@
 """Streams against their batch forms."""
 
+from pyspark.sql import functions as F
+
 from candela.plans import catalog
 from candela.sources import bars as src
+from candela.streaming import state as st
 from candela.streaming.candles import HOUR, advance
 
 SF = "/root/testdata/sf0.01"
@@ -28,3 +31,49 @@ def test_streamed_regime_follows_the_fold(spark):
         want.append((r.symbol, r.open_time_ms, raw, regime))
     got = sorted(tuple(r) for r in catalog.QUERIES["streamed_regime"](spark, SF).collect())
     assert got == want and {"BULL", "OFF", "UNKNOWN"} <= {w[3] for w in want}
+
+
+DAY = 86_400_000
+
+
+def test_settled_setups_leave_no_state(spark, tmp_path):
+    """A setup touched, one touched twice, one never, one still waiting: only the waiting one is held at the end."""
+    rows = [(1, 0, "open", 5), (1, 3, "touch", 0), (2, 0, "open", 5), (2, 2, "touch", 0), (2, 4, "touch", 0), (3, 1, "open", 6), (4, 38, "open", 43), (9, 40, "open", 41)]
+    e = spark.createDataFrame([(i, t * DAY, k, d * DAY) for i, t, k, d in rows], "id long, t long, kind string, due long").withColumn("at", F.timestamp_millis("t"))
+    out = tmp_path.as_uri()
+    parts = [e.where(F.col("t") < 30 * DAY), e.where(F.col("t") >= 30 * DAY)]
+    got = st.run_parts(spark, parts, lambda r: st.lifecycles(r, 10 * DAY), "lives", out)
+    assert sorted(map(tuple, got.collect())) == [(1, "SETTLED", 3 * DAY), (2, "SETTLED", 2 * DAY), (3, "DATA_MISSING", 6 * DAY)]
+    assert sorted(r.key.id for r in st.state_rows(spark, out).collect()) == [4, 9]
+
+
+def test_deliveries_are_forgotten_after_their_cooldown(spark, tmp_path):
+    rows = [("a", 0, 1, 1.0), ("a", 2, 2, 1.5), ("a", 3, 3, 2.5), ("b", 1, 4, 1.0), ("b", 20, 5, 0.1), ("b", 20, 5, 0.1), ("c", 30, 6, 1.0), ("c", 31, 7, 1.0)]
+    s = spark.createDataFrame([(k, t * DAY, i, x) for k, t, i, x in rows], "key string, t long, id long, score double").withColumn("at", F.timestamp_millis("t"))
+    out = tmp_path.as_uri()
+    got = st.run_parts(spark, [s.where(F.col("t") < 10 * DAY), s.where(F.col("t").between(10 * DAY, 25 * DAY)), s.where(F.col("t") > 25 * DAY)], lambda r: st.deliveries(r, 5 * DAY, 1.0), "sent", out)
+    want = {1: "SENT", 2: "COOLDOWN", 3: "SENT", 4: "SENT", 5: "SENT", 6: "SENT", 7: "COOLDOWN"}
+    assert {r.id: r.action for r in got.collect()} == want
+    assert [r.key.key for r in st.state_rows(spark, out).collect()] == ["c"]
+    assert {r.id: r.action for r in st.deliveries(s, 5 * DAY, 1.0).collect()} == want  # the batch form
+
+
+def test_regime_machine_by_cases():
+    """Earned in three, kept in the band, left in two that fail alike, at once when it breaks, lost over gaps and without health."""
+    step = st.regime_step(1)
+    strong, band, weak, worse, broken = (0.9, 0.7, 0.8, True), (0.5, 0.52, 0.8, True), (0.6, 0.4, 0.8, True), (0.5, 0.4, 0.8, True), (0.5, 0.3, 0.8, True)
+    def run(*bars):
+        state, seen = None, []
+        for t, raw, bar, healthy in bars:
+            state, out = step(state, (t, raw, *bar, healthy))
+            seen.append(out[2])
+        return seen
+    earned = [(t, "BULL", strong, True) for t in range(3)]
+    assert run(*earned) == ["TRANSITION", "TRANSITION", "BULL"]
+    assert run(*earned, (3, "OFF", band, True), (4, "OFF", weak, True), (5, "OFF", worse, True))[3:] == ["BULL", "BULL", "OFF"]
+    assert run(*earned, (3, "OFF", weak, True), (4, "BULL", strong, True), (5, "OFF", weak, True))[3:] == ["BULL"] * 3
+    assert run(*earned, (3, "OFF", broken, True))[3:] == ["OFF"]
+    assert run(*earned, (5, "BULL", strong, True), (6, "BULL", strong, True), (7, "BULL", strong, True))[3:] == ["UNKNOWN", "UNKNOWN", "BULL"]
+    assert run(*earned, (3, "BULL", strong, False), (4, "BULL", strong, True))[3:] == ["UNKNOWN", "UNKNOWN"]
+    assert run(*earned, (2, "OFF", broken, True), (1, "BULL", strong, True), (3, "BULL", strong, True))[3:] == ["BULL", "UNKNOWN", "BULL"]
+    assert set(st.regime_moves()) == {(b, name) for b in (True, False) for name, *_ in st.regime_classes(0.6)}
