@@ -35,7 +35,7 @@ from .tokens import ByteBpe, PieceBpe
 PIECE, HEAD, KEEP = 1 << 14, 1 << 20, 1 << 21
 RESULT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
 PART = "row long, piece int, doc_id long, n_a long, n_b long, commons long, head_a string, head_b string, body string, tail_a string, tail_b string, keys binary, times binary"
-LONG = "piece int, a_ids binary, a_ends binary, b_ids binary, b_ends binary"
+LONG = "piece int, a_from long, b_from long, a_ids binary, b_ids binary"
 
 
 class Part(NamedTuple):
@@ -134,6 +134,7 @@ class Aligner:
         self.bytes_a, self.bytes_b = (np.array([*x, b""], object)[:-1] for x in (own_a, own_b))
         self.len_a, self.len_b = (np.array([len(t) for t in x], np.int64) for x in (own_a, own_b))
         self.base = len(own_b)
+        self.id = "<u2" if max(len(own_a), len(own_b)) <= 1 << 16 else "<u4"
         self.key = "<u4" if len(own_a) * len(own_b) < 1 << 32 else "<u8"
         self.joiner = Joiner(max(len(own_a), len(own_b)))
 
@@ -182,16 +183,17 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.tiktoken", b: str = "piece_b
                     out.append((row, doc, 0, 0, 0, 0, "", b"", b"", *[None] * 5))
                     continue
                 a_ids, a_ends, b_ids, b_ends = got
-                cut = diagonals(a_ends, b_ends, piece)
-                if cut.shape[1] == 2:
+                cut = diagonals(a_ends, b_ends, piece) if len(a_ids) + len(b_ids) > piece else None
+                if cut is None or cut.shape[1] == 2:
                     groups, links, digest, keys, times = stitch([overlaps(*got, len(a_ids), len(b_ids), tools.base, tools.joiner)])
                     out.append((row, doc, len(a_ids), len(b_ids), groups, links, digest, *packed(keys, times, tools.key), *[None] * 5))
                     held += 8 * len(keys)
                 else:
                     for k in range(cut.shape[1] - 1):
                         (i0, j0), (i1, j1) = cut[:, k], cut[:, k + 1]
-                        raw = [x.tobytes() for x in (a_ids[i0 : i1 + 1], a_ends[i0:i1], b_ids[j0 : j1 + 1], b_ends[j0:j1])]
-                        out.append((row, doc, len(a_ids), len(b_ids), None, None, None, None, None, k, *raw))
+                        raw = [x.astype(tools.id).tobytes() for x in (a_ids[i0 : i1 + 1], b_ids[j0 : j1 + 1])]
+                        own = [int(e[i - 1]) if i else 0 for e, i in ((a_ends, i0), (b_ends, j0))]
+                        out.append((row, doc, len(a_ids), len(b_ids), i1 - i0, j1 - j0, None, None, None, k, *own, *raw))
                         held += sum(map(len, raw))
                 if held > 1 << 23:
                     yield _batch(out, wide)
@@ -204,8 +206,10 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.tiktoken", b: str = "piece_b
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                ids = [np.frombuffer(r[c], t) for c, t in (("a_ids", "<u4"), ("a_ends", "<i8"), ("b_ids", "<u4"), ("b_ends", "<i8"))]
-                p = overlaps(*ids, len(ids[1]), len(ids[3]), tools.base, tools.joiner)
+                # the ends of a piece follow from its ids; n_groups and n_links hold how many ends are its own
+                a_ids, b_ids = (np.frombuffer(r[c], tools.id) for c in ("a_ids", "b_ids"))
+                a_ends, b_ends = r["a_from"] + np.cumsum(tools.len_a[a_ids]), r["b_from"] + np.cumsum(tools.len_b[b_ids])
+                p = overlaps(a_ids, a_ends, b_ids, b_ends, r["n_groups"], r["n_links"], tools.base, tools.joiner)
                 out.append((r["row"], r["piece"], r["doc_id"], r["n_a"], r["n_b"], p.commons, *p.head, p.body, *p.tail, *packed(p.keys, p.times, tools.key)))
             yield _batch(out, parts)
 
@@ -218,7 +222,7 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.tiktoken", b: str = "piece_b
     whole, cut_up = scratch(spark, "aligned"), scratch(spark, "stitched")
     docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tokenise, ddl).write.option("compression", "zstd").parquet(whole)
     rows, names = spark.read.parquet(whole), [f.name for f in narrow]
-    pieces = rows.where("piece is not null").select("row", "piece", "doc_id", "n_a", "n_b", "a_ids", "a_ends", "b_ids", "b_ends")
+    pieces = rows.where("piece is not null").select("row", "piece", "doc_id", "n_a", "n_b", "n_groups", "n_links", "a_from", "b_from", "a_ids", "b_ids")
     emitted = pieces.repartition(partitions(spark), "row", "piece").mapInArrow(emit, PART)
     emitted.groupBy("row").applyInArrow(join, RESULT).write.option("compression", "zstd").parquet(cut_up)
     return rows.where("piece is null").select(*names).unionByName(spark.read.parquet(cut_up))
