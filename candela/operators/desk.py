@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from candela.functions.ewm import ewms
 from candela.functions.scalars import frame, guarded, ratio, series, true_range
@@ -52,6 +53,30 @@ def oi_changes(oi: DataFrame, step: int, lags: tuple[int, ...], points: int = 13
     return c.select("series", F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), "t", F.when(F.col("n") == points, F.col("change")).alias("change")).withColumn("open_time_ms", F.col("t") + F.col("lag") * F.lit(step).cast("long")).drop("t")
 
 
+def oi_coverage(oi: DataFrame, candles: DataFrame, step: int, lags: tuple[int, ...] = (1, 2, 3), points: int = 13) -> DataFrame:
+    """How far open interest (series, t, v) covers the candles (series, close_ms on the grid) if it is known ``lag`` steps late: one row for
+    each series and lag.
+
+    Of the series: rows, off_grid (stamps beside the grid), grid_rows, gaps and the largest step between grid rows, invalid (not finite or not positive).
+    Of the lag: eligible candles (those that the series could serve), complete ones (every point of the window is on the grid and valid), missing, and days
+    with a complete one. Nothing is filled.
+    """
+    valid = F.coalesce((F.col("v") > 0) & (F.col("v") < float("inf")), F.lit(False))
+    on = F.col("t") % step == 0
+    w = Window.partitionBy("series").orderBy("t")
+    grid = oi.where(on).withColumns({"ok": valid, "d": F.col("t") - F.lag("t").over(w)})
+    whole = grid.withColumn("n", F.count_if("ok").over(w.rangeBetween(-(points - 1) * step, 0))).where(F.col("n") == points).select("series", "t", F.lit(True).alias("complete"))
+    of_all = oi.groupBy("series").agg(F.count("*").alias("rows"), F.count_if(~on).alias("off_grid"), F.count_if(~valid).alias("invalid"), F.min("t").alias("start_ms"), F.max("t").alias("end_ms"))
+    of_grid = grid.groupBy("series").agg(F.count("*").alias("grid_rows"), F.count_if(F.col("d") != step).alias("gaps"), F.max("d").alias("largest_ms"))
+    total = of_all.join(of_grid, "series").withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
+    late = F.col("lag") * F.lit(step).cast("long")
+    asked = candles.select("series", "close_ms").join(total, "series").where(F.col("close_ms").between(F.col("start_ms") + (points - 1) * step + late, F.col("end_ms") + late))
+    met = asked.withColumn("t", F.col("close_ms") - late).join(whole, ["series", "t"], "left")
+    done = F.coalesce("complete", F.lit(False))
+    g = met.groupBy("series", "lag").agg(F.count("*").alias("eligible"), F.count_if(done).alias("complete"), F.count_if(~done).alias("missing"), F.count_distinct(F.when(done, F.floor(F.col("close_ms") / DAY))).alias("days"))
+    return total.join(g, ["series", "lag"], "left").fillna(0, ["eligible", "complete", "missing", "days"])
+
+
 def oi_reason(liquid: Column) -> Column:
     """The first reason against a breakout: context, liquidity, falling benchmarks, open interest."""
     context = F.col("c0").isNotNull() & F.col("c1").isNotNull() & F.col("r0").isNotNull() & F.col("r1").isNotNull()
@@ -149,3 +174,20 @@ def strategy_direction(items: DataFrame, forecast: DataFrame, code, horizon_of:
     ok = (F.col("seen") == F.col("n_families")) & F.col("permit") & F.col("assert_") & (direction_of(F.col("p"), F.col("g"), F.col("t")) == want)
     won = g.where(ok).groupBy("id").agg(F.count("*").alias("c"), F.max(want).alias("d"))
     return items.select("id").join(won, "id", "left").select("id", F.when(F.col("c") == 1, F.col("d")).otherwise("MIXED").alias("direction"))
+
+
+class ExpandLevels:
+    """Table function: the target prices of a side at each level in percent, one row for each."""
+
+    LEVELS = (2.0, 3.0, 5.0)
+
+    def eval(self, price: float, side: str):
+        if price is not None and side in ("LONG", "SHORT"):
+            for level in self.LEVELS:
+                yield level, price * (1 + (level if side == "LONG" else -level) / 100)
+
+
+def register_levels(spark) -> str:
+    """Registers ``expand_levels(price, side)`` for lateral joins in SQL and gives its name."""
+    spark.udtf.register("expand_levels", udtf(ExpandLevels, returnType="level double, target double"))
+    return "expand_levels"

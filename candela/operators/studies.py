@@ -56,6 +56,29 @@ def scenario_table(rows: DataFrame, value: str, p: str, v: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), *[F.round(F.percentile(value, q), 6).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
 
 
+def scenario_cells(rows: DataFrame, p_bin: Column, v_bin: Column, value: str, up: Column, down: Column) -> DataFrame:
+    """Scenarios by both bins, by the first, and overall, in one pass: level (0, 1, 2), p, v, n, deciles of ``value``, and the shares of rows that touch up,
+    down, both or neither."""
+    r = rows.where(F.col(value).isNotNull()).withColumns({"p": p_bin, "v": v_bin, "_u": up, "_d": down})
+    share = lambda c: F.avg(c.cast("double"))
+    u, d = F.col("_u"), F.col("_d")
+    g = r.groupingSets([[F.col("p"), F.col("v")], [F.col("p")], []], F.col("p"), F.col("v")).agg(
+        F.bit_count(F.grouping_id()).cast("int").alias("level"), F.count("*").alias("n"), *[F.percentile(value, q).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
+        share(u).alias("touch_up"), share(d).alias("touch_down"), share(u & d).alias("touch_both"), share(~u & ~d).alias("touch_neither"))
+    return g
+
+
+def scenario_lookup(items: DataFrame, cells: DataFrame, p_bin: Column, v_bin: Column, least: int) -> DataFrame:
+    """Items with their scenario: of both bins if it has ``least`` rows, else of the first bin, else the overall one. The levels are one
+    table of few rows: an item asks for its three keys in one join and keeps the narrowest answer that is large enough."""
+    key = lambda level, p, v: F.concat_ws("|", level.cast("string"), F.when(level < 2, p).cast("string"), F.when(level < 1, v).cast("string"))
+    table = cells.where((F.col("n") >= least) | (F.col("level") == 2)).select(key(F.col("level"), F.col("p"), F.col("v")).alias("_key"), F.struct("level", *[c for c in cells.columns if c not in ("p", "v", "level")]).alias("_cell"))
+    asked = items.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_p": p_bin, "_v": v_bin})
+    asked = asked.withColumn("_key", F.explode(F.array(*[key(F.lit(level), F.col("_p"), F.col("_v")) for level in range(3)])))
+    found = asked.join(table, "_key").groupBy("_id", *items.columns).agg(F.min("_cell").alias("_cell"))  # level leads the struct
+    return found.select(*items.columns, "_cell.*")
+
+
 def weekly(trades: DataFrame, anchor: int = 0) -> DataFrame:
     """Trades and net by symbol and week, weeks without trades as zeros between the first and the last."""
     week = F.floor((F.col("event_ms") - anchor) / (7 * DAY)).cast("long")

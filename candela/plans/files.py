@@ -202,12 +202,13 @@ def candle_rows_kept(spark, sf):
 
 
 @query(f"""WITH {BARS_1D}, g AS (SELECT *, sum(gap) OVER {W} AS seg FROM (SELECT *, CASE WHEN open_time_ms - lag(open_time_ms) OVER {W} <> {DAY} THEN 1 ELSE 0 END AS gap FROM bars))
-SELECT symbol, count(*) AS bars, max(seg)::BIGINT + 1 AS segments, min(open_time_ms) AS start_ms, max(open_time_ms) AS end_ms, count(*) FILTER (taker_buy_base > volume) AS invalid, sha256(string_agg(open_time_ms || ':' || trade_count, ',' ORDER BY open_time_ms)) AS hash FROM g GROUP BY symbol""")
+SELECT symbol, count(*) AS bars, max(seg)::BIGINT + 1 AS segments, min(open_time_ms) AS start_ms, max(open_time_ms) AS end_ms, count(*) FILTER (taker_buy_base > volume) AS invalid, any_value(hash) AS hash FROM g JOIN (SELECT symbol, sha256(string_agg(h, ',' ORDER BY part)) AS hash FROM (SELECT symbol, open_time_ms // {30 * DAY} AS part, sha256(string_agg(open_time_ms || ':' || trade_count, ',' ORDER BY open_time_ms)) AS h FROM bars GROUP BY ALL) GROUP BY symbol) USING (symbol) GROUP BY symbol""")
 def data_manifest(spark, sf):
     """Candles, segments, range, invalid rows and a provenance hash of each source."""
-    r = src.segments(src.bars_1d(spark, sf), DAY)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("open_time_ms", "trade_count"))), lambda x: F.concat(x.open_time_ms.cast("string"), F.lit(":"), x.trade_count.cast("string"))), ",")
-    return r.groupBy("symbol").agg(F.count("*").alias("bars"), (F.max("segment") + 1).alias("segments"), F.min("open_time_ms").alias("start_ms"), F.max("open_time_ms").alias("end_ms"), F.count_if(F.col("taker_buy_base") > F.col("volume")).alias("invalid"), F.sha2(text, 256).alias("hash"))
+    bars = src.bars_1d(spark, sf)
+    row = F.concat_ws(":", F.col("open_time_ms").cast("string"), F.col("trade_count").cast("string"))
+    g = src.segments(bars, DAY).groupBy("symbol").agg(F.count("*").alias("bars"), (F.max("segment") + 1).alias("segments"), F.min("open_time_ms").alias("start_ms"), F.max("open_time_ms").alias("end_ms"), F.count_if(F.col("taker_buy_base") > F.col("volume")).alias("invalid"))
+    return g.join(fs.series_hash(bars, row, 30 * DAY), "symbol")
 
 
 @query(f"""WITH {LEDGER}, t AS (SELECT strategy, count(*) AS trades, round(avg(net), 6) AS mean_net FROM ledger GROUP BY strategy) SELECT *, trades >= 100 AND mean_net > 0 AS passed FROM t""")

@@ -186,3 +186,35 @@ def manifest_problems(entries: DataFrame) -> DataFrame:
     size = entries.groupBy("group").agg(F.count("*").alias("n"), F.first("expected").alias("e")).where("n <> e").select(F.lit("size").alias("problem"), F.col("group").alias("name"))
     twice = entries.select(F.explode(F.array(F.struct(F.lit("spot").alias("problem"), F.col("spot").alias("name")), F.struct(F.lit("perpetual").alias("problem"), F.col("perpetual").alias("name")))).alias("x")).select("x.*")
     return size.unionByName(twice.groupBy("problem", "name").count().where("count > 1").select("problem", "name"))
+
+
+def series_hash(bars: DataFrame, row: Column, part_ms: int) -> DataFrame:
+    """(symbol, hash): SHA-256 of the hashes of the series' parts of ``part_ms`` each, whose rows (texts, by time) are joined by commas. No row
+    holds more than a part, or one hash for each part."""
+    part = F.floor(F.col("open_time_ms") / part_ms).alias("part")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.text), ",")
+    parts = bars.groupBy("symbol", part).agg(F.sha2(joined(F.struct("open_time_ms", row.alias("text"))), 256).alias("text"))
+    return parts.groupBy("symbol").agg(F.sha2(joined(F.struct("part", "text")), 256).alias("hash"))
+
+
+def file_manifest(spark: SparkSession, path: str, step: int, schema: str = CANDLE) -> DataFrame:
+    """One row for each candle CSV below ``path``: file, symbol (from its folder), bytes, SHA-256 of its content, rows, invalid rows, twice (stamps that
+    repeat), segments, longest (rows of the longest segment), its first and last time, and status: SKIP_DUPLICATE, SKIP_NO_VALID_BARS, SELECTED (the
+    symbol's longest, then first by name) or AVAILABLE. A file is hashed where it is read; its content never leaves its task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    files = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path).withColumn("file", F.col("_metadata.file_path"))
+    r = raw.withColumns({"symbol": F.regexp_extract("file", "symbol=([^/]+)", 1)})
+    names = {c.split()[0] for c in schema.split(", ")}
+    good = violation(step).isNull() if {"high", "volume"} <= names else F.col("open_time_ms").isNotNull() & (F.col("open_time_ms") % step == 0)
+    w = Window.partitionBy("file").orderBy("open_time_ms")
+    r = r.withColumns({"good": good, "twice": F.count("*").over(Window.partitionBy("file", "open_time_ms")) > 1})
+    g = r.groupBy("file", "symbol").agg(F.count("*").alias("rows"), F.count_if(~F.coalesce("good", F.lit(False))).alias("invalid"), F.count_if("twice").alias("twice"))
+    s = r.where("good").withColumn("gap", F.coalesce((F.col("open_time_ms") - F.lag("open_time_ms").over(w) != step).cast("int"), F.lit(0)))
+    s = s.withColumn("segment", F.sum("gap").over(w)).groupBy("file", "segment").agg(F.count("*").alias("n"), F.min("open_time_ms").alias("a"), F.max("open_time_ms").alias("b"))
+    s = s.groupBy("file").agg(F.count("*").alias("segments"), F.max(F.struct("n", (-F.col("a")).alias("z"), "b")).alias("m"))
+    j = g.join(s, "file", "left").select("file", "symbol", "rows", "invalid", "twice", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("m.n", F.lit(0)).alias("longest"), (-F.col("m.z")).alias("start_ms"), F.col("m.b").alias("end_ms"))
+    usable = (F.col("twice") == 0) & (F.col("longest") > 0)
+    best = F.row_number().over(Window.partitionBy("symbol").orderBy(usable.desc(), F.desc("longest"), "file"))
+    status = F.when(F.col("twice") > 0, "SKIP_DUPLICATE").when(F.col("longest") == 0, "SKIP_NO_VALID_BARS").when(best == 1, "SELECTED").otherwise("AVAILABLE")
+    return j.withColumn("status", status).join(files, "file")

@@ -74,7 +74,7 @@ def test_series_models_by_loops(spark):
     r = np.random.default_rng(3)
     names = tuple(f"f{i}" for i in range(9))
     rows, newest = [], []
-    for s, n in (("a", 900), ("b", 760), ("short", 300)):
+    for s, n in (("a", 900), ("b", 800), ("short", 300)):
         for h in (3, 20):
             x = r.normal(size=(n, 9)) * r.uniform(0.5, 3, 9)
             y = (r.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 0.3 * x[:, 1])))).astype(int)

@@ -39,19 +39,19 @@ DAY = 86_400_000
 def test_settled_setups_leave_no_state(spark, tmp_path):
     """A setup touched, one touched twice, one never, one still waiting: only the waiting one is held at the end."""
     rows = [(1, 0, "open", 5), (1, 3, "touch", 0), (2, 0, "open", 5), (2, 2, "touch", 0), (2, 4, "touch", 0), (3, 1, "open", 6), (4, 38, "open", 43), (9, 40, "open", 41)]
-    e = spark.createDataFrame([(i, t * DAY, k, d * DAY) for i, t, k, d in rows], "id long, t long, kind string, due long").withColumn("at", F.timestamp_millis("t"))
+    e = spark.createDataFrame([(i, (t + 1) * DAY, k, (d + 1) * DAY) for i, t, k, d in rows], "id long, t long, kind string, due long").withColumn("at", F.timestamp_millis("t"))
     out = tmp_path.as_uri()
     parts = [e.where(F.col("t") < 30 * DAY), e.where(F.col("t") >= 30 * DAY)]
     got = st.run_parts(spark, parts, lambda r: st.lifecycles(r, 10 * DAY), "lives", out)
-    assert sorted(map(tuple, got.collect())) == [(1, "SETTLED", 3 * DAY), (2, "SETTLED", 2 * DAY), (3, "DATA_MISSING", 6 * DAY)]
+    assert sorted(map(tuple, got.collect())) == [(1, "SETTLED", 4 * DAY), (2, "SETTLED", 3 * DAY), (3, "DATA_MISSING", 7 * DAY)]
     assert sorted(r.key.id for r in st.state_rows(spark, out).collect()) == [4, 9]
 
 
 def test_deliveries_are_forgotten_after_their_cooldown(spark, tmp_path):
     rows = [("a", 0, 1, 1.0), ("a", 2, 2, 1.5), ("a", 3, 3, 2.5), ("b", 1, 4, 1.0), ("b", 20, 5, 0.1), ("b", 20, 5, 0.1), ("c", 30, 6, 1.0), ("c", 31, 7, 1.0)]
-    s = spark.createDataFrame([(k, t * DAY, i, x) for k, t, i, x in rows], "key string, t long, id long, score double").withColumn("at", F.timestamp_millis("t"))
+    s = spark.createDataFrame([(k, (t + 1) * DAY, i, x) for k, t, i, x in rows], "key string, t long, id long, score double").withColumn("at", F.timestamp_millis("t"))
     out = tmp_path.as_uri()
-    got = st.run_parts(spark, [s.where(F.col("t") < 10 * DAY), s.where(F.col("t").between(10 * DAY, 25 * DAY)), s.where(F.col("t") > 25 * DAY)], lambda r: st.deliveries(r, 5 * DAY, 1.0), "sent", out)
+    got = st.run_parts(spark, [s.where(F.col("t") < 10 * DAY), s.where(F.col("t").between(10 * DAY, 26 * DAY)), s.where(F.col("t") > 26 * DAY)], lambda r: st.deliveries(r, 5 * DAY, 1.0), "sent", out)
     want = {1: "SENT", 2: "COOLDOWN", 3: "SENT", 4: "SENT", 5: "SENT", 6: "SENT", 7: "COOLDOWN"}
     assert {r.id: r.action for r in got.collect()} == want
     assert [r.key.key for r in st.state_rows(spark, out).collect()] == ["c"]
