@@ -176,6 +176,47 @@ def series_models(rows: DataFrame, newest: DataFrame, keys: tuple[str, ...], fea
     return judged.drop("_ok").join(now, list(keys))
 
 
+def ranked(rows: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], target: str, l2: float = 10.0, share: float = 0.8) -> DataFrame:
+    """The test rows of each fold (``keys``) with ``score``, ``threshold`` and ``selected``.
+
+    ``rows`` carry ``role`` (train, calibration, test). Nulls take the training rows' medians, features their scale; a logistic model is fitted on the
+    training rows, and the calibration rows' quantile ``share`` of its score is the threshold. Nothing is learned from test rows.
+    """
+    train = F.col("role") == "train"
+    medians = rows.where(train).groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(f"_q{i}") for i, c in enumerate(features)])
+    r = rows.join(medians, list(keys)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_q{i}"), F.lit(0.0)) for i, c in enumerate(features)}).select(*rows.columns)
+    r = kept(r, "ranked-rows")
+    z = kept(with_scales(r, scales(r.where(train), keys, features), keys, features), "ranked-rows")
+    s = z.where(~train).join(logistic_fits(z.where(train), keys, features, target, l2).drop("n", "moved"), list(keys)).withColumn("score", dot(features)).drop("intercept", "weights")
+    cut = s.where("role = 'calibration'").groupBy(*keys).agg(F.percentile("score", share).alias("threshold"))
+    return s.where("role = 'test'").join(cut, list(keys)).withColumn("selected", F.col("score") >= F.col("threshold"))
+
+
+def bundles(fits: DataFrame, table: DataFrame, platt: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], version: int, trained_ms: Column) -> DataFrame:
+    """Models as rows that can be saved: keys, version, features, means, deviations, intercept, weights, slope, offset, trained_ms."""
+    names = F.array(*[F.lit(c) for c in features])
+    return fits.join(table, list(keys)).join(platt, list(keys)).select(*keys, F.lit(version).alias("version"), names.alias("features"), F.col("_m").alias("means"), F.col("_d").alias("deviations"), "intercept", "weights", "slope", F.col("base").alias("offset"), trained_ms.alias("trained_ms"))
+
+
+def bundle_scores(newest: DataFrame, saved: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], version: int, price: str = "close", move_bps: str = "barrier_bps") -> DataFrame:
+    """The newest rows (keys, features, price, move) scored by saved models of that version whose numbers are all finite: keys, probability, direction, confidence, the price
+    range that the move spans, and the features' contributions, largest first."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    numbers = F.concat("means", "deviations", "weights", F.array("intercept", "slope", "offset"))
+    whole = F.forall(numbers, finite) & F.forall("deviations", lambda x: x > 0)
+    names = F.array(*[F.lit(c) for c in features])
+    ok = saved.where((F.col("version") == version) & (F.col("features") == names) & (F.size("weights") == len(features)) & whole)
+    r = newest.join(ok, list(keys))
+    part = lambda i, c: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col(c) - F.get("means", F.lit(i))) / F.get("deviations", F.lit(i)))) * F.get("weights", F.lit(i)) * F.col("slope")
+    r = r.withColumns({f"_c{i}": part(i, c) for i, c in enumerate(features)})
+    p = sigmoid(sum((F.col(f"_c{i}") for i in range(len(features))), F.col("intercept") * F.col("slope") + F.col("offset")))
+    order = F.array_sort(F.array(*[F.struct((-F.abs(F.col(f"_c{i}"))).alias("v"), F.lit(c).alias("k")) for i, c in enumerate(features)]))
+    r = r.withColumn("probability", p)
+    move = F.col(move_bps) / 10_000
+    return r.select(*keys, "probability", F.when(F.col("probability") >= 0.5, "UP").otherwise("DOWN").alias("direction"), F.greatest("probability", 1 - F.col("probability")).alias("confidence"), (F.col(price) * F.exp(-move)).alias("low_price"),
+                    (F.col(price) * F.exp(move)).alias("high_price"), F.array_join(F.transform(order, lambda x: x.k), ",").alias("contributions"))
+
+
 def _bounds(day: int, calibration: int) -> tuple[int, int, int]:
     """Last day that trains, first and last that calibrate, for a model of ``day``: outcomes take at most a day, which is purged on
     both sides of the calibration days."""

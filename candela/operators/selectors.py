@@ -8,33 +8,12 @@ from pyspark.sql import functions as F
 from candela.functions.scalars import wilson
 from candela.operators import folds
 from candela.operators.models import bonferroni_z, expected_calibration_error
-from candela.operators.summaries import HASH
+from candela.operators.summaries import HASH, block_means_ci  # noqa: F401
 from candela.sources.files import kept
 
 DAY = 86_400_000
 
 
-def block_means_ci(rows: DataFrame, keys: tuple[str, ...], block: Column, value: Column, draws: int = 200, seed: int = 7, least: int = 5) -> DataFrame:
-    """``keys``, blocks, low, high: the 95 % interval of the mean of ``value`` by resampling whole blocks; null with fewer than ``least``.
-
-    Rows become one sum and count for each block first. A key's blocks (days of a calendar, say) are then two arrays, and a draw adds
-    up as many of them as there are, chosen by an integer hash that any engine can repeat: no draw is shuffled or joined.
-    """
-    a, b, c, p = HASH
-    g = rows.withColumns({"_b": block, "_v": value}).where(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(F.sum("_v").alias("s"), F.count("*").alias("n"))
-    g = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "s", "n"))).alias("_x")).withColumn("_m", F.size("_x").cast("long"))
-
-    def mean(draw: Column) -> Column:
-        x = lambda slot: F.pmod(F.pmod(draw.cast("long") * a + slot.cast("long") * b + seed * c, F.lit(p)) * 48_271, F.lit(p))
-        pick = lambda slot: F.get("_x", F.pmod(x(slot), F.col("_m")).cast("int"))
-        sums = F.aggregate(F.sequence(F.lit(0), F.size("_x") - 1), F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda t, slot: F.struct((t.s + pick(slot).s).alias("s"), (t.n + pick(slot).n).alias("n")))
-        return sums.s / sums.n
-
-    means = g.where(F.col("_m") >= least).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), mean)).alias("_mean"))
-    ci = means.groupBy(*keys).agg(F.percentile("_mean", 0.025).alias("low"), F.percentile("_mean", 0.975).alias("high"))
-    return g.select(*keys, F.col("_m").alias("blocks")).join(ci, list(keys), "left")
-
-
 def trade_report(trades: DataFrame, keys: tuple[str, ...], cost: float, gross: str = "gross_bps", t: str = "event_ms", reason: str = "reason") -> DataFrame:
     """By key at a cost: n, symbols, days, wins, win share, mean and median net, profit factor (null without losses), the daily block
     interval of the mean (null below five days), and the exit reasons with their counts, as ``NAME:n`` in order of names."""

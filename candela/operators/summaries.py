@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalars import wilson
@@ -57,21 +57,31 @@ def cohort_summary(trades: DataFrame, now_ms: int, horizon_ms: int) -> DataFrame
     return g.withColumn("hit_rate", F.when((F.col("resolved") > 0) & (F.col("missing") == 0), F.round(F.col("hits") / F.nullif("resolved", F.lit(0)), 9)))
 
 
-def block_bootstrap(trades: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean net by resampling whole days. Trades become one row for each symbol and day
-    first; a draw takes as many days as there are, by an integer hash that any engine can repeat."""
+def block_means_ci(rows: DataFrame, keys: tuple[str, ...], block: Column, value: Column, draws: int = 200, seed: int = 7, least: int = 5) -> DataFrame:
+    """``keys``, blocks, low, high: the 95 % interval of the mean of ``value`` by resampling whole blocks; null with fewer than ``least``.
+
+    Rows become one sum and count for each block first. A key's blocks (days of a calendar, say) are then two arrays, and a draw adds
+    up as many of them as there are, chosen by an integer hash that any engine can repeat: no draw is shuffled or joined.
+    """
     a, b, c, p = HASH
-    day = F.floor(F.col("event_ms") / DAY)
-    blocks = trades.where("net_bps is not null").groupBy("symbol", day.alias("day")).agg(F.sum("net_bps").alias("s"), F.count("*").alias("n"))
-    w = Window.partitionBy("symbol").orderBy("day")
-    blocks = blocks.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy("symbol")))
-    r = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    slots = blocks.select("symbol", F.col("i").alias("slot"), "m", r)
-    x = F.pmod(F.col("draw").cast("long") * a + F.col("slot").cast("long") * b + seed * c, F.lit(p))
-    x = F.pmod(x * 48_271, F.lit(p))
-    slots = slots.withColumn("i", F.pmod(x, F.col("m").cast("long")).cast("int"))
-    means = slots.join(blocks.select("symbol", "i", "s", "n"), ["symbol", "i"]).groupBy("symbol", "draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return means.groupBy("symbol").agg(F.count("*").alias("draws"), F.round(F.percentile("mean", 0.025), 5).alias("low"), F.round(F.percentile("mean", 0.975), 5).alias("high"))
+    g = rows.withColumns({"_b": block, "_v": value}).where(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(F.sum("_v").alias("s"), F.count("*").alias("n"))
+    g = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "s", "n"))).alias("_x")).withColumn("_m", F.size("_x").cast("long"))
+
+    def mean(draw: Column) -> Column:
+        x = lambda slot: F.pmod(F.pmod(draw.cast("long") * a + slot.cast("long") * b + seed * c, F.lit(p)) * 48_271, F.lit(p))
+        pick = lambda slot: F.get("_x", F.pmod(x(slot), F.col("_m")).cast("int"))
+        sums = F.aggregate(F.sequence(F.lit(0), F.size("_x") - 1), F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda t, slot: F.struct((t.s + pick(slot).s).alias("s"), (t.n + pick(slot).n).alias("n")))
+        return sums.s / sums.n
+
+    means = g.where(F.col("_m") >= least).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), mean)).alias("_mean"))
+    ci = means.groupBy(*keys).agg(F.percentile("_mean", 0.025).alias("low"), F.percentile("_mean", 0.975).alias("high"))
+    return g.select(*keys, F.col("_m").alias("blocks")).join(ci, list(keys), "left")
+
+
+def block_bootstrap(trades: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
+    """95 % interval of each symbol's mean net by resampling whole days (``block_means_ci``)."""
+    ci = block_means_ci(trades, ("symbol",), F.floor(F.col("event_ms") / DAY), F.col("net_bps"), draws, seed, 1)
+    return ci.select("symbol", F.lit(draws).cast("long").alias("draws"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
 
 
 def non_overlapping(trades: DataFrame, step: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -12,6 +12,7 @@ from candela.operators import models as md
 from candela.plans.catalog import DAY, query, rounded
 from candela.plans.ledgers import LEDGER, _wilson
 from candela.plans.market import CALM, P, _ewm, _full, calm, lag
+from candela.sources import files as fs
 from candela.sources.ledger import signals
 
 FEAT = CALM + f""",
@@ -320,3 +321,73 @@ def refit_scores(spark, sf):
     l = signals(spark, sf)
     rows = l.select("id", F.col("bar_ms").alias("t"), F.col("symbol").isin("C1", "C2").alias("held"), (F.col("net") > 0).cast("int").alias("target"), F.col("score").alias("f0"), (F.col("volatility_bps") / 100).alias("f1"))
     return rounded(rounded(ft.expanding_refits(rows, ("f0", "f1"), least_calibration=10, least_class=(10, 3)), 8, "base_rate"), 6, "probability")
+
+
+#: Five yearly folds of the ledger: all settled before, half a year to calibrate, a year to test.
+FOLDS = [757_382_400_000 + k * 365 * DAY for k in range(5)]
+HALF = 180 * DAY
+
+
+def ranked_sql(rows: str, key: str, f0: str, f1: str, keep: str) -> str:
+    """The ranker on ``rows`` (key, role, f0, f1, y and ``keep``) as the tables md, sr, zr, mr, sr2, th."""
+    return f"""md AS (SELECT {key}, quantile_cont({f0}, 0.5) AS q0, quantile_cont({f1}, 0.5) AS q1 FROM {rows} WHERE role = 'train' GROUP BY {key}),
+fl AS MATERIALIZED (SELECT {key}, role, y, {keep}, coalesce({f0}, q0, 0.0) AS f0, coalesce({f1}, q1, 0.0) AS f1 FROM {rows} JOIN md USING ({key})),
+sr AS (SELECT {key}, avg(f0) AS m0, stddev_pop(f0) AS d0, avg(f1) AS m1, stddev_pop(f1) AS d1 FROM fl WHERE role = 'train' GROUP BY {key}),
+zr AS MATERIALIZED (SELECT {key}, role, y, {keep}, {_scale_sql('f0', '0')} AS x, {_scale_sql('f1', '1')} AS z FROM fl JOIN sr USING ({key})),
+{newton2_sql('mr', 'zr', key, 10.0, "role = 'train' AND y IS NOT NULL")},
+sc2 AS MATERIALIZED (SELECT {key}, role, {keep}, a + b * x + c * zr.z AS score FROM zr JOIN mr USING ({key}) WHERE role <> 'train'),
+th AS (SELECT {key}, quantile_cont(score, 0.8) AS threshold FROM sc2 WHERE role = 'calibration' GROUP BY {key})"""
+
+
+@query(f"""WITH RECURSIVE {LEDGER}, fo(fold, cut) AS (VALUES {', '.join(f'({k}, {c})' for k, c in enumerate(FOLDS))}),
+rk AS MATERIALIZED (SELECT * FROM (SELECT fold, id, symbol, bar_ms, CASE WHEN settled_ms < cut - {HALF} THEN 'train' WHEN bar_ms >= cut - {HALF} AND settled_ms < cut THEN 'calibration' WHEN bar_ms >= cut AND bar_ms < cut + {365 * DAY} THEN 'test' END AS role, score AS s, spread_bps AS p, CAST(gross > 30 AS INT) AS y FROM ledger, fo) WHERE role IS NOT NULL),
+{ranked_sql('rk', 'fold', 's', 'p', 'id')} SELECT fold, id, round(score, 6) AS score, round(threshold, 6) AS threshold FROM sc2 JOIN th USING (fold) WHERE role = 'test' AND score >= threshold""")
+def fitted_ranker(spark, sf):
+    """Signals of five yearly folds whose fitted score reaches the 80 % quantile of the half year before."""
+    l = signals(spark, sf).withColumn("f", F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.lit(c).alias("cut")) for k, c in enumerate(FOLDS)])))
+    cut, bar, out = F.col("f.cut"), F.col("bar_ms"), F.col("settled_ms")
+    role = F.when(out < cut - HALF, "train").when((bar >= cut - HALF) & (out < cut), "calibration").when((bar >= cut) & (bar < cut + 365 * DAY), "test")
+    rows = l.select(F.col("f.fold").alias("fold"), "id", role.alias("role"), F.col("score").alias("f0"), F.col("spread_bps").alias("f1"), (F.col("gross") > 30).cast("int").alias("y")).where("role is not null")
+    return rounded(ft.ranked(rows, ("fold",), ("f0", "f1"), "y").where("selected").select("fold", "id", "score", "threshold"), 6, "score", "threshold")
+
+
+@query(f"""WITH RECURSIVE {LABEL}, tf AS MATERIALIZED (SELECT * FROM (SELECT 0 AS fold, symbol, open_time_ms, long_net, target AS y, CASE WHEN symbol = 'A' THEN CASE WHEN open_time_ms < 850000000000 THEN 'train' WHEN open_time_ms >= {850_000_000_000 + 12 * DAY} THEN 'calibration' END WHEN open_time_ms >= {CUT} THEN 'test' END AS role, {', '.join(PAIR)} FROM lab) WHERE role IS NOT NULL),
+{ranked_sql('tf', 'fold', *PAIR, 'symbol, open_time_ms, long_net')} SELECT symbol, open_time_ms, round(score, 6) AS score, round(threshold, 6) AS threshold, score >= threshold AS selected, round(long_net, 5) AS long_net FROM sc2 JOIN th USING (fold) WHERE role = 'test'""")
+def fitted_transfer(spark, sf):
+    """A model trained and calibrated on one series, with its fixed threshold, on the rows of the others after a fixed start."""
+    t = F.col("open_time_ms")
+    role = F.when(F.col("symbol") == "A", F.when(t < 850_000_000_000, "train").when(t >= 850_000_000_000 + 12 * DAY, "calibration")).when(t >= CUT, "test")
+    rows = labels(spark, sf).select(F.lit(0).alias("fold"), "symbol", "open_time_ms", "long_net", "target", role.alias("role"), *PAIR).where("role is not null")
+    out = ft.ranked(rows, ("fold",), PAIR, "target").select("symbol", "open_time_ms", "score", "threshold", "selected", "long_net")
+    return rounded(rounded(out, 6, "score", "threshold"), 5, "long_net")
+
+
+BUNDLES = LABEL + f""",
+rb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM lab),
+ro AS MATERIALIZED (SELECT *, CASE WHEN i < floor(n * 0.9) THEN 'train' WHEN i >= floor(n * 0.9) + 12 THEN 'calibration' END AS role FROM rb),
+sb AS (SELECT symbol, {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS d{i}' for i, c in enumerate(PAIR))} FROM ro WHERE role = 'train' GROUP BY symbol),
+zb AS MATERIALIZED (SELECT symbol, role, target AS y, {_scale_sql(PAIR[0], '0')} AS x, {_scale_sql(PAIR[1], '1')} AS z FROM ro JOIN sb USING (symbol) WHERE role IS NOT NULL),
+{newton2_sql('mb', 'zb', 'symbol', 1.0, "role = 'train'")},
+lb AS (SELECT symbol, y, a + b * x + c * zb.z AS logit FROM zb JOIN mb USING (symbol) WHERE role = 'calibration'),
+{platt_sql('pb', 'lb', 'symbol')},
+nb AS (SELECT *, {_scale_sql(PAIR[0], '0')} * b * slope AS c0, {_scale_sql(PAIR[1], '1')} * c * slope AS c1, a * slope + base AS c2 FROM (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time_ms DESC) = 1) JOIN sb USING (symbol) JOIN mb USING (symbol) JOIN pb USING (symbol)),
+qb AS (SELECT *, {_sig('c0 + c1 + c2')} AS p FROM nb WHERE symbol <> 'N')"""
+
+
+@query(f"""WITH RECURSIVE {BUNDLES} SELECT symbol, round(p, 6) AS probability, CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END AS direction, round(greatest(p, 1 - p), 6) AS confidence, round(close * exp(-barrier_bps / 10000), 6) AS low_price, round(close * exp(barrier_bps / 10000), 6) AS high_price,
+  CASE WHEN abs(c0) > abs(c1) OR abs(c0) = abs(c1) AND '{PAIR[0]}' < '{PAIR[1]}' THEN '{PAIR[0]},{PAIR[1]}' ELSE '{PAIR[1]},{PAIR[0]}' END AS contributions FROM qb""")
+def bundle_scores(spark, sf):
+    """Models fitted by series, saved as JSON, read back and applied to the newest rows; one has been damaged on the way and scores nothing."""
+    rows = md.final_split(labels(spark, sf), 12).select("symbol", "open_time_ms", "close", "barrier_bps", "role", "target", *PAIR)
+    rows = fs.kept(rows, "bundle-rows")
+    keys, train = ("symbol",), F.col("role") == "train"
+    table = ft.scales(rows.where(train), keys, PAIR)
+    z = fs.kept(ft.with_scales(rows.where("role <> 'embargo'"), table, keys, PAIR), "bundle-rows")
+    fit = ft.logistic_fits(z.where(train), keys, PAIR, "target")
+    platt = ft.platt_fits(z.where(~train).join(fit, "symbol").withColumn("logit", ft.dot(PAIR)), keys, "logit", "target")
+    made = ft.bundles(fit, table, platt, keys, PAIR, 2, F.lit(CUT)).withColumn("weights", F.when(F.col("symbol") == "N", F.array(F.lit(float("nan")), F.lit(1.0))).otherwise(F.col("weights")))
+    path = fs.scratch(spark, "bundles")
+    made.write.json(path)
+    saved = spark.read.schema(made.schema).json(path)
+    newest = rows.groupBy("symbol").agg(F.max_by(F.struct("close", "barrier_bps", *PAIR), "open_time_ms").alias("r")).select("symbol", "r.*")
+    return rounded(ft.bundle_scores(newest, saved, keys, PAIR, 2), 6, "probability", "confidence", "low_price", "high_price")
