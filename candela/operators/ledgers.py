@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalars import ratio, wilson
+from candela.operators import folds
 
 DAY = 86_400_000
 
@@ -258,6 +259,93 @@ def pivot_levels(ledger: DataFrame, levels: tuple[int, ...] = (2, 3, 5), zone: s
     return g.join(n, ["strategy", "regime", "setup"])
 
 
+def target_pivot(targets: DataFrame, now_ms: int, audience: str = "all", days: int | None = None, since: str | None = None, until: str | None = None, levels: tuple[int, ...] = (2, 3, 5), zone: str = "Europe/Istanbul") -> DataFrame:
+    """Target records (id, strategy, regime, direction, families, notified, source_ms, level, status, success) as one row for each strategy, regime and
+    setup: by level hits, misses, pending, missing, hit rate and its Wilson bounds; and distinct signals.
+
+    The window is all records, the last ``days`` (up to five minutes ahead of now), or local dates from ``since`` to ``until``, either open.
+    Other levels do not count; DATA_MISSING is missing whatever ``success`` says; a level without records is zeros and null rates.
+    """
+    r = targets.where(F.col("level").isin(list(levels)))
+    if audience != "all":
+        r = r.where(F.coalesce("notified", F.lit(False)) == (audience == "notified"))
+    local = F.to_date(F.from_utc_timestamp(F.timestamp_millis("source_ms"), zone))
+    if since or until:
+        r = r.where((local >= F.lit(since).cast("date") if since else local.isNotNull()) & (local <= F.lit(until).cast("date") if until else F.lit(True)))
+    elif days is not None:
+        r = r.where(F.col("source_ms").between(now_ms - days * DAY, now_ms + 300_000))
+    setup = F.concat_ws(" ", F.coalesce("direction", F.lit("UNKNOWN")), F.when(F.size(F.array_compact("families")) > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact("families"))), "+")).otherwise("UNKNOWN"))
+    keys = ["strategy", "regime", "setup"]
+    r = r.select(F.coalesce("strategy", F.lit("UNKNOWN")).alias("strategy"), F.coalesce("regime", F.lit("UNKNOWN")).alias("regime"), setup.alias("setup"), "level", "id", "success", F.coalesce(F.col("status") == "DATA_MISSING", F.lit(False)).alias("gone"))
+    known = ~F.col("gone")
+    aggregates = []
+    for k in levels:
+        at = F.col("level") == k
+        hits, misses = F.count_if(at & known & F.col("success")), F.count_if(at & known & ~F.col("success"))
+        low, high = wilson(hits, hits + misses)
+        aggregates += [hits.alias(f"hits_{k}"), misses.alias(f"misses_{k}"), F.count_if(at & known & F.col("success").isNull()).alias(f"pending_{k}"), F.count_if(at & F.col("gone")).alias(f"missing_{k}"),
+                       (hits / F.nullif(hits + misses, F.lit(0))).alias(f"rate_{k}"), low.alias(f"low_{k}"), high.alias(f"high_{k}")]
+    return r.groupBy(*keys).agg(*aggregates, F.count_distinct("id").alias("signals"))
+
+
+def universe(contracts: DataFrame, snapshots: DataFrame, now_ms: int, least_volume: float, most_funding: float, most_spread: float, cap: int = 0, least_days: int = 14, new_days: int = 365) -> DataFrame:
+    """(symbol, place): markets of at least ``least_days`` with enough volume, small funding and a spread from 0 to ``most_spread``. Without a cap all, most liquid
+    first; with one a quarter of it for the newest (younger first, then volume), then the most liquid of the rest, ``cap`` in all."""
+    age = (F.lit(now_ms) - F.col("onboard_ms")) / DAY
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    r = contracts.join(snapshots, "symbol").withColumn("age", age).where((F.col("age") >= least_days) & finite("quote_volume") & finite("funding_bps") & finite("spread_bps"))
+    r = r.where((F.col("quote_volume") >= least_volume) & (F.abs("funding_bps") <= most_funding) & F.col("spread_bps").between(0, most_spread))
+    all_ = Window.partitionBy()  # one row for each market
+    r = r.withColumn("_new", F.when(F.col("age") <= new_days, F.row_number().over(all_.orderBy(F.col("age") > new_days, "age", F.desc("quote_volume"), "symbol"))))
+    first = F.coalesce(F.col("_new") <= cap // 4, F.lit(False))
+    place = F.row_number().over(all_.orderBy(~first, F.when(first, F.col("_new")), F.desc("quote_volume"), "symbol"))
+    out = r.select("symbol", place.alias("place"))
+    return out.where(F.col("place") <= cap) if cap else out
+
+
+def owner_alerts(records: DataFrame, receipts: DataFrame, runs: DataFrame, least_score: float, fresh_ms: int = 900_000, scan_ms: int = 3_600_000, spacing_ms: int = DAY, stages: tuple[str, ...] = ("CONFIRMED",), strategies: tuple[str, ...] = ("LB1", "LP1")) -> DataFrame:
+    """(now_ms, id): what each run (now_ms, started_ms, scanned_ms, regime, healthy) may send to the owner.
+
+    A record (id, symbol, strategy, stage, score, recorded_ms, source_ms) must have come since the run's process started, be fresh by both its times, be of a stage and
+    strategy that alert, score enough, meet a healthy confirmed bull regime scanned within the hour, have no receipt (id, symbol, delivered_ms) by then, and its symbol none
+    within ``spacing_ms``. Of a symbol's records the earliest, then best one goes. Runs meet records by slots of the fresh time, not each with all.
+    """
+    good = runs.where((F.col("regime") == "BULL_CONFIRMED") & F.col("healthy") & (F.col("now_ms") - F.col("scanned_ms")).between(0, scan_ms - 1))
+    slot = F.floor(F.col("now_ms") / fresh_ms)
+    asked = good.withColumn("_slot", F.explode(F.array(slot, slot - 1)))
+    may = records.where(F.col("stage").isin(list(stages)) & F.col("strategy").isin(list(strategies)) & (F.col("score") >= least_score)).withColumn("_slot", F.floor(F.col("recorded_ms") / fresh_ms))
+    age = lambda c: (F.col("now_ms") - F.col(c)).between(0, fresh_ms)
+    r = asked.join(may, "_slot").where((F.col("recorded_ms") >= F.col("started_ms")) & age("recorded_ms") & age("source_ms")).select("now_ms", "id", "symbol", "score", "recorded_ms")
+    sent = receipts.select(F.col("id").alias("_id"), F.col("symbol").alias("_s"), "delivered_ms")
+    told = r.join(sent, (F.col("symbol") == F.col("_s")) & (F.col("delivered_ms") <= F.col("now_ms")) & ((F.col("id") == F.col("_id")) | (F.col("now_ms") - F.col("delivered_ms") < spacing_ms)), "left_anti")
+    first = F.row_number().over(Window.partitionBy("now_ms", "symbol").orderBy("recorded_ms", F.desc("score"), "id"))
+    return told.withColumn("_n", first).where("_n = 1").select("now_ms", "id")
+
+
+def long_records(rows: DataFrame, spacing_ms: int = DAY, hold_ms: int = 7 * DAY, per_scan: int = 5, active: int = 20, bound: int = folds.BOUND) -> DataFrame:
+    """(profile, id) of the watch-list rows (profile, id, t, symbol, strategy, confirmed, score) that are recorded: of each scan the ``per_scan`` best (confirmed first, then
+    score), not within ``spacing_ms`` of the last record of the symbol and strategy, while fewer than ``active`` records are held for ``hold_ms``."""
+    best = Window.partitionBy("profile", "t").orderBy(F.desc("confirmed"), F.desc("score"), "symbol", "id")
+    r = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_scan).withColumn("key", F.concat_ws("|", "symbol", "strategy"))
+
+    def fold(state, some):
+        last, ends = (dict(zip(state[0], state[1])), list(state[2])) if state else ({}, [])
+        out, now = [], 0
+        for i, key, t in some:
+            now = t
+            ends = [e for e in ends if e > t]
+            if len(ends) < active and t - last.get(key, -(1 << 60)) >= spacing_ms:
+                last[key] = t
+                ends.append(t + hold_ms)
+                out.append((i,))
+        held = sorted((k, int(t)) for k, t in last.items() if now - t < spacing_ms)
+        ends = sorted(int(e) for e in ends if e > now)
+        return ([k for k, _ in held], [t for _, t in held], ends) if held or ends else None, out
+
+    cut = folds.chunked(r, ("profile",), F.floor(F.col("t") / DAY).cast("long"), bound)
+    return folds.folded(cut, ("profile",), [F.col("t"), F.col("place")], ["id", "key", "t"], "keys array<string>, last array<bigint>, ends array<bigint>", f"id {rows.schema['id'].dataType.simpleString()}", fold)
+
+
 def top_symbols(observations: DataFrame, k: int) -> DataFrame:
     """All observations of the k best symbols: setups first, eligible first, then score, symbol and family."""
     place = F.struct((F.col("tier") != "SETUP").alias("a"), (~F.col("eligible")).alias("b"), (-F.col("score")).alias("c"), "symbol", "family", "id")

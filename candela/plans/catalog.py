@@ -331,4 +331,4 @@ def universe_selection(spark, sf):
     return newest.select("s_suppkey", F.lit("new").alias("why")).unionByName(liquid.select("s_suppkey", F.lit("liquid").alias("why")))
 
 
-from candela.plans import audits, desk, files, ledgers, market, models, outcomes, selectors, streams, studies  # noqa: E402,F401  (add their queries)
+from candela.plans import alerts, audits, desk, files, ledgers, market, models, outcomes, selectors, streams, studies  # noqa: E402,F401  (add their queries)

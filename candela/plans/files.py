@@ -68,12 +68,12 @@ def open_interest_append(spark, sf):
     path = fs.scratch(spark, "oi")
     oi.where(F.col("t") % (3 * DAY) != 0).write.parquet(path)
     added = fs.append_keep_last(spark, path, oi.where(F.col("t") % (2 * DAY) == 0).withColumn("v", F.col("v") * 2), ("t",), "v")
-    r = spark.read.parquet(path + "-next")
+    r = spark.read.parquet(path)
     return rounded(r.agg(F.lit(added).cast("long").alias("added"), F.count("*").alias("n"), ((F.max("t") - F.min("t")) / DAY).alias("days"), F.sum("v").alias("total")), 6, "days")
 
 
 @query(f"""WITH {BARS_1D}, m AS (SELECT * REPLACE (CASE WHEN open_time_ms % {5 * DAY} = 0 THEN close * 1 ELSE close END AS close) FROM bars WHERE open_time_ms >= 990000000000 - {400 * DAY}), v AS (SELECT *, CASE WHEN open_time_ms - lag(open_time_ms) OVER {W} <> {DAY} THEN open_time_ms END AS gap FROM m), t AS (SELECT *, max(gap) OVER (PARTITION BY symbol) AS lg FROM v)
-SELECT symbol, count(*) AS n, min(open_time_ms) AS first_ms, max(open_time_ms) AS last_ms FROM t WHERE lg IS NULL OR open_time_ms >= lg GROUP BY symbol""")
+SELECT symbol, count(*) AS n, min(open_time_ms) AS first_ms, max(open_time_ms) AS last_ms FROM t WHERE (lg IS NULL OR open_time_ms >= lg) GROUP BY symbol""")
 def candle_retention(spark, sf):
     """The candle sink: merge, validate, retain, trim to the contiguous tail, overwrite partitions, read back."""
     bars = src.bars_1d(spark, sf)

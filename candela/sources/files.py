@@ -100,25 +100,44 @@ def parse_payload(rows: DataFrame, cutoff_ms: int) -> DataFrame:
     return r.withColumn("problem", F.when(bad, "payload")).drop("_a").where((F.col("problem").isNotNull()) | (F.col("close_time_ms") < cutoff_ms))
 
 
+def swap(spark: SparkSession, path: str, made: str) -> None:
+    """Put the finished folder ``made`` in the place of ``path``: the old one steps aside, and comes back if the new one cannot take its place.
+    Readers of the old files must be done."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, new, aside = fs_path(path), fs_path(made), fs_path(f"{path}-old-{uuid.uuid4().hex}")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(here) and not fs.rename(here, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, here):
+        if fs.exists(aside):
+            fs.rename(aside, here)
+        raise OSError(f"cannot move {made} to {path}")
+    fs.delete(aside, True)
+    spark.catalog.refreshByPath(path)
+
+
 def append_keep_last(spark: SparkSession, path: str, new: DataFrame, key: tuple[str, ...], order: str) -> int:
-    """Union a table on disk with new rows, newest row of each key last, and rewrite it beside; returns the rows added."""
+    """Union a table on disk with new rows, newest row of each key last; the result is written beside and takes the table's place as a whole. Returns the
+    rows added (both counts come from the files' footers)."""
     old = spark.read.parquet(path)
     before = old.count()
     w = Window.partitionBy(*key).orderBy(F.desc("_src"), F.desc(order))
     both = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
-    kept = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_src")
-    kept.write.mode("overwrite").parquet(path + "-next")
-    return spark.read.parquet(path + "-next").count() - before
+    made = f"{path}-next-{uuid.uuid4().hex}"
+    both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_src").write.parquet(made)
+    after = spark.read.parquet(made).count()
+    swap(spark, path, made)
+    return after - before
 
 
 def retain(spark: SparkSession, path: str, new: DataFrame, step: int, now_ms: int, days: int) -> DataFrame:
-    """The candle sink: old and new candles, validated, newest per time, inside the retention, from the last gap on; each symbol's
-    partition is overwritten as a whole. Returns what is on disk then."""
+    """The candle sink: old and new candles, validated, newest per time, inside the retention, from the last gap on. The whole table is written beside and
+    takes the old one's place, so a symbol without rows left has no partition left. Returns what is on disk then."""
     old = spark.read.parquet(path).select(*new.columns)
     merged = keep_last(old, new).where(violation(step).isNull() & (F.col("open_time_ms") >= now_ms - days * DAY))
-    out = contiguous_tail(merged, step)
-    out.write.mode("overwrite").partitionBy("symbol").parquet(path + "-staged")
-    spark.read.parquet(path + "-staged").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("symbol").parquet(path)
+    made = f"{path}-next-{uuid.uuid4().hex}"
+    contiguous_tail(merged, step).write.partitionBy("symbol").parquet(made)
+    swap(spark, path, made)
     return spark.read.parquet(path)
 
 
