@@ -179,3 +179,18 @@ def touch_lift(rows: DataFrame, levels: tuple[float, ...], p: str = "p") -> Data
     r = r.withColumn("base", F.avg("hit").over(rate))
     return r.groupBy("level").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), (F.count_if(F.col("called") & (F.col("hit") == 1)) / F.nullif(F.sum("hit"), F.lit(0))).alias("recall"), F.count_if(F.col("called") & (F.col("hit") == 0)).alias("false_alerts"), F.count_if(~F.col("called") & (F.col("hit") == 1)).alias("missed"),
                                  F.avg(F.pow(F.col(p) - F.col("hit"), 2)).alias("brier"), F.avg(F.pow(F.col("base") - F.col("hit"), 2)).alias("base_brier"))
+
+
+def side_lift(rows: DataFrame, p: str = "p") -> DataFrame:
+    """A directional classifier by level against its unfiltered self and against always taking one side.
+
+    ``rows``: level, side (LONG or SHORT), selected, p and base_p (of the side), hit_long and hit_short (0, 1; null while open). Out, of the settled rows: n, hits of the chosen
+    side, selected and its hits with Wilson bounds, false alerts, missed hits, recall, always_long and always_short rates, Brier scores of p and base_p.
+    """
+    hit = F.when(F.col("side") == "LONG", F.col("hit_long")).otherwise(F.col("hit_short"))
+    r = rows.withColumn("hit", hit).where("hit_long is not null and hit_short is not null")
+    chosen = F.col("selected")
+    g = r.groupBy("level").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.count_if(chosen).alias("selected"), F.count_if(chosen & (F.col("hit") == 1)).alias("selected_hits"), F.count_if(chosen & (F.col("hit") == 0)).alias("false_alerts"), F.count_if(~chosen & (F.col("hit") == 1)).alias("missed"),
+                               F.avg("hit_long").alias("always_long"), F.avg("hit_short").alias("always_short"), F.avg(F.pow(F.col(p) - F.col("hit"), 2)).alias("brier"), F.avg(F.pow(F.col("base_p") - F.col("hit"), 2)).alias("base_brier"))
+    low, high = wilson(F.col("selected_hits"), F.col("selected"))
+    return g.withColumns({"recall": F.col("selected_hits") / F.nullif("hits", F.lit(0)), "low": low, "high": high})

@@ -79,12 +79,16 @@ def scenario_lookup(items: DataFrame, cells: DataFrame, p_bin: Column, v_bin: Co
     return found.select(*items.columns, "_cell.*")
 
 
+def slices(trades: DataFrame, days: int, name: str, anchor: int = 0) -> DataFrame:
+    """Trades and net by symbol and period of so many days (``name``), periods without trades as zeros between the first and the last."""
+    at = F.floor((F.col("event_ms") - anchor) / (days * DAY)).cast("long")
+    g = trades.where("net_bps is not null").groupBy("symbol", at.alias(name)).agg(F.count("*").alias("trades"), F.sum("net_bps").alias("net"))
+    whole = g.groupBy("symbol").agg(F.explode(F.sequence(F.min(name), F.max(name))).alias(name))
+    return whole.join(g, ["symbol", name], "left").select("symbol", name, F.coalesce("trades", F.lit(0)).alias("trades"), F.round(F.coalesce("net", F.lit(0.0)), 5).alias("net"))
+
+
 def weekly(trades: DataFrame, anchor: int = 0) -> DataFrame:
-    """Trades and net by symbol and week, weeks without trades as zeros between the first and the last."""
-    week = F.floor((F.col("event_ms") - anchor) / (7 * DAY)).cast("long")
-    g = trades.where("net_bps is not null").groupBy("symbol", week.alias("week")).agg(F.count("*").alias("trades"), F.sum("net_bps").alias("net"))
-    all_weeks = g.groupBy("symbol").agg(F.explode(F.sequence(F.min("week"), F.max("week"))).alias("week"))
-    return all_weeks.join(g, ["symbol", "week"], "left").select("symbol", "week", F.coalesce("trades", F.lit(0)).alias("trades"), F.round(F.coalesce("net", F.lit(0.0)), 5).alias("net"))
+    return slices(trades, 7, "week", anchor)
 
 
 def disjoint_sums_ratio(bars: DataFrame, width: int = 12, count: int = 24) -> DataFrame:

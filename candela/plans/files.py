@@ -49,6 +49,17 @@ def quarantine(spark, sf):
     return good.select(F.lit("valid").alias("reason")).unionByName(spark.read.parquet(path).select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {LEDGER}, r AS (SELECT id, symbol, CASE WHEN id % 29 = 0 THEN 'json' WHEN coalesce(score < 0.5, TRUE) THEN 'score' WHEN net IS NULL THEN 'net' END AS problem FROM ledger) SELECT symbol, coalesce(problem, 'valid') AS problem, count(*) AS n FROM r GROUP BY ALL""")
+def pending_records(spark, sf):
+    """Pending records from folders of JSON files, some cut off: valid ones, and the others with their file and what is wrong."""
+    path = fs.scratch(spark, "pending")
+    whole = F.to_json(F.struct("id", "score", "net", "symbol"))
+    signals(spark, sf).select("symbol", F.when(F.col("id") % 29 == 0, F.substring(whole, F.lit(1), F.length(whole) - 6)).otherwise(whole).alias("value")).write.partitionBy("symbol").text(path)
+    good, bad = fs.read_pending(spark, path, "id long, score double, net double, symbol string", {"score": F.col("score") >= 0.5, "net": F.col("net").isNotNull()})
+    of_file = bad.select(F.regexp_extract("file", "symbol=([^/]+)", 1).alias("symbol"), "problem")
+    return good.select("symbol", F.lit("valid").alias("problem")).unionByName(of_file).groupBy("symbol", "problem").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {BARS_1H}, r AS (SELECT CASE WHEN trade_count % 6 = 0 THEN 'payload' END AS problem, close_time_ms, close FROM bars) SELECT problem, count(*) AS n, round(sum(CASE WHEN problem IS NULL THEN close END), 4) AS closes FROM r WHERE problem IS NOT NULL OR close_time_ms < 1706000000000 GROUP BY problem""")
 def payload_rows(spark, sf):
     """Exchange payload arrays to typed candles: bad rows are marked, open candles go."""

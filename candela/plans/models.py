@@ -391,3 +391,16 @@ def bundle_scores(spark, sf):
     saved = spark.read.schema(made.schema).json(path)
     newest = rows.groupBy("symbol").agg(F.max_by(F.struct("close", "barrier_bps", *PAIR), "open_time_ms").alias("r")).select("symbol", "r.*")
     return rounded(ft.bundle_scores(newest, saved, keys, PAIR, 2), 6, "probability", "confidence", "low_price", "high_price")
+
+
+@query(f"""WITH {LEDGER}, r AS (SELECT level, CASE WHEN id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, id % 97 / 96.0 >= 0.7 AS selected, id % 97 / 96.0 AS p, id % 7 / 10.0 AS base_p, CASE WHEN status IS NOT NULL THEN CAST(gross >= level AS INT) END AS hl, CASE WHEN status IS NOT NULL THEN CAST(-gross >= level AS INT) END AS hs FROM ledger, (VALUES (50.0), (100.0), (200.0)) v(level)),
+x AS (SELECT *, CASE WHEN side = 'LONG' THEN hl ELSE hs END AS hit FROM r WHERE hl IS NOT NULL),
+g AS (SELECT CAST(level AS DOUBLE) AS level, count(*) AS n, sum(hit)::BIGINT AS hits, count(*) FILTER (selected) AS selected, count(*) FILTER (selected AND hit = 1) AS selected_hits, count(*) FILTER (selected AND hit = 0) AS false_alerts, count(*) FILTER (NOT selected AND hit = 1) AS missed, avg(hl) AS al, avg(hs) AS sh, avg((p - hit) ** 2) AS br, avg((base_p - hit) ** 2) AS bb FROM x GROUP BY 1)
+SELECT level, n, hits, selected, selected_hits, false_alerts, missed, round(al, 8) AS always_long, round(sh, 8) AS always_short, round(br, 8) AS brier, round(bb, 8) AS base_brier, round(selected_hits / hits, 8) AS recall, round({_wilson('selected_hits', 'selected', '-')}, 8) AS low, round({_wilson('selected_hits', 'selected', '+')}, 8) AS high FROM g""")
+def side_lift(spark, sf):
+    """A directional score by level against always long, always short and its base rate."""
+    i = F.col("id")
+    l = signals(spark, sf).withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in (50, 100, 200)])))
+    hit = lambda x: F.when(F.col("status").isNotNull(), (x >= F.col("level")).cast("int"))
+    r = l.select("level", F.when(i % 2 == 0, "LONG").otherwise("SHORT").alias("side"), (i % 97 / 96.0 >= 0.7).alias("selected"), (i % 97 / 96.0).alias("p"), (i % 7 / 10.0).alias("base_p"), hit(F.col("gross")).alias("hit_long"), hit(-F.col("gross")).alias("hit_short"))
+    return rounded(md.side_lift(r), 8, "always_long", "always_short", "brier", "base_brier", "recall", "low", "high")

@@ -84,6 +84,12 @@ def weekly_slices(spark, sf):
     return studies.weekly(trades_1d(spark, sf))
 
 
+@query(f"""WITH {TRADES}, g AS (SELECT symbol, event_ms // {DAY} AS day, count(*) AS trades, sum(net_bps) AS net FROM trades WHERE net_bps IS NOT NULL GROUP BY ALL), a AS (SELECT symbol, unnest(generate_series(min(day), max(day))) AS day FROM g GROUP BY symbol)
+SELECT symbol, day, coalesce(trades, 0) AS trades, round(coalesce(net, 0), 5) AS net FROM a LEFT JOIN g USING (symbol, day)""")
+def daily_slices(spark, sf):
+    return studies.slices(trades_1d(spark, sf), 1, "day")
+
+
 @query(f"""WITH {BARS_1D}, s AS (SELECT symbol, open_time_ms, sum(volume) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS s, row_number() OVER {W} AS rn FROM bars),
 m AS (SELECT a.symbol, a.rn, quantile_cont(b.s, 0.5) AS med FROM s a JOIN s b ON b.symbol = a.symbol AND b.rn < a.rn AND b.rn >= a.rn - 288 AND (a.rn - b.rn) % 12 = 0 WHERE a.rn >= 300 GROUP BY ALL)
 SELECT symbol, open_time_ms, s / nullif(med, 0) AS ratio FROM s LEFT JOIN m USING (symbol, rn)""")

@@ -237,3 +237,18 @@ def file_manifest(spark: SparkSession, path: str, step: int, schema: str = CANDL
     best = F.row_number().over(Window.partitionBy("symbol").orderBy(usable.desc(), F.desc("longest"), "file"))
     status = F.when(F.col("twice") > 0, "SKIP_DUPLICATE").when(F.col("longest") == 0, "SKIP_NO_VALID_BARS").when(best == 1, "SELECTED").otherwise("AVAILABLE")
     return j.withColumn("status", status).join(files, "file")
+
+
+def read_pending(spark: SparkSession, path: str, schema: str, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """A folder of JSON records, in any files below it: the valid rows, and the others with ``file``, ``raw`` text and ``problem``: json (not readable as the schema says) or
+    the first rule that fails or is unknown."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    kind = f"{schema}, _bad string"
+    r = raw.withColumn("j", F.from_json("value", kind, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    names = [c.split()[0] for c in schema.split(", ")]
+    flat = r.select("file", "value", F.col("j._bad").alias("_bad"), *[F.col(f"j.{c}").alias(c) for c in names])
+    problem = F.when(F.col("_bad").isNotNull() | F.col(names[0]).isNull(), "json")
+    for name, rule in rules.items():
+        problem = problem.when(~F.coalesce(rule, F.lit(False)), name)
+    flat = flat.withColumn("problem", problem)
+    return flat.where("problem is null").select(*names), flat.where("problem is not null").select("file", F.col("value").alias("raw"), "problem")
