@@ -218,7 +218,7 @@ def series_hash(bars: DataFrame, row: Column, part_ms: int) -> DataFrame:
 
 def file_manifest(spark: SparkSession, path: str, step: int, schema: str = CANDLE) -> DataFrame:
     """One row for each candle CSV below ``path``: file, symbol (from its folder), bytes, SHA-256 of its content, rows, invalid rows, twice (stamps that
-    repeat), segments, longest (rows of the longest segment), its first and last time, and status: SKIP_DUPLICATE, SKIP_NO_VALID_BARS, SELECTED (the
+    repeat), segments, longest (stamps of the longest segment, each once), its first and last time, and status: SKIP_DUPLICATE, SKIP_NO_VALID_BARS, SELECTED (the
     symbol's longest, then first by name) or AVAILABLE. A file is hashed where it is read; its content never leaves its task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
     files = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -229,7 +229,7 @@ def file_manifest(spark: SparkSession, path: str, step: int, schema: str = CANDL
     w = Window.partitionBy("file").orderBy("open_time_ms")
     r = r.withColumns({"good": good, "twice": F.count("*").over(Window.partitionBy("file", "open_time_ms")) > 1})
     g = r.groupBy("file", "symbol").agg(F.count("*").alias("rows"), F.count_if(~F.coalesce("good", F.lit(False))).alias("invalid"), F.count_if("twice").alias("twice"))
-    s = r.where("good").withColumn("gap", F.coalesce((F.col("open_time_ms") - F.lag("open_time_ms").over(w) != step).cast("int"), F.lit(0)))
+    s = r.where("good").dropDuplicates(["file", "open_time_ms"]).withColumn("gap", F.coalesce((F.col("open_time_ms") - F.lag("open_time_ms").over(w) != step).cast("int"), F.lit(0)))
     s = s.withColumn("segment", F.sum("gap").over(w)).groupBy("file", "segment").agg(F.count("*").alias("n"), F.min("open_time_ms").alias("a"), F.max("open_time_ms").alias("b"))
     s = s.groupBy("file").agg(F.count("*").alias("segments"), F.max(F.struct("n", (-F.col("a")).alias("z"), "b")).alias("m"))
     j = g.join(s, "file", "left").select("file", "symbol", "rows", "invalid", "twice", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("m.n", F.lit(0)).alias("longest"), (-F.col("m.z")).alias("start_ms"), F.col("m.b").alias("end_ms"))
