@@ -30,13 +30,18 @@ def _sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(x)], design.T @ (p - y), ((design * w[:, None]).T @ design).ravel()])
 
 
+#: The largest change of a coefficient in one step. Unbounded steps run away where nearly all labels are one.
+STRIDE = 1.0
+
+
 def _stepped(sums: np.ndarray, beta: np.ndarray, l2: float) -> np.ndarray:
-    """Newton's next ``beta`` for models in rows; the intercept is not penalised."""
+    """Newton's next ``beta`` for models in rows, a step being shortened to ``STRIDE``; the intercept is not penalised."""
     d = beta.shape[1]
     penalty = np.r_[0.0, np.full(d - 1, l2)]
     gradient = sums[:, 1 : d + 1] + penalty * beta
     hessian = sums[:, d + 1 :].reshape(-1, d, d) + np.diag(penalty + 1e-12)
-    return beta - np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+    step = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
+    return beta - step * np.minimum(1.0, STRIDE / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300))
 
 
 def logistic_fits(rows: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], target: str, l2: float = 1.0, steps: int = 60, tol: float = 1e-7) -> DataFrame:

@@ -216,7 +216,7 @@ def logistic_scores(spark, sf):
 
 
 #: Horizons in rows, and the two features whose fits SQL repeats by Newton steps in a recursion.
-HORIZONS, PAIR = (3, 12, 48, 288), ("momentum_3", "bollinger_z")
+HORIZONS, PAIR = (3, 12, 48), ("momentum_3", "bollinger_z")
 _KEY = "symbol, horizon, fit"
 
 
@@ -232,26 +232,27 @@ def _base(x: str) -> str:
     return f"ln(greatest(1e-4, least(1 - 1e-4, {x})) / (1 - greatest(1e-4, least(1 - 1e-4, {x}))))"
 
 
-def newton2_sql(name: str, rows: str, key: str, l2: float, where: str = "TRUE", steps: int = 14) -> str:
-    """``name``: key, a, b, c: intercept and two weights of the rows' (x, z, y) fit, three by three by Cramer's rule."""
+def newton2_sql(name: str, rows: str, key: str, l2: float, where: str = "TRUE", steps: int = 24) -> str:
+    """``name``: key, a, b, c: intercept and two weights of the rows' (x, z, y) fit, three by three by Cramer's rule, no step longer than one."""
     det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
     return f"""{name}_r AS MATERIALIZED (SELECT {key}, x, z, y FROM {rows} WHERE {where}),
 {name}_n AS (SELECT {key}, 0 AS k, {_base('avg(y)')} AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM {name}_r GROUP BY {key}
-  UNION ALL SELECT {key}, k + 1, a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det}, b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det},
-    c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det} FROM (
+  UNION ALL SELECT {key}, k + 1, a - d0 / greatest(1, abs(d0), abs(d1), abs(d2)), b - d1 / greatest(1, abs(d0), abs(d1), abs(d2)), c - d2 / greatest(1, abs(d0), abs(d1), abs(d2)) FROM (
+  SELECT *, (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det} AS d0, (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det} AS d1,
+    (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det} AS d2 FROM (
     SELECT {key}, k, a, b, c, sum(p - y) AS g0, sum(x * (p - y)) + {l2} * b AS g1, sum(z * (p - y)) + {l2} * c AS g2, sum(w) AS h00, sum(w * x) AS h01, sum(w * z) AS h02, sum(w * x * x) + {l2} AS h11, sum(w * x * z) AS h12, sum(w * z * z) + {l2} AS h22 FROM (
-      SELECT *, greatest(p * (1 - p), 1e-6) AS w FROM (SELECT n.*, x, z, y, {_sig('a + b * x + c * z')} AS p FROM {name}_n n JOIN {name}_r USING ({key}) WHERE k < {steps})) GROUP BY {key}, k, a, b, c)),
+      SELECT *, greatest(p * (1 - p), 1e-6) AS w FROM (SELECT n.*, x, z, y, {_sig('a + b * x + c * z')} AS p FROM {name}_n n JOIN {name}_r USING ({key}) WHERE k < {steps})) GROUP BY {key}, k, a, b, c))),
 {name} AS MATERIALIZED (SELECT {key}, a, b, c FROM {name}_n WHERE k = {steps})"""
 
 
-def platt_sql(name: str, rows: str, key: str, where: str = "TRUE", steps: int = 14) -> str:
+def platt_sql(name: str, rows: str, key: str, where: str = "TRUE", steps: int = 24) -> str:
     """``name``: key, slope, base of the rows' (logit, y)."""
     return f"""{name}_r AS MATERIALIZED (SELECT {key}, logit AS x, y FROM {rows} WHERE {where}),
 {name}_g AS (SELECT {key}, {_base('avg(y)')} AS flat, min(y) = max(y) OR stddev_pop(x) < 1e-9 AS one FROM {name}_r GROUP BY {key}),
 {name}_n AS (SELECT {key}, 0 AS k, flat AS a, 0.0::DOUBLE AS b FROM {name}_g
-  UNION ALL SELECT {key}, k + 1, a - (g0 * h11 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+  UNION ALL SELECT {key}, k + 1, a - d0 / greatest(1, abs(d0), abs(d1)), b - d1 / greatest(1, abs(d0), abs(d1)) FROM (SELECT *, (g0 * h11 - h01 * g1) / (h00 * h11 - h01 * h01) AS d0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS d1 FROM (
     SELECT {key}, k, a, b, sum(p - y) AS g0, sum(x * (p - y)) + 0.01 * b AS g1, sum(w) AS h00, sum(w * x) AS h01, sum(w * x * x) + 0.01 AS h11 FROM (
-      SELECT *, greatest(p * (1 - p), 1e-6) AS w FROM (SELECT n.*, x, y, {_sig('a + b * x')} AS p FROM {name}_n n JOIN {name}_r USING ({key}) WHERE k < {steps})) GROUP BY {key}, k, a, b)),
+      SELECT *, greatest(p * (1 - p), 1e-6) AS w FROM (SELECT n.*, x, y, {_sig('a + b * x')} AS p FROM {name}_n n JOIN {name}_r USING ({key}) WHERE k < {steps})) GROUP BY {key}, k, a, b))),
 {name} AS MATERIALIZED (SELECT {key}, CASE WHEN one OR b < 0 THEN 0 ELSE b END AS slope, CASE WHEN one OR b < 0 THEN flat ELSE a END AS base FROM {name}_n JOIN {name}_g USING ({key}) WHERE k = {steps})"""
 
 
