@@ -7,9 +7,10 @@ broadcast (``sample`` x ``rank`` and ``TERMS`` x ``rank`` floats). Every documen
 compared with every labelled vector, in exact blocked cosine products; the ``k`` nearest vote, weighted
 by their similarity to a power.
 
-Defined cases: texts without terms (null, empty, one byte) get the share of label 1 in the sample; so
+Defined cases: texts without terms (null, empty, one blank) get the share of label 1 in the sample; so
 does everything if there are no usable labels (0.5 with none at all). Repeated rows score alike. Label
-rows without a document, or with a null label, are not used; with several labels of an id the largest counts.
+rows without a document, or with a null label, are not used; with several labels of an id the largest counts, of
+several texts of an id the smallest is learnt from (and each row is scored by its own).
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def counts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(texts, TERMS) counts of the terms of the texts at ``at`` in ``buf``."""
     n = len(at) - 1
     out = np.zeros(n * TERMS)
-    if len(buf) > 1:
+    if len(buf):
         owner = np.repeat(np.arange(n), np.diff(at))
         both = owner[1:] == owner[:-1]
         pair = (buf[:-1].astype(np.int64) << 8 | buf[1:])[both]
@@ -84,8 +85,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
     usable = usable.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     known = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
     picked = usable.join(known, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(picked), "_id")  # at most ``sample`` ids
-    return rows.select("_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_y").cast("int").alias("y")).dropDuplicates(["_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "_id")  # at most ``sample`` ids
+    return rows.groupBy("_id").agg(F.min("text").alias("text"), F.min("_y").cast("int").alias("y"))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = RANK) -> dict | None:

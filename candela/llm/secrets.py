@@ -7,14 +7,16 @@ guesses, and no base span covers it. Cost of a segmentation: the product of its
 times the factorial of their number; the minimum is found by dynamic programming over end positions.
 
 A value that is itself a keyword ("Authorization: Bearer ...", "password: secret: ...") is read as the next
-context. Values of letters only are judged like others after : = and =>; after "is" and a bare "Bearer"
-they are taken for prose and skipped. Keywords inside a longer run of letters (dbpassword) and
-keywords followed by more of the name (secret_id) are no contexts.
+context. Values of letters only are judged like others after : = and =>; after "is", "was" and a bare
+"Bearer" they are taken for prose and skipped. A keyword may begin in a name (client_secret, dbPassword) and
+go on by up to three parts (secret_id, token-for-ci); digits alone are then a count (token_count = 4096) and
+skipped. Keywords inside a run of lower-case letters (dbpassword) are no contexts.
 
 Words come from a short list of common passwords, then from a public vocabulary in the order of its merges. Positions are code
 points, end exclusive. Defined cases: null and empty texts have no spans; base
 spans stay whatever their cost; values longer than ``MAX_SEGMENT`` are segmented whole, only single
-word, date and walk segments are bounded by it (repeats are not).
+word, date and walk segments are bounded by it (repeats are not). Neither bound changes a verdict at
+thresholds up to 8.6: a walk of more than ``MAX_SEGMENT`` keys costs that much by itself, 20 parts cost 18.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 MIN_ASSIGN = 12
 KINDS = ("assign", "access", "hex", "guess")
 
-# Contexts of the method. A keyword may follow _ or - (DB_PASSWORD), not a letter or digit.
+# Contexts of the method. A keyword may follow _ or - (DB_PASSWORD) or begin a capital (dbPassword).
 KEYWORD = r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|api[_-]?key|access[_-]?key|private[_-]?key|login|pin)"
 CONTEXT = re.compile(
-    rf"""(?<![A-Za-z0-9])(?:{KEYWORD}["']?\x20*(:=|=>|[:=]|\bis\b)\x20*|(?i:bearer)\x20+)["']?([^\s"'<>|]{{4,}})""",
+    rf"""(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))(?:{KEYWORD}(?P<more>(?:[_-][A-Za-z0-9]+){{0,3}})["']?\x20*(?P<sep>:=|=>|[:=]|\b(?:is|was)\b)\x20*|(?i:bearer)\x20+)["']?(?P<value>[^\s"'<>|]{{4,}})""",
     re.ASCII,
 )
 WORD = re.compile(KEYWORD, re.ASCII)
@@ -189,17 +191,18 @@ def method_spans(text: str, base: list[tuple[int, int, int]], min_log10: float)
     out, at, led = [], 0, None
     if HINT.search(text):
         while m := CONTEXT.search(text, at):
-            sep = m[1] or (led if m.start() == at else None)
-            at, led = m.end(), None
-            value = m[2].rstrip(".,;:!?)")
+            sep = m["sep"] or (led if m.start() == at else None)
+            at, led, start = m.end(), None, m.start("value")
+            value = m["value"].rstrip(".,;:!?)")
             if WORD.fullmatch(value.rstrip("=:")):
-                at, led = m.start(2), sep
+                at, led = start, sep
                 continue
-            if len(value) < 4 or any(s <= m.start(2) and m.start(2) + len(value) <= e for s, _, e in base):
+            if len(value) < 4 or any(s <= start and start + len(value) <= e for s, _, e in base):
                 continue
-            plain = sep in (None, "is") and not any(c.isdigit() or not c.isalnum() for c in value)
-            if not plain and guess_log10(value) >= min_log10:
-                out.append((m.start(2), 3, m.start(2) + len(value)))
+            prose = sep in (None, "is", "was") and not any(c.isdigit() or not c.isalnum() for c in value)
+            count = m["more"] and value.isdigit()
+            if not prose and not count and guess_log10(value) >= min_log10:
+                out.append((start, 3, start + len(value)))
     return out
 
 
