@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from candela.functions.ewm import ewms, span
 from candela.functions.scalars import frame, guarded, ratio, series, true_range
+from candela.functions.slices import in_slices
+from candela.sources.files import kept
 
 #: EMA spans and the number of values from which each is known.
 EMAS = {20: 20, 50: 50, 200: 200, 576: 288, 1200: 1200}
 #: Rows back whose ema50 the trend rules compare.
 EMA_LAGS = (4, 6, 12, 24)
 RETURNS = (4, 6, 12, 16, 24, 168)
+#: Rows back after which the slowest mean (span 1200) has forgotten to within e^-60.
+REACH = 60 * 1201 // 2
 HIGHS, LOWS = (12, 24, 48, 144, 288), (12, 24)
 
 
@@ -169,41 +173,72 @@ def live_conditions(z1: float = 3.0, z2: float = 2.0, shock: float = 3.0) -> dic
     }
 
 
-def live_rules(ind: DataFrame, gate: Column, quiet: int = 11, **limits: float) -> DataFrame:
-    """(symbol, open_time_ms, family, score). A family fires where its condition begins and did not begin in the ``quiet``
-    rows before; the B families only where ``gate`` (a bullish or transitional market) holds."""
+def live_marks(ind: DataFrame, quiet: int = 11, **limits: float) -> DataFrame:
+    """The frame with ``taker12`` and, for each family, ``f_<family>``: its condition begins here and did not begin in the ``quiet`` rows before."""
     w = series()
     rules = live_conditions(**limits)
-    r = ind.withColumns({"gate": F.coalesce(gate, F.lit(False)), "taker12": F.least(F.greatest(ratio(F.sum("taker_buy_base").over(frame(w, 12)), F.sum("volume").over(frame(w, 12))), F.lit(0.0)), F.lit(1.0))})
-    r = r.withColumns({f"c_{k}": F.coalesce(F.expr(c), F.lit(False)) for k, (c, _, _) in rules.items()})
+    r = ind.withColumns({"taker12": F.least(F.greatest(ratio(F.sum("taker_buy_base").over(frame(w, 12)), F.sum("volume").over(frame(w, 12))), F.lit(0.0)), F.lit(1.0)), **{f"c_{k}": F.coalesce(F.expr(c), F.lit(False)) for k, (c, _, _) in rules.items()}})
     r = r.withColumns({f"e_{k}": F.col(f"c_{k}") & ~F.coalesce(F.lag(f"c_{k}").over(w), F.lit(True)) for k in rules})
     quiet_rows = w.rowsBetween(-quiet, -1)
     r = r.withColumns({f"f_{k}": F.col(f"e_{k}") & (F.coalesce(F.max(F.col(f"e_{k}").cast("int")).over(quiet_rows), F.lit(0)) == 0) for k in rules})
-    fires = [F.when(F.col(f"f_{k}") & F.expr(more), F.struct(F.lit(k).alias("family"), F.expr(score).alias("score"))) for k, (_, more, score) in rules.items()]
-    return r.select("symbol", "open_time_ms", F.explode(F.array_compact(F.array(*fires))).alias("x")).select("symbol", "open_time_ms", "x.family", "x.score")
+    return r.drop(*(f"{x}_{k}" for k in rules for x in "ce"))
+
+
+def live_frame(bars: DataFrame, size: int = 65_536, quiet: int = 11, **limits: float) -> DataFrame:
+    """``indicators`` with ``live_marks``, computed once in slices of ``size`` rows of a series and kept in the shared folder: the
+    families, the gate and the regime all read it. ``rn`` counts from the slice's halo on, so it is exact below ``REACH``."""
+    bars = kept(bars, "bars")  # the slices read them several times
+    return kept(in_slices(bars, lambda b: live_marks(indicators(b), quiet, **limits), before=REACH, size=size), "live")
+
+
+def _fires(**limits: float) -> list[Column]:
+    """(family, score) of each family that fires; they read the marks, ``gate`` and ``taker12``."""
+    rules = live_conditions(**limits)
+    return [F.when(F.col(f"f_{k}") & F.expr(more), F.struct(F.lit(k).alias("family"), F.expr(score).alias("score"))) for k, (_, more, score) in rules.items()]
+
+
+def _relative(least_markets: int) -> Column:
+    """(family, score) where B3 enters, from cross-sections of the rows whose return of the bar before is known; reads ``gate``."""
+    at = Window.partitionBy("open_time_ms")
+    known = F.col("pr288").isNotNull()
+    cut = lambda c: F.percentile(F.when(known, F.col(c)), 0.9).over(at)
+    enters = known & F.col("gate") & (F.count("pr288").over(at) >= least_markets) & (F.col("r288") >= cut("r288")) & (F.col("pr288") < cut("pr288")) & (F.col("r6") > 0)
+    score = 1.0 + F.least(F.greatest((F.col("r288") - cut("r288")) * 10_000, F.lit(0.0)) / 50.0, F.lit(2.0))
+    return F.when(enters, F.struct(F.lit("B3").alias("family"), score.alias("score")))
+
+
+def live_families(marked: DataFrame, gate: Column, least_markets: int = 10, **limits: float) -> DataFrame:
+    """(symbol, open_time_ms, family, score) of all live families from a marked frame, in one pass. The B families need ``gate``
+    (a bullish or transitional market)."""
+    r = marked.withColumn("gate", F.coalesce(gate, F.lit(False)))
+    r = r.select("symbol", "open_time_ms", F.array(*_fires(**limits), _relative(least_markets)).alias("_x"))
+    return r.select("symbol", "open_time_ms", F.explode(F.array_compact("_x")).alias("x")).select("symbol", "open_time_ms", "x.family", "x.score")
+
+
+def live_rules(ind: DataFrame, gate: Column, quiet: int = 11, **limits: float) -> DataFrame:
+    """The families without B3 from plain indicators."""
+    r = live_marks(ind.withColumn("gate", F.coalesce(gate, F.lit(False))), quiet, **limits)
+    return r.select("symbol", "open_time_ms", F.explode(F.array_compact(F.array(*_fires(**limits)))).alias("x")).select("symbol", "open_time_ms", "x.family", "x.score")
 
 
 def relative_entries(ind: DataFrame, gate: Column, least_markets: int = 10) -> DataFrame:
     """Family B3: into the top decile of the 288-row return at this bar, below it at the one before, rising over 6 rows."""
-    at = Window.partitionBy("open_time_ms")
-    r = ind.where("pr288 is not null").withColumns({"now_cut": F.percentile("r288", 0.9).over(at), "prior_cut": F.percentile("pr288", 0.9).over(at), "n": F.count("*").over(at), "gate": F.coalesce(gate, F.lit(False))})
-    r = r.where(f"gate and n >= {least_markets} and r288 >= now_cut and pr288 < prior_cut and r6 > 0")
-    score = 1.0 + F.least(F.greatest((F.col("r288") - F.col("now_cut")) * 10_000, F.lit(0.0)) / 50.0, F.lit(2.0))
-    return r.select("symbol", "open_time_ms", F.lit("B3").alias("family"), score.alias("score"))
+    r = ind.withColumn("gate", F.coalesce(gate, F.lit(False))).select("symbol", "open_time_ms", _relative(least_markets).alias("x"))
+    return r.where("x is not null").select("symbol", "open_time_ms", "x.family", "x.score")
 
 
 def bull_regime(ind: DataFrame, majors: tuple[str, str], threshold: float = 0.60) -> DataFrame:
     """One row for each time: breadth over ema576, four trend votes of the two majors over ema1200, persistence over 672
     rows now and 168 rows ago; score and state. Fewer than four votes or no breadth: UNKNOWN."""
     w = series()
-    breadth = ind.where("ema576 is not null").groupBy("open_time_ms").agg(F.avg((F.col("close") > F.col("ema576")).cast("double")).alias("breadth"), F.count("*").alias("votes"))
+    breadth = ind.groupBy("open_time_ms").agg(F.avg((F.col("close") > F.col("ema576")).cast("double")).alias("breadth"), F.count("ema576").alias("votes"))
     back = lambda c, k: F.lag(c, k).over(w)
     m = ind.where(F.col("symbol").isin(*majors)).withColumns({
         "old": back("ema1200", 168), "now4": F.log(F.col("close") / back("close", 672)), "then4": F.log(back("close", 168) / back("close", 840))}).where("rn >= 1369 and ema1200 is not null and old is not null")
     m = m.groupBy("open_time_ms").agg(
         F.count("*").alias("n"), (F.sum((F.col("close") > F.col("ema1200")).cast("double") + (F.col("ema1200") > F.col("old")).cast("double")) / 4).alias("trend"),
         ((F.avg("now4") > 0) & (F.avg("then4") > 0)).alias("persistent"))
-    r = ind.select("open_time_ms").distinct().join(breadth, "open_time_ms", "left").join(m, "open_time_ms", "left")
+    r = breadth.join(m, "open_time_ms", "left")
     known = (F.col("n") == len(majors)) & (F.col("votes") > 0)
     score = 0.4 * F.col("persistent").cast("double") + 0.3 * F.col("trend") + 0.3 * F.least(F.col("breadth") / threshold, F.lit(1.0))
     r = r.withColumns({"known": F.coalesce(known, F.lit(False)), "raw": score})

@@ -156,3 +156,29 @@ def first_of_period(events: DataFrame, period: int) -> DataFrame:
     r = events.withColumn("period", F.floor(F.col("event_ms") / period).cast("long"))
     n = F.row_number().over(Window.partitionBy("symbol", "period").orderBy("event_ms"))
     return r.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def grid_entries(records: DataFrame, bars: DataFrame, now_ms: int, step: int, grids: tuple[int, ...], hold: int, levels: tuple[float, ...] = (2, 3, 5)) -> DataFrame:
+    """Records (id, symbol, recorded_ms, stop_pct, cost_bps) entered at the first open of each grid (multiples of so many ms) after
+    they were recorded and followed for ``hold`` steps; one row for each record, grid and level (percent above the entry).
+
+    ``mature``: the whole hold is past at ``now_ms``. ``complete``: there is a candle for every step up to then, at least one; else
+    all results are null. A level and the stop in one candle: which came first is unknown, so is the net. Before maturity a level
+    that was not met is undecided unless the stop was. Candles whose close is not at the end of their step count as missing.
+    """
+    start = (F.floor(F.col("recorded_ms") / F.col("grid_ms")) + 1) * F.col("grid_ms")
+    r = records.withColumn("grid_ms", F.explode(F.array(*[F.lit(g).cast("long") for g in grids]))).withColumn("entry_open_ms", start).withColumn("event_ms", F.col("entry_open_ms") - step)
+    r = with_path(r, bars.where(F.col("close_time_ms") - F.col("open_time_ms") == step - 1), step, hold)
+    end = F.col("entry_open_ms") + F.lit(hold * step)
+    due = F.floor((F.least(end, F.lit(now_ms // step * step)) - F.col("entry_open_ms")) / step)
+    r = r.withColumns({"mature": end <= now_ms, "_due": due}).withColumn("_seen", F.filter("path", lambda x: x.k <= F.col("_due")))
+    r = r.withColumn("complete", (F.col("_due") > 0) & (F.size("_seen") == F.col("_due"))).withColumn("_seen", F.when(F.col("complete"), F.col("_seen")))
+    r = r.withColumns({"entry_price": F.col("_seen")[0].open, "_last": F.try_element_at("_seen", F.lit(-1)).close})
+    fallen = lambda x: (1 - x.low / F.col("entry_price")) * 100 >= F.col("stop_pct") - 1e-9
+    risen = lambda x: (x.high / F.col("entry_price") - 1) * 100 >= F.col("level") - 1e-9
+    r = r.withColumn("_stop", first_of(F.col("_seen"), fallen).k).withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels]))).withColumn("_hit", first_of(F.col("_seen"), risen).k)
+    hit, stop, over = F.col("_hit"), F.col("_stop"), F.col("mature") & F.col("complete")
+    both = F.coalesce(hit == stop, F.lit(False))
+    first = F.when(both, None).when(hit.isNotNull(), stop.isNull() | (hit < stop)).when(over | stop.isNotNull(), F.lit(False))
+    gross = F.when(first, F.col("level") * 100).when(stop.isNotNull(), -F.col("stop_pct") * 100).when(over, (F.col("_last") / F.col("entry_price") - 1) * 10_000)
+    return r.select("id", "grid_ms", "entry_open_ms", "mature", "complete", "entry_price", "level", F.when(hit.isNotNull(), True).when(over, False).alias("hit"), first.alias("first_before_stop"), F.when(~both, gross - F.col("cost_bps")).alias("net_bps"))

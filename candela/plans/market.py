@@ -126,10 +126,9 @@ SELECT * FROM ({rows} UNION ALL SELECT symbol, open_time_ms, 'B3', round(1.0 + l
 @query(f"WITH RECURSIVE {_live_sql()}")
 def live_rules(spark, sf):
     """The live families F1-F3 and B1-B4: edges with a quiet time, scores, and the B families gated by the market's regime."""
-    ind = indicator_frame(spark, sf)
-    marked = ind.join(mk.bull_regime(ind, ("A", "R")).select("open_time_ms", F.col("state").isin("BULL", "TRANSITION").alias("bullish")), "open_time_ms")
-    gate = F.col("bullish")
-    return rounded(mk.live_rules(marked, gate, **LIVE).unionByName(mk.relative_entries(marked, gate, 3)), 6, "score")
+    ind = mk.live_frame(calm(spark, sf), **LIVE)
+    regime = mk.bull_regime(ind, ("A", "R")).select("open_time_ms", F.col("state").isin("BULL", "TRANSITION").alias("bullish"))
+    return rounded(mk.live_families(ind.join(regime, "open_time_ms"), F.col("bullish"), 3, **LIVE), 6, "score")
 
 
 @query(f"""WITH {CALM}, t AS (SELECT *, row_number() OVER w AS rn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) / nullif(close, 0) * 10000 AS range_bps, sum(volume) OVER (PARTITION BY symbol ORDER BY open_time_ms ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS s12,

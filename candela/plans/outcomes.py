@@ -179,3 +179,23 @@ def setup_forward_test(spark, sf):
         net = F.col(f"ret_{k}") * F.col("side") - 12
         out += [F.round(net, 6).alias(f"net_{k}"), F.when(net.isNotNull(), "SETTLED").when(F.lit(NOW) - (F.col("event_ms") + k * DAY) > GRACE, "DATA_MISSING").otherwise("PENDING").alias(f"status_{k}")]
     return r.select("symbol", "event_ms", "side", *out)
+
+
+GRIDS = (DAY, 5 * DAY)
+
+
+@query(f"""WITH {EV}, rec AS (SELECT symbol || ':' || event_ms AS id, symbol, event_ms + {DAY} + ((event_ms // {DAY}) % 24) * 3600000 AS t, 0.5 + ((event_ms // {DAY}) % 3) * 0.5 AS stop FROM ev),
+gr AS (SELECT *, (t // g + 1) * g AS s FROM rec, (VALUES ({GRIDS[0]}), ({GRIDS[1]})) v(g)),
+cu AS MATERIALIZED (SELECT *, s + {H * DAY} <= {NOW} AS mature, (least(s + {H * DAY}, {NOW // DAY * DAY}) - s) // {DAY} AS due FROM gr),
+pt AS MATERIALIZED (SELECT id, g, due, stop, (b.open_time_ms - s) // {DAY} + 1 AS k, open, high, low, close FROM cu JOIN tb b ON b.symbol = cu.symbol AND b.open_time_ms >= s AND b.open_time_ms < s + due * {DAY}),
+en AS MATERIALIZED (SELECT id, g, max(open) FILTER (k = 1) AS entry, max(close) FILTER (k = due) AS last FROM pt GROUP BY id, g, due HAVING count(*) = due),
+hi AS (SELECT id, g, level, min(k) FILTER ((high / entry - 1) * 100 >= level - 1e-9) AS hk, min(k) FILTER ((1 - low / entry) * 100 >= stop - 1e-9) AS sk FROM pt JOIN en USING (id, g), (VALUES {', '.join(f'({float(v)}::DOUBLE)' for v in LEVELS)}) l(level) GROUP BY ALL),
+x AS (SELECT cu.id, g, s, mature, stop, entry IS NOT NULL AS complete, entry, last, l.level, hk, sk, coalesce(hk = sk, FALSE) AS twice, hk IS NOT NULL AND (sk IS NULL OR hk < sk) AS won FROM cu JOIN (VALUES {', '.join(f'({float(v)}::DOUBLE)' for v in LEVELS)}) l(level) ON TRUE LEFT JOIN en USING (id, g) LEFT JOIN hi USING (id, g, level))
+SELECT id, g AS grid_ms, s AS entry_open_ms, mature, complete, entry AS entry_price, level, CASE WHEN hk IS NOT NULL THEN TRUE WHEN mature AND complete THEN FALSE END AS hit,
+  CASE WHEN NOT twice AND (hk IS NOT NULL OR sk IS NOT NULL OR (mature AND complete)) THEN won END AS first_before_stop,
+  round(CASE WHEN NOT twice THEN CASE WHEN won THEN level * 100 WHEN sk IS NOT NULL THEN -stop * 100 WHEN mature THEN (last / entry - 1) * 10000 END - 10 END, 6) AS net_bps FROM x""")
+def grid_entries(spark, sf):
+    """Signals entered on a fine and on a coarse grid of opens, against levels and a stop."""
+    day = F.floor(F.col("event_ms") / DAY)
+    r = base_events(spark, sf).select(F.concat_ws(":", "symbol", F.col("event_ms").cast("string")).alias("id"), "symbol", (F.col("event_ms") + DAY + (day % 24) * 3_600_000).alias("recorded_ms"), (0.5 + (day % 3) * 0.5).alias("stop_pct"), F.lit(10.0).alias("cost_bps"))
+    return rounded(oc.grid_entries(r, thin(spark, sf), NOW, DAY, GRIDS, H, LEVELS), 6, "net_bps")
