@@ -24,6 +24,19 @@ def trade_summary(trades: DataFrame, *keys: str) -> DataFrame:
         F.round(F.percentile(n, 0.5), 6).alias("median_net"), F.round(F.coalesce(win, F.lit(0.0)) / F.nullif(-F.coalesce(loss, F.lit(0.0)), F.lit(0.0)), 6).alias("profit_factor"))
 
 
+def exit_reasons(trades: DataFrame, *keys: str) -> DataFrame:
+    """``reasons`` of each key: a map from exit reason to its number of trades, unsettled ones included."""
+    counts = trades.groupBy(*keys, "reason").agg(F.count("*").alias("_n"))
+    return counts.where("reason is not null").groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "_n")))).alias("reasons"))  # a few reasons each
+
+
+def trade_report(trades: DataFrame, keys: tuple[str, ...] = ("symbol",), draws: int = 200, seed: int = 7, least: int = 5) -> DataFrame:
+    """``trade_summary`` with the exit reasons and the interval of the mean net by resampling days (null with fewer than ``least``).
+    Keys without a settled trade have no row. The trades are read three times: give stored ones."""
+    ci = block_means_ci(trades, keys, F.floor(F.col("event_ms") / DAY), F.col("net_bps"), draws, seed, least)
+    return trade_summary(trades, *keys).join(exit_reasons(trades, *keys), list(keys), "left").join(ci.drop("blocks"), list(keys), "left")
+
+
 def scorecard(trades: DataFrame) -> DataFrame:
     """Overall, by symbol, by reason and by both, in one pass."""
     return trades.where("net_bps is not null").cube("symbol", "reason").agg(

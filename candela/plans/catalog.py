@@ -12,6 +12,7 @@ from candela.functions.scalars import frame, guarded, ratio, series, true_range
 from candela.operators import events as ev
 from candela.operators import summaries as sm
 from candela.sources import bars as src
+from candela.sources import files as fs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,15 +280,30 @@ def cohort_maturity(spark, sf):
     return sm.cohort_summary(trades_1d(spark, sf), NOW, 12 * DAY)
 
 
-@query(f"""WITH {TRADES}, b AS (SELECT symbol, event_ms // 86400000 AS day, sum(net_bps) AS s, count(*) AS n FROM trades WHERE net_bps IS NOT NULL GROUP BY ALL),
+#: Means of 200 draws of days for each symbol.
+DRAWS = TRADES + """,
+b AS (SELECT symbol, event_ms // 86400000 AS day, sum(net_bps) AS s, count(*) AS n FROM trades WHERE net_bps IS NOT NULL GROUP BY ALL),
 i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS m FROM b),
 d AS (SELECT symbol, draw, (((draw * 1000003 + i * 7919 + 7 * 104729) % 2147483647) * 48271 % 2147483647) % m AS pick FROM i, (SELECT unnest(generate_series(0, 199)) AS draw)),
-means AS (SELECT d.symbol, draw, sum(s) / sum(n) AS mean FROM d JOIN i ON i.symbol = d.symbol AND i.i = d.pick GROUP BY ALL)
+means AS (SELECT d.symbol, draw, sum(s) / sum(n) AS mean FROM d JOIN i ON i.symbol = d.symbol AND i.i = d.pick GROUP BY ALL)"""
+
+
+@query(f"""WITH {DRAWS}
 SELECT symbol, count(*) AS draws, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM means GROUP BY symbol""")
 def block_bootstrap(spark, sf):
     return sm.block_bootstrap(trades_1d(spark, sf))
 
 
+@query(f"""WITH {DRAWS}, ci AS (SELECT symbol, round(quantile_cont(mean, 0.025), 5) AS low, round(quantile_cont(mean, 0.975), 5) AS high FROM means WHERE symbol IN (SELECT symbol FROM b GROUP BY symbol HAVING count(*) >= 5) GROUP BY symbol),
+rs AS (SELECT symbol, string_agg(reason || ':' || n, ',' ORDER BY reason) AS reasons FROM (SELECT symbol, reason, count(*) AS n FROM trades GROUP BY ALL) GROUP BY symbol)
+SELECT symbol, count(*) AS trades, count(DISTINCT symbol) AS symbols, count(DISTINCT event_ms // 86400000) AS days, count(*) FILTER (net_bps > 0) AS wins, round(avg(CASE WHEN net_bps > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS win_pct, round(avg(net_bps), 6) AS mean_net, round(quantile_cont(net_bps, 0.5), 6) AS median_net,
+  round(coalesce(sum(net_bps) FILTER (net_bps > 0), 0) / nullif(-coalesce(sum(net_bps) FILTER (net_bps <= 0), 0), 0), 6) AS profit_factor, any_value(reasons) AS reasons, any_value(low) AS low, any_value(high) AS high FROM trades LEFT JOIN rs USING (symbol) LEFT JOIN ci USING (symbol) WHERE net_bps IS NOT NULL GROUP BY symbol""")
+def trade_report(spark, sf):
+    """The trade summary with exit reasons and the interval of the mean by days."""
+    r = rounded(sm.trade_report(fs.kept(trades_1d(spark, sf), "trades")), 5, "low", "high")
+    return r.withColumn("reasons", F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat_ws(":", e.key, e.value.cast("string"))), ","))
+
+
 @query(f"""WITH {BARS_1D}, o AS (SELECT *, row_number() OVER {W} AS rn FROM bars), p AS (SELECT a.symbol, a.open_time_ms, min(b.rn - a.rn) FILTER (b.high >= a.close * exp(0.03)) AS u, min(b.rn - a.rn) FILTER (b.low <= a.close * exp(-0.03)) AS d, max(b.close) FILTER (b.rn - a.rn = 8) AS c8, any_value(a.close) AS c0
   FROM o a JOIN o b ON a.symbol = b.symbol AND b.rn > a.rn AND b.rn <= a.rn + 8 GROUP BY ALL HAVING count(*) = 8)
 SELECT symbol, open_time_ms, CASE WHEN u IS NULL AND d IS NULL THEN 'NONE' WHEN u = d THEN 'BOTH' WHEN d IS NULL OR u < d THEN 'UP' ELSE 'DOWN' END AS touch, CAST(least(coalesce(u, 8), coalesce(d, 8)) AS INT) AS exit_offset, round(ln(c8 / c0) * 10000, 5) AS timeout_bps FROM p""")
