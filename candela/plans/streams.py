@@ -95,12 +95,9 @@ def streamed_lifecycles(spark, sf):
     path = scratch(spark, "setups")
     e.write.parquet(path)
     e = spark.read.parquet(path)
-    # parts follow each other in event time, a setup's rows in one part
+    # parts follow each other in event time, row by row: none is late, and a setup may settle in a later part than it opens in
     cuts = [None, 850_000_000_000, 930_000_000_000, None]
-    start = F.when(F.col("kind") == "open", F.col("t"))
-    first = e.withColumn("s", start).groupBy("id").agg(F.max("s").alias("s"))
-    j = e.join(first, "id")
-    parts = [j.where((F.lit(True) if a is None else F.col("s") >= a) & (F.lit(True) if b is None else F.col("s") < b)).select(*e.columns) for a, b in zip(cuts, cuts[1:])]
+    parts = [e.where((F.lit(True) if a is None else F.col("t") >= a) & (F.lit(True) if b is None else F.col("t") < b)) for a, b in zip(cuts, cuts[1:])]
     return st.run_parts(spark, parts, lambda rows: st.lifecycles(rows, GRACE), "lifecycles")
 
 

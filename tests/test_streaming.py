@@ -47,6 +47,36 @@ def test_settled_setups_leave_no_state(spark, tmp_path):
     assert sorted(r.key.id for r in st.state_rows(spark, out).collect()) == [4, 9]
 
 
+def test_setups_share_groups(spark, tmp_path, monkeypatch):
+    """Thousands of setups cost a few groups and states, and each still has its own deadline; every tenth is never touched."""
+    monkeypatch.setattr(st, "BUCKETS", 8)
+    ids = spark.range(4000).withColumn("t", F.lit(DAY) + F.col("id") % 50 * DAY)
+    kinds = [(F.lit("open"), F.col("t"), F.col("t") + DAY, F.lit(True)), (F.lit("touch"), F.col("t") + DAY // 2, F.lit(0).cast("long"), F.col("id") % 10 != 0)]
+    e = None
+    for kind, t, due, some in kinds:
+        rows = ids.where(some).select("id", t.alias("t"), kind.alias("kind"), due.alias("due")).withColumn("at", F.timestamp_millis("t"))
+        e = rows if e is None else e.unionByName(rows)
+    out = tmp_path.as_uri()
+    got = st.run_parts(spark, [e.where(F.col("t") < 20 * DAY), e.where(F.col("t") >= 20 * DAY)], lambda r: st.lifecycles(r, 5 * DAY), "many", out)
+    last = 50 * DAY + DAY // 2
+    start = lambda i: DAY + i % 50 * DAY
+    want = [(i, "SETTLED", start(i) + DAY // 2) if i % 10 else (i, "DATA_MISSING", start(i) + DAY) for i in range(4000) if i % 10 or start(i) + 6 * DAY < last]
+    assert sorted(map(tuple, got.collect())) == want
+    raw = spark.read.format("statestore").option("stateVarName", st.VALUE).load(f"{out}/progress")
+    assert raw.select("key").distinct().count() <= 8
+    assert sorted(r.key.id for r in st.state_rows(spark, out).collect()) == [i for i in range(4000) if start(i) + 6 * DAY >= last]
+
+
+def test_a_deadline_at_the_watermark_is_not_lost(spark, tmp_path, monkeypatch):
+    """A setup whose time ends exactly at a watermark is reported when event time has passed it, whatever its group did before."""
+    monkeypatch.setattr(st, "BUCKETS", 1)
+    rows = [(1, 0, 1), (2, 0, 5), (3, 15, 16), (4, 40, 41)]
+    e = spark.createDataFrame([(i, (t + 1) * DAY, "open", (d + 1) * DAY) for i, t, d in rows], "id long, t long, kind string, due long").withColumn("at", F.timestamp_millis("t"))
+    parts = [e.where("id < 3"), e.where("id = 3"), e.where("id = 4")]
+    got = st.run_parts(spark, parts, lambda r: st.lifecycles(r, 10 * DAY), "exact", tmp_path.as_uri())
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3]  # 2 ends with the day on which 3 opens
+
+
 def test_deliveries_are_forgotten_after_their_cooldown(spark, tmp_path):
     rows = [("a", 0, 1, 1.0), ("a", 2, 2, 1.5), ("a", 3, 3, 2.5), ("b", 1, 4, 1.0), ("b", 20, 5, 0.1), ("b", 20, 5, 0.1), ("c", 30, 6, 1.0), ("c", 31, 7, 1.0)]
     s = spark.createDataFrame([(k, (t + 1) * DAY, i, x) for k, t, i, x in rows], "key string, t long, id long, score double").withColumn("at", F.timestamp_millis("t"))
