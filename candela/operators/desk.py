@@ -120,12 +120,12 @@ def bracket_grid(events: DataFrame, grid: DataFrame, horizon: int) -> DataFrame:
     return r.groupBy("target", "stop", "hold").agg(F.count("*").alias("trades"), F.count_if(net > 0).alias("wins"), F.avg(net).alias("mean_gross"))
 
 
-def spaced(rows: DataFrame, key: str, t: str, until: str) -> DataFrame:
-    """Per key in time order, the rows that begin at or after the ``until`` of the last accepted one. One short series in each
-    group; keys are spread over the cluster."""
+def spaced(rows: DataFrame, key: str, t: str, until: str, tie: str | None = None) -> DataFrame:
+    """Per key in time order (rows of one time by ``tie``, or by ``until``), the rows that begin at or after the ``until`` of the last
+    accepted one. One short series in each group; keys are spread over the cluster."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, until], kind="stable")
+        pdf = pdf.sort_values([t, tie or until], kind="stable")
         free, keep = None, []
         for begin, end in zip(pdf[t], pdf[until]):
             ok = free is None or begin >= free

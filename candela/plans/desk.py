@@ -149,9 +149,9 @@ def dashboard_counts(spark, sf):
 @query(f"""WITH RECURSIVE {LEDGER}, r AS (SELECT id, symbol || ':' || strategy AS key, bar_ms AS t FROM ledger), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS k FROM r), d AS (SELECT key, k, id, t, t AS sent, TRUE AS ok FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, o.id, o.t, CASE WHEN o.t >= d.sent + {20 * DAY} THEN o.t ELSE d.sent END, o.t >= d.sent + {20 * DAY} FROM d JOIN o ON o.key = d.key AND o.k = d.k + 1)
 SELECT id FROM d WHERE ok""")
 def realert_spacing(spark, sf):
-    """Signals of one symbol and strategy at least twenty days after the last that was sent."""
+    """Signals of one symbol and strategy at least twenty days after the last that was sent; of those at one time, the smallest id."""
     r = signals(spark, sf).select("id", F.concat_ws(":", "symbol", "strategy").alias("key"), F.col("bar_ms").alias("t")).withColumn("until", F.col("t") + F.lit(20 * DAY).cast("long"))
-    return dk.spaced(r, "key", "t", "until").select("id")
+    return dk.spaced(r, "key", "t", "until", "id").select("id")
 
 
 @query(f"""WITH RECURSIVE {TRADES}, o AS (SELECT symbol, event_ms, held, row_number() OVER (PARTITION BY symbol ORDER BY event_ms) AS k FROM trades WHERE net_bps IS NOT NULL), d AS (SELECT symbol, k, event_ms, event_ms + held * {DAY} AS free, TRUE AS ok FROM o WHERE k = 1 UNION ALL SELECT o.symbol, o.k, o.event_ms, CASE WHEN o.event_ms >= d.free THEN o.event_ms + o.held * {DAY} ELSE d.free END, o.event_ms >= d.free FROM d JOIN o ON o.symbol = d.symbol AND o.k = d.k + 1)

@@ -181,3 +181,19 @@ def test_pending_folder_of_odd_files(spark, tmp_path):
     (tmp_path / "2.json").write_text('{"id": 3, "x": -1.0}\n{"id": 4}\n[1]\n{"x": 1.0}')
     good, bad = files.read_pending(spark, tmp_path.as_uri(), "id long, x double", {"x": F.col("x") > 0})
     assert [tuple(r) for r in good.collect()] == [(1, 2.0)] and sorted((r.file[-6:], r.problem) for r in bad.collect()) == [("1.json", "json"), ("2.json", "json"), ("2.json", "json"), ("2.json", "x"), ("2.json", "x")]
+
+
+def test_spacing_takes_the_smallest_id_of_one_time(spark):
+    rows = spark.createDataFrame([(9, "k", 5, 8), (2, "k", 5, 8), (4, "k", 5, 8), (1, "k", 7, 10), (7, "k", 8, 11), (3, "k", 8, 11)], "id long, key string, t long, until long")
+    assert sorted(r.id for r in desk.spaced(rows, "key", "t", "until", "id").collect()) == [2, 3]
+
+
+def test_touch_lift_gathers_no_level(spark):
+    """The base rate's error comes from sums: no window holds a level's rows, and the figures are those of loops."""
+    moves = [(float(m), i % 7 / 6) for i, m in enumerate((10, 60, 120, 250, 40, 99, 100, 51))]
+    out = models.touch_lift(spark.createDataFrame(moves, "move double, p double"), (50, 100))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        hits = [int(m >= r.level) for m, _ in moves]
+        base = sum(hits) / len(hits)
+        assert abs(r.base_brier - sum((base - h) ** 2 for h in hits) / len(hits)) < 1e-12 and r.hits == sum(hits)
