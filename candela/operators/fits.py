@@ -22,12 +22,33 @@ DAY = 86_400_000
 RATE = (1e-4, 1 - 1e-4)
 
 
-def _sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Rows, gradient and Hessian of the log loss at ``beta`` (intercept first), in one array."""
+def _parts(x: np.ndarray, n: np.ndarray, hits: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """For each row of ``x``, seen ``n`` times with ``hits`` ones: its count and its parts of gradient and Hessian of the log loss at its own
+    ``beta`` (intercept first)."""
     design = np.column_stack([np.ones(len(x)), x])
-    p = 1 / (1 + np.exp(-np.clip(design @ beta, -35, 35)))
-    w = np.maximum(p * (1 - p), 1e-6)
-    return np.concatenate([[len(x)], design.T @ (p - y), ((design * w[:, None]).T @ design).ravel()])
+    p = 1 / (1 + np.exp(-np.clip((design * beta).sum(axis=1), -35, 35)))
+    w = np.maximum(p * (1 - p), 1e-6) * n
+    return np.column_stack([n, design * (n * p - hits)[:, None], (design[:, :, None] * design[:, None, :] * w[:, None, None]).reshape(len(x), -1)])
+
+
+def _codes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's key, and for each number a row that has it."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        d = c.dictionary_encode()
+        code = np.unique(code * (len(d.dictionary) + 1) + np.asarray(d.indices.fill_null(len(d.dictionary)), np.int64), return_inverse=True)[1]
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _grid(x: np.ndarray, n: np.ndarray, hits: np.ndarray, mean: np.ndarray, spread: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Counts, gradients and Hessians of many models (in rows) over distinct rows ``x``, each seen n[i, k] times with hits[i, k] ones by model k."""
+    d = beta.shape[1]
+    design = np.ones((d, *n.shape))
+    design[1:] = np.clip((x.T[:, :, None] - mean.T[:, None, :]) / spread.T[:, None, :], -8, 8)
+    p = 1 / (1 + np.exp(-np.clip((design * beta.T[:, None, :]).sum(axis=0), -35, 35)))
+    w, e = np.maximum(p * (1 - p), 1e-6) * n, p * n - hits
+    return np.column_stack([n.sum(axis=0), *((e * design[i]).sum(axis=0) for i in range(d)), *((w * design[i] * design[j]).sum(axis=0) for i in range(d) for j in range(d))])
 
 
 #: The largest change of a coefficient in one step. Unbounded steps run away where nearly all labels are one.
@@ -47,30 +68,31 @@ def _stepped(sums: np.ndarray, beta: np.ndarray, l2: float) -> np.ndarray:
 def logistic_fits(rows: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], target: str, l2: float = 1.0, steps: int = 60, tol: float = 1e-7) -> DataFrame:
     """``keys``, n, intercept, weights (array), moved: for each key the minimum of the summed log loss plus l2/2 times the squared weights.
 
-    Rows with a null feature or target do not count. Every step is one pass over the rows of the models that still move, whose
-    coefficients meet them by a join on the keys; ``moved`` is the last step's largest change.
+    Rows with a null feature or target do not count. Equal rows are merged first and count as often as they come. Every step is one
+    pass over the rows of the models that still move, whose coefficients meet them by a join on the keys; ``moved`` is the last step's
+    largest change.
     """
     d = len(features) + 1
     x = F.array(*[F.col(c).cast("double") for c in features])
-    data = kept(rows.dropna(subset=[*features, target]).select(*keys, x.alias("_x"), F.col(target).cast("double").alias("_y")), "fit-rows")
-    rate = F.least(F.lit(RATE[1]), F.greatest(F.lit(RATE[0]), F.avg("_y")))
-    state = data.groupBy(*keys).agg(F.log(rate / (1 - rate)).alias("_a"), F.lit(float("inf")).alias("moved"), F.count("*").alias("n"))
+    data = rows.dropna(subset=[*features, target]).select(*keys, x.alias("_x"), F.col(target).cast("double").alias("_y"))
+    data = kept(data.groupBy(*keys, "_x").agg(F.count("*").cast("double").alias("_n"), F.sum("_y").alias("_h")), "fit-rows")
+    rate = F.least(F.lit(RATE[1]), F.greatest(F.lit(RATE[0]), F.sum("_h") / F.sum("_n")))
+    state = data.groupBy(*keys).agg(F.log(rate / (1 - rate)).alias("_a"), F.lit(float("inf")).alias("moved"), F.sum("_n").cast("long").alias("n"))
     state = kept(state.select(*keys, F.concat(F.array("_a"), F.array_repeat(F.lit(0.0), d - 1)).alias("_beta"), "moved", "n"), "fit-state")
     of_keys = [data.schema[k] for k in keys]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            names: dict[tuple, int] = {}
-            code = np.array([names.setdefault(k, len(names)) for k in zip(*(batch.column(c).to_pylist() for c in keys))], np.int64)
+            if not batch.num_rows:
+                continue
+            code, first = _codes([batch.column(c) for c in keys])
             flat = lambda c, n: np.asarray(batch.column(c).flatten()).reshape(-1, n)
-            xs, ys, betas = flat("_x", d - 1), batch.column("_y").to_numpy(), flat("_beta", d)
+            parts = _parts(flat("_x", d - 1), batch.column("_n").to_numpy(), batch.column("_h").to_numpy(), flat("_beta", d))
             order = np.argsort(code, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
-                if len(own):
-                    k = list(names)[code[own[0]]]
-                    made = _sums(xs[own], ys[own], betas[own[0]])
-                    total[k] = total[k] + made if k in total else made
+            made = np.add.reduceat(parts[order], np.searchsorted(code[order], np.arange(len(first))), axis=0)
+            for k, own in zip(zip(*(batch.column(c).take(pa.array(first)).to_pylist() for c in keys)), made):
+                total[k] = total[k] + own if k in total else own
             if len(total) > 20_000:  # what a task holds stays bounded
                 yield out(total)
                 total = {}
@@ -181,6 +203,12 @@ def series_models(rows: DataFrame, newest: DataFrame, keys: tuple[str, ...], fea
     return judged.drop("_ok").join(now, list(keys))
 
 
+def _quantile(rows: DataFrame, keys: tuple[str, ...], c: str, share: float, to: str) -> DataFrame:
+    """``keys``, ``to``: the quantile of ``c`` by key. Equal values are counted first, so that a key's task gets each value once."""
+    counts = rows.groupBy(*keys, c).agg(F.count("*").alias("_f"))
+    return counts.groupBy(*keys).agg(F.percentile(c, share, F.col("_f")).alias(to))
+
+
 def ranked(rows: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], target: str, l2: float = 10.0, share: float = 0.8) -> DataFrame:
     """The test rows of each fold (``keys``) with ``score``, ``threshold`` and ``selected``.
 
@@ -188,12 +216,15 @@ def ranked(rows: DataFrame, keys: tuple[str, ...], features: tuple[str, ...], ta
     training rows, and the calibration rows' quantile ``share`` of its score is the threshold. Nothing is learned from test rows.
     """
     train = F.col("role") == "train"
-    medians = rows.where(train).groupBy(*keys).agg(*[F.percentile(c, 0.5).alias(f"_q{i}") for i, c in enumerate(features)])
+    medians = rows.where(train).select(*keys).distinct()
+    for i, c in enumerate(features):
+        medians = medians.join(_quantile(rows.where(train), keys, c, 0.5, f"_q{i}"), list(keys))
+    medians = kept(medians, "ranked-medians")  # its size is known, so the rows stay where they are
     r = rows.join(medians, list(keys)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_q{i}"), F.lit(0.0)) for i, c in enumerate(features)}).select(*rows.columns)
     r = kept(r, "ranked-rows")
-    z = kept(with_scales(r, scales(r.where(train), keys, features), keys, features), "ranked-rows")
+    z = kept(with_scales(r, kept(scales(r.where(train), keys, features), "ranked-scales"), keys, features), "ranked-rows")
     s = z.where(~train).join(logistic_fits(z.where(train), keys, features, target, l2).drop("n", "moved"), list(keys)).withColumn("score", dot(features)).drop("intercept", "weights")
-    cut = s.where("role = 'calibration'").groupBy(*keys).agg(F.percentile("score", share).alias("threshold"))
+    cut = kept(_quantile(s.where("role = 'calibration'"), keys, "score", share, "threshold"), "ranked-cuts")
     return s.where("role = 'test'").join(cut, list(keys)).withColumn("selected", F.col("score") >= F.col("threshold"))
 
 
@@ -234,8 +265,9 @@ def expanding_refits(rows: DataFrame, features: tuple[str, ...], l2: float = 10.
     ``rows``: id, t (ms), held (never trains nor calibrates), target (null: not settled, only scored) and features without nulls. Out: id, day,
     train, calibration (rows), status, base_rate (of the calibration rows, (hits + 1) / (n + 2)), probability.
 
-    Scales come from running sums of days. A task holds the models of all days (a few numbers each) and adds up every day's
-    normal equations over its own rows in order of days; the driver sees one small system for each calendar day.
+    Scales come from running sums of days. Rows of equal features are one, with its counts by day. A task holds the models of all days (a few
+    numbers each) and adds up every day's normal equations over its own rows, each as often as it had come by then; the driver sees
+    one small system for each calendar day. So a step costs distinct rows times days, however often a row comes.
     """
     d = len(features) + 1
     x = F.array(*[F.col(c).cast("double") for c in features])
@@ -270,6 +302,8 @@ def expanding_refits(rows: DataFrame, features: tuple[str, ...], l2: float = 10.
     rate = np.clip(whole[:, 1] / n[:, 0], *RATE)
     beta = np.column_stack([np.log(rate / (1 - rate)), np.zeros((len(days), d - 1))])
     spark, open_ = rows.sparkSession, np.arange(len(days))
+    counted = may.groupBy("x", "day").agg(F.count("*").alias("n"), F.sum("y").alias("h")).groupBy("x").agg(F.collect_list(F.struct("day", "n", "h")).alias("c"))  # an entry for each day at most
+    counted = kept(counted.select("x", *[F.col(f"c.{c}").cast("array<double>").alias(c) for c in ("day", "n", "h")]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "refit-counts")
     for _ in range(steps):
         if not len(open_):
             break
@@ -278,19 +312,20 @@ def expanding_refits(rows: DataFrame, features: tuple[str, ...], l2: float = 10.
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends, m, s, b = held.value
             total = np.zeros((len(ends), 1 + d + d * d))
-            for batch in batches:
-                day, y, xs = batch.column("day").to_numpy(), batch.column("y").to_numpy(), np.asarray(batch.column("x").flatten()).reshape(-1, d - 1)
-                order = np.argsort(day, kind="stable")
-                day, y, xs = day[order], y[order], xs[order]
-                upto = np.searchsorted(day, ends, side="right")
-                for k in np.flatnonzero(upto):
-                    total[k] += _sums(np.clip((xs[: upto[k]] - m[k]) / s[k], -8, 8), y[: upto[k]], b[k])
+            some = max(1, 500_000 // len(ends))  # rows whose counts by model are held at once
+            for batch in (whole.slice(i, some) for whole in batches for i in range(0, whole.num_rows, some)):
+                xs = np.asarray(batch.column("x").flatten()).reshape(-1, d - 1)
+                row = np.repeat(np.arange(len(xs)), batch.column("day").value_lengths().to_numpy())
+                fold = np.searchsorted(ends, np.asarray(batch.column("day").flatten()))  # the first model that knows the day
+                at, size = (row * (len(ends) + 1) + fold), len(xs) * (len(ends) + 1)
+                n, h = (np.bincount(at, np.asarray(batch.column(c).flatten()), size).reshape(len(xs), -1)[:, :-1].cumsum(axis=1) for c in ("n", "h"))
+                total += _grid(xs, n, h, m, s, b)
             some = np.flatnonzero(total[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["k", "s"])
 
-        parts = may.select("day", "y", "x").mapInArrow(add, "k long, s array<double>")
+        parts = counted.mapInArrow(add, "k long, s array<double>")
         size = 1 + d + d * d
-        got = parts.groupBy("k").agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(size)]).collect()
+        got = sorted(parts.groupBy("k").agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(size)]).collect())
         k = np.array([r["k"] for r in got], np.int64)
         new = _stepped(np.array([r[1:] for r in got], float), beta[open_[k]], l2)
         moved = np.abs(new - beta[open_[k]]).max(axis=1)

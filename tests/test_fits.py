@@ -211,3 +211,38 @@ def test_safety_without_a_limit_and_with_settled_alerts(spark):
     assert blocked(2, 0.0) is None and blocked(1, 0.0) == "max_open" and blocked(2, 5.0) == "daily_loss" and blocked(2, 5.1) is None
     quiet = ledgers.safety(c, ledger.where("status is not null"), sent, now, False, 1, 0.0, 0, 0.0).first().blocked
     assert quiet is None  # a settled alert is not open
+
+
+def test_equal_rows_are_merged_and_counted(spark):
+    """Rows that come many times are one with a count, in fits and daily refits alike, and give what all rows one by one give."""
+    r = np.random.default_rng(11)
+    x = r.integers(0, 4, (3000, 2)).astype(float)
+    y = (r.random(3000) < 1 / (1 + np.exp(1.5 - x[:, 0] + 0.5 * x[:, 1]))).astype(int)
+    rows = spark.createDataFrame([(i % 2, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))], "k int, a double, b double, y int")
+    for f in fits.logistic_fits(rows, ("k",), ("a", "b"), "y", 1.0).collect():
+        own = np.arange(3000) % 2 == f.k
+        assert f.n == own.sum() and np.allclose([f.intercept, *f.weights], newton(x[own], y[own], 1.0), atol=1e-6)
+    n = r.integers(0, 5, (6, 3)).astype(float)
+    h = np.floor(n * 0.4)
+    d = r.random((6, 2))
+    mean, spread, beta = r.random((3, 2)), r.random((3, 2)) + 0.5, r.random((3, 3))
+    for k, made in enumerate(fits._grid(d, n, h, mean, spread, beta)):
+        z = np.clip((d - mean[k]) / spread[k], -8, 8)
+        assert np.allclose(made, fits._parts(z, n[:, k], h[:, k], np.tile(beta[k], (6, 1))).sum(axis=0))
+
+
+def test_the_capacity_fold_skips_only_rows_that_find_no_place(spark):
+    """Dense rows, few places: the same trades as a loop over every row, with places free at or after their end, whole and in chunks."""
+    r = random.Random(5)
+    rows = [(i, r.choice("abcdef"), t := r.randrange(0, 40) * 3_600_000, t + r.randrange(0, 30) * 3_600_000) for i in range(900)]
+    df = spark.createDataFrame([("p", *row) for row in rows], "p string, id long, symbol string, t long, until long")
+    for closed in (False, True):
+        open_, want = {}, []
+        for i, s, t, u in sorted(rows, key=lambda x: (x[2], x[0])):
+            open_ = {k: v for k, v in open_.items() if v > t or closed and v == t}
+            if s not in open_ and len(open_) < 3:
+                open_[s] = u
+                want.append(i)
+        for bound in (20_000, 50):
+            got = folds.capacity(df, ("p",), "id", "t", "until", [F.col("t"), F.col("id")], 3, closed, bound=bound)
+            assert sorted(g.id for g in got.collect()) == sorted(want)
