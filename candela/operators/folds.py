@@ -32,9 +32,9 @@ def chunked(rows: DataFrame, keys: tuple[str, ...], slot: Column, bound: int = B
     return r.join(sizes.select(*keys, "_slot", F.floor(F.coalesce(before, F.lit(0)) / bound).alias("_chunk")), [*keys, "_slot"]).drop("_slot")
 
 
-def folded(rows: DataFrame, keys: tuple[str, ...], order: list[Column], columns: list[str], state: str, output: str, fold: Fold) -> DataFrame:
+def folded(rows: DataFrame, keys: tuple[str, ...], order: list[Column], columns: list[str], state: str, output: str, fold: Fold, frames: bool = False) -> DataFrame:
     """(keys, outputs) of ``fold`` over each key's rows in ``order``. ``rows`` carry ``_chunk`` (from ``chunked``); ``columns`` are what
-    the fold reads; ``state`` and ``output`` are the DDL of what it keeps (a struct of arrays and values) and gives."""
+    the fold reads, as tuples or (``frames``) as one table; ``state`` and ``output`` are the DDL of what it keeps (a struct of arrays and values) and gives."""
     own = [*keys, "_chunk"]
     # rows of a chunk in order, under names of our own
     sorted_ = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
@@ -47,7 +47,7 @@ def folded(rows: DataFrame, keys: tuple[str, ...], order: list[Column], columns:
     def one(pdf: pd.DataFrame, start: pd.DataFrame) -> tuple[tuple, tuple | None, list]:
         given = None if start.empty or start["_s"].iloc[0] is None else tuple(start["_s"].iloc[0][f] for f in fields)
         pdf = pdf.sort_values("_at")
-        end, out = fold(given, pdf[columns].itertuples(index=False, name=None))
+        end, out = fold(given, pdf[columns] if frames else pdf[columns].itertuples(index=False, name=None))
         return tuple(pdf[c].iloc[0] for c in own), end, out
 
     def ends(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -90,18 +90,26 @@ def capacity(trades: DataFrame, keys: tuple[str, ...], id_: str, start: str, unt
     """(keys, id) of the trades that a portfolio of ``cap`` places takes in ``order`` (which begins with ``start``): one for each symbol, while
     fewer than ``cap`` are open. A place is free again at ``until``, or (``closed``) only after it.
     ``slot``: whole numbers that grow in ``order`` and hold rows of equal start together; days by default."""
-    def fold(state, rows):
-        open_, taken = dict(zip(*state)) if state else {}, []
-        for i, symbol, begin, end in rows:
-            open_ = {s: t for s, t in open_.items() if t > begin or closed and t == begin}
-            if symbol not in open_ and len(open_) < cap:
-                open_[symbol] = end
-                taken.append((i,))
-        return _held(open_), taken
+    def fold(state, pdf):
+        open_, taken, at = dict(zip(*state)) if state else {}, [], 0
+        ids, symbols, begins, ends = (pdf[c].to_numpy() for c in (id_, "symbol", start, until))
+        rising = bool((begins[1:] >= begins[:-1]).all())
+        freed = lambda begin: {s: t for s, t in open_.items() if t > begin or closed and t == begin}
+        while at < len(ids):
+            open_ = freed(begins[at])
+            if len(open_) >= cap and rising:  # no row is taken before a place is free
+                free = begins.searchsorted(min(open_.values()), "right" if closed else "left") if open_ else len(ids)
+                at = max(at + 1, int(free))
+                continue
+            if symbols[at] not in open_ and len(open_) < cap:
+                open_[symbols[at]] = ends[at]
+                taken.append((ids[at],))
+            at += 1
+        return _held(freed(begins[-1]) if len(ids) else open_), taken
 
     cut = chunked(trades, keys, F.floor(F.col(start) / 86_400_000).cast("long") if slot is None else slot, bound)
     kind = trades.schema[id_].dataType.simpleString()
-    return folded(cut, keys, order, [id_, "symbol", start, until], OPEN, f"{id_} {kind}", fold)
+    return folded(cut, keys, order, [id_, "symbol", start, until], OPEN, f"{id_} {kind}", fold, frames=True)
 
 
 def daily_capped(rows: DataFrame, keys: tuple[str, ...], id_: str, start: str, until: str, order: list[Column], cap: int, day_ms: int = 86_400_000, bound: int = BOUND) -> DataFrame:
