@@ -205,7 +205,8 @@ def latest_scores(spark, sf):
 def logistic_scores(spark, sf):
     """A logistic model fitted by Spark ML on each series' first nine tenths, calibrated on its tail after an embargo, applied to all
     rows. Coefficients have no SQL form; the tests hold them against Newton's method."""
-    rows = md.final_split(labels(spark, sf), 12).select("symbol", "open_time_ms", "role", "target", *mk.FEATURES)
+    bars = fs.kept(calm(spark, sf), "logistic-bars")  # the trades are read once
+    rows = fs.kept(md.final_split(mk.supervised(bars, floor_bps=50.0), 12).select("symbol", "open_time_ms", "role", "target", *mk.FEATURES), "logistic-rows")
     train = F.col("role") == "train"
     z = md.scaled(rows, md.standard_scale(rows, mk.FEATURES, train)).cache()
     intercept, weights = md.fit_logistic(z.where(train), mk.FEATURES, "target", 1.0)
