@@ -62,3 +62,18 @@ def test_strict_validation_raises(spark):
     assert src.validated(bars, src.DAY, "strict").count() == bars.count()
     with pytest.raises(Exception, match="invalid candle"):
         src.validated(bars.withColumn("low", F.lit(-1.0)), src.DAY, "strict").collect()
+
+
+def test_candles_before_1970_hold_their_trades(spark, tmp_path):
+    """Query and SQL agree on ticks on both sides of 1970: each lies between its candle's open and close time."""
+    import duckdb
+
+    at = ["1969-12-31 22:30:00", "1969-12-31 23:00:00", "1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "1970-01-01 00:10:00", "1970-01-01 01:00:00"]
+    c = duckdb.connect()
+    values = ", ".join(f"({i}, TIMESTAMP '{t}', {i}, 'view', {i}.5)" for i, t in enumerate(at))
+    c.sql(f"CREATE VIEW events AS SELECT * FROM (VALUES {values}) v(event_id, ts, user_id, event_type, value)")
+    c.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = sorted((r.open_time_ms, r.trade_count) for r in catalog.QUERIES["bars_1h"](spark, str(tmp_path)).collect())
+    assert got == [(-7_200_000, 1), (-3_600_000, 2), (0, 2), (3_600_000, 1)]
+    assert sorted(c.sql(f"SELECT open_time_ms, trade_count FROM ({catalog.ORACLES['bars_1h']})").fetchall()) == got
