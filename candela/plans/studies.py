@@ -131,7 +131,7 @@ def daily_quota(spark, sf):
     return studies.daily_quota(src.bars_1h(spark, sf), "trade_count", 3)
 
 
-@query(f"""WITH {BARS_1H} SELECT symbol, open_time_ms, open, high, low, close, trade_count FROM bars WHERE open_time_ms + {HOUR} <= (SELECT epoch_ms(max(ts)) - {2 * HOUR} FROM events)""")
+@query(f"""WITH {BARS_1H} SELECT symbol, open_time_ms, open, high, low, close, trade_count FROM bars WHERE open_time_ms + {HOUR} <= (SELECT epoch_ms(date_trunc('milliseconds', max(ts))) - {2 * HOUR} FROM events)""")
 def streamed_bars(spark, sf):
     """Hourly candles from a stream of events: those that the watermark has closed."""
     return live.finished(spark, live.tumbling_bars(live.events(spark, sf)), "streamed-bars")

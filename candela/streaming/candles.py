@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from candela.sources.files import scratch
 
 HOUR = 3_600_000
+#: Whole hours from year 1 to 1970 in milliseconds. A watermark begins at 1970 and drops what ends before it, so event times are counted from year 1.
+EARLIEST = 62_135_596_800_000
 BARS = "symbol string, open_time_ms long, close double, volume double"
 REGIME = "symbol string, open_time_ms long, raw string, regime string"
 
@@ -31,10 +33,11 @@ def tumbling_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     """One candle for each type and hour, emitted once when the watermark passes its end."""
     price = F.col("value") + 1
     seq = F.struct("ts", "event_id")
-    rows = ticks.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), seq.alias("seq"), price.alias("price"))
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + EARLIEST * 1000)
+    rows = ticks.select(F.col("event_type").alias("symbol"), at.alias("at"), seq.alias("seq"), price.alias("price"))
     g = rows.withWatermark("at", late).groupBy("symbol", F.window("at", "1 hour").alias("w")).agg(
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.count("*").alias("trade_count"))
-    return g.select("symbol", F.unix_millis("w.start").alias("open_time_ms"), "open", "high", "low", "close", "trade_count")
+    return g.select("symbol", (F.unix_millis("w.start") - EARLIEST).alias("open_time_ms"), "open", "high", "low", "close", "trade_count")
 
 
 def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -77,3 +77,19 @@ def test_candles_before_1970_hold_their_trades(spark, tmp_path):
     got = sorted((r.open_time_ms, r.trade_count) for r in catalog.QUERIES["bars_1h"](spark, str(tmp_path)).collect())
     assert got == [(-7_200_000, 1), (-3_600_000, 2), (0, 2), (3_600_000, 1)]
     assert sorted(c.sql(f"SELECT open_time_ms, trade_count FROM ({catalog.ORACLES['bars_1h']})").fetchall()) == got
+
+
+def test_streamed_candles_hold_early_ticks_and_those_just_before_the_hour(spark, tmp_path):
+    """Stream and SQL agree on ticks less than half a millisecond before the hour, before 1970 too, and on what the last tick has closed."""
+    import duckdb
+
+    at = ["1969-12-31 21:00:00", "1969-12-31 22:59:59.9996", "1970-01-01 00:59:59.9999", "1970-01-01 03:10:00", "1970-01-01 05:59:59.9996"]
+    c = duckdb.connect()
+    values = ", ".join(f"({i}, TIMESTAMP '{t}', {i}, 'view', {i}.5)" for i, t in enumerate(at))
+    c.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value FROM (VALUES {values}) v(event_id, ts, user_id, event_type, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    closed = [(-10_800_000, 1.5), (-7_200_000, 2.5), (0, 3.5)]
+    want = {"streamed_bars": closed, "bars_1h": [*closed, (10_800_000, 4.5), (18_000_000, 5.5)]}
+    for name, rows in want.items():
+        assert sorted((r.open_time_ms, r.close) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == rows
+        assert sorted(c.sql(f"SELECT open_time_ms, close FROM ({catalog.ORACLES[name]})").fetchall()) == rows
