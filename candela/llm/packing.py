@@ -32,21 +32,20 @@ CAPACITY, END, GROUPS = 1024, 2, 256
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces."""
     kind = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
-    closing = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteBpe(vocabulary).encode
+        encode = ByteBpe(vocabulary).encode_whole
         for batch in batches:
             cols = [[] for _ in kind]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = memoryview(encode(text or "") + closing)
-                n = len(data) // 4
+                data = np.append(encode(text or ""), np.uint32(END))
+                n = len(data)
                 first = n - capacity * ((n - 1) // capacity)
                 lo, k = 0, 0
                 while lo < n:
                     hi = first if lo == 0 else lo + capacity
-                    own = data[4 * lo : 4 * hi]
-                    row = (doc, k, lo, hi - lo, zlib.crc32(own), *([np.frombuffer(own, "<i4")] if with_ids else []))
+                    own = data[lo:hi]
+                    row = (doc, k, lo, hi - lo, zlib.crc32(own), *([own.view("<i4")] if with_ids else []))
                     for c, v in zip(cols, row):
                         c.append(v)
                     lo, k = hi, k + 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import partial
 
 import numpy as np
 
@@ -53,7 +54,9 @@ class ByteBpe:
 
         with open(vocabulary(name), "rb") as f:
             ranks = self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([SPECIAL]))
+        self.whole = own.encode_ordinary
+        self._array = partial(own.encode_to_numpy, allowed_special=set(), disallowed_special=())  # the same ids without a list
         self.cache = _Cache(self.whole)
         self.mark, self.mark_id = (special[0], np.array([special[1]], "<u4").tobytes()) if special else (None, b"")
 
@@ -71,8 +74,8 @@ class ByteBpe:
     def encode_whole(self, text: str) -> np.ndarray:
         """The ids of a text in one call, nothing remembered: faster where most chunks are seen once."""
         if self.mark and self.mark in text:
-            return np.frombuffer(self.mark_id.join(np.array(self.whole(x), "<u4").tobytes() for x in text.split(self.mark)), "<u4")
-        return np.array(self.whole(text), "<u4")
+            return np.frombuffer(self.mark_id.join(self._array(x).astype("<u4").tobytes() for x in text.split(self.mark)), "<u4")
+        return self._array(text).astype("<u4", copy=False)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id, in order of the ids."""

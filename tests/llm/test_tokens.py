@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candela.llm import alignment, balance, importance
+from candela.llm import alignment, balance, importance, packing, tokens
 from candela.llm.tokens import vocabulary
 
 ODD = [" x", "a  b", "x \n y ", "▁a", "<|endoftext|> hi <s> </s>", "\x00a b", "ﬁ Å ½ z", "tab\tx\r\n", "é ​", "   ", "\n", "a", "nbsp\xa0x", "word" * 400]
@@ -192,3 +192,27 @@ def test_target_like_documents_are_drawn(spark):
     docs = [(i, " ".join(f"{'goal' if i % 4 == 0 else 'other'}{(i * 7 + k) % 30}" for k in range(40))) for i in range(400)]
     got = importance.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(" ".join(f"goal{k}" for k in range(30)),)] * 100, "text string"))
     assert got.where(F.col("rank").isNotNull() & (F.col("doc_id") % 4 == 0)).count() > 85
+
+
+def test_pieces_come_from_whole_texts(monkeypatch):
+    """op7's pieces hold the ids of the ``tokenizers`` file, and no text is looked up word by word, which costs twice as much where most words are rare."""
+    import pyarrow as pa
+
+    class Captured:
+        selectExpr = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    def refuse(*_):
+        raise AssertionError("word by word")
+
+    monkeypatch.setattr(tokens._Cache, "__missing__", refuse)
+    texts = [*ODD, None, "", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", " ".join(f"w{i * 7919}" for i in range(3000))]
+    run = packing.token_pieces(Captured(), with_ids=True)
+    got = defaultdict(list)
+    for batch in run(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})])):
+        for r in batch.to_pylist():
+            assert r["start"] == len(got[r["doc_id"]]) and r["length"] == len(r["ids"]) <= 1024
+            assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+            got[r["doc_id"]] += r["ids"]
+    tok, _ = encoders()
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
